@@ -47,8 +47,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else; lower() does just that for texts of ASCII alone, and fast."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    """A-Z lower-cased and nothing else. lower() does just that, and fast, unless there are other letters with a lower case."""
+    others = text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(~others, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:
