@@ -1,15 +1,18 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, line_dedup, mixing, token_files
+from . import decontamination, line_dedup, mixing, simhash, token_files, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op4_topk": topk.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
 }
