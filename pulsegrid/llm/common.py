@@ -70,6 +70,11 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return parts.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text leaves 0 when divided by 5."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def without_clashes(df: DataFrame, *names: str) -> DataFrame:
     """df without columns named like those that an operator is about to add (whatever their case)."""
     taken = {n.lower() for n in names}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table, without_clashes
+from .common import arrow_batches, held_out, table, without_clashes
 
 #: Features: hashed letter bigrams and trigrams. CHUNK: code points that are looked at at once.
 DIMS, CHUNK = 1 << 13, 1 << 18
@@ -131,22 +131,21 @@ def fit(train: DataFrame, per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.nda
     return known, code, fit_bits(x[order], np.array([known.index(v) for v in langs])[order], code)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None, text_col: str = "text") -> DataFrame:
-    """docs plus lang_pred, score (0 to 1) and ambiguous, from the whole text alone.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns only keep, if given) plus lang_pred, score (0 to 1) and ambiguous, from the whole text alone.
 
     Null, empty and letterless texts, and all texts without a model, get und, score 0, and are ambiguous. Repeated rows get the same result.
     An empty table gives an empty result; columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    docs = without_clashes(docs, "lang_pred", "score", "ambiguous")
+    kept = without_clashes(docs.select(*keep) if keep else docs, "lang_pred", "score", "ambiguous", "_raw")
     arrow_batches(spark, 256)
     sent = spark.sparkContext.broadcast(model)  # languages x bits and DIMS x bits numbers
-    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            found = [features(t) if model else None for t in b.column(place).to_pylist()]
+            found = [features(t) if model else None for t in b.column(b.num_columns - 1).to_pylist()]
             some = [i for i, x in enumerate(found) if x is not None]
             lang, score, unsure = [UNDETERMINED] * len(found), [0.0] * len(found), [True] * len(found)
             if some:
@@ -154,15 +153,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
                 best, p, lead = decode(np.stack([found[i] for i in some]) @ w[:-1] + w[-1], code)
                 for j, i in enumerate(some):
                     lang[i], score[i], unsure[i] = known[best[j]], float(p[j]), bool(lead[j] < MARGIN)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*b.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
-
-
-def held_out(id_col: str = "doc_id"):
-    """crc32 of the id as text leaves 0 when divided by 5."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return docs.select(*kept.columns, F.col(text_col).alias("_raw")).mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def trained(docs: DataFrame):
@@ -171,5 +165,5 @@ def trained(docs: DataFrame):
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = identify(docs.select("doc_id", "text"), trained(docs))
+    out = identify(docs, trained(docs), keep=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

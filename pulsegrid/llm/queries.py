@@ -1,14 +1,16 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, line_dedup, mixing, simhash, token_files, topk
+from . import decontamination, langid, line_dedup, mixing, quality, simhash, token_files, topk
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
     "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op7_decontamination": decontamination.op7_decontamination,
     "op9_simhash": simhash.op9_simhash,
+    "op10_langid": langid.op10_langid,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
