@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, langid, line_dedup, mixing, quality, simhash, token_files, topk
+from . import decontamination, html_extraction, langid, line_dedup, mixing, quality, simhash, token_files, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
+    "op3_html": html_extraction.op3_html,
     "op4_topk": topk.op4_topk,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_files": token_files.op6_token_files,
