@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, html_extraction, langid, line_dedup, mixing, quality, simhash, token_files, topk
+from . import decontamination, html_extraction, langid, line_dedup, mixing, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
 }

@@ -38,7 +38,7 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts. Words between ASCII white space never share a token in this vocabulary's tokenizer (it splits there before it merges), so each
+    """Ids of whole texts (UTF-8). Words between ASCII white space never share a token in this vocabulary's tokenizer (it splits there before it merges), so each
     different word is encoded once and kept, up to `keep` words."""
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -46,14 +46,14 @@ class Encoder:
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").split() for t in texts]
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        words = [(t or b"").split() for t in texts]  # of bytes: at ASCII white space only
         new = list({w for ws in words for w in ws if w not in self.known})
         if len(self.known) + len(new) > self.keep:
             self.known, new = {}, list({w for ws in words for w in ws})
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["part", "seq", "uri", "docs", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id").sortWithinPartitions("_id", "_text")
     return stored(rows.mapInArrow(write, "part long, seq long, uri string, docs long, tokens long"), "manifest")
 
