@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_batches, stored, table
-from .token_files import Encoder, tokenizer_path
+from .token_files import tokenizer_path, worker_encoder
 
 #: Lengths that one window partition holds at most.
 SPAN = 4096
@@ -22,7 +22,7 @@ def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
     arrow_batches(docs.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = worker_encoder(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode(b.column(0).to_pylist())], pa.int64())], ["length"])
 

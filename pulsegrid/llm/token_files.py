@@ -7,7 +7,10 @@ stream of ids; SeekableTokens reads the tables at its end and then only the fram
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,26 +40,46 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Where a text may be cut besides white space: before marks that end a word. They are tokens of their own after a letter or digit.
+MARKS = re.compile(rb"[.,;:!?*#$%&|](?<=[a-z0-9].)[.,;:!?*#$%&|]*(?=[\x20\x09-\x0D]|\Z)")
+
+
 class Encoder:
-    """Ids of whole texts (UTF-8). Words between ASCII white space never share a token in this vocabulary's tokenizer (it splits there before it merges), so each
-    different word is encoded once and kept, up to `keep` words."""
+    """Ids of whole texts (UTF-8), as little-endian 32-bit integers.
+
+    This vocabulary's tokenizer lower-cases, and splits at white space and between letters and marks before it merges, so words are encoded one by one, each
+    different one once while it is remembered: words seen lately, at most twice `keep`.
+    """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep, self.recent, self.older = Tokenizer.from_file(path), keep, {}, {}
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [(t or b"").split() for t in texts]  # of bytes: at ASCII white space only
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, list({w for ws in words for w in ws})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        words = [MARKS.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]  # of bytes: ASCII letters and white space only
+        found = [list(map(self.recent.get, ws)) for ws in words]
+        lacking = {w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+        if lacking:
+            add = {w: self.older.get(w) for w in lacking}
+            new = [w for w, x in add.items() if x is None]
+            for i in range(0, len(new), 10_000):
+                part = new[i : i + 10_000]
+                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                    add[w] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
+            found = [[add[w] if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids for ws, ids in zip(words, found, strict=True)]
+            self.recent.update(add)
+            if len(self.recent) > self.keep:
+                self.older, self.recent = self.recent, {}
+        return list(map(b"".join, found))
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which later tasks of the worker find again."""
+    kept = sys.modules.setdefault("pulsegrid_worker", types.ModuleType("pulsegrid_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class _File:
@@ -135,7 +158,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         from pyspark import TaskContext
 
         fs, root = pafs.FileSystem.from_uri(folder)
-        part, encode, zip_, out, done = TaskContext.get().partitionId(), Encoder(path), zstandard.ZstdCompressor(level=1), None, []
+        part, encode, zip_, out, done = TaskContext.get().partitionId(), worker_encoder(path), zstandard.ZstdCompressor(level=1), None, []
         end = struct.pack("<I", end_id)
 
         def close() -> None:
