@@ -1,0 +1 @@
+from . import isi_queries  # noqa: F401
