@@ -1 +1 @@
-from . import isi_queries  # noqa: F401
+from . import isi_queries, join_queries, run_queries  # noqa: F401
