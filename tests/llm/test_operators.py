@@ -378,10 +378,11 @@ def test_quality(spark):
     bad = [" ".join(w + "###" for w in r.choices(WORDS, k=40)) for _ in range(40)]
     rows = [(i, t, int(t in set(good)), "x") for i, t in enumerate(good + bad)] + [(900, None, None, "x"), (901, "", None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label int, score string")
-    model = quality.fit(docs.where("doc_id % 5 <> 0"))
+    labels = docs.where("doc_id % 5 <> 0").select("doc_id", "label")
+    model = quality.fit(docs, labels)
     got = {x.doc_id: x for x in quality.score(docs, model).collect()}
     assert all(got[i].predicted == label for i, _, label, _ in rows[:-2])
     assert all(0 <= x.score <= 1 for x in got.values()) and got[900].score == got[901].score
-    assert quality.fit(docs.limit(0)) is None and {x.score for x in quality.score(docs, None).collect()} == {0.5}
+    assert quality.fit(docs, labels.limit(0)) is None and quality.fit(docs.limit(0), labels) is None and {x.score for x in quality.score(docs, None).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
-    assert hashlib.sha256(model["w"].tobytes()).digest() == hashlib.sha256(quality.fit(docs.where("doc_id % 5 <> 0").repartition(3))["w"].tobytes()).digest()
+    assert hashlib.sha256(model["w"].tobytes()).digest() == hashlib.sha256(quality.fit(docs.repartition(3), labels)["w"].tobytes()).digest()
