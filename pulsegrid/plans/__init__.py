@@ -1 +1 @@
-from . import isi_queries, join_queries, run_queries  # noqa: F401
+from . import detector_queries, dynamics_queries, isi_queries, join_queries, run_queries, statistics_queries, validation_queries  # noqa: F401
