@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
@@ -42,6 +43,8 @@ def tokenizer_path() -> str:
 
 #: Where a text may be cut besides white space: before marks that end a word. They are tokens of their own after a letter or digit.
 MARKS = re.compile(rb"[.,;:!?*#$%&|](?<=[a-z0-9].)[.,;:!?*#$%&|]*(?=[\x20\x09-\x0D]|\Z)")
+#: A special token of the vocabulary.
+BETWEEN = "<|startoftext|>"
 
 
 class Encoder:
@@ -55,23 +58,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.recent, self.older = Tokenizer.from_file(path), keep, {}, {}
+        self.between = self.tokenizer.token_to_id(BETWEEN)
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         words = [MARKS.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]  # of bytes: ASCII letters and white space only
-        found = [list(map(self.recent.get, ws)) for ws in words]
-        lacking = {w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+        lacking = set().union(*words).difference(self.recent)
         if lacking:
-            add = {w: self.older.get(w) for w in lacking}
-            new = [w for w, x in add.items() if x is None]
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    add[w] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-            found = [[add[w] if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids for ws, ids in zip(words, found, strict=True)]
-            self.recent.update(add)
             if len(self.recent) > self.keep:
-                self.older, self.recent = self.recent, {}
-        return list(map(b"".join, found))
+                self.older, self.recent, lacking = self.recent, {}, set().union(*words)
+            self.recent.update((w, self.older[w]) for w in lacking if w in self.older)
+            new = [w for w in lacking if w not in self.older]
+            for i in range(0, len(new), 1000):
+                self.recent.update(self._encode(new[i : i + 1000]))
+        return [b"".join(map(self.recent.__getitem__, ws)) for ws in words]
+
+    def _encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """All words as one text, with a special token between any two; words that could hold one themselves go alone."""
+        alone = [w for w in words if b"<|" in w]
+        out = [(w, np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()) for w in alone]
+        if len(alone) < len(words):
+            words = [w for w in words if b"<|" not in w]
+            text = BETWEEN.join([w.decode() for w in words])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut, raw = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
+            out += zip(words, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)], strict=True)], strict=True)
+        return out
 
 
 def worker_encoder(path: str) -> Encoder:
