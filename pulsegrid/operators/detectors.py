@@ -17,7 +17,7 @@ from pulsegrid.functions.stats import array_median, clamp, q
 
 from pulsegrid.sources.shared import stored
 
-from .isi import IN_TRAIN
+from .isi import in_train
 from .joins import range_join
 from .runs import extensions, runs, support_runs
 from .statistics import span_metrics
@@ -171,8 +171,8 @@ def pauses(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
     """Runs of intervals over the train's pause floor that are long for their surroundings and for the train."""
     x = rows.join(ref.select("train", "_floor", F.col("_q50").alias("_median"), "_n"), "train")
     long = F.coalesce(F.col("valid") & (F.col("isi") >= F.col("_floor")), F.lit(False))
-    near = IN_TRAIN.rowsBetween(-11, 11)
-    others = F.concat(*[F.collect_list(F.when(F.col("valid"), F.col("isi"))).over(IN_TRAIN.rowsBetween(a, b)) for a, b in ((-11, -1), (1, 11))])
+    near = in_train().rowsBetween(-11, 11)
+    others = F.concat(*[F.collect_list(F.when(F.col("valid"), F.col("isi"))).over(in_train().rowsBetween(a, b)) for a, b in ((-11, -1), (1, 11))])
     x = x.withColumns({"_long": long, "_near": array_median(F.collect_list(F.when(F.col("valid") & ~long, F.col("isi"))).over(near)), "_others": array_median(others)})
     local = F.coalesce("_near", "_others")
     stands = F.col("_long") & ((F.col("_n") < 6) | ((local.isNull() | (F.col("isi") >= local * g.pause_local)) & (F.col("isi") >= F.col("_median") * g.pause_global)))
@@ -256,7 +256,7 @@ def select(found: DataFrame, locked: DataFrame | None = None) -> DataFrame:
                 j -= 1
         return pdf.loc[chosen, ["train", "candidate"]]
 
-    chosen = pool.select("train", "candidate", "start", "end", "value").groupBy("train").applyInPandas(choose, "train long, candidate int").withColumn("selected", F.lit(True))
+    chosen = pool.select("train", "candidate", "start", "end", "value").groupBy("train").applyInPandas(choose, f"train {found.schema['train'].dataType.simpleString()}, candidate int").withColumn("selected", F.lit(True))
     return found.join(chosen, ["train", "candidate"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
@@ -269,8 +269,8 @@ def written(rows: DataFrame, chosen: DataFrame, lock_manual: bool = True) -> Dat
     at = rows.select("train", F.col("idx").alias("start"), F.col("idx").alias("end"))
     cover = range_join(chosen.where("selected").select("train", "start", "end", "label"), at, ["train"]).select("train", F.col("r_start").alias("idx"), F.col("l_label").alias("auto"))
     out = rows.drop("auto").join(cover, ["train", "idx"], "left").withColumn("auto", F.coalesce("auto", F.lit("")))
-    change = F.coalesce((F.col("auto") != F.lag("auto").over(IN_TRAIN)).cast("int"), F.lit(1))
-    out = out.withColumn("_run", F.sum(change).over(IN_TRAIN))
+    change = F.coalesce((F.col("auto") != F.lag("auto").over(in_train())).cast("int"), F.lit(1))
+    out = out.withColumn("_run", F.sum(change).over(in_train()))
     spikes = F.count(F.lit(1)).over(Window.partitionBy("train", "_run")) + 1
     least = F.element_at(F.create_map(*[F.lit(x) for kv in LEAST.items() for x in kv]), F.col("auto"))
     out = out.withColumn("auto", F.when(spikes < least, "").otherwise(F.col("auto"))).drop("_run")
@@ -291,8 +291,8 @@ def final_labels(rows: DataFrame) -> DataFrame:
     """rows plus final: the label by hand if there is one, else the detected one; an artifact takes the label that both neighbours share, if of the burst family or tonic."""
     base = F.when(F.coalesce("manual", F.lit("")) != "", F.col("manual")).otherwise(F.col("auto"))
     x = rows.withColumn("_l", base)
-    shared = (F.lag("_l").over(IN_TRAIN) == F.lead("_l").over(IN_TRAIN)) & F.lag("_l").over(IN_TRAIN).isin("burst", "long_burst", "possible_burst", "tonic")
-    return x.withColumns({"final": F.when(F.col("artifact") & (F.col("_l") == "") & shared, F.lag("_l").over(IN_TRAIN)).otherwise(F.col("_l")), "source": F.when(F.coalesce("manual", F.lit("")) != "", "manual").when(F.col("auto") != "", "auto").otherwise("none")}).drop("_l")
+    shared = (F.lag("_l").over(in_train()) == F.lead("_l").over(in_train())) & F.lag("_l").over(in_train()).isin("burst", "long_burst", "possible_burst", "tonic")
+    return x.withColumns({"final": F.when(F.col("artifact") & (F.col("_l") == "") & shared, F.lag("_l").over(in_train())).otherwise(F.col("_l")), "source": F.when(F.coalesce("manual", F.lit("")) != "", "manual").when(F.col("auto") != "", "auto").otherwise("none")}).drop("_l")
 
 
 def extracted(rows: DataFrame, label: str = "final") -> DataFrame:

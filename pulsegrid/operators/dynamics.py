@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pulsegrid.functions.stats import cv, entropy
 
-IN_TRAIN = Window.partitionBy("train").orderBy("idx")
+
+def in_train() -> WindowSpec:
+    return Window.partitionBy("train").orderBy("idx")
 
 
 def transitions(states: DataFrame, keep_same: bool = True, smooth: float = 0.0) -> DataFrame:
     """Counts of (train, source, target) of neighbouring states (train, idx, state), and their share of the source's (row) and of all (joint)."""
-    x = states.withColumn("target", F.lead("state").over(IN_TRAIN)).where("target is not null").withColumnRenamed("state", "source")
+    x = states.withColumn("target", F.lead("state").over(in_train())).where("target is not null").withColumnRenamed("state", "source")
     x = x if keep_same else x.where("source <> target")
     c = x.groupBy("train", "source", "target").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n") + smooth
@@ -29,8 +31,8 @@ def entropy_rate(t: DataFrame) -> DataFrame:
 def motifs(states: DataFrame, k: int = 3, collapse: bool = True) -> DataFrame:
     """Counts of runs of k states in a row, of each train; with collapse, repeats of a state count as one."""
     if collapse:
-        states = states.withColumn("_b", F.lag("state").over(IN_TRAIN)).where("_b is null or _b <> state").drop("_b")
-    x = states.withColumn("_m", F.collect_list("state").over(IN_TRAIN.rowsBetween(0, k - 1))).where(F.size("_m") == k)
+        states = states.withColumn("_b", F.lag("state").over(in_train())).where("_b is null or _b <> state").drop("_b")
+    x = states.withColumn("_m", F.collect_list("state").over(in_train().rowsBetween(0, k - 1))).where(F.size("_m") == k)
     return x.groupBy("train", F.concat_ws(">", "_m").alias("motif")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -94,7 +96,7 @@ def smoothed(bins: DataFrame, value: str = "n", sigma: float = 1.0) -> DataFrame
 
 def onsets(states: DataFrame, into: list[str]) -> DataFrame:
     """Rows at which a state of `into` begins."""
-    return states.withColumn("_b", F.lag("state").over(IN_TRAIN)).where(F.col("state").isin(into) & ((F.col("_b") != F.col("state")) | F.col("_b").isNull())).drop("_b")
+    return states.withColumn("_b", F.lag("state").over(in_train())).where(F.col("state").isin(into) & ((F.col("_b") != F.col("state")) | F.col("_b").isNull())).drop("_b")
 
 
 def pair_correlation(counts: DataFrame) -> DataFrame:
@@ -105,11 +107,11 @@ def pair_correlation(counts: DataFrame) -> DataFrame:
 
 def latent_speed(path: DataFrame, axes: list[str]) -> DataFrame:
     """Speed and turning angle along a path (train, idx, axes)."""
-    d = {a: F.col(a) - F.lag(a).over(IN_TRAIN) for a in axes}
+    d = {a: F.col(a) - F.lag(a).over(in_train()) for a in axes}
     x = path.withColumns({f"_{a}": c for a, c in d.items()})
     x = x.withColumn("speed", F.sqrt(sum((F.col(f"_{a}") * F.col(f"_{a}") for a in axes), F.lit(0.0))))
-    dot = sum((F.col(f"_{a}") * F.lag(f"_{a}").over(IN_TRAIN) for a in axes), F.lit(0.0))
-    size = F.col("speed") * F.lag("speed").over(IN_TRAIN)
+    dot = sum((F.col(f"_{a}") * F.lag(f"_{a}").over(in_train()) for a in axes), F.lit(0.0))
+    size = F.col("speed") * F.lag("speed").over(in_train())
     return x.withColumn("turn", F.when(size > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / size))))).drop(*[f"_{a}" for a in axes])
 
 

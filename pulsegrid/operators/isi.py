@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pulsegrid.functions.stats import array_mean, array_median, array_quantile, array_sd, cv, cv2_pair, lv_pair, lvr_pair, mm, q, sample_kurtosis, sample_skewness
 
-BY_TRAIN = Window.partitionBy("train")
-IN_TRAIN = BY_TRAIN.orderBy("idx")
+
+def by_train() -> WindowSpec:
+    return Window.partitionBy("train")
+
+
+def in_train() -> WindowSpec:
+    return by_train().orderBy("idx")
 
 
 def percentile_rank(rows: DataFrame) -> DataFrame:
@@ -21,7 +26,7 @@ def percentile_rank(rows: DataFrame) -> DataFrame:
 def valid_pairs(rows: DataFrame, refractory: float = 0.005) -> DataFrame:
     """Valid intervals with the valid one before (a) and the terms of LV, CV2 and LvR; an interval left out joins its neighbours."""
     a, b = F.col("a"), F.col("isi")
-    rows = rows.where("valid").withColumn("a", F.lag("isi").over(IN_TRAIN))
+    rows = rows.where("valid").withColumn("a", F.lag("isi").over(in_train()))
     return rows.withColumns({"lv": lv_pair(a, b), "cv2": cv2_pair(a, b), "lvr": lvr_pair(a, b, refractory)})
 
 
@@ -46,20 +51,20 @@ def moments(rows: DataFrame) -> DataFrame:
 def range_metrics(rows: DataFrame) -> DataFrame:
     """Where each valid interval stands in its train's range, in percent: linear, logarithmic, and logarithmic between the 1% and 99% quantiles."""
     x = F.col("isi")
-    w = lambda f: f.over(BY_TRAIN)
+    w = lambda f: f.over(by_train())
     some = rows.where("valid").withColumns({"_lo": w(F.min("isi")), "_hi": w(F.max("isi")), "_q01": w(q("isi", 0.01)), "_q99": w(q("isi", 0.99))})
     part = lambda v, a, b: F.when(b > a, F.least(F.greatest(100 * (v - a) / (b - a), F.lit(0.0)), F.lit(100.0)))
     return some.withColumns({"linear": part(x, F.col("_lo"), F.col("_hi")), "logarithmic": part(F.ln(x), F.ln("_lo"), F.ln("_hi")), "robust": part(F.ln(x), F.ln("_q01"), F.ln("_q99"))}).drop("_lo", "_hi", "_q01", "_q99")
 
 
 def _around(c: Column, before: int, after: int) -> Column:
-    return F.collect_list(c).over(IN_TRAIN.rowsBetween(-before, after))
+    return F.collect_list(c).over(in_train().rowsBetween(-before, after))
 
 
 def local_median(rows: DataFrame, half: int = 5) -> DataFrame:
     """Median of the valid intervals of up to `half` rows on each side, without the row itself."""
     x = F.when(F.col("valid"), F.col("isi"))
-    both = F.concat(F.collect_list(x).over(IN_TRAIN.rowsBetween(-half, -1)), F.collect_list(x).over(IN_TRAIN.rowsBetween(1, half)))
+    both = F.concat(F.collect_list(x).over(in_train().rowsBetween(-half, -1)), F.collect_list(x).over(in_train().rowsBetween(1, half)))
     return rows.withColumn("local_median", array_median(both))
 
 
@@ -71,7 +76,7 @@ def detector_median(rows: DataFrame, half: int = 11, left_out: Column | None = N
 
 def k_context(rows: DataFrame, k: int = 3) -> DataFrame:
     """Medians of the k nearest valid intervals before and after each valid one; invalid ones are passed over."""
-    before, after = (F.collect_list("isi").over(IN_TRAIN.rowsBetween(a, b)) for a, b in ((-k, -1), (1, k)))
+    before, after = (F.collect_list("isi").over(in_train().rowsBetween(a, b)) for a, b in ((-k, -1), (1, k)))
     return rows.where("valid").withColumns({"pre": array_median(before), "post": array_median(after)})
 
 
@@ -91,12 +96,12 @@ def histogram(rows: DataFrame, width: float = 0.005) -> DataFrame:
 
 def phase_portrait(rows: DataFrame) -> DataFrame:
     """(log10 interval, log10 of the next valid one)."""
-    return rows.where("valid").withColumns({"x": F.log10("isi"), "y": F.log10(F.lead("isi").over(IN_TRAIN))}).where("y is not null")
+    return rows.where("valid").withColumns({"x": F.log10("isi"), "y": F.log10(F.lead("isi").over(in_train()))}).where("y is not null")
 
 
 def winsorised(rows: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Valid intervals clipped to their train's quantiles, if it has four or more."""
-    w = lambda f: f.over(BY_TRAIN)
+    w = lambda f: f.over(by_train())
     x = F.col("isi")
     clipped = F.least(F.greatest(x, w(q("isi", low))), w(q("isi", high)))
     return rows.where("valid").withColumn("clipped", F.when(w(F.count("isi")) >= 4, clipped).otherwise(x))
@@ -107,8 +112,8 @@ def state_features(rows: DataFrame, lags: int = 3, half: int = 5) -> DataFrame:
     some = rows.where("valid")
     x, near = F.col("isi"), F.col("_near")
     some = some.withColumn("_near", _around(x, half, half))
-    before, after = (F.collect_list("isi").over(IN_TRAIN.rowsBetween(a, b)) for a, b in ((-half, -1), (1, half)))
-    lagged = {f"lag{k}": F.lag("isi", k).over(IN_TRAIN) for k in range(1, lags + 1)} | {f"lead{k}": F.lead("isi", k).over(IN_TRAIN) for k in range(1, lags + 1)}
+    before, after = (F.collect_list("isi").over(in_train().rowsBetween(a, b)) for a, b in ((-half, -1), (1, half)))
+    lagged = {f"lag{k}": F.lag("isi", k).over(in_train()) for k in range(1, lags + 1)} | {f"lead{k}": F.lead("isi", k).over(in_train()) for k in range(1, lags + 1)}
     local = {"local_mean": array_mean(near), "local_median": array_median(near), "local_sd": array_sd(near), "local_q10": array_quantile(near, 0.1), "local_q90": array_quantile(near, 0.9), "local_iqr": array_quantile(near, 0.75) - array_quantile(near, 0.25)}
     some = some.withColumns(lagged | local | {"_pre": array_mean(before), "_post": array_mean(after)})
     a = F.col("lag1")
@@ -117,7 +122,7 @@ def state_features(rows: DataFrame, lags: int = 3, half: int = 5) -> DataFrame:
 
 def stationarity(rows: DataFrame, bins: int = 8, warn: float = 3.0, high: float = 6.0, least: int = 30) -> DataFrame:
     """Per train: how far the median interval of equal time bins drifts. Bins are right-closed."""
-    some = rows.where("valid").withColumns({"_a": F.min("t").over(BY_TRAIN), "_b": F.max("t").over(BY_TRAIN), "_n": F.count("t").over(BY_TRAIN)})
+    some = rows.where("valid").withColumns({"_a": F.min("t").over(by_train()), "_b": F.max("t").over(by_train()), "_n": F.count("t").over(by_train())})
     at = F.least(F.greatest(F.ceil((F.col("t") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(1)), F.lit(bins))
     medians = some.where((F.col("_n") >= least) & (F.col("_b") > F.col("_a"))).groupBy("train", at.alias("bin")).agg(q("isi", 0.5).alias("m"))
     out = medians.groupBy("train").agg(F.count(F.lit(1)).alias("bins"), (F.max("m") / F.min("m")).alias("ratio"))

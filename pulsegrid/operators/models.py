@@ -12,13 +12,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pulsegrid.sources.shared import stored
 
 from .runs import recurrence_lines
 
-IN_TRAIN = Window.partitionBy("train").orderBy("idx")
+
+def in_train() -> WindowSpec:
+    return Window.partitionBy("train").orderBy("idx")
 
 
 def rule_states(rows: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
@@ -105,7 +107,7 @@ def semi_markov(rows: DataFrame, means: list[float], sd: float, stay: list[float
             t, s = t - d, p
         return pd.DataFrame({"train": pdf["train"], "idx": pdf["idx"], "state": out})
 
-    return rows.where("valid").select("train", "idx", "isi").groupBy("train").applyInPandas(decode, "train long, idx long, state long")
+    return rows.where("valid").select("train", "idx", "isi").groupBy("train").applyInPandas(decode, f"train {rows.schema['train'].dataType.simpleString()}, idx long, state long")
 
 
 def recurrence_points(points: DataFrame, value: str, radius: float) -> DataFrame:
@@ -128,7 +130,7 @@ def recurrence_measures(points: DataFrame, value: str, radius: float) -> DataFra
 
 def label_surrogates(states: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n permutations of each train's states: places stay, states go in the order of a seeded hash."""
-    place = states.select("train", "idx", F.row_number().over(IN_TRAIN).alias("_k")).withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    place = states.select("train", "idx", F.row_number().over(in_train()).alias("_k")).withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n))))
     s = states.select("train", "state", F.col("idx").alias("_o")).withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n))))
     k = F.row_number().over(Window.partitionBy("train", "surrogate").orderBy(F.xxhash64(F.lit(seed), "surrogate", "_o"), "_o"))
     return place.join(s.withColumn("_k", k).drop("_o"), ["train", "surrogate", "_k"]).drop("_k")

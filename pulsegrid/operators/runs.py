@@ -7,16 +7,18 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pulsegrid.functions.stats import array_quantile
 
-IN_TRAIN = Window.partitionBy("train").orderBy("idx")
+
+def in_train() -> WindowSpec:
+    return Window.partitionBy("train").orderBy("idx")
 
 
 def runs(rows: DataFrame, flag: Column, *aggs: Column, least: int = 1) -> DataFrame:
     """Maximal runs of rows where flag is true (null is false): train, start, end, n and aggs of their rows."""
-    some = rows.where(F.coalesce(flag, F.lit(False))).withColumn("_run", F.col("idx") - F.row_number().over(IN_TRAIN))
+    some = rows.where(F.coalesce(flag, F.lit(False))).withColumn("_run", F.col("idx") - F.row_number().over(in_train()))
     out = some.groupBy("train", "_run").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.count(F.lit(1)).alias("n"), *aggs).drop("_run")
     return out.where(F.col("n") >= least) if least > 1 else out
 
@@ -24,8 +26,8 @@ def runs(rows: DataFrame, flag: Column, *aggs: Column, least: int = 1) -> DataFr
 def segments(rows: DataFrame, label: Column, *aggs: Column) -> DataFrame:
     """Runs of equal labels: train, label, start, end, n and aggs."""
     some = rows.withColumn("label", label)
-    change = F.coalesce((F.col("label") != F.lag("label").over(IN_TRAIN)).cast("int"), F.lit(1))
-    some = some.withColumn("_run", F.sum(change).over(IN_TRAIN))
+    change = F.coalesce((F.col("label") != F.lag("label").over(in_train())).cast("int"), F.lit(1))
+    some = some.withColumn("_run", F.sum(change).over(in_train()))
     return some.groupBy("train", "_run", "label").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.count(F.lit(1)).alias("n"), *aggs).drop("_run")
 
 
@@ -51,9 +53,9 @@ def structure_scan(rows: DataFrame, widths: tuple[int, int] = (2, 8), q90_max: f
     """Every window of valid intervals of the given widths that is short and stands out from both flanks: start, end, q90, its percentile, and the ratios of
     the flanks to q90 (least and geometric mean)."""
     lo, hi = widths
-    ahead = F.collect_list(F.struct("isi", "valid")).over(IN_TRAIN.rowsBetween(0, hi - 1))
-    after = F.collect_list("isi").over(IN_TRAIN.rowsBetween(1, hi))
-    some = rows.withColumns({"_ahead": ahead, "_after": after, "_pre": F.lag("isi").over(IN_TRAIN)}).where("valid")
+    ahead = F.collect_list(F.struct("isi", "valid")).over(in_train().rowsBetween(0, hi - 1))
+    after = F.collect_list("isi").over(in_train().rowsBetween(1, hi))
+    some = rows.withColumns({"_ahead": ahead, "_after": after, "_pre": F.lag("isi").over(in_train())}).where("valid")
     some = some.withColumn("width", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).where(F.size("_ahead") >= F.col("width"))
     part = F.slice(F.col("_ahead"), F.lit(1), F.col("width"))
     some = some.where(F.forall(part, lambda x: x["valid"])).withColumn("q90", array_quantile(F.transform(part, lambda x: x["isi"]), 0.9))
@@ -75,7 +77,7 @@ def unions(ranges: DataFrame, adjacent: bool = True) -> DataFrame:
 def extensions(rows: DataFrame, seeds: DataFrame, bridge: float, most: int = 4) -> DataFrame:
     """Every extension of seeds (train, start, end) by up to `most` valid intervals <= bridge in a row on each side: train, start, end, s, e."""
     ok = (F.col("valid") & (F.col("isi") <= bridge)).cast("int")
-    near = rows.withColumn("_left", F.collect_list(ok).over(IN_TRAIN.rowsBetween(-most, -1))).withColumn("_right", F.collect_list(ok).over(IN_TRAIN.rowsBetween(1, most)))
+    near = rows.withColumn("_left", F.collect_list(ok).over(in_train().rowsBetween(-most, -1))).withColumn("_right", F.collect_list(ok).over(in_train().rowsBetween(1, most)))
     lead = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("n"), F.lit(1).alias("on")), lambda s, x: F.struct((s["n"] + s["on"] * x).alias("n"), (s["on"] * x).alias("on")), lambda s: s["n"])
     left = near.select("train", F.col("idx").alias("start"), lead(F.reverse("_left")).alias("_l"))
     right = near.select("train", F.col("idx").alias("end"), lead(F.col("_right")).alias("_r"))
@@ -97,14 +99,14 @@ def merged_blocks(blocks: DataFrame, may_join: Callable[[int, int, int, int], bo
                 out.append([a, b, 1])
         return pd.DataFrame([[pdf["train"].iloc[0], *x] for x in out], columns=["train", "start", "end", "parts"])
 
-    return blocks.groupBy("train").applyInPandas(fold, "train long, start long, end long, parts long")
+    return blocks.groupBy("train").applyInPandas(fold, f"train {blocks.schema['train'].dataType.simpleString()}, start long, end long, parts long")
 
 
 def support_runs(rows: DataFrame, support: Column, tolerated: float, hard_break: float, most: int = 3, least: int = 1) -> DataFrame:
     """Runs of supporting intervals, merged across at most `most` others in a row, all of them at most tolerated and shorter than hard_break. One scan: an interval
     belongs if it supports or stands in such a gap between two that do."""
-    back = IN_TRAIN.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = IN_TRAIN.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = in_train().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     some = rows.withColumn("_s", F.coalesce(support & F.col("valid"), F.lit(False)))
     blocks = (~F.col("_s")) & ~F.coalesce(F.col("valid") & (F.col("isi") <= tolerated) & (F.col("isi") < hard_break), F.lit(False))
     at = F.col("idx")

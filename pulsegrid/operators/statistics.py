@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from pulsegrid.functions.stats import array_pair_mean, clamp, cv, lv_pair, mm, q, wilson
 
 from .joins import range_join
 
-BY_TRAIN = Window.partitionBy("train")
-IN_TRAIN = BY_TRAIN.orderBy("idx")
+
+def by_train() -> WindowSpec:
+    return Window.partitionBy("train")
+
+
+def in_train() -> WindowSpec:
+    return by_train().orderBy("idx")
 
 
 def ecdf_mass(rows: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -24,7 +29,7 @@ def ks_distance(rows: DataFrame, value: str, side: Column) -> DataFrame:
     """Per train: the largest gap between the distribution functions of the values where side is true and where it's false. Equal values are one step."""
     steps = rows.withColumn("_side", side).groupBy("train", value).agg(F.count_if("_side").alias("_a"), F.count_if(~F.col("_side")).alias("_b"))
     up = Window.partitionBy("train").orderBy(value)
-    steps = steps.withColumns({"_fa": F.sum("_a").over(up), "_fb": F.sum("_b").over(up), "_na": F.sum("_a").over(BY_TRAIN), "_nb": F.sum("_b").over(BY_TRAIN)})
+    steps = steps.withColumns({"_fa": F.sum("_a").over(up), "_fb": F.sum("_b").over(up), "_na": F.sum("_a").over(by_train()), "_nb": F.sum("_b").over(by_train())})
     gap = F.abs(F.col("_fa") / F.col("_na") - F.col("_fb") / F.col("_nb"))
     return steps.where("_na > 0 and _nb > 0").groupBy("train").agg(F.max(gap).alias("ks"))
 
@@ -107,7 +112,7 @@ def agreement(table: DataFrame) -> DataFrame:
 
 def scaled(rows: DataFrame, columns: list[str], robust: bool = True) -> DataFrame:
     """Columns with nulls set to the train's median, then centred and scaled: median and MAD (deviation where the MAD is 0), or mean and deviation."""
-    w = lambda f: f.over(BY_TRAIN)
+    w = lambda f: f.over(by_train())
     for c in columns:
         rows = rows.withColumn(c, F.coalesce(F.col(c), w(q(c, 0.5))))
         rows = rows.withColumn("_c", w(q(c, 0.5)) if robust else w(F.avg(c)))

@@ -84,7 +84,7 @@ def log_threshold(rows: DataFrame, width: float = 0.1, share: float = 0.12, void
         for pdf in batches:
             yield find(pdf)
 
-    return bins.mapInPandas(each, "train long, peaks long, threshold double, void double")
+    return bins.mapInPandas(each, f"train {bins.schema['train'].dataType.simpleString()}, peaks long, threshold double, void double")
 
 
 def core_bursts(rows: DataFrame, thresholds: DataFrame, least: int = 5, fallback: float = 0.1) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from pulsegrid.operators import dynamics as dy
 from pulsegrid.operators import joins, runs
-from pulsegrid.operators.isi import IN_TRAIN
+from pulsegrid.operators.isi import in_train
 from pulsegrid.sources.events import labelled, task_events, trains
 
 from .join_queries import SEC
@@ -94,7 +94,7 @@ SELECT train, bin, label, overlap, round(share, 9) AS share, first_value(label)
 def fractional_occupancy(spark, d):
     rows = trains(spark, d)
     st = states(spark, d).select("train", "idx", F.col("state").alias("label"))
-    i = rows.withColumn("a", F.lag("us").over(IN_TRAIN)).where("us > a").join(st, ["train", "idx"]).select("train", "label", "a", F.col("us").alias("b"))
+    i = rows.withColumn("a", F.lag("us").over(in_train())).where("us > a").join(st, ["train", "idx"]).select("train", "label", "a", F.col("us").alias("b"))
     x = joins.bin_overlap(i, "a", "b", SEC // 5)
     return rounded(dy.occupancy(x, ["burst", "possible_burst", "tonic", "pause", "none"]))
 
@@ -120,7 +120,7 @@ def pair_correlation(spark, d):
 
 @query("SELECT train, idx, round(sum(isi) OVER (PARTITION BY train ORDER BY idx), 9) AS elapsed, count(valid OR NULL) OVER (PARTITION BY train ORDER BY idx) AS n_valid FROM s")
 def cumulative_sums(spark, d):
-    w = IN_TRAIN.rowsBetween(Window.unboundedPreceding, 0)
+    w = in_train().rowsBetween(Window.unboundedPreceding, 0)
     return rounded(trains(spark, d).select("train", "idx", F.sum("isi").over(w).alias("elapsed"), F.count_if("valid").over(w).alias("n_valid")))
 
 

@@ -94,19 +94,19 @@ def as_of_join(spark, d):
 x AS (SELECT *, unnest(range(a // 100000000000, (b - 1) // 100000000000 + 1)) AS bin FROM i)
 SELECT train, bin, count(*) AS n, sum(least(b, (bin + 1) * 100000000000) - greatest(a, bin * 100000000000))::BIGINT AS overlap_us FROM x GROUP BY ALL""")
 def interval_bin_overlap(spark, d):
-    from pulsegrid.operators.isi import IN_TRAIN
+    from pulsegrid.operators.isi import in_train
 
     rows = trains(spark, d)
-    i = rows.select("train", F.lag("us").over(IN_TRAIN).alias("a"), F.col("us").alias("b")).where("b > a")
+    i = rows.select("train", F.lag("us").over(in_train()).alias("a"), F.col("us").alias("b")).where("b > a")
     return joins.bin_overlap(i, "a", "b", SEC // 10).groupBy("train", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlap_us"))
 
 
 @query(""", x AS (SELECT train, us, min(us) OVER w AS a, max(us) OVER w AS b FROM s WINDOW w AS (PARTITION BY train))
 SELECT train, least((us - a) // 200000000000, (b - a - 1) // 200000000000) + 1 AS bin, count(*) AS n FROM x GROUP BY ALL""")
 def bin_lookup(spark, d):
-    from pulsegrid.operators.isi import BY_TRAIN
+    from pulsegrid.operators.isi import by_train
 
-    rows = trains(spark, d).withColumns({"a": F.min("us").over(BY_TRAIN), "b": F.max("us").over(BY_TRAIN)})
+    rows = trains(spark, d).withColumns({"a": F.min("us").over(by_train()), "b": F.max("us").over(by_train())})
     w = SEC // 5
     at = F.least(F.floor((F.col("us") - F.col("a")) / w), F.floor((F.col("b") - F.col("a") - 1) / w)) + 1
     return rows.groupBy("train", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

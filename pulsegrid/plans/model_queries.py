@@ -41,7 +41,7 @@ n AS (SELECT train, count(*) AS n FROM p GROUP BY train), t AS (SELECT train, co
 SELECT n.train, n.n, round(points / (n.n * (n.n - 1)), 9) AS recurrence, round(coalesce((SELECT sum(n) FROM dl WHERE dl.train = n.train), 0) / points, 9) AS determinism,
  round(coalesce((SELECT sum(n) FROM vl WHERE vl.train = n.train), 0) / points, 9) AS laminarity, round((SELECT avg(n) FROM vl WHERE vl.train = n.train), 9) AS trapping FROM n JOIN t USING (train)""")
 def recurrence_measures(spark, d):
-    x = trains(spark, d).where("valid").select("train", F.row_number().over(isi.IN_TRAIN).alias("i"), F.log10("isi").alias("x"))
+    x = trains(spark, d).where("valid").select("train", F.row_number().over(isi.in_train()).alias("i"), F.log10("isi").alias("x"))
     return rounded(mo.recurrence_measures(x, "x", 0.1))
 
 

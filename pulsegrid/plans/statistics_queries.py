@@ -176,9 +176,9 @@ def even_subsample(spark, d):
 
 @query("SELECT train, list(kind ORDER BY idx)[1:5]::VARCHAR[] AS preview FROM s GROUP BY train")
 def preview(spark, d):
-    from pulsegrid.operators.isi import IN_TRAIN
+    from pulsegrid.operators.isi import in_train
 
-    x = trains(spark, d).withColumn("p", F.collect_list("kind").over(IN_TRAIN.rowsBetween(0, 4))).where("idx = 1")
+    x = trains(spark, d).withColumn("p", F.collect_list("kind").over(in_train().rowsBetween(0, 4))).where("idx = 1")
     return x.select("train", F.col("p").alias("preview"))
 
 

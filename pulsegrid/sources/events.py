@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 #: Microseconds at which trains begin to count, and microseconds in a second of train time (a scale of one to a million).
 EPOCH_US, SCALE = 1_704_067_200_000_000, 1e12
@@ -23,7 +23,7 @@ def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("t", F.col("us") / F.lit(SCALE))
 
 
-def in_order() -> Window:
+def in_order() -> WindowSpec:
     return Window.partitionBy("train").orderBy("us", "event_id")
 
 
