@@ -19,14 +19,14 @@ SPAN = 4096
 def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """(length,) of each whole text in tokens; 0 for null and empty ones."""
     path = path or tokenizer_path()
-    arrow_batches(docs.sparkSession, 256)
+    arrow_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode(b.column(0).to_pylist())], pa.int64())], ["length"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode(b.column(0))], pa.int64())], ["length"])
 
-    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "length long")
+    return docs.select(text_col).mapInArrow(run, "length long")
 
 
 def histogram(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:

@@ -7,7 +7,6 @@ stream of ids; SeekableTokens reads the tables at its end and then only the fram
 
 from __future__ import annotations
 
-import re
 import struct
 import sys
 import types
@@ -17,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -41,17 +41,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Where a text may be cut besides white space: before marks that end a word. They are tokens of their own after a letter or digit.
-MARKS = re.compile(rb"[.,;:!?*#$%&|](?<=[a-z0-9].)[.,;:!?*#$%&|]*(?=[\x20\x09-\x0D]|\Z)")
+#: Where a text may be cut besides white space: between a letter or digit and the marks that end its word, which are tokens of their own.
+MARKS = r"([a-z0-9])([.,;:!?*#$%&|]+)(\s)"
 #: A special token of the vocabulary.
 BETWEEN = "<|startoftext|>"
 
 
 class Encoder:
-    """Ids of whole texts (UTF-8), as little-endian 32-bit integers.
+    """Ids of whole texts, as little-endian 32-bit integers.
 
-    This vocabulary's tokenizer lower-cases, and splits at white space and between letters and marks before it merges, so words are encoded one by one, each
-    different one once while it is remembered: words seen lately, at most twice `keep`.
+    This vocabulary's tokenizer lower-cases, and splits at white space and between letters and marks before it merges; so a batch's words are encoded one by one, each different one once while it is remembered:
+    words seen lately, at most twice `keep`. Arrow splits the texts and numbers the different words; numpy puts their ids together.
     """
 
     def __init__(self, path: str, keep: int = 300_000):
@@ -60,26 +60,42 @@ class Encoder:
         self.tokenizer, self.keep, self.recent, self.older = Tokenizer.from_file(path), keep, {}, {}
         self.between = self.tokenizer.token_to_id(BETWEEN)
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [MARKS.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]  # of bytes: ASCII letters and white space only
-        lacking = set().union(*words).difference(self.recent)
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """One string of ids for each text; null texts have none."""
+        plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), MARKS, r"\1 \2\3")
+        words = pc.ascii_split_whitespace(plain)  # as lower(): ASCII only
+        named = words.values.dictionary_encode()
+        ids = self.words(named.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, named.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cut = (4 * ends[words.offsets.to_numpy()]).tolist()
+        return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        found = list(map(self.recent.get, words))
+        lacking = [w for w, x in zip(words, found, strict=True) if x is None]
         if lacking:
-            if len(self.recent) > self.keep:
-                self.older, self.recent, lacking = self.recent, {}, set().union(*words)
-            self.recent.update((w, self.older[w]) for w in lacking if w in self.older)
-            new = [w for w in lacking if w not in self.older]
+            add = {w: x for w in lacking if (x := self.older.get(w)) is not None}
+            new = [w for w in lacking if w not in add]
             for i in range(0, len(new), 1000):
-                self.recent.update(self._encode(new[i : i + 1000]))
-        return [b"".join(map(self.recent.__getitem__, ws)) for ws in words]
+                add.update(self._encode(new[i : i + 1000]))
+            found = [add[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            self.recent.update(add)
+            if len(self.recent) > self.keep:
+                self.older, self.recent = self.recent, {}
+        return found
 
-    def _encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def _encode(self, words: list[str]) -> list[tuple[str, bytes]]:
         """All words as one text, with a special token between any two; words that could hold one themselves go alone."""
-        alone = [w for w in words if b"<|" in w]
-        out = [(w, np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()) for w in alone]
+        alone = [w for w in words if "<|" in w]
+        out = [(w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in alone]
         if len(alone) < len(words):
-            words = [w for w in words if b"<|" not in w]
-            text = BETWEEN.join([w.decode() for w in words])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            words = [w for w in words if "<|" not in w]
+            ids = np.array(self.tokenizer.encode_batch_fast([BETWEEN.join(words)], add_special_tokens=False)[0].ids, "<u4")
             cut, raw = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
             out += zip(words, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)], strict=True)], strict=True)
         return out
@@ -163,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     at 128 MB, and a task never holds more than a batch of texts.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
-    arrow_batches(spark, 256)
+    arrow_batches(spark, 2048)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -177,7 +193,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             done.append((part, len(done), f"{folder}/{part:06d}-{len(done):04d}.zst", len(out.ids), out.tokens))
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if out is None:
                     fs.create_dir(root)
                     out = _File(fs, root, f"{part:06d}-{len(done):04d}.zst")
@@ -191,7 +207,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["part", "seq", "uri", "docs", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id").sortWithinPartitions("_id", "_text")
     return stored(rows.mapInArrow(write, "part long, seq long, uri string, docs long, tokens long"), "manifest")
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -145,8 +146,9 @@ def test_token_files(spark, tmp_path):
         bad.ids(len(bad) - 1)
     assert token_files.encoded(docs.limit(0)).count() == 0
     small = token_files.Encoder(path, keep=3)
-    raw = [None if t is None else t.encode() for t in values]
-    assert small(raw) == token_files.Encoder(path)(raw)
+    raw = pa.array(values, pa.string())
+    assert small(raw) == small(raw) == token_files.Encoder(path)(raw)
+    assert token_files.Encoder(path)(pa.array([], pa.string())) == []
 
 
 def test_token_counts(spark):
