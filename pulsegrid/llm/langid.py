@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out, table, without_clashes
+from .common import arrow_batches, held_out, small, stored, table, without_clashes
 
 #: Features: hashed letter bigrams and trigrams. CHUNK: code points that are looked at at once.
 DIMS, CHUNK = 1 << 13, 1 << 18
 #: Documents that the classifiers are fitted on, for each language: all if it has fewer, else about so many, chosen by a hash of the id.
 TRAIN_DOCS = 800
+#: Documents of all languages together that they are fitted on at most (on average); many languages share them.
+TRAIN_TOTAL = 4_000
 UNDETERMINED = "und"
 #: Below this lead of the best codeword's loss over the second's, as a share of their sum, a prediction is flagged as ambiguous.
 MARGIN = 0.05
@@ -46,7 +48,7 @@ def counts(text: str | None) -> np.ndarray | None:
         if len(x) > 1:
             two = (x[1:] * np.uint32(2654435761)) ^ (x[:-1] * np.uint32(2246822519))
             three = (two[1:] * np.uint32(3266489917)) ^ (x[:-2] * np.uint32(668265263))
-            for h in (two, three):
+            for h in (two[len(tail) - 1 :], three):  # the pair that the last chunk ends with has been counted
                 total += np.bincount((h ^ (h >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(19), minlength=DIMS)
         seen, tail = seen or bool(x.any()), x[-2:]
     return total if seen else None
@@ -77,16 +79,15 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
 
 
 def fit_bits(x: np.ndarray, y: np.ndarray, code: np.ndarray, steps: int = 300, decay: float = 1e-5) -> np.ndarray:
-    """A logistic classifier (weights and a bias) for each bit, by accelerated gradient steps. Languages weigh alike."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """A logistic classifier (weights and, for the last column of x, which is 1, a bias) for each bit, by accelerated gradient steps. Languages weigh alike."""
     share = 1 / np.maximum(np.bincount(y, minlength=len(code)), 1)
     s = (share[y] / share[y].sum()).astype(np.float32)[:, None]
     want = code[y].astype(np.float32)
-    w = np.zeros((x1.shape[1], code.shape[1]), np.float32)
+    w = np.zeros((x.shape[1], code.shape[1]), np.float32)
     look, rate = w, 2.0
     for k in range(steps):
-        p = 1 / (1 + np.exp(np.clip(want * (x1 @ look), -30, 30)))
-        new = look + rate * (x1.T @ (s * want * p) - decay * look)
+        p = 1 / (1 + np.exp(np.clip(want * (x @ look), -30, 30)))
+        new = look + rate * (x.T @ (s * want * p) - decay * look)
         look, w = new + k / (k + 3) * (new - w), new
     return w
 
@@ -103,11 +104,12 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(train: DataFrame, per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray] | None:
-    """(languages, code, weights) from train (doc_id, text, lang); None without labelled text. The sample holds per_lang documents a language on average,
+    """(languages, code, weights) from train (doc_id, text, lang); None without labelled text. The sample holds per_lang documents a language on average (fewer if TRAIN_TOTAL is shared by many),
     and only their feature vectors (at most DIMS numbers each) reach the driver."""
     arrow_batches(train.sparkSession, 256)
     train = train.where(F.col("lang").isNotNull())
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    per_lang = min(per_lang, TRAIN_TOTAL / max(1, sizes.count()))
     chance = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < 1_000_000.0 * per_lang / F.col("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,18 +119,17 @@ def fit(train: DataFrame, per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.nda
             at = [np.flatnonzero(x) for _, x in got]
             yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in got], pa.string()), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([x[a].astype("<f2").tobytes() for (_, x), a in zip(got, at, strict=True)], pa.binary())], ["lang", "at", "x"])
 
-    # a row for each language
-    rows = train.join(F.broadcast(sizes), "lang").where(chance).select("lang", "text").mapInArrow(run, "lang string, at binary, x binary").toArrow()
-    langs = rows.column("lang").to_pylist()
-    known = sorted(set(langs))
+    rows = train.join(small(sizes), "lang").where(chance).select("lang", "text").mapInArrow(run, "lang string, at binary, x binary").toArrow()
+    got = sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "at", "x")), strict=True))  # the same whatever order the rows came in
+    known = sorted({lang for lang, _, _ in got})
     if not known:
         return None
-    x = np.zeros((len(langs), DIMS), np.float32)
-    for i, (a, v) in enumerate(zip(rows.column("at"), rows.column("x"), strict=True)):
-        x[i, np.frombuffer(a.as_py(), "<u2")] = np.frombuffer(v.as_py(), "<f2")
+    x = np.zeros((len(got), DIMS + 1), np.float32)
+    x[:, DIMS] = 1
+    for i, (_, at, v) in enumerate(got):
+        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f2")
     code = codewords(len(known))
-    order = np.lexsort((x.sum(1), np.array([known.index(v) for v in langs])))  # the same whatever order the rows came in
-    return known, code, fit_bits(x[order], np.array([known.index(v) for v in langs])[order], code)
+    return known, code, fit_bits(x, np.array([known.index(lang) for lang, _, _ in got]), code)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
