@@ -48,7 +48,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "
 def window_terms(windows: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
     """(window, off, len, term_id, rarity): the words of each window, numbered from its rarest in the index (1), and the postings of each as freq."""
     freq = index.where(F.col("term_id") != END).groupBy("term_id").agg(F.count(F.lit(1)).alias("freq"))
-    each = windows.select("window", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term")).join(terms, "term").join(freq, "term_id")
+    each = windows.select("window", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term")).join(small(terms), "term").join(small(stored(freq, "frequencies")), "term_id")
     rarity = F.row_number().over(Window.partitionBy("window").orderBy("freq", "off"))
     return stored(each.withColumn("rarity", rarity).select("window", "off", "len", "term_id", "rarity", "freq"), "window-terms")
 
