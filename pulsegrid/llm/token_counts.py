@@ -13,7 +13,7 @@ from .common import arrow_batches, stored, table
 from .token_files import tokenizer_path, worker_encoder
 
 #: Lengths that one window partition holds at most.
-SPAN = 4096
+SPAN = 256
 
 
 def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -33,13 +33,13 @@ def histogram(docs: DataFrame, path: str | None = None, text_col: str = "text")
     """For each encoded length that occurs: length, docs, tokens (all of those documents), docs_at_least and tokens_at_least (of documents that long or longer),
     truncated_tokens (of all documents, each cut to length tokens), total_tokens and quantile (the share of documents that length or shorter).
 
-    Documents are summed by length before anything is shuffled; suffix sums run over spans of 4,096 lengths and over the spans' own sums, so neither grows
+    Documents are summed by length before anything is shuffled; suffix sums run over spans of 256 lengths and over the spans' own sums, so neither grows
     with the documents. Null and empty texts have length 0; repeated rows count each. An empty table gives an empty result; other columns aren't read.
     """
     counts = lengths(docs, path, text_col).groupBy("length").agg(F.count(F.lit(1)).alias("docs"))
     counts = stored(counts.withColumns({"tokens": F.col("length") * F.col("docs"), "_span": F.floor(F.col("length") / SPAN)}), "lengths")
     spans = counts.groupBy("_span").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
-    after = Window.orderBy(F.desc("_span"))  # a row for each 4,096 lengths
+    after = Window.orderBy(F.desc("_span"))  # a row for each span of lengths
     everything = Window.partitionBy()
     spans = spans.select("_span", (F.sum("_d").over(after) - F.col("_d")).alias("_d_after"), (F.sum("_t").over(after) - F.col("_t")).alias("_t_after"), F.sum("_d").over(everything).alias("_all"), F.sum("_t").over(everything).alias("total_tokens"))
     within = Window.partitionBy("_span").orderBy(F.desc("length"))
