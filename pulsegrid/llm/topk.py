@@ -101,7 +101,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     each query prunes by length or coordinates and has the rest multiplied out in integers.
 
     Vectors that are null or hold null or non-finite components, and null ids, take no part. Vectors of different dimension aren't compared.
-    Repeated rows are candidates each; all rows with a query's own id are its own. A table with fewer than k + 1 rows gives fewer; an empty one none. Further
+    Repeated rows are candidates each; all rows with a query's own id are its own, and the first of them (by dimension and components) asks. A table with fewer than k + 1 rows gives fewer; an empty one none. Further
     columns aren't read.
     """
     spark = vectors.sparkSession
@@ -113,8 +113,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     each = rows.join(F.broadcast(first), "dim").withColumn("block", F.floor((F.col("at") - F.col("first")) / per_block))  # first: a row for each dimension
     cells = each.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "length", "v"))).alias("x"))
     blocks = stored(cells.select("dim", "block", F.col("x.vec_id").alias("c_ids"), F.col("x.length").alias("c_lengths"), F.flatten("x.v").alias("c_v"), F.col("x.length")[0].alias("longest")), "blocks")
-    asked = ranked(rows.join(q_flag, "vec_id", "left_semi"), F.col("dim"), F.desc("length"), F.col("vec_id"), name="q_at")
-    asked = stored(asked.withColumn("q_block", F.floor(F.col("q_at") / QUERY_ROWS)).drop("at", "q_at"), "queries")
+    asked = rows.join(q_flag, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("dim", "v", "length")).alias("q")).select("vec_id", "q.*")
+    asked = ranked(asked, F.col("dim"), F.desc("length"), F.col("vec_id"), name="q_at")
+    asked = stored(asked.withColumn("q_block", F.floor(F.col("q_at") / QUERY_ROWS)).drop("q_at"), "queries")
 
     def met(queries: DataFrame, blocks: DataFrame, cut: Column) -> DataFrame:
         q = queries.groupBy("dim", "q_block").agg(F.collect_list(F.struct("vec_id", "length", "v", "theta")).alias("y"), F.min(F.when(F.col("length") > 0, F.col("theta") / F.col("length")).otherwise(float("-inf"))).alias("least"))
