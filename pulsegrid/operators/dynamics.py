@@ -99,10 +99,10 @@ def onsets(states: DataFrame, into: list[str]) -> DataFrame:
     return states.withColumn("_b", F.lag("state").over(in_train())).where(F.col("state").isin(into) & ((F.col("_b") != F.col("state")) | F.col("_b").isNull())).drop("_b")
 
 
-def pair_correlation(counts: DataFrame) -> DataFrame:
-    """Pearson correlation of the counts (train, bin, n) of each two trains over the bins that both have."""
+def pair_correlation(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pearson correlation of the counts (train, bin, n) of pairs of trains (a, b) over the bins that both have."""
     a, b = counts.select(F.col("train").alias("a"), "bin", F.col("n").alias("x")), counts.select(F.col("train").alias("b"), "bin", F.col("n").alias("y"))
-    return a.join(b, "bin").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bins"), F.corr("x", "y").alias("r"))
+    return pairs.join(a, "a").join(b, ["b", "bin"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("bins"), F.corr("x", "y").alias("r"))
 
 
 def latent_speed(path: DataFrame, axes: list[str]) -> DataFrame:

@@ -110,11 +110,14 @@ def state_onsets(spark, d):
     return dy.onsets(states(spark, d), ["burst", "pause"]).select("train", "idx", "state")
 
 
-@query(""", c AS (SELECT train, us // 200000000000 AS bin, count(*) AS n FROM s WHERE train < 20 GROUP BY ALL)
-SELECT a.train AS a, b.train AS b, count(*) AS bins, round(corr(a.n, b.n), 6) AS r FROM c a JOIN c b USING (bin) WHERE a.train < b.train GROUP BY ALL HAVING count(*) >= 5 AND stddev_pop(a.n) > 0 AND stddev_pop(b.n) > 0""")
+@query(""", c AS (SELECT train, us // 200000000000 AS bin, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT train AS a, lead(train) OVER (ORDER BY train) AS b FROM (SELECT DISTINCT train FROM s))
+SELECT a, b, count(*) AS bins, round(corr(x.n, y.n), 6) AS r FROM t JOIN c x ON x.train = a JOIN c y ON y.train = b AND x.bin = y.bin GROUP BY ALL HAVING count(*) >= 5 AND stddev_pop(x.n) > 0 AND stddev_pop(y.n) > 0""")
 def pair_correlation(spark, d):
-    c = trains(spark, d).where("train < 20").groupBy("train", F.floor(F.col("us") / (SEC // 5)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    x = dy.pair_correlation(c).where("bins >= 5 and r is not null and not isnan(r)")
+    from .join_queries import neighbours
+
+    rows = trains(spark, d)
+    c = rows.groupBy("train", F.floor(F.col("us") / (SEC // 5)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    x = dy.pair_correlation(c, neighbours(rows)).where("bins >= 5 and r is not null and not isnan(r)")
     return rounded(x, 6)
 
 

@@ -60,10 +60,10 @@ def split_at_suspects(spark, d):
     return ev.split_at_suspects(*band_events(spark, d))
 
 
-@query("SELECT train, idx, 'possible_burst' AS before, 'burst' AS after FROM s WHERE auto = 'possible_burst' AND train % 2 = 0")
+@query("SELECT train, idx, 'possible_burst' AS before, 'burst' AS after FROM s WHERE auto = 'possible_burst'")
 def promotion_audit(spark, d):
     rows, events = band_events(spark, d)
-    return ev.promoted(rows, events.where("label = 'possible_burst' and train % 2 = 0"))[1]
+    return ev.promoted(rows, events.where("label = 'possible_burst'"))[1]
 
 
 @query(f"""{EVENTNESS}, w AS (SELECT z.train, z.label, z.start, pre, post, (SELECT avg(v) FROM (SELECT unnest(vs) AS v)) AS intra, list_sum(vs) AS duration, lead(b.t) OVER (PARTITION BY z.train, z.label ORDER BY z.start) - x.t AS gap
@@ -151,10 +151,14 @@ def trial_tensor(spark, d):
     return x.withColumn("scaled", r(F.sqrt(F.col("n") + 0.375)))
 
 
-@query(""", c AS (SELECT us // 500000000000 AS bin, train, count(*) AS n FROM s WHERE train < 5 GROUP BY ALL) SELECT bin, """ + ", ".join(f"coalesce(max(n) FILTER (train = {i}), 0) AS t{i}" for i in range(5)) + " FROM c GROUP BY bin")
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(""", c AS (SELECT us // 500000000000 AS bin, kind, count(*) AS n FROM s GROUP BY ALL) SELECT bin, """ + ", ".join(f"coalesce(max(n) FILTER (kind = '{k}'), 0) AS {k}" for k in KINDS) + " FROM c GROUP BY bin")
 def population_matrix(spark, d):
-    c = trains(spark, d).where("train < 5").groupBy(F.floor(F.col("us") / (5 * 10**11)).alias("bin")).pivot("train", list(range(5))).agg(F.count(F.lit(1)))
-    return c.select("bin", *[F.coalesce(str(i), F.lit(0)).alias(f"t{i}") for i in range(5)])
+    """Bins by kind of spike: a matrix of counts."""
+    c = trains(spark, d).groupBy(F.floor(F.col("us") / (5 * 10**11)).alias("bin")).pivot("kind", KINDS).agg(F.count(F.lit(1)))
+    return c.select("bin", *[F.coalesce(k, F.lit(0)).alias(k) for k in KINDS])
 
 
 @query(""", st AS (SELECT train, idx, CASE WHEN auto = '' THEN 'none' ELSE auto END AS state FROM s), g AS (SELECT *, sum(CASE WHEN b = state THEN 0 ELSE 1 END) OVER (PARTITION BY train ORDER BY idx) AS run FROM (SELECT *, lag(state) OVER (PARTITION BY train ORDER BY idx) AS b FROM st)),

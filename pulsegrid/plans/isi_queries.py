@@ -27,6 +27,13 @@ def intervals(spark, d):
     return rounded(trains(spark, d).select("train", "event_id", "idx", "t", "isi", "valid", "artifact", "suspect"), 12)
 
 
+@query("SELECT train, event_id, idx, round(t, 12) AS t, round(isi, 12) AS isi, valid, artifact, suspect FROM s")
+def intervals_in_ranges(spark, d):
+    from pulsegrid.sources import events
+
+    return rounded(events.intervals_in_ranges(events.spikes(spark, d)).select("train", "event_id", "idx", "t", "isi", "valid", "artifact", "suspect"), 12)
+
+
 @query("SELECT train, idx, CASE WHEN valid THEN round(100 * cume_dist() OVER (PARTITION BY train, valid ORDER BY isi), 9) END AS pct FROM s")
 def isi_percentile(spark, d):
     return rounded(isi.percentile_rank(trains(spark, d)).select("train", "idx", "pct"))

@@ -112,14 +112,20 @@ def bin_lookup(spark, d):
     return rows.groupBy("train", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(""", c AS (SELECT train, us // 50000000000 AS bin, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT DISTINCT train FROM s WHERE train <= 12)
-SELECT x.train AS a, y.train AS b, count(*) AS bins, sum(x.n * y.n)::BIGINT AS product FROM c x JOIN c y ON x.bin = y.bin - 1 JOIN t ta ON ta.train = x.train JOIN t tb ON tb.train = y.train WHERE x.train < y.train GROUP BY ALL""")
+@query(""", c AS (SELECT train, us // 50000000000 AS bin, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT train AS a, lead(train) OVER (ORDER BY train) AS b FROM (SELECT DISTINCT train FROM s))
+SELECT a, b, count(*) AS bins, sum(x.n * y.n)::BIGINT AS product FROM t JOIN c x ON x.train = a JOIN c y ON y.train = b AND x.bin = y.bin - 1 GROUP BY ALL""")
 def lag_join(spark, d):
     rows = trains(spark, d)
     counts = rows.groupBy("train", F.floor(F.col("us") / (SEC // 20)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    names = rows.select("train").distinct().where("train <= 12")  # the pairs asked for
-    pairs = names.select(F.col("train").alias("a")).join(names.select(F.col("train").alias("b")), F.expr("a < b"))
-    return joins.lag_join(counts, pairs, 1).groupBy("a", "b").agg(F.count(F.lit(1)).alias("bins"), F.sum(F.col("n_a") * F.col("n_b")).alias("product"))
+    return joins.lag_join(counts, neighbours(rows), 1).groupBy("a", "b").agg(F.count(F.lit(1)).alias("bins"), F.sum(F.col("n_a") * F.col("n_b")).alias("product"))
+
+
+def neighbours(rows):
+    """Each train with the next one: as many pairs as trains."""
+    from pyspark.sql.window import Window
+
+    names = rows.select(F.col("train").alias("a")).distinct()  # a row for each train
+    return names.withColumn("b", F.lead("a").over(Window.orderBy("a"))).where("b is not null")
 
 
 @query(""", e AS (SELECT train, event_id AS trial, us AS event_us FROM s WHERE kind = 'error'),

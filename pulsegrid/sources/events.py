@@ -33,9 +33,13 @@ def intervals(spikes: DataFrame, min_isi: float = MIN_ISI, refractory: float = R
     valid has no tolerance (isi >= min_isi); artifact has one (isi < min_isi - tolerance); suspect is an interval from min_isi to
     the refractory period, both less the tolerance.
     """
-    tolerance = max(1e-12, abs(min_isi) * 1e-6)
     rows = spikes.withColumn("idx", F.row_number().over(in_order()))
     rows = rows.withColumn("isi", (F.col("us") - F.lag("us").over(in_order())) / F.lit(SCALE))
+    return _flagged(rows, min_isi, refractory)
+
+
+def _flagged(rows: DataFrame, min_isi: float, refractory: float) -> DataFrame:
+    tolerance = max(1e-12, abs(min_isi) * 1e-6)
     flag = lambda c: F.coalesce(c, F.lit(False))
     return rows.withColumns({
         "valid": flag(F.col("isi") >= min_isi),
@@ -44,6 +48,22 @@ def intervals(spikes: DataFrame, min_isi: float = MIN_ISI, refractory: float = R
     })
 
 
+def intervals_in_ranges(spikes: DataFrame, min_isi: float = MIN_ISI, refractory: float = REFRACTORY) -> DataFrame:
+    """What intervals() gives, for tables in which one train may hold a large share of all spikes: such a train is dealt out over ranges of its times. Each range
+    is numbered by itself; what came before it (a count and a last time for each range and train) is added by a join."""
+    from .shared import stored
+
+    n = int(spikes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = stored(spikes.repartitionByRange(n, "train", "us", "event_id").withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_part", "train").orderBy("us", "event_id")
+    earlier = Window.partitionBy("train").orderBy("_part")
+    edges = parts.groupBy("_part", "train").agg(F.count(F.lit(1)).alias("_n"), F.max("us").alias("_last"))
+    edges = edges.select("_part", "train", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"), F.lag("_last").over(earlier).alias("_last"))
+    x = parts.withColumns({"_k": F.row_number().over(inside), "_b": F.lag("us").over(inside)}).join(edges, ["_part", "train"])
+    x = x.withColumns({"idx": (F.col("_before") + F.col("_k")).cast("int"), "isi": (F.col("us") - F.coalesce("_b", "_last")) / F.lit(SCALE)})
+    return _flagged(x.drop("_part", "_k", "_b", "_before", "_last"), min_isi, refractory)
+
+
 def trains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(spikes(spark, sf_dir))
 
