@@ -42,7 +42,9 @@ def tokenizer_path() -> str:
 
 
 #: Where a text may be cut besides white space: between a letter or digit and the marks that end its word, which are tokens of their own.
-MARKS = r"([a-z0-9])([.,;:!?*#$%&|]+)(\s)"
+MARKS = r"([A-Za-z0-9])([.,;:!?*#$%&|]+)(\s)"
+#: Longer words aren't remembered.
+LONG_WORD = 64
 #: A special token of the vocabulary.
 BETWEEN = "<|startoftext|>"
 
@@ -62,8 +64,10 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """One string of ids for each text; null texts have none."""
-        plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), MARKS, r"\1 \2\3")
-        words = pc.ascii_split_whitespace(plain)  # as lower(): ASCII only
+        texts = pc.fill_null(texts, "")
+        # fewer different words; the tokenizer itself lower-cases what is no special token, so where one may stand it's left to that
+        plain = texts if pc.any(pc.match_substring(texts, "<|")).as_py() else pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, MARKS, r"\1 \2\3"))  # ASCII only
         named = words.values.dictionary_encode()
         ids = self.words(named.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -84,7 +88,7 @@ class Encoder:
             for i in range(0, len(new), 1000):
                 add.update(self._encode(new[i : i + 1000]))
             found = [add[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            self.recent.update(add)
+            self.recent.update((w, x) for w, x in add.items() if len(w) <= LONG_WORD)
             if len(self.recent) > self.keep:
                 self.older, self.recent = self.recent, {}
         return found

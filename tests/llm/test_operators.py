@@ -145,6 +145,9 @@ def test_token_files(spark, tmp_path):
         bad = token_files.SeekableTokens(f"file://{tmp_path}/broken")
         bad.ids(len(bad) - 1)
     assert token_files.encoded(docs.limit(0)).count() == 0
+    special = ["<|ENDOFTEXT|> A<|endoftext|>b", "Word. <|StartOfText|>", "a" * 100 + " <|"]
+    for text, raw in zip(special, token_files.Encoder(path)(pa.array(special)), strict=True):
+        assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     small = token_files.Encoder(path, keep=3)
     raw = pa.array(values, pa.string())
     assert small(raw) == small(raw) == token_files.Encoder(path)(raw)
