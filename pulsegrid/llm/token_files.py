@@ -56,7 +56,7 @@ class Encoder:
     words seen lately, at most twice `keep`. Arrow splits the texts and numbers the different words; numpy puts their ids together.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.recent, self.older = Tokenizer.from_file(path), keep, {}, {}
@@ -76,6 +76,8 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(n)])
         out = pool[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
         cut = (4 * ends[words.offsets.to_numpy()]).tolist()
+        del texts, plain, words, named
+        pa.default_memory_pool().release_unused()  # else a worker keeps its largest batch's memory through later stages
         return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
