@@ -140,13 +140,16 @@ def links(reps: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
             held.append(got[:, n:])
         yield from close(held)
 
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long")
+    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of edges (a, b) reaches. Every round takes the smallest root among neighbours, then the
-    root's own root, and is stored; rounds grow with the logarithm of the longest chain."""
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    root's own root, and is stored; rounds grow with the logarithm of the longest chain.
+
+    edges is stored before it is turned round: a plan that reads it twice would compute it twice, and links that come in another order then needn't be the same."""
+    edges = stored(edges.distinct(), "links")
+    both = stored(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     roots = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
     while True:
         r = roots.select(F.col("node").alias("b"), "root")

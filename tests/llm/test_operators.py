@@ -391,3 +391,18 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0)) is None and quality.fit(docs.limit(0), labels) is None and {x.score for x in quality.score(docs, None).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
     assert hashlib.sha256(model["w"].tobytes()).digest() == hashlib.sha256(quality.fit(docs.repartition(3), labels)["w"].tobytes()).digest()
+
+
+def test_components_of_links_that_change_when_computed_again(spark):
+    """A link's direction is drawn anew each time its plan runs, as rows that come in another order may draw another tree."""
+    flip = F.udf(lambda: random.SystemRandom().random() < 0.5, "boolean").asNondeterministic()
+    chain = spark.range(120).withColumn("flip", flip()).select(F.when(F.col("flip"), F.col("id")).otherwise(F.col("id") + 1).alias("a"), F.when(F.col("flip"), F.col("id") + 1).otherwise(F.col("id")).alias("b"))
+    assert {(x.node, x.root) for x in simhash.components(chain).collect()} == {(i, 0) for i in range(121)}
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    r = random.Random(8)
+    fps = [r.getrandbits(63) for _ in range(10)]
+    fps = sorted({x ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)) for x in fps for _ in range(40)})
+    runs = [{tuple(x) for x in simhash.links(spark.createDataFrame([(x,) for x in some], "fp long").repartition(n), 2).collect()} for some, n in ((fps, 1), (fps[::-1], 7))]
+    assert runs[0] == runs[1]
