@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontamination, langid, mixing, simhash, token_files
+from pulsegrid.llm import decontamination, langid, mixing, near_copies, token_files
 from pulsegrid.llm.common import new_folder, table
 
 
@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    return simhash.deduplicated(docs)
+    """Keeps the document with the smallest id of each group of near copies: five-word similarity of at least 0.8, checked on the texts."""
+    return near_copies.deduplicated(docs, least=0.8, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,15 +178,20 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
     return docs.join(stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "components"), "fp")
 
 
-def deduplicated(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its smallest id (null ids last, then the smallest text hash)."""
-    best = near_duplicates(docs, radius, width, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))).alias("k"))
+def smallest(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row for each root of rooted (doc_id, text_hash, root): that of its smallest id (null ids last, then the smallest text hash)."""
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))).alias("k"))
     best = stored(best.select("k._id", "k._th"), "kept")
     docs = without_clashes(docs, "_hash").withColumn("_hash", F.xxhash64(text_col))
     kept = docs.join(small(best), docs[id_col].eqNullSafe(best["_id"]) & (docs["_hash"] == best["_th"]), "left_semi")
     return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")
 
 
+def deduplicated(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of its smallest id (null ids last, then the smallest text hash)."""
+    return smallest(docs, near_duplicates(docs, radius, width, id_col, text_col), id_col, text_col)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
