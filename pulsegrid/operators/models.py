@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -195,8 +197,8 @@ def classical_scaling(d2: np.ndarray, k: int) -> np.ndarray:
     return v[:, ::-1][:, :k] * np.sqrt(np.maximum(w[::-1][:k], 0))
 
 
-def isomap(x: np.ndarray, neighbours: int = 8, k: int = 2) -> np.ndarray:
-    """Coordinates that keep the shortest ways over nearest neighbours, for a bounded sample of points."""
+def geodesics(x: np.ndarray, neighbours: int = 8) -> np.ndarray:
+    """Lengths of the shortest ways over nearest neighbours, infinite where there is none."""
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     near = np.argsort(d, 1)[:, 1 : neighbours + 1]
     g = np.full_like(d, np.inf)
@@ -205,20 +207,79 @@ def isomap(x: np.ndarray, neighbours: int = 8, k: int = 2) -> np.ndarray:
         g[i, js] = g[js, i] = d[i, js]
     for m in range(len(x)):
         g = np.minimum(g, g[:, m : m + 1] + g[m : m + 1])
+    return g
+
+
+def isomap(x: np.ndarray, neighbours: int = 8, k: int = 2) -> np.ndarray:
+    """Coordinates that keep the shortest ways over nearest neighbours, for a bounded sample of points."""
+    g = geodesics(x, neighbours)
     far = g[np.isfinite(g)].max() if len(x) else 0.0
     return classical_scaling(np.where(np.isfinite(g), g, 2 * far) ** 2, k)
 
 
+def landmark_isomap(x: np.ndarray, neighbours: int = 8, k: int = 2) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives any points their coordinates among the landmarks x: ways go over the nearest landmarks, distances to all landmarks set the place. A landmark
+    comes to where isomap puts it."""
+    g = geodesics(x, neighbours)
+    far = g[np.isfinite(g)].max()
+    full = np.where(np.isfinite(g), g, 2 * far) ** 2
+    n = len(x)
+    j = np.eye(n) - 1 / n
+    w, v = np.linalg.eigh(-0.5 * j @ full @ j)
+    w, v = w[::-1][:k], v[:, ::-1][:, :k]
+    axes = np.where(w > 1e-12, v / np.sqrt(np.maximum(w, 1e-12)), 0.0)
+
+    def place(points: np.ndarray) -> np.ndarray:
+        d = np.sqrt(((points[:, None] - x[None]) ** 2).sum(2))
+        near = np.argsort(d, 1)[:, : neighbours + 1]  # a landmark's nearest is itself
+        ways = (np.take_along_axis(d, near, 1)[:, :, None] + g[near]).min(1)
+        return -0.5 * (np.where(np.isfinite(ways), ways, 2 * far) ** 2 - full.mean(0)) @ axes
+
+    return place
+
+
 def diffusion_map(x: np.ndarray, k: int = 2, t: int = 1) -> np.ndarray:
     """Coordinates of a random walk with a Gaussian kernel (the width is the median distance), density taken out, for a bounded sample of points."""
+    return _diffusion(x, k, t)[0]
+
+
+def _diffusion(x: np.ndarray, k: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-    a = np.exp(-d2 / max(np.median(d2[d2 > 0]) if (d2 > 0).any() else 1.0, 1e-12))
+    width = max(np.median(d2[d2 > 0]) if (d2 > 0).any() else 1.0, 1e-12)
+    a = np.exp(-d2 / width)
     q = a.sum(1)
     a = a / np.outer(q, q)
     r = np.sqrt(a.sum(1))
     w, v = np.linalg.eigh(a / np.outer(r, r))
-    v = v[:, ::-1] / r[:, None]
-    return v[:, 1 : k + 1] * w[::-1][1 : k + 1] ** t
+    v, w = v[:, ::-1] / r[:, None], w[::-1][1 : k + 1]
+    return v[:, 1 : k + 1] * w**t, w, q, width
+
+
+def landmark_diffusion(x: np.ndarray, k: int = 2, t: int = 1) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives any points their coordinates in the landmarks' diffusion map: the mean of the landmarks' under the point's own step (Nystroem). A landmark
+    comes to where diffusion_map puts it."""
+    y, w, q, width = _diffusion(x, k, t)
+    y = np.where(np.abs(w) > 1e-12, y / np.where(np.abs(w) > 1e-12, w, 1.0), 0.0)
+
+    def place(points: np.ndarray) -> np.ndarray:
+        d2 = ((points[:, None] - x[None]) ** 2).sum(2)
+        a = np.exp(-(d2 - d2.min(1, keepdims=True)) / width) / q  # what all of a row share goes out below
+        return a / a.sum(1, keepdims=True) @ y
+
+    return place
+
+
+def placed(points: DataFrame, columns: list[str], place: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(train, x, y) of every row of points (train and columns); place is a model of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                b = batch.slice(i, 256)
+                y = place(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], 1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y[:, 0]), pa.array(y[:, 1])], ["train", "x", "y"])
+
+    return points.select(F.col("train").cast("long"), *columns).mapInArrow(run, "train long, x double, y double")
 
 
 def transition_model(counts: DataFrame) -> DataFrame:

@@ -1,17 +1,19 @@
 """Queries over models of states."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import dynamics as dy
 from pulsegrid.operators import isi
 from pulsegrid.operators import models as mo
 from pulsegrid.sources.events import labelled, trains
+from pulsegrid.sources.shared import stored
 
 from .dynamics_queries import STATES, states
 from .registry import query, rounded
 
 FEATURES = ["isi_log", "local_cv", "log_ratio", "cv2"]
+#: Trains that the embeddings compare all with all; the others are placed among them.
+LANDMARKS = 900
 
 
 def feature_rows(spark, d):
@@ -86,24 +88,22 @@ def factor_loadings(spark, d):
     return spark.createDataFrame([(c, float(abs(a[0])), float(u)) for c, a, u in zip(FEATURES, load, psi, strict=True)], "feature string, loading double, uniqueness double")
 
 
-def population(spark, d):
-    """A row for each train: shares of its intervals by length."""
+def embedded(spark, d, model):
+    """A row for each train: shares of its intervals by length, placed by a model of at most 900 trains."""
     x = trains(spark, d).where("valid").groupBy("train").agg(*[F.avg((F.col("isi").between(a, b)).cast("double")).alias(f"f{i}") for i, (a, b) in enumerate([(0, 0.01), (0.01, 0.02), (0.02, 0.04), (0.04, 0.08)])])
-    return mo.subsample(x, 900, key="train")
+    x = stored(x, "population")
+    p = mo.subsample(x, LANDMARKS, key="train").filter(like="f").to_numpy()
+    return mo.placed(x, [f"f{i}" for i in range(4)], model(p) if len(p) else lambda y: y)
 
 
 @query()
 def isomap_embedding(spark, d):
-    p = population(spark, d)
-    y = mo.isomap(p.filter(like="f").to_numpy())
-    return spark.createDataFrame([(int(t), float(a), float(b)) for t, (a, b) in zip(p["train"], y, strict=True)], "train long, x double, y double")
+    return embedded(spark, d, mo.landmark_isomap)
 
 
 @query()
 def diffusion_embedding(spark, d):
-    p = population(spark, d)
-    y = mo.diffusion_map(np.asarray(p.filter(like="f")))
-    return spark.createDataFrame([(int(t), float(a), float(b)) for t, (a, b) in zip(p["train"], y, strict=True)], "train long, x double, y double")
+    return embedded(spark, d, mo.landmark_diffusion)
 
 
 @query()
