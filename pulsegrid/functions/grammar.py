@@ -22,7 +22,8 @@ class Grammar:
     max_bridges: int = 4
     max_bridge_share: float = 0.6
     max_extension: int = 4
-    max_candidates: int = 3000
+    #: Burst candidates of a train; none is left out by default, the reference has 3000.
+    max_candidates: int | None = None
     one_sided_purity: float = 0.65
     one_sided_bridge_share: float = 0.35
     q95_limit: float = 1.35

@@ -61,7 +61,9 @@ def bursts(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
     some = extensions(rows, seeds, g.bridge, g.max_extension)
     order = Window.partitionBy("train").orderBy("start", F.desc("s"), "e")  # the order in which they are made
     once = F.row_number().over(Window.partitionBy("train", "s", "e").orderBy("start"))
-    some = some.withColumn("_k", once).where("_k = 1").where(F.col("e") - F.col("s") + 2 >= g.min_spikes).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= g.max_candidates)
+    some = some.withColumn("_k", once).where("_k = 1").where(F.col("e") - F.col("s") + 2 >= g.min_spikes)
+    if g.max_candidates is not None:
+        some = some.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= g.max_candidates)
     spans = stored(some.select("train", F.col("s").alias("start"), F.col("e").alias("end")), "burst-spans")
     flags = rows.withColumn("suspect", F.lit(False))
     m = stored(span_metrics(flags, spans, g.seed_high, g.bridge), "burst-measures").join(ref, "train")
