@@ -78,35 +78,29 @@ def mixture_states(rows: DataFrame, columns: list[str], most: int = 4) -> DataFr
     return rows.withColumn("state", F.coalesce(*[F.when(x == best, F.lit(i)) for i, x in enumerate(r)]))
 
 
-def semi_markov(rows: DataFrame, means: list[float], sd: float, stay: list[float], longest: int = 40) -> DataFrame:
-    """Explicit-duration decoding of each train: the states (by means of log10 intervals), geometric in length with the given expected stays up to `longest`, that are
-    likeliest together. O(n * longest * states) numbers a train; a train is decoded by one task."""
-    k, n_max = len(means), longest
-    stay_log = np.array([[(d - 1) * math.log(1 - 1 / s) + math.log(1 / s) for d in range(1, n_max + 1)] for s in stay])
+def semi_markov(rows: DataFrame, means: list[float], sd: float, stay: list[float]) -> DataFrame:
+    """Duration decoding of each train: the states (by means of log10 intervals), geometric in length with the given expected stays and of any length, that are likeliest
+    together. Since lengths are geometric, a stay goes on or ends at each interval alike: O(n * states^2) numbers a train; a train is decoded by one task."""
+    k = len(means)
+    on = np.array([math.log(1 - 1 / s) if s > 1 else -math.inf for s in stay])
+    end = np.array([math.log(1 / s) for s in stay])
     move = math.log(1 / max(1, k - 1))
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         x = np.log10(pdf["isi"].to_numpy())
         n = len(x)
-        total = np.vstack([np.zeros(k), np.cumsum(-0.5 * ((x[:, None] - np.array(means)) / sd) ** 2, 0)])
-        best, back = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k, 2), int)
-        for t in range(1, n + 1):
-            for s in range(k):
-                d = np.arange(1, min(t, n_max) + 1)
-                before = np.array([0.0 if t == i else np.delete(best[t - i], s).max() + move for i in d]) if k > 1 else np.where(d == t, 0.0, -np.inf)
-                score = before + total[t, s] - total[t - d, s] + stay_log[s, d - 1]
-                i = int(score.argmax())
-                best[t, s], back[t, s, 0] = score[i], d[i]
-                if t > d[i] and k > 1:
-                    other = best[t - d[i]].copy()
-                    other[s] = -np.inf
-                    back[t, s, 1] = int(other.argmax())
-        out, t, s = np.zeros(n, int), n, int(best[n].argmax()) if n else 0
-        while t > 0:
-            d, p = back[t, s]
-            out[t - d : t] = s
-            t, s = t - d, p
+        fit = -0.5 * ((x[:, None] - np.array(means)) / sd) ** 2
+        best, back = fit[0], np.zeros((n, k), int)
+        for t in range(1, n):
+            step = np.repeat((best + end + move)[:, None], k, 1)
+            np.fill_diagonal(step, best + on)
+            back[t] = step.argmax(0)
+            best = step.max(0) + fit[t]
+        out, s = np.zeros(n, int), int((best + end).argmax())
+        for t in range(n - 1, -1, -1):
+            out[t] = s
+            s = back[t, s]
         return pd.DataFrame({"train": pdf["train"], "idx": pdf["idx"], "state": out})
 
     return rows.where("valid").select("train", "idx", "isi").groupBy("train").applyInPandas(decode, f"train {rows.schema['train'].dataType.simpleString()}, idx long, state long")
