@@ -295,18 +295,17 @@ def test_bit_slices_and_links(spark, radius):
     assert {frozenset(v) for v in by_root.values()} == {frozenset(v) for v in by_want.values()}
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vec = [[float(x) for x in v] for v in rng.normal(size=(700, 8)) * rng.exponential(1, (700, 1))]
     vec[10:40] = [vec[0]] * 30  # ties
-    vec += [None, [None] * 8, [math.nan] * 8, [math.inf] * 8, [0.0] * 8, [1.0, 2.0], [3.0, 1.0], []]
+    vec += [[], [None] * 8, [math.nan] * 8, [math.inf] * 8, [0.0] * 8, [1.0, 2.0], [3.0, 1.0], None, []]
     rows = [(i, v, 1, 0.5) for i, v in enumerate(vec)]
     df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<double>, rank int, score double")
-    topk.BLOCK_VALUES, before = 64 * 8, topk.BLOCK_VALUES
-    try:
-        got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
-    finally:
-        topk.BLOCK_VALUES = before
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 64 * 8)
+    monkeypatch.setattr(topk, "HEAD_ROWS", 100)
+    df = df.unionByName(spark.createDataFrame([(None, [1.0] * 8, 1, 0.5)], df.schema))  # a null id takes no part
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
     fine = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in rows + rows[:3] if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = set()
     for q, v in dict(fine).items():
@@ -317,6 +316,34 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_blocks_prune_and_lose_nothing(spread):
+    """Vectors of spread lengths are pruned by length, clustered ones of nearly one length by coordinates."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 16)) * (rng.random((30, 16)) < 0.2) * 5
+    v = centres[rng.integers(30, size=4000)] + rng.normal(size=(4000, 16)) * 0.2
+    v *= np.exp(spread * rng.normal(size=(4000, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.floor(256 * v).astype(np.int64)
+    length = np.sqrt((v.astype(float) ** 2).sum(1))
+    order = np.argsort(-length)
+    v, length, ids = v[order], length[order], np.arange(4000)
+    asked = np.arange(0, 4000, 50)
+    scores = v[asked] @ v.T
+    scores[np.arange(len(asked)), asked] = np.iinfo(np.int64).min
+    kth = np.sort(scores, 1)[:, -5]
+    theta = kth.astype(float)
+    theta[0] = -np.inf
+    got, pruned, pairs = set(), 0, 0
+    for a in range(0, 4000, 200):
+        found, out = topk.Candidates(ids[a : a + 200], v[a : a + 200], length[a : a + 200]).best(ids[asked], v[asked], length[asked], theta, 5)
+        got |= {tuple(x) for x in found.T.tolist()}
+        pruned, pairs = pruned + out, pairs + 200 * len(asked)
+    want = {(int(asked[i]), int(j), int(scores[i, j])) for i in range(len(asked)) for j in np.flatnonzero(scores[i] >= kth[i])}
+    assert want <= got
+    assert pruned / pairs > 0.4
+    print(f"spread {spread}: {pruned / pairs:.3f} of the pairs pruned")
+
+
 def test_products_stay_exact():
     a = np.array([[2**40, -(2**40), 3]])
     assert topk.products(a, a, float(2**81))[0, 0] == (1 << 63) - 1
