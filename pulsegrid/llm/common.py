@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows that a broadcast side may have; such sides are narrow (under 100 bytes a row).
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Without one: a temporary folder on a single machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,10 +56,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(~others, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """Rows in an Arrow batch: few, since texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many rows, which share the memory of those that Spark sends; without the session's options, which hold for others too."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -80,6 +85,3 @@ def without_clashes(df: DataFrame, *names: str) -> DataFrame:
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
-
-def fields(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more]])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out, small, stored, table, without_clashes
+from .common import batches_of, held_out, small, stored, table, without_clashes
 
 #: Features: hashed letter bigrams and trigrams. CHUNK: code points that are looked at at once.
 DIMS, CHUNK = 1 << 13, 1 << 18
@@ -30,7 +30,7 @@ def _letters() -> np.ndarray:
     """For each code point its lower-case form, or 0 if it's no letter; made once a task."""
     if "letters" not in _KNOWN:
         out = _KNOWN["letters"] = np.zeros(0x110000, np.uint32)
-        for c in itertools.chain(range(0xD800), range(0xE000, 0x32000)):
+        for c in itertools.chain(range(0xD800), range(0xE000, 0x110000)):
             x = chr(c)
             if x.isalpha():
                 low = x.lower()
@@ -106,14 +106,13 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def fit(train: DataFrame, per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """(languages, code, weights) from train (doc_id, text, lang); None without labelled text. The sample holds per_lang documents a language on average (fewer if TRAIN_TOTAL is shared by many),
     and only their feature vectors (at most DIMS numbers each) reach the driver."""
-    arrow_batches(train.sparkSession, 256)
     train = train.where(F.col("lang").isNotNull())
     sizes = stored(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     per_lang = min(per_lang, TRAIN_TOTAL / max(1, sizes.count()))
     chance = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < 1_000_000.0 * per_lang / F.col("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, 256):
             got = [(lang, features(t)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             got = [(lang, x) for lang, x in got if x is not None]
             at = [np.flatnonzero(x) for _, x in got]
@@ -140,12 +139,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
     """
     spark = docs.sparkSession
     kept = without_clashes(docs.select(*keep) if keep else docs, "lang_pred", "score", "ambiguous", "_raw")
-    arrow_batches(spark, 256)
     sent = spark.sparkContext.broadcast(model)  # languages x bits and DIMS x bits numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for b in batches:
+        for b in batches_of(batches, 256):
             found = [features(t) if model else None for t in b.column(b.num_columns - 1).to_pylist()]
             some = [i for i, x in enumerate(found) if x is not None]
             lang, score, unsure = [UNDETERMINED] * len(found), [0.0] * len(found), [True] * len(found)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, small, stored
+from .common import batches_of, small, stored
 from .simhash import CHUNK, SEED, components, fingerprint, links, smallest
 
 #: Two texts of similarity s meet in a band with probability s**ROWS: at 0.8 all bands miss them once in 38,000 pairs.
@@ -50,10 +50,8 @@ def sketch(text: bytes | None, width: int = 5) -> tuple[int, int, list[int]]:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, text_hash, fp, node, size, keys) of each row, stored. Equal sets of shingles are one node."""
-    arrow_batches(docs.sparkSession, 256)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, 256):
             texts = b.column(2).to_pylist()
             node, size, keys = zip(*(sketch(x, width) for x in texts), strict=True) if texts else ((), (), ())
             columns = [b.column(0), b.column(1), pa.array([fingerprint(x, width) for x in texts], pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
@@ -65,11 +63,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """pairs (a, b) of nodes plus their similarity, stored."""
-    arrow_batches(pairs.sparkSession, 256)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, set[bytes]] = (None, set())
-        for batch in batches:
+        for batch in batches_of(batches, 256):
             out = []
             for a, _, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != last[0]:

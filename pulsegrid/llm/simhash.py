@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, small, stored, table, without_clashes
+from .common import batches_of, small, stored, table, without_clashes
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
 #: Blocks of bits for the candidate tables. With radius 2, two of eight blocks may differ: 28 tables, and a bucket has at most 2**16 different fingerprints.
@@ -35,10 +35,8 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp) of each row, stored."""
-    arrow_batches(docs.sparkSession, 256)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, 256):
             fps = [fingerprint(x, width) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
@@ -110,8 +108,6 @@ def links(reps: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
     keep = [sum(1 << b for b in range(BITS) if b not in set(f)) for f in free]
     masks = F.array(*[F.lit(k - (1 << BITS) if k >> (BITS - 1) else k) for k in keep])
     rows = reps.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    arrow_batches(reps.sparkSession, 50_000)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 

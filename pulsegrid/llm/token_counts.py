@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, stored, table
+from .common import batches_of, stored, table
 from .token_files import tokenizer_path, worker_encoder
 
 #: Lengths that one window partition holds at most.
@@ -19,11 +19,9 @@ SPAN = 256
 def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """(length,) of each whole text in tokens; 0 for null and empty ones."""
     path = path or tokenizer_path()
-    arrow_batches(docs.sparkSession, 2048)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_encoder(path)
-        for b in batches:
+        for b in batches_of(batches, 2048):
             yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode(b.column(0))], pa.int64())], ["length"])
 
     return docs.select(text_col).mapInArrow(run, "length long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, new_folder, stored, table
+from .common import batches_of, new_folder, stored, table
 
 #: Fixed values of the zstandard seekable format: magic numbers of the skippable frame and the footer; the flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -185,8 +185,6 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     at 128 MB, and a task never holds more than a batch of texts.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
-    arrow_batches(spark, 2048)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -198,7 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             out.close()
             done.append((part, len(done), f"{folder}/{part:06d}-{len(done):04d}.zst", len(out.ids), out.tokens))
 
-        for batch in batches:
+        for batch in batches_of(batches, 2048):
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if out is None:
                     fs.create_dir(root)
