@@ -17,8 +17,10 @@ from .simhash import CHUNK, SEED, components, fingerprint, links, smallest
 #: Two texts of similarity s meet in a band with probability s**ROWS: at 0.8 all bands miss them once in 38,000 pairs.
 BANDS, ROWS = 20, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Pairs for each bucket member from which on pivots are compared first, and how often.
-DENSE, PIVOTS = 4, 8
+#: Members of a bucket whose pairs are listed one by one; larger buckets are compared in blocks of about so many members or hashes of shingles.
+FEW, BLOCK_ROWS, BLOCK_HASHES = 24, 512, 1 << 18
+#: Members from which on a bucket's blocks meet pivots before each other, and how many pivots.
+BIG, PIVOTS = 8192, 4
 
 
 def shingles(text: bytes | None, width: int = 5) -> set[bytes]:
@@ -77,33 +79,117 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return stored(x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double"), "compared")
 
 
-def linked(members: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """(node, root) of the nodes that pairs of at least the similarity join, directly or over others, among all pairs that share a bucket (members: bucket, node, size).
-
-    Pairs inside a component need no comparison. Where buckets would make many pairs, a member of each bucket is first compared with all of its other
-    components, which is linear and joins groups of copies; then all pairs that are left are compared."""
-    n, tried, roots = members.count(), None, None
-    for k in range(PIVOTS + 1):
-        now = members.withColumn("comp", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        now = stored(now, "members")
-        c = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        c = stored(c.select("bucket", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs")), "open")
-        open_pairs = c.agg(F.sum("pairs")).first()[0] or 0
-        if not open_pairs:
-            break
-        whole = open_pairs <= DENSE * n or k == PIVOTS
-        left = now.join(c.select("bucket"), "bucket")
-        other = left.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "comp"), F.xxhash64(F.lit(k), "node")).alias("p")).select("bucket", "p.*") if not whole else left
-        other = other.select("bucket", F.col("node").alias("_node"), F.col("size").alias("_size"), F.col("comp").alias("_comp"))
-        # sizes that differ more can't be so alike
-        fits = (F.col("comp") != F.col("_comp")) & (F.least("size", "_size") >= F.greatest("size", "_size") * (least - 1e-9)) & ((F.col("node") < F.col("_node")) | F.lit(not whole))
-        pairs = left.join(other, "bucket").where(fits).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        new = compared(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, width)
-        tried = new if tried is None else tried.unionByName(new)
-        roots = components(tried.where(F.col("similarity") >= least).select("a", "b"))
-        if whole:
+def hash_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, h) with the sorted 64-bit hashes of each text's different shingles, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 64):
+            h = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(x, width), repeat(SEED)), np.uint64)).view(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.list_(pa.int64()))], ["node", "h"])
+
+    return stored(texts.select("node", "text").mapInArrow(run, "node long, h array<long>"), "hash-sets")
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a forest that joins what a symmetric matrix of pairs joins."""
+    left, edges = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        if left[root]:
+            left[root], todo = False, np.array([root])
+            while len(todo):
+                todo = np.flatnonzero(near[todo].any(0) & left)
+                left[todo] = False
+                edges += [(int(x), root) for x in todo]
+    return edges
+
+
+def shared(nodes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many hashes any two of the sets (one after the other in hashes) share: products of 0/1 matrices over the hashes that more than one of them has."""
+    row = np.repeat(np.arange(len(nodes)), sizes)
+    _, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(n > 1)
+    place = np.full(len(n), -1)
+    place[common] = np.arange(len(common))
+    column, both = place[at], np.zeros((len(nodes), len(nodes)), np.float32)
+    for a in range(0, len(common), 4096):
+        use = (column >= a) & (column < a + 4096)
+        part = np.zeros((len(nodes), min(4096, len(common) - a)), np.float32)
+        part[row[use], column[use] - a] = 1
+        both += part @ part.T  # whole numbers below 2**24
+    return both
+
+
+def in_blocks(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b), stored: links between the members of each row's two blocks (nodes, sizes, h and nodes2, sizes2, h2; the second is null where a block meets itself). Not all
+    links, but as many as join the same members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = [np.concatenate([np.asarray(batch.column(f"{n}{k}")[i].values) for k in ("", "2") if batch.column(f"{n}{k}")[i].is_valid]) for n in ("nodes", "sizes", "h")]
+                nodes, sizes, _ = held
+                both = shared(*held)
+                near = both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+                near &= nodes[:, None] != nodes[None, :]
+                made = forest(near)
+                if made:
+                    a, b = np.array(made).T
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    columns = [f"{n}{k}" for k in ("", "2") for n in ("nodes", "sizes", "h")]
+    return stored(pairs.select(*columns).mapInArrow(run, "a long, b long"), "block-links")
+
+
+def blocks_of(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, part, nodes, sizes, h), stored: the members of each bucket (bucket, node, n, hashes, core), dealt into blocks by a hash; those of its core into blocks of their own."""
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("hashes") / BLOCK_HASHES))
+    part = F.pmod(F.xxhash64(F.lit(5), "node"), parts)
+    each = members.select("bucket", "node", F.when(F.col("core"), -1 - part).otherwise(part).alias("part")).join(sets, "node")
+    one = each.groupBy("bucket", "part").agg(F.collect_list(F.struct("node", F.size("h").cast("long").alias("size"), "h")).alias("x"))
+    return stored(one.select("bucket", "part", F.col("x.node").alias("nodes"), F.col("x.size").alias("sizes"), F.flatten("x.h").alias("h")), "blocks")
+
+
+def linked_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join all members (bucket, node, n, hashes) of each bucket that pairs of at least the similarity join.
+
+    A bucket of many members first meets a few of them, which is linear and finds its core: the members that are joined by then. Core blocks needn't meet each other."""
+    links, members = None, members.withColumn("core", F.lit(False))
+    second = lambda df: df.select("bucket", F.col("part").alias("part2"), F.col("nodes").alias("nodes2"), F.col("sizes").alias("sizes2"), F.col("h").alias("h2"))
+    for k in range(PIVOTS):
+        big = members.where(F.col("n") > BIG)
+        if big.isEmpty():
             break
-    return roots if roots is not None else members.select("node", F.col("node").alias("root")).limit(0)
+        pivots = big.where("not core").groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(k), "node")).alias("node")).join(sets, "node")
+        pivots = pivots.select("bucket", F.array("node").alias("nodes2"), F.array(F.size("h").cast("long")).alias("sizes2"), F.col("h").alias("h2"))
+        new = in_blocks(blocks_of(big, sets).join(pivots, "bucket"), least)
+        links = new if links is None else links.unionByName(new)
+        comps = members.drop("core").join(components(links), "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        comps = stored(comps.select(*[c for c in members.columns if c != "core"], "comp"), "members")
+        core = comps.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_core"))
+        members = stored(comps.join(core, "bucket").withColumn("core", (F.col("comp") == F.col("_core")) & (F.col("n") > BIG)).drop("comp", "_core"), "members")
+    blocks = blocks_of(members, sets)
+    names = blocks.select("bucket", "part")
+    names = names.join(names.withColumnRenamed("part", "part2"), "bucket").where("part < part2 and part2 >= 0")
+    apart = names.join(blocks, ["bucket", "part"]).join(second(blocks), ["bucket", "part2"]).drop("part2")
+    alone = blocks.where("part >= 0").select("*", *[F.lit(None).cast("array<long>").alias(n) for n in ("nodes2", "sizes2", "h2")])
+    new = in_blocks(alone.unionByName(apart), least)
+    return new if links is None else links.unionByName(new)
+
+
+def linked(members: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """(node, root) of the nodes that pairs of at least the similarity join, directly or over others, among all pairs that share a bucket (members: bucket,
+    node, size, n, hashes). Small buckets list their pairs, each different one is compared on its texts; in large ones blocks of members meet, on hashes of their shingles."""
+    few = members.where(F.col("n") <= FEW)
+    other = few.select("bucket", F.col("node").alias("_node"), F.col("size").alias("_size"))
+    # sizes that differ more can't be so alike
+    fits = (F.col("node") < F.col("_node")) & (F.least("size", "_size") >= F.greatest("size", "_size") * (least - 1e-9))
+    pairs = few.join(other, "bucket").where(fits).select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    found = compared(pairs, texts, width).where(F.col("similarity") >= least).select("a", "b")
+    many = members.where(F.col("n") > FEW).drop("size")
+    if not many.isEmpty():
+        sets = hash_sets(texts.join(many.select("node").distinct(), "node", "left_semi"), width)
+        found = found.unionByName(linked_in_blocks(many, sets, least))
+    return components(found)
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +203,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int
     near = components(links(stored(prints.select("fp").distinct(), "representatives"), radius)).select(F.col("node").alias("fp"), "root")
     by_print = prints.join(near, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"), "node", "size")
     every = stored(nodes.select(F.explode("keys").alias("bucket"), "node", "size").unionByName(by_print.distinct()), "buckets")
-    members = stored(every.join(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket"), "shared-buckets")
+    sizes = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes")).where("n > 1")
+    members = stored(every.join(sizes, "bucket"), "shared-buckets")
     wanted = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "k._id", "k._th"), "wanted")
     d = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).cast("binary").alias("text"))
     texts = stored(d.join(small(wanted), d["_doc"].eqNullSafe(wanted["_id"]) & (d["_hash"] == wanted["_th"])).select("node", "text").dropDuplicates(["node"]), "texts")

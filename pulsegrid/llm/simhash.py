@@ -45,23 +45,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BitSlices:
-    """Fingerprints stored by bit: plane b holds bit b of all of them, 64 to a machine word."""
+    """Fingerprints stored by bit: plane b holds bit b of all of them, in blocks of 64 to a machine word."""
 
     def __init__(self, fps: np.ndarray, bits: list[int]):
-        self.n, self.bits, self.fps = len(fps), bits, fps
+        self.n, self.bits, self.fps, self.abandoned, self.scanned = len(fps), bits, fps, 0, 0
         pad = -len(fps) % 64
         self.planes = np.stack([np.packbits(np.pad((fps >> np.uint64(b)) & np.uint64(1), (0, pad)).astype(np.uint8), bitorder="little").view(np.uint64) for b in bits])
         self.valid = np.packbits(np.pad(np.ones(len(fps), np.uint8), (0, pad)), bitorder="little").view(np.uint64)
 
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """Bit sets, a row for each query: the fingerprints within radius of it. All distances of a block go up together: bit i of a carry-save
-        counter is a word vector, and a counter that passes the radius stays out. The block is left as soon as all are out."""
+    def within(self, queries: np.ndarray, radius: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Bit sets, a row for each query: the fingerprints within radius of it, of those wanted (bits like valid) if given.
+
+        All distances of a block go up together: bit i of a carry-save counter is a word vector, and a counter that passes the radius stays out. A block in which
+        all fingerprints are out, for all queries, is abandoned: the planes that are left aren't read for it."""
         width = radius.bit_length()
-        counter = [np.zeros((len(queries), self.planes.shape[1]), np.uint64) for _ in range(width)]
-        out = np.repeat(~self.valid[None, :], len(queries), 0)
+        wanted = self.valid if wanted is None else wanted & self.valid
+        blocks = np.flatnonzero(wanted)  # those that are still looked at
+        self.scanned += len(wanted)
+        self.abandoned += len(wanted) - len(blocks)
+        counter = [np.zeros((len(queries), len(blocks)), np.uint64) for _ in range(width)]
+        out = np.repeat(~wanted[None, blocks], len(queries), 0)
         for plane, b in zip(self.planes, self.bits, strict=True):
             flip = np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1))
-            carry = plane[None, :] ^ flip[:, None]
+            carry = plane[None, blocks] ^ flip[:, None]
             for c in counter:
                 c ^= carry  # the sum's bit
                 carry = carry & ~c  # carried where both were 1
@@ -71,25 +77,32 @@ class BitSlices:
                 for i, c in enumerate(counter):
                     over = over & (c if value >> i & 1 else ~c)
                 out |= over
-            if not np.any(~out):
-                break
-        return ~out
+            alive = np.any(~out, 0)
+            if not alive.all():
+                self.abandoned += len(alive) - int(alive.sum())
+                blocks, out, counter = blocks[alive], out[:, alive], [c[:, alive] for c in counter]
+                if not len(blocks):
+                    break
+        found = np.zeros((len(queries), len(wanted)), np.uint64)
+        found[:, blocks] = ~out
+        return found
 
 
 def local_links(fps: np.ndarray, bits: list[int], radius: int) -> list[tuple[int, int]]:
     """(fingerprint, root) for each one that others of the same bucket reach over steps of at most radius bits; the root is reached first. Every
-    link of the bucket is inside one of the components, so none is lost and none but these are made."""
-    slices, left, links, step = BitSlices(fps, bits), np.ones(len(fps), bool), [], max(1, (1 << 22) // max(64, len(fps)))
+    link of the bucket is inside one of the components, so none is lost and none but these are made. What has been reached isn't looked for again."""
+    slices, left, links, step = BitSlices(fps, bits), np.ones(len(fps), bool), [], max(1, (1 << 20) // max(64, len(fps)))
+    packed = lambda x: np.packbits(np.pad(x, (0, -len(x) % 64)).astype(np.uint8), bitorder="little").view(np.uint64)
     for root in range(len(fps)):
         if not left[root]:
             continue
         left[root], todo = False, np.array([root])
-        while len(todo):
+        while len(todo) and left.any():
+            wanted = packed(left)
             found = np.zeros_like(slices.valid)
             for a in range(0, len(todo), step):
-                found |= np.bitwise_or.reduce(slices.within(fps[todo[a : a + step]], radius), 0)
-            near = np.unpackbits(found.view(np.uint8), bitorder="little")[: len(fps)].astype(bool) & left
-            todo = np.flatnonzero(near)
+                found |= np.bitwise_or.reduce(slices.within(fps[todo[a : a + step]], radius, wanted & ~found), 0)
+            todo = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[: len(fps)])
             left[todo] = False
             links += [(int(x), int(fps[root])) for x in fps[todo]]
         if not left.any():
@@ -140,22 +153,22 @@ def links(reps: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of edges (a, b) reaches. Every round takes the smallest root among neighbours, then the
-    root's own root, and is stored; rounds grow with the logarithm of the longest chain.
+    """(node, root): the smallest node that each node of edges (a, b) reaches. In every round a node takes the smallest of its own root's root and those
+    of its neighbours, and the table is stored; rounds grow with the logarithm of the longest chain.
 
-    edges is stored before it is turned round: a plan that reads it twice would compute it twice, and links that come in another order then needn't be the same."""
+    edges is stored before it is turned round: a plan that reads it twice would compute it twice, and links that come in another order then needn't be the same.
+    Self-links and repeated links do no harm; without edges the result is empty."""
     edges = stored(edges.distinct(), "links")
-    both = stored(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
-    roots = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
+    each = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+    both = stored(edges.select(F.explode(each).alias("e")).select("e.*").distinct(), "edges")
+    roots, seen = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "roots"), None
     while True:
-        r = roots.select(F.col("node").alias("b"), "root")
-        near = both.join(r, "b").groupBy("a").agg(F.min("root").alias("m")).withColumnRenamed("a", "node")
-        new = stored(roots.join(near, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old")), "roots")
-        up = new.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = stored(new.join(up, "root").select("node", F.col("above").alias("root"), "old"), "roots")
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        roots = new.select("node", "root")
+        state = roots.agg(F.bit_xor(F.xxhash64("node", "root")), F.sum(F.col("root").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return roots
+        seen = state
+        up = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("above")), "root").select(F.col("node").alias("b"), "above")
+        roots = stored(both.join(up, "b").groupBy(F.col("a").alias("node")).agg(F.min("above").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,9 +191,17 @@ def smallest(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) ->
     """docs with one row for each root of rooted (doc_id, text_hash, root): that of its smallest id (null ids last, then the smallest text hash)."""
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))).alias("k"))
     best = stored(best.select("k._id", "k._th"), "kept")
+    again = rooted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stored(again.select("_id", "_th"), "repeated")
     docs = without_clashes(docs, "_hash").withColumn("_hash", F.xxhash64(text_col))
-    kept = docs.join(small(best), docs[id_col].eqNullSafe(best["_id"]) & (docs["_hash"] == best["_th"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    is_in = lambda keys: docs[id_col].eqNullSafe(keys["_id"]) & (docs["_hash"] == keys["_th"])
+    if again.isEmpty():
+        return docs.join(small(best), is_in(best), "left_semi").drop("_hash")
+    # rows that repeat are shuffled to keep one of each, the others stay where they are
+    best = stored(best.join(again.withColumn("many", F.lit(True)), best["_id"].eqNullSafe(again["_id"]) & (best["_th"] == again["_th"]), "left").select(best["_id"], best["_th"], "many"), "kept")
+    once, many = best.where("many is null"), best.where("many")
+    one = docs.join(small(many), is_in(many), "left_semi").dropDuplicates([id_col, "_hash"])
+    return docs.join(small(once), is_in(once), "left_semi").unionByName(one).drop("_hash")
 
 
 def deduplicated(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,7 +61,9 @@ def test_stage_finds_planted_near_copies(spark):
 def test_pivots_lose_no_pair(spark, monkeypatch):
     texts = planted(4)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(nc, "DENSE", 0)  # pivots first, always
+    monkeypatch.setattr(nc, "BIG", 30)
+    monkeypatch.setattr(nc, "FEW", 2)
+    monkeypatch.setattr(nc, "BLOCK_ROWS", 16)
     monkeypatch.setattr(nc, "PIVOTS", 2)
     assert sorted(x.doc_id for x in nc.deduplicated(docs).collect()) == sorted({*plain(texts)})
     assert nc.deduplicated(docs.limit(0)).count() == 0
