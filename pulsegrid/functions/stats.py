@@ -48,7 +48,11 @@ def sample_kurtosis(c: Column | str) -> Column:
 
 def array_quantile(values: Column, p: float | Column) -> Column:
     """Quantile with linear interpolation of an array's non-null values; null if there are none. For frames, where percentile isn't allowed."""
-    s = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
+    return sorted_quantile(F.array_sort(F.filter(values, lambda x: x.isNotNull())), p)
+
+
+def sorted_quantile(s: Column, p: float | Column) -> Column:
+    """array_quantile() of an array that is sorted and has no nulls."""
     p = F.lit(p) if isinstance(p, float) else p
     h = (F.size(s) - 1) * p
     low = F.get(s, F.floor(h).cast("int"))

@@ -17,6 +17,7 @@ from pulsegrid.functions.stats import array_median, clamp, q
 
 from pulsegrid.sources.shared import stored
 
+from .gates import BURSTS, Limits, negative_overlap, validated
 from .isi import in_train
 from .joins import range_join
 from .runs import extensions, runs, support_runs
@@ -262,31 +263,34 @@ def select(found: DataFrame, locked: DataFrame | None = None) -> DataFrame:
     return found.join(chosen, ["train", "candidate"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
-#: Fewest spikes that an event of a label has after selection.
-LEAST = {"burst": 3, "long_burst": 11, "possible_burst": 3, "tonic": 5, "high_frequency_tonic": 6, "high_frequency_spiking": 30, "pause": 2}
-
-
-def written(rows: DataFrame, chosen: DataFrame, lock_manual: bool = True) -> DataFrame:
-    """rows with auto: the label of the selected candidate that covers the row. Events that are too small for their label are blanked, and so are rows with a label by hand."""
+def written(rows: DataFrame, chosen: DataFrame, lock_manual: bool = True, limits: Limits | None = None) -> DataFrame:
+    """rows with auto: the label of the selected candidate that covers the row. What is left of events is checked (gates.validated), and rows with a label by hand are blanked."""
     at = rows.select("train", F.col("idx").alias("start"), F.col("idx").alias("end"))
     cover = range_join(chosen.where("selected").select("train", "start", "end", "label"), at, ["train"]).select("train", F.col("r_start").alias("idx"), F.col("l_label").alias("auto"))
     out = rows.drop("auto").join(cover, ["train", "idx"], "left").withColumn("auto", F.coalesce("auto", F.lit("")))
-    change = F.coalesce((F.col("auto") != F.lag("auto").over(in_train())).cast("int"), F.lit(1))
-    out = out.withColumn("_run", F.sum(change).over(in_train()))
-    spikes = F.count(F.lit(1)).over(Window.partitionBy("train", "_run")) + 1
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in LEAST.items() for x in kv]), F.col("auto"))
-    out = out.withColumn("auto", F.when(spikes < least, "").otherwise(F.col("auto"))).drop("_run")
+    out = validated(out if lock_manual or "manual" not in rows.columns else out.withColumnRenamed("manual", "_manual"), limits=limits).drop("removed")
+    out = out.withColumnRenamed("_manual", "manual") if "_manual" in out.columns else out
     if lock_manual and "manual" in rows.columns:
         out = out.withColumn("auto", F.when(F.coalesce("manual", F.lit("")) != "", "").otherwise(F.col("auto")))
     return out
 
 
-def detect(rows: DataFrame, g: Grammar | None = None, lock_manual: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows with auto labels, all candidates with what became of them)."""
+def without_negatives(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates with bursts struck out (label reject, gate manual_negative_veto) that hold an interval labelled as no burst (rows with negative)."""
+    if "negative" not in rows.columns:
+        return found
+    veto = F.col("label").isin(BURSTS) & (F.col("negative_share") > 0)
+    x = negative_overlap(rows, found)
+    return x.withColumns({"gate": F.when(veto, "manual_negative_veto").otherwise(F.col("gate")), "label": F.when(veto, "reject").otherwise(F.col("label"))}).drop("negative_share")
+
+
+def detect(rows: DataFrame, g: Grammar | None = None, lock_manual: bool = True, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with auto labels, all candidates with what became of them). Labels by hand that deny a burst (column negative) strike out burst candidates; limits are those of gates.validated."""
     g = g or Grammar()
     rows = stored(usable(rows, g), "trains")
-    ledger = stored(select(stored(protected(stored(candidates(rows, g), "candidates")), "protected")), "ledger")
-    return written(rows, ledger, lock_manual), ledger
+    found = stored(without_negatives(rows, stored(candidates(rows, g), "candidates")), "judged")
+    ledger = stored(select(stored(protected(found), "protected")), "ledger")
+    return written(rows, ledger, lock_manual, limits), ledger
 
 
 def final_labels(rows: DataFrame) -> DataFrame:

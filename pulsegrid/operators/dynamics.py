@@ -36,6 +36,39 @@ def motifs(states: DataFrame, k: int = 3, collapse: bool = True) -> DataFrame:
     return x.groupBy("train", F.concat_ws(">", "_m").alias("motif")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_metrics(states: DataFrame) -> DataFrame:
+    """Per train, of states (train, idx, state): how many there are, the largest share, their entropy, the entropy rate of the next one, and how often it changes."""
+    per = states.groupBy("train", "state").agg(F.count(F.lit(1)).alias("n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("train"))
+    e = per.withColumn("p", p).groupBy("train").agg(F.count(F.lit(1)).cast("double").alias("states"), F.max("p").alias("largest"), entropy(F.col("p")).alias("entropy"))
+    t = transitions(states)
+    change = t.groupBy("train").agg((F.sum(F.when(F.col("source") != F.col("target"), F.col("n")).otherwise(0)) / F.sum("n")).alias("change_rate"))
+    return e.join(entropy_rate(t).select("train", "entropy_rate"), "train", "left").join(change, "train", "left")
+
+
+def block_bootstrap(labels: DataFrame, replicates: int = 200, block: int = 10, seed: int = 1) -> DataFrame:
+    """(train, metric, observed, mean, low, high): label_metrics() of each train's labels (train, idx, label; two at least), and their 95% intervals over sequences made of as many of its blocks,
+    drawn with replacement by a seeded hash, cut to its length; what a short last block leaves open is filled with single labels drawn alike."""
+    order = Window.partitionBy("train").orderBy("idx")
+    x = labels.select("train", (F.row_number().over(order) - 1).alias("k"), F.col("label").alias("state"))
+    x = x.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("train")), "block": F.floor(F.col("k") / block)}).where("n >= 2")
+    drawn = lambda most, *c: F.pmod(F.xxhash64(F.lit(seed), "train", "replicate", *c), most)
+    trains = x.groupBy("train").agg(F.max("n").alias("n"), (F.max("block") + 1).alias("blocks")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    slots = trains.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("block", drawn(F.col("blocks"), F.lit("block"), "slot"))
+    made = slots.drop("n").join(x, ["train", "block"]).select("train", "replicate", "slot", "k", "state", "n")
+    made = made.withColumn("at", F.row_number().over(Window.partitionBy("train", "replicate").orderBy("slot", "k"))).where("at <= n")
+    have = made.groupBy("train", "replicate").agg(F.count(F.lit(1)).alias("have"))
+    open_ = trains.join(have, ["train", "replicate"]).where("have < n").withColumn("at", F.explode(F.sequence((F.col("have") + 1).cast("int"), F.col("n").cast("int"))))
+    filled = open_.withColumn("k", drawn(F.col("n"), F.lit("fill"), "at")).join(x.select("train", "k", "state"), ["train", "k"])
+    both = made.select("train", "replicate", "at", "state").unionByName(filled.select("train", "replicate", "at", "state"))
+    one = both.select(F.struct("train", "replicate").alias("train"), F.col("at").alias("idx"), "state")
+    names = ["states", "largest", "entropy", "entropy_rate", "change_rate"]
+    long = lambda df: df.select("train", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])).alias("m")).select("train", "m.*")
+    boot = long(label_metrics(one)).groupBy("train.train", "metric").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+    seen = long(label_metrics(x.select("train", F.col("k").alias("idx"), "state"))).withColumnRenamed("value", "observed")
+    return seen.join(boot, ["train", "metric"])
+
+
 def sequence_metrics(segments: DataFrame) -> DataFrame:
     """Per train, of segments (train, label, n, dwell): states, the largest share and entropy of their time, dwell mean and variation."""
     per = segments.groupBy("train", "label").agg(F.sum("dwell").alias("time"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from pulsegrid.functions.stats import array_mean, array_median, array_quantile, array_sd, cv, cv2_pair, lv_pair, lvr_pair, mm, q, sample_kurtosis, sample_skewness
+from pulsegrid.functions.stats import array_median, cv, cv2_pair, lv_pair, lvr_pair, mm, q, sample_kurtosis, sample_skewness, sorted_quantile
 
 
 def by_train() -> WindowSpec:
@@ -112,21 +112,29 @@ def state_features(rows: DataFrame, lags: int = 3, half: int = 5) -> DataFrame:
     some = rows.where("valid")
     x, near = F.col("isi"), F.col("_near")
     some = some.withColumn("_near", _around(x, half, half))
-    before, after = (F.collect_list("isi").over(in_train().rowsBetween(a, b)) for a, b in ((-half, -1), (1, half)))
+    some = some.withColumn("_near", F.array_sort("_near"))  # once, for all quantiles
+    before, after, around = (in_train().rowsBetween(a, b) for a, b in ((-half, -1), (1, half), (-half, half)))
     lagged = {f"lag{k}": F.lag("isi", k).over(in_train()) for k in range(1, lags + 1)} | {f"lead{k}": F.lead("isi", k).over(in_train()) for k in range(1, lags + 1)}
-    local = {"local_mean": array_mean(near), "local_median": array_median(near), "local_sd": array_sd(near), "local_q10": array_quantile(near, 0.1), "local_q90": array_quantile(near, 0.9), "local_iqr": array_quantile(near, 0.75) - array_quantile(near, 0.25)}
-    some = some.withColumns(lagged | local | {"_pre": array_mean(before), "_post": array_mean(after)})
+    quantile = lambda p: sorted_quantile(near, p)
+    local = {"local_mean": F.avg(x).over(around), "local_median": quantile(0.5), "local_sd": F.stddev_samp(x).over(around), "local_q10": quantile(0.1), "local_q90": quantile(0.9), "local_iqr": quantile(0.75) - quantile(0.25)}
+    some = some.withColumns(lagged | local | {"_pre": F.avg(x).over(before), "_post": F.avg(x).over(after)})
     a = F.col("lag1")
     return some.withColumns({"local_cv": F.col("local_sd") / F.col("local_mean"), "cv2": cv2_pair(a, x), "delta": x - a, "log_ratio": F.ln(x / a), "rate": 1 / x, "pre_post": F.col("_pre") / F.col("_post")}).drop("_near", "_pre", "_post")
 
 
-def stationarity(rows: DataFrame, bins: int = 8, warn: float = 3.0, high: float = 6.0, least: int = 30) -> DataFrame:
-    """Per train: how far the median interval of equal time bins drifts. Bins are right-closed."""
+def stationarity(rows: DataFrame, bins: int = 8, warn: float = 3.0, high: float = 6.0, least: int = 60) -> DataFrame:
+    """One row a train, of how far the median interval of equal, right-closed time bins drifts: status, ratio of the highest to the lowest median, its log10, and the bins that have intervals.
+
+    Trains of under three spikes, or with intervals in under three bins, are unavailable; those of under `least` valid intervals low_n."""
     some = rows.where("valid").withColumns({"_a": F.min("t").over(by_train()), "_b": F.max("t").over(by_train()), "_n": F.count("t").over(by_train())})
     at = F.least(F.greatest(F.ceil((F.col("t") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(1)), F.lit(bins))
     medians = some.where((F.col("_n") >= least) & (F.col("_b") > F.col("_a"))).groupBy("train", at.alias("bin")).agg(q("isi", 0.5).alias("m"))
-    out = medians.groupBy("train").agg(F.count(F.lit(1)).alias("bins"), (F.max("m") / F.min("m")).alias("ratio"))
-    return out.withColumn("drift", F.when(F.col("bins") < 3, "too_few").when(F.col("ratio") >= high, "high").when(F.col("ratio") >= warn, "warn").otherwise("stable"))
+    drift = medians.groupBy("train").agg(F.count(F.lit(1)).alias("bins"), (F.max("m") / F.min("m")).alias("_ratio"))
+    x = rows.groupBy("train").agg(F.count(F.lit(1)).alias("_spikes"), F.count_if("valid").alias("_valid")).join(drift, "train", "left")
+    known, ratio = (F.col("bins") >= 3) & (F.col("_spikes") >= 3), F.col("_ratio")
+    status = F.when(F.col("_spikes") < 3, "unavailable").when(F.col("_valid") < least, "low_n").when(~F.coalesce(known, F.lit(False)), "unavailable")
+    status = status.when(ratio >= high, "warning_high_drift").when(ratio >= warn, "warning").otherwise("ok")
+    return x.select("train", status.alias("status"), F.when(known, ratio).alias("ratio"), F.when(known, F.log10(ratio)).alias("log_range"), F.coalesce("bins", F.lit(0)).alias("bins"))
 
 
 def quality(rows: DataFrame, min_spikes: int = 10) -> DataFrame:

@@ -49,20 +49,43 @@ def short_runs(rows: DataFrame, max_isi: float | None = None, max_pct: float | N
     return runs(rows, flag, F.avg("isi").alias("mean_isi"), F.max("isi").alias("max_isi"), least=least)
 
 
-def structure_scan(rows: DataFrame, widths: tuple[int, int] = (2, 8), q90_max: float = 0.02, edge_min: float = 1.0, edge_geometric: float = 1.0) -> DataFrame:
-    """Every window of valid intervals of the given widths that is short and stands out from both flanks: start, end, q90, its percentile, and the ratios of
-    the flanks to q90 (least and geometric mean)."""
+def _q90_ahead(width: int) -> Column:
+    """The 90% quantile of the valid ones among this row's interval and the next ones, width rows in all; null without any. Under twelve values it lies between the two
+    highest, which plain expressions find."""
+    x = [F.lead(F.when(F.col("valid"), F.col("isi")), k).over(in_train()) for k in range(width)]
+    if width > 11:
+        return array_quantile(F.array(*x), 0.9)
+    highest, second, n = x[0], F.lit(None).cast("double"), x[0].isNotNull().cast("int")
+    for k in range(1, width):
+        so_far = F.greatest(*x[:k]) if k > 1 else x[0]
+        second = F.greatest(second, F.when(so_far.isNotNull() & x[k].isNotNull(), F.least(so_far, x[k])))
+        n = n + x[k].isNotNull().cast("int")
+    highest = F.greatest(*x) if width > 1 else x[0]
+    return F.when(n > 1, highest - 0.1 * (n - 1) * (highest - second)).otherwise(highest)
+
+
+def structure_scan(rows: DataFrame, widths: tuple[int, int] = (2, 8), q90_max: float | None = 0.02, pct_max: float | None = None, edge_min: float = 1.0, edge_geometric: float = 1.0) -> DataFrame:
+    """Every window of the given widths that is short, by its 90% quantile or by the highest percentile in it (rows with pct, if pct_max is given), and stands out from
+    both flanks: start, end, width, q90, max_pct, and the ratios of the flanks to q90 (least and geometric mean). Invalid intervals in a window don't count; flanks may be invalid."""
     lo, hi = widths
-    ahead = F.collect_list(F.struct("isi", "valid")).over(in_train().rowsBetween(0, hi - 1))
-    after = F.collect_list("isi").over(in_train().rowsBetween(1, hi))
-    some = rows.withColumns({"_ahead": ahead, "_after": after, "_pre": F.lag("isi").over(in_train())}).where("valid")
-    some = some.withColumn("width", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).where(F.size("_ahead") >= F.col("width"))
-    part = F.slice(F.col("_ahead"), F.lit(1), F.col("width"))
-    some = some.where(F.forall(part, lambda x: x["valid"])).withColumn("q90", array_quantile(F.transform(part, lambda x: x["isi"]), 0.9))
-    post = F.get(F.col("_after"), F.col("width") - 1)
-    some = some.withColumns({"least": F.least(F.col("_pre"), post) / F.col("q90"), "geometric": F.sqrt(F.col("_pre") * post) / F.col("q90")})
-    keep = (F.col("q90") <= q90_max) & F.col("_pre").isNotNull() & post.isNotNull() & (F.col("least") >= edge_min) & (F.col("geometric") >= edge_geometric)
-    return some.where(keep).select("train", F.col("idx").alias("start"), (F.col("idx") + F.col("width") - 1).alias("end"), "width", "q90", "least", "geometric")
+    pct = F.col("pct") if pct_max is not None else F.lit(None).cast("double")
+    pre = F.lag("isi").over(in_train())
+    some = rows.withColumns({"_pre": pre, **{f"_q{w}": _q90_ahead(w) for w in range(lo, hi + 1)}, **{f"_post{w}": F.lead("isi", w).over(in_train()) for w in range(lo, hi + 1)}})
+    some = some.withColumns({f"_p{w}": F.max(pct).over(in_train().rowsBetween(0, w - 1)) for w in range(lo, hi + 1)})
+    found = []
+    for w in range(lo, hi + 1):
+        q90, post, top = F.col(f"_q{w}"), F.col(f"_post{w}"), F.col(f"_p{w}")
+        least, geometric = F.least("_pre", post) / q90, F.sqrt(F.col("_pre") * post) / q90
+        short = F.lit(False)
+        if q90_max is not None:
+            short = short | (q90 <= q90_max)
+        if pct_max is not None:
+            short = short | (top <= pct_max)
+        keep = F.col("_pre").isNotNull() & post.isNotNull() & (q90 > 0) & F.coalesce(short, F.lit(False)) & (least >= edge_min) & (geometric >= edge_geometric)
+        fields = {"width": F.lit(w), "q90": q90, "max_pct": top, "least": least, "geometric": geometric}
+        found.append(F.when(keep, F.struct(*[v.alias(k) for k, v in fields.items()])))
+    some = some.select("train", "idx", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("w"))
+    return some.select("train", F.col("idx").alias("start"), (F.col("idx") + F.col("w.width") - 1).alias("end"), "w.*")
 
 
 def unions(ranges: DataFrame, adjacent: bool = True) -> DataFrame:

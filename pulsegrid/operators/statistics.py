@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from pulsegrid.functions.stats import array_pair_mean, clamp, cv, lv_pair, mm, q, wilson
+from pulsegrid.sources.shared import ranked, stored
 
 from .joins import range_join
 
@@ -135,10 +136,19 @@ def distributional_support(rows: DataFrame, spans: DataFrame, flank: int = 10, s
     return o.withColumn("verdict", verdict)
 
 
-def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-    """df plus q: adjusted p-values within keys."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    n = F.count(p).over(w)
-    last = F.count(p).over(w.orderBy(p))  # of ties the last rank counts
-    return df.withColumn("_a", F.least(F.col(p) * n / last, F.lit(1.0))).withColumn("q", F.min("_a").over(w.orderBy(F.desc(p)))).drop("_a")
-
+def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, span: int = 10_000) -> DataFrame:
+    """df plus q: adjusted p-values within keys; null where p is. Without keys rows are numbered by ranges of p, and the least value of all later rows comes from spans of
+    that many rows and from a row for each span."""
+    if keys:
+        w = Window.partitionBy(*keys)
+        n = F.count(p).over(w)
+        last = F.count(p).over(w.orderBy(p))  # of ties the last rank counts
+        return df.withColumn("_a", F.least(F.col(p) * n / last, F.lit(1.0))).withColumn("q", F.min("_a").over(w.orderBy(F.desc(p)))).drop("_a")
+    x = stored(ranked(df.where(F.col(p).isNotNull()), F.col(p), name="_k"), "ranked-p")
+    n = x.count()
+    x = x.withColumns({"_a": F.least(F.col(p) * F.lit(n) / (F.col("_k") + 1), F.lit(1.0)), "_span": F.floor(F.col("_k") / span)})
+    spans = x.groupBy("_span").agg(F.min("_a").alias("_least"))
+    later = spans.select("_span", F.min("_least").over(Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    here = F.min("_a").over(Window.partitionBy("_span").orderBy(F.desc("_k")))
+    out = x.withColumn("_here", here).join(later, "_span").withColumn("q", F.least("_here", "_later")).drop("_k", "_a", "_span", "_here", "_later")
+    return out.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .joins import range_join
-from .runs import runs, unions
+from .runs import runs
 
 
 def mean_isi(rows: DataFrame) -> DataFrame:
@@ -19,15 +19,19 @@ def mean_isi(rows: DataFrame) -> DataFrame:
     return rows.select("train").distinct().join(x, "train", "left").select("train", F.coalesce("n", F.lit(0)).alias("n"), "mean", F.when(F.col("n") >= 2, F.col("ml")).alias("ml"), F.when((F.col("n") >= 2) & F.col("ml").isNotNull(), "resolved").otherwise("unresolved").alias("status"))
 
 
-def mean_isi_bursts(rows: DataFrame, longest: int = 60) -> DataFrame:
-    """Unions of all windows of 2 to `longest` valid intervals in a row whose mean is at most the train's ml. Sums of windows are differences of running sums."""
+def mean_isi_bursts(rows: DataFrame) -> DataFrame:
+    """Unions of all windows of two or more valid intervals in a row whose mean is at most the train's ml, however long.
+
+    With s, the running sum of (interval - ml), such a window goes from any place to a later one where s is no higher. So an interval is in one if the highest s before it
+    is at least the lowest s at or after it; to leave out windows of one interval, one of the two is taken a step further."""
     x = rows.join(mean_isi(rows).where("status = 'resolved'").select("train", "ml"), "train").withColumn("_run", F.col("idx") - F.row_number().over(Window.partitionBy("train", "valid").orderBy("idx")))
-    x = x.where("valid").withColumns({"_sum": F.sum("isi").over(Window.partitionBy("train", "_run").orderBy("idx")), "_k": F.row_number().over(Window.partitionBy("train", "_run").orderBy("idx"))})
-    back = F.collect_list(F.struct("_k", (F.col("_sum") - F.col("isi")).alias("s"))).over(Window.partitionBy("train", "_run").orderBy("idx").rowsBetween(-(longest - 1), 0))
-    # the widest window that ends here is enough for the union
-    fit = F.filter(F.col("_back"), lambda b: (F.col("_k") - b["_k"] >= 1) & ((F.col("_sum") - b["s"]) / (F.col("_k") - b["_k"] + 1) <= F.col("ml") * (1 + 1e-12)))
-    w = x.withColumn("_back", back).withColumn("_w", F.get(fit, F.lit(0))).where("_w is not null")
-    return unions(w.select("train", (F.col("idx") - F.col("_k") + F.col("_w._k")).alias("start"), F.col("idx").alias("end")))
+    run = Window.partitionBy("train", "_run")
+    up, down = run.orderBy("idx"), run.orderBy(F.desc("idx"))
+    x = x.where("valid").withColumn("_s", F.sum(F.col("isi") - F.col("ml")).over(up)).withColumn("_before", F.col("_s") - (F.col("isi") - F.col("ml")))
+    x = x.withColumns({"_high": F.max("_before").over(up), "_high1": F.max("_before").over(up.rowsBetween(Window.unboundedPreceding, -1))})
+    x = x.withColumns({"_low": F.min("_s").over(down), "_low1": F.min("_s").over(down.rowsBetween(Window.unboundedPreceding, -1))})
+    near = F.col("ml") * 1e-9  # of sums that are equal but for rounding
+    return runs(x, (F.col("_high1") + near >= F.col("_low")) | (F.col("_high") + near >= F.col("_low1"))).select("train", "start", "end")
 
 
 def log_histogram(rows: DataFrame, width: float = 0.1) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pulsegrid.sources.shared import ranked, stored
+
 from .joins import iou, range_join
 
 
@@ -52,32 +55,52 @@ def event_metrics(pred: DataFrame, truth: DataFrame, tp: DataFrame, by: list[str
     """Truth, predicted, TP, FP, FN, precision, recall and F1 by class; classes that only one side has get zeros."""
     c = lambda df, n: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
     x = c(truth, "truth_n").join(c(pred, "pred_n"), by, "full").join(c(tp, "tp"), by, "left").select(*by, *[F.coalesce(k, F.lit(0)).alias(k) for k in ("truth_n", "pred_n", "tp")])
-    x = x.withColumns({"fp": F.greatest(F.col("pred_n") - F.col("tp"), F.lit(0)), "fn": F.col("truth_n") - F.col("tp"), "precision": F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")), "recall": F.when(F.col("truth_n") > 0, F.col("tp") / F.col("truth_n"))})
-    return x.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
+    return _scores(x)
 
 
 def split(trains: DataFrame, share: float = 0.5, seed: int = 1) -> DataFrame:
     """(train, part): calibration or validation, by the place of a seeded hash among the trains."""
-    k = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "train"), "train"))  # a row for each train
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return trains.select("train").distinct().withColumn("part", F.when(k <= F.ceil(n * share), "calibration").otherwise("validation"))
-
-
-def cluster_bootstrap(per_train: DataFrame, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """Interval of F1 over resampled trains, from (train, tp, fp, fn). Matches are within trains, so their counts add; a train's weight in a replicate is a Poisson draw from a hash, and
-    nothing is matched again."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", "train"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    cdf, p = [], np.exp(-1.0)
-    total = p
-    for k in range(1, 9):
-        cdf.append(total)
-        p /= k
-        total += p
-    weight = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    x = per_train.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight)
-    s = x.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("tp", "fp", "fn")])
-    f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
-    return s.withColumn("f1", f1).agg(F.count("f1").alias("replicates"), F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.5)).alias("median"), F.percentile("f1", F.lit(0.975)).alias("high"))
+    names = trains.select("train").distinct()
+    placed = stored(ranked(names.withColumn("_h", F.xxhash64(F.lit(seed), "train")), F.col("_h"), F.col("train"), name="_k"), "placed-trains")
+    first = math.ceil(placed.count() * share)
+    return placed.select("train", F.when(F.col("_k") < first, "calibration").otherwise("validation").alias("part"))
+
+
+METRICS = ["precision", "recall", "f1", "tp", "fp", "fn", "pred_n", "truth_n"]
+
+
+def _scores(x: DataFrame) -> DataFrame:
+    """x (truth_n, pred_n, tp) plus the other metrics."""
+    x = x.withColumns({"fp": F.greatest(F.col("pred_n") - F.col("tp"), F.lit(0)), "fn": F.col("truth_n") - F.col("tp"), "precision": F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")), "recall": F.when(F.col("truth_n") > 0, F.col("tp") / F.col("truth_n"))})
+    return x.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
+
+
+def quantile_6(values: Column, p: float) -> Column:
+    """The quantile of a sorted array without nulls at place p * (n + 1), between its ends; null of an empty one."""
+    n = F.size(values)
+    h = F.least(F.greatest(F.lit(p) * (n + 1), F.lit(1.0)), n.cast("double"))
+    low = F.get(values, (F.floor(h) - 1).cast("int"))
+    return F.when(n > 0, low + (h - F.floor(h)) * (F.get(values, (F.ceil(h) - 1).cast("int")) - low))
+
+
+def cluster_bootstrap(per_train: DataFrame, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(label, metric, observed, replicates, mean, low, high): intervals of the metrics of each label over resampled trains, from (train, label, truth_n, pred_n, tp).
+
+    A replicate draws as many trains as there are, with replacement, by a seeded hash. Matches are within trains, so counts of drawn trains add and nothing is matched again.
+    Replicates in which a metric isn't defined don't count for it; the ends are quantiles of the kind p * (n + 1)."""
+    names = stored(ranked(per_train.select("train").distinct(), F.col("train"), name="_k"), "numbered-trains")
+    n = names.count()
+    labels = stored(per_train.select("label").distinct(), "labels")
+    draws = names.select("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    draws = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_k"), F.lit(max(1, n))).alias("_k")).groupBy("replicate", "_k").agg(F.count(F.lit(1)).alias("_w"))
+    counted = per_train.join(names, "train").join(draws, "_k").groupBy("replicate", "label").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("truth_n", "pred_n", "tp")])
+    each = labels.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).join(counted, ["replicate", "label"], "left").fillna(0, ["truth_n", "pred_n", "tp"])
+    long = lambda df, *keep: df.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])).alias("m")).select(*keep, "m.*")
+    values = long(_scores(each), "label").groupBy("label", "metric").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("mean"))
+    whole = per_train.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("truth_n", "pred_n", "tp")])
+    seen = long(_scores(whole), "label").withColumnRenamed("value", "observed")
+    tail = (1 - level) / 2
+    return seen.join(values, ["label", "metric"]).select("label", "metric", "observed", F.size("v").cast("long").alias("replicates"), "mean", quantile_6(F.col("v"), tail).alias("low"), quantile_6(F.col("v"), 1 - tail).alias("high"))
 
 
 def iou_sensitivity(pred: DataFrame, truth: DataFrame, grid: tuple[float, ...] = (0.1, 0.25, 0.5)) -> DataFrame:
@@ -89,6 +112,42 @@ def iou_sensitivity(pred: DataFrame, truth: DataFrame, grid: tuple[float, ...] =
     return out
 
 
+def rater_agreement(events: DataFrame, least: float = 0.25) -> DataFrame:
+    """A row for each two raters of events (rater, train, label, start, end): how many of their events match (whatever the label), with the same label, how well, and Cohen's kappa of the labels,
+    where an event without a match has the label none on the other side."""
+    names = events.select("rater").distinct()  # a row for each rater
+    pairs = stored(names.select(F.col("rater").alias("rater_a")).join(names.select(F.col("rater").alias("rater_b")), F.col("rater_a") < F.col("rater_b")), "rater-pairs")
+    side = lambda c: events.join(F.broadcast(pairs), events["rater"] == pairs[c]).select("rater_a", "rater_b", "train", "label", "start", "end")
+    a, b = side("rater_a"), side("rater_b")
+    by, keys = ["rater_a", "rater_b"], ["rater_a", "rater_b", "train"]
+    m = stored(matched(a, b, least, tuple(keys)), "rater-matches")
+    apart = lambda df, s: df.join(m.select(*keys, F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end")), [*keys, "start", "end"], "left_anti")
+    none = F.lit("none")
+    labels = m.select(*by, F.col("pred_label").alias("x"), F.col("truth_label").alias("y")).unionByName(apart(a, "pred").select(*by, F.col("label").alias("x"), none.alias("y"))).unionByName(apart(b, "truth").select(*by, none.alias("x"), F.col("label").alias("y")))
+    labels = stored(labels.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n")), "rater-labels")
+    total = labels.groupBy(*by).agg(F.sum("n").alias("event_union_n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("_same"))
+    one = lambda c: labels.groupBy(*by, F.col(c).alias("label")).agg(F.sum("n").alias(f"_{c}"))
+    chance = one("x").join(one("y"), [*by, "label"]).groupBy(*by).agg(F.sum(F.col("_x") * F.col("_y")).alias("_chance"))
+    error = (F.abs(F.col("pred_start") - F.col("truth_start")) + F.abs(F.col("pred_end") - F.col("truth_end"))) / 2
+    found = m.groupBy(*by).agg(F.count(F.lit(1)).alias("matched_event_n"), F.count_if(F.col("pred_label") == F.col("truth_label")).alias("same_label_match_n"), F.avg("iou").alias("mean_iou_matched"), F.avg(error).alias("mean_boundary_abs_error_isi"))
+    count = lambda df, n: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
+    x = pairs.join(total, by, "left").join(chance, by, "left").join(found, by, "left").join(count(a, "_a"), by, "left").join(count(b, "_b"), by, "left").fillna(0, ["event_union_n", "_same", "_chance", "matched_event_n", "same_label_match_n", "_a", "_b"])
+    n = F.col("event_union_n")
+    po, pe = F.col("_same") / n, F.col("_chance") / n / n
+    f1 = F.when(n > 0, 2 * F.col("same_label_match_n") / (F.col("_a") + F.col("_b")))
+    return x.select(*by, "event_union_n", "matched_event_n", "same_label_match_n", F.when(pe < 1, (po - pe) / (1 - pe)).alias("label_kappa"), f1.alias("event_f1_same_label"), "mean_iou_matched", "mean_boundary_abs_error_isi")
+
+
+def overfit(pred: DataFrame, truth: DataFrame, parts: DataFrame, least: float = 0.25, gap: float = 0.2) -> DataFrame:
+    """By label: precision and recall on the calibration trains and on the validation trains (parts: train, part), their differences, and whether the recall falls by more than gap."""
+    p, t = pred.join(parts, "train"), truth.join(parts, "train")
+    m = event_metrics(p, t, matched(pred, truth, least).join(parts, "train"), ["part", "label"])
+    one = lambda c, part: F.max(F.when(F.col("part") == part, F.col(c)))
+    x = m.groupBy("label").agg(*[one(c, part).alias(f"{c}_{part}") for c in ("precision", "recall") for part in ("calibration", "validation")])
+    x = x.withColumns({f"{c}_gap": F.col(f"{c}_calibration") - F.col(f"{c}_validation") for c in ("precision", "recall")})
+    return x.withColumn("possible_overfit", F.coalesce(F.col("recall_gap") > gap, F.lit(False)))
+
+
 def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
     """Per equal-width bin of scores (0 to 1) with outcomes (0 or 1): count, mean score, rate and gap."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))

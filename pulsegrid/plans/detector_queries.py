@@ -25,20 +25,68 @@ def low_tail_bins(spark, d):
     return th.low_bins(trains(spark, d), 0.08)
 
 
-@query()
-def resolved_thresholds(spark, d):
-    return rounded(th.resolved(spark, th.histogram_bands(trains(spark, d)), manual={"burst": (None, 0.009, None)}))
+#: The suggested bands from the same pooled numbers: a row for each pattern.
+HISTOGRAM_BANDS = """, p AS (SELECT count(*) AS n, min(isi) AS o, quantile_cont(isi, 0.005) AS q005, quantile_cont(isi, 0.1) AS q10, quantile_cont(isi, 0.15) AS q15, quantile_cont(isi, 0.2) AS q20,
+ quantile_cont(isi, 0.25) AS q25, quantile_cont(isi, 0.35) AS q35, quantile_cont(isi, 0.5) AS q50, quantile_cont(isi, 0.75) AS q75, quantile_cont(isi, 0.9) AS q90, quantile_cont(isi, 0.95) AS q95 FROM s WHERE valid),
+lim AS (SELECT *, least(greatest(q35, 0.03), 0.08) AS xmax, o > 0.015 AND o <= q50 * 0.45 AS slow FROM p),
+cnt AS (SELECT floor(isi / 0.005)::INT + 1 AS i, count(*) AS c FROM s, lim WHERE valid AND isi <= xmax GROUP BY ALL),
+bin AS (SELECT i, coalesce(c, 0) AS c, (i - 0.5) * 0.005 AS mid FROM (SELECT unnest(range(1, (SELECT ceil(round(xmax / 0.005, 9))::INT FROM lim) + 2)) AS i) LEFT JOIN cnt USING (i)),
+pk AS (SELECT i AS peak, c AS height FROM bin, lim WHERE mid >= 0.001 AND mid <= least(xmax, greatest(0.04, q15, o * 1.1)) AND c > 0 ORDER BY c DESC, i LIMIT 1),
+nb AS (SELECT i, c, lag(c) OVER (ORDER BY i) AS b, lead(c) OVER (ORDER BY i) AS a FROM bin),
+vl AS (SELECT coalesce(min(i) FILTER (c <= b AND c <= a), min(i) FILTER (c <= 0.55 * height)) * 0.005 AS v FROM nb, pk WHERE i > peak AND i <= peak + 10 AND (SELECT sum(c) FROM bin) >= 8),
+hi AS (SELECT lim.*, greatest(CASE WHEN v > 0.001 THEN v WHEN slow THEN least(greatest(q10, q15, o * 1.05, o), greatest(q25, o)) ELSE least(greatest(q10, 0.006), 0.015) END, CASE WHEN slow THEN o ELSE 0 END) AS h FROM lim, vl),
+br AS (SELECT *, greatest(0.001, least(q005, h * 0.25)) AS lo, least(greatest(h * 1.5, h + 0.005), CASE WHEN slow THEN greatest(h * 1.8, q20, least(q25, q50 * 0.85)) ELSE 0.05 END) AS b0 FROM hi),
+f AS (SELECT *, CASE WHEN slow AND b0 <= h THEN greatest(h * 1.25, h + 0.005) ELSE b0 END AS b FROM br),
+bands AS (SELECT 'burst' AS pattern, lo AS low, h AS high, b AS bridge, 2.5 AS contrast FROM f
+UNION ALL SELECT 'high_frequency_spiking', lo, greatest(b, h), greatest(b * 2, 0.03), NULL FROM f
+UNION ALL SELECT 'high_frequency_tonic', greatest(h, least(q25, 0.03)), greatest(q25, b, 0.02), greatest(q25, b * 1.3, 0.03), NULL FROM f
+UNION ALL SELECT 'tonic', greatest(q25, b, 0.02), greatest(q75, q50, 0.05), greatest(q90, q75, 0.08), NULL FROM f
+UNION ALL SELECT 'pause', greatest(q90, 0.08), greatest(q95, q90, 0.15), greatest(q95, q90, 0.15), NULL FROM f)"""
+
+
+@query(f"{HISTOGRAM_BANDS} SELECT pattern, round(low, 9) AS low, round(high, 9) AS high, round(bridge, 9) AS bridge, contrast::DOUBLE AS contrast FROM bands")
+def histogram_thresholds(spark, d):
+    found = th.histogram_bands(trains(spark, d))
+    return rounded(spark.createDataFrame([(p, *band) for p, band in found.items()], "pattern string, low double, high double, bridge double, contrast double"))
+
+
+MANUAL_BANDS = """, sides AS (SELECT *, lag(isi) OVER w AS pre, lead(isi) OVER w AS post, CASE WHEN valid THEN manual ELSE '' END AS l FROM s WINDOW w AS (PARTITION BY train ORDER BY idx)),
+c AS (SELECT *, idx - row_number() OVER (PARTITION BY train, l ORDER BY idx) AS run FROM sides WHERE l <> ''),
+e AS (SELECT CASE WHEN l IN ('burst', 'long_burst', 'possible_burst') THEN 'burst' ELSE l END AS pattern, quantile_cont(isi, 0.05) AS q05, quantile_cont(isi, 0.1) AS q10, quantile_cont(isi, 0.9) AS q90, quantile_cont(isi, 0.95) AS q95,
+ arg_min(coalesce(pre, -1), idx) AS pre, arg_max(coalesce(post, -1), idx) AS post FROM c GROUP BY train, l, run),
+m AS (SELECT pattern, count(*) AS events, CASE WHEN pattern = 'burst' THEN greatest(quantile_cont(q05, 0.25), 0) ELSE quantile_cont(q10, 0.5) END AS low, quantile_cont(q90, 0.5) AS high,
+ CASE WHEN pattern = 'burst' THEN greatest(quantile_cont(q95, 0.75), quantile_cont(q90, 0.5)) ELSE quantile_cont(q95, 0.75) END AS bridge,
+ CASE WHEN pattern = 'burst' THEN greatest(1.2, quantile_cont(least(pre, post) / q90, 0.25) FILTER (pre >= 0 AND post >= 0)) END AS contrast FROM e GROUP BY pattern)"""
+
+
+def manual_events(rows):
+    """Runs of labels by hand over valid intervals, with the intervals beside them."""
+    from pulsegrid.operators.isi import in_train
+    from pulsegrid.operators.runs import segments
 
+    rows = rows.withColumns({"_pre": F.lag("isi").over(in_train()), "_post": F.lead("isi").over(in_train())})
+    label = F.when(F.col("valid"), F.col("manual")).otherwise("")
+    return segments(rows, label, F.collect_list("isi").alias("isi_values"), F.min_by("_pre", "idx").alias("pre"), F.max_by("_post", "idx").alias("post")).where("label <> ''")
 
-@query(""", c AS (SELECT train, idx, isi, manual AS label, idx - row_number() OVER (PARTITION BY train, manual ORDER BY idx) AS run FROM s WHERE manual <> '' AND valid),
-e AS (SELECT label, train, run, quantile_cont(isi, 0.1) AS lo, quantile_cont(isi, 0.9) AS hi FROM c GROUP BY ALL)
-SELECT label, count(*) AS events, round(quantile_cont(lo, 0.1), 9) AS low, round(quantile_cont(hi, 0.9), 9) AS high FROM e GROUP BY label""")
-def manual_thresholds(spark, d):
-    from pulsegrid.operators.runs import segments
 
+@query(f"{MANUAL_BANDS} SELECT pattern, events, round(low, 9) AS low, round(high, 9) AS high, round(bridge, 9) AS bridge, round(contrast, 9) AS contrast FROM m")
+def manual_thresholds(spark, d):
+    return rounded(th.manual_bands(manual_events(labelled(trains(spark, d)))))
+
+
+@query(f"""{HISTOGRAM_BANDS}{MANUAL_BANDS}, def AS (SELECT * FROM (VALUES ('burst', 0.001, 0.01, 0.015, 2.5), ('high_frequency_spiking', 0.001, 0.02, 0.03, NULL), ('high_frequency_tonic', 0.01, 0.02, 0.025, NULL), ('tonic', 0.02, 0.06, 0.075, NULL), ('pause', 0.1, 0.15, 0.15, NULL)) AS t(pattern, low, high, bridge, contrast)),
+long AS (UNPIVOT (SELECT pattern, 'h' AS src, low::DOUBLE AS low, high::DOUBLE AS high, bridge::DOUBLE AS bridge, contrast::DOUBLE AS contrast FROM bands UNION ALL SELECT pattern, 'm', low, high, bridge, contrast FROM m UNION ALL SELECT pattern, 'd', low, high, bridge, contrast FROM def) ON low, high, bridge, contrast INTO NAME field VALUE v),
+pick AS (SELECT p.pattern, f.field, max(v) FILTER (src = 'm') AS manual, max(v) FILTER (src = 'h') AS histogram, max(v) FILTER (src = 'd') AS "default" FROM def p CROSS JOIN (SELECT unnest(['low', 'high', 'bridge', 'contrast']) AS field) f LEFT JOIN long USING (pattern, field) GROUP BY ALL),
+ch AS (SELECT *, coalesce(manual, histogram, "default") AS v, CASE WHEN manual IS NOT NULL THEN 'manual' WHEN histogram IS NOT NULL THEN 'histogram' WHEN "default" IS NOT NULL THEN 'default' ELSE 'none' END AS source FROM pick),
+w AS (SELECT pattern, max(v) FILTER (field = 'low') AS l, max(v) FILTER (field = 'high') AS h0, max(v) FILTER (field = 'bridge') AS b0, max(v) FILTER (field = 'contrast') AS s, max("default") FILTER (field = 'high') AS d FROM ch GROUP BY pattern),
+x AS (SELECT *, CASE WHEN h0 > l THEN h0 ELSE greatest(l + 0.001, d) END AS h FROM w),
+y AS (SELECT pattern, s, CASE WHEN pattern = 'high_frequency_tonic' THEN greatest(l, (SELECT h FROM x WHERE pattern = 'burst')) ELSE l END AS l, h, greatest(b0, h) AS b FROM x),
+z AS (SELECT pattern, s, l, CASE WHEN pattern = 'high_frequency_tonic' AND h <= l THEN greatest(l * 1.5, l + 0.001) ELSE h END AS h, b FROM y)
+SELECT ch.pattern, field, NULL::DOUBLE AS "user", round(manual, 9) AS manual, round(histogram, 9) AS histogram, round("default"::DOUBLE, 9) AS "default",
+ round(CASE field WHEN 'low' THEN l WHEN 'high' THEN h WHEN 'bridge' THEN greatest(b, h) ELSE s END, 9) AS effective, source FROM ch JOIN z USING (pattern)""")
+def resolved_thresholds(spark, d):
     rows = labelled(trains(spark, d))
-    seg = segments(rows.withColumn("manual", F.when(F.col("valid"), F.col("manual")).otherwise("")), F.col("manual"), F.collect_list("isi").alias("isi_values")).where("label <> ''")
-    return rounded(th.manual_bands(seg))
+    return rounded(th.resolved(spark, th.histogram_bands(rows), manual=th.as_bands(th.manual_bands(manual_events(rows)))))
 
 
 def settings(spark, d) -> Grammar:
@@ -112,9 +160,10 @@ def mean_isi_threshold(spark, d):
     return rounded(su.mean_isi(trains(spark, d)))
 
 
-@query(""", v AS (SELECT *, avg(isi) OVER (PARTITION BY train) AS m FROM s WHERE valid), l AS (SELECT train, avg(isi) FILTER (isi < m) AS ml FROM v GROUP BY train),
-w AS (SELECT a.train, a.idx AS start, b.idx AS e FROM s a JOIN s b ON a.train = b.train AND b.idx BETWEEN a.idx + 1 AND a.idx + 59 JOIN l ON l.train = a.train
- WHERE (SELECT count(*) FILTER (NOT valid) = 0 AND avg(isi) <= ml * (1 + 1e-12) FROM s c WHERE c.train = a.train AND c.idx BETWEEN a.idx AND b.idx)),
+@query(""", v AS (SELECT *, avg(isi) OVER (PARTITION BY train) AS m FROM s WHERE valid), l AS (SELECT train, avg(isi) FILTER (isi < m) AS ml FROM v GROUP BY train HAVING count(*) >= 2),
+c AS (SELECT train, idx, isi, sum(isi) OVER w AS total, sum((NOT valid)::INT) OVER w AS bad FROM s WINDOW w AS (PARTITION BY train ORDER BY idx)),
+w AS (SELECT a.train, a.idx AS start, b.idx AS e FROM c a JOIN c b ON a.train = b.train AND b.idx > a.idx JOIN l ON l.train = a.train JOIN s ON s.train = a.train AND s.idx = a.idx AND s.valid
+ WHERE b.bad = a.bad AND b.total - a.total + a.isi <= ml * (b.idx - a.idx + 1) + ml * 1e-9),
 k AS (SELECT *, max(e) OVER (PARTITION BY train ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM w),
 g AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY train ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS run FROM k)
 SELECT train, min(start) AS start, max(e) AS "end" FROM g GROUP BY train, run""")

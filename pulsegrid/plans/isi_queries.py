@@ -118,9 +118,11 @@ def isi_state_features(spark, d):
 
 
 @query(""", v AS (SELECT *, min(t) OVER w AS a, max(t) OVER w AS b, count(*) OVER w AS n FROM s WHERE valid WINDOW w AS (PARTITION BY train)),
-m AS (SELECT train, least(greatest(ceil((t - a) / (b - a) * 8), 1), 8) AS bin, quantile_cont(isi, 0.5) AS m FROM v WHERE n >= 30 AND b > a GROUP BY ALL),
-o AS (SELECT train, count(*) AS bins, round(max(m) / min(m), 6) AS ratio FROM m GROUP BY train)
-SELECT *, CASE WHEN bins < 3 THEN 'too_few' WHEN ratio >= 6 THEN 'high' WHEN ratio >= 3 THEN 'warn' ELSE 'stable' END AS drift FROM o""")
+m AS (SELECT train, least(greatest(ceil((t - a) / (b - a) * 8), 1), 8) AS bin, quantile_cont(isi, 0.5) AS m FROM v WHERE n >= 60 AND b > a GROUP BY ALL),
+o AS (SELECT train, count(*) AS k, max(m) / min(m) AS r FROM m GROUP BY train),
+n AS (SELECT train, count(*) AS spikes, count(*) FILTER (valid) AS valids FROM s GROUP BY train)
+SELECT n.train, CASE WHEN spikes < 3 THEN 'unavailable' WHEN valids < 60 THEN 'low_n' WHEN coalesce(k, 0) < 3 THEN 'unavailable' WHEN r >= 6 THEN 'warning_high_drift' WHEN r >= 3 THEN 'warning' ELSE 'ok' END AS status,
+ CASE WHEN k >= 3 THEN round(r, 6) END AS ratio, CASE WHEN k >= 3 THEN round(log10(r), 6) END AS log_range, coalesce(k, 0) AS bins FROM n LEFT JOIN o USING (train)""")
 def train_stationarity(spark, d):
     return rounded(isi.stationarity(trains(spark, d)), 6)
 

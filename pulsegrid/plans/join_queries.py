@@ -122,10 +122,10 @@ def lag_join(spark, d):
 
 def neighbours(rows):
     """Each train with the next one: as many pairs as trains."""
-    from pyspark.sql.window import Window
+    from pulsegrid.sources.shared import ranked, stored
 
-    names = rows.select(F.col("train").alias("a")).distinct()  # a row for each train
-    return names.withColumn("b", F.lead("a").over(Window.orderBy("a"))).where("b is not null")
+    names = stored(ranked(rows.select(F.col("train").alias("a")).distinct(), F.col("a"), name="k"), "numbered-trains")
+    return names.join(names.select(F.col("a").alias("b"), (F.col("k") - 1).alias("k")), "k").select("a", "b")
 
 
 @query(""", e AS (SELECT train, event_id AS trial, us AS event_us FROM s WHERE kind = 'error'),

@@ -51,15 +51,18 @@ def hard_threshold_runs(spark, d):
     return rounded(runs.runs(trains(spark, d), F.col("valid") & (F.col("isi") <= 0.03), q("isi", 0.9).alias("q90"), least=3))
 
 
-@query(""", w AS (SELECT a.train, a.idx AS start, k AS width FROM s a, (SELECT unnest(range(2, 9)) AS k) WHERE a.valid),
-g AS (SELECT w.train, w.start, w.width, quantile_cont(b.isi, 0.9) AS q90, count(*) FILTER (b.valid) AS n FROM w JOIN s b ON b.train = w.train AND b.idx BETWEEN w.start AND w.start + w.width - 1 GROUP BY ALL),
-e AS (SELECT g.*, p.isi AS pre, x.isi AS post FROM g JOIN s p ON p.train = g.train AND p.idx = g.start - 1 JOIN s x ON x.train = g.train AND x.idx = g.start + g.width WHERE n = width AND p.isi IS NOT NULL)
-SELECT train, start, start + width - 1 AS "end", width::INT AS width, round(q90, 9) AS q90, round(least(pre, post) / q90, 6) AS least, round(sqrt(pre * post) / q90, 6) AS geometric
-FROM e WHERE q90 <= 0.03 AND least(pre, post) / q90 >= 1.2 AND sqrt(pre * post) / q90 >= 1.5""")
+@query(""", r AS (SELECT train, idx, 100 * cume_dist() OVER (PARTITION BY train ORDER BY isi) AS pct FROM s WHERE valid),
+w AS (SELECT p.train, p.idx + 1 AS start, k AS width, p.isi AS pre, x.isi AS post FROM s p, (SELECT unnest(range(2, 9)) AS k), s x WHERE p.isi IS NOT NULL AND x.train = p.train AND x.idx = p.idx + k + 1),
+g AS (SELECT w.train, w.start, w.width, any_value(pre) AS pre, any_value(post) AS post, quantile_cont(b.isi, 0.9) FILTER (b.valid) AS q90, max(pct) AS top FROM w JOIN s b ON b.train = w.train AND b.idx BETWEEN w.start AND w.start + w.width - 1 LEFT JOIN r ON r.train = b.train AND r.idx = b.idx GROUP BY w.train, w.start, w.width)
+SELECT train, start, start + width - 1 AS "end", width::INT AS width, round(q90, 9) AS q90, round(top, 6) AS max_pct, round(least(pre, post) / q90, 6) AS least, round(sqrt(pre * post) / q90, 6) AS geometric
+FROM g WHERE (q90 <= 0.03 OR top <= 45) AND least(pre, post) / q90 >= 1.2 AND sqrt(pre * post) / q90 >= 1.5""")
 def structure_scan(spark, d):
+    from pulsegrid.operators.isi import percentile_rank
+
     from .registry import r
 
-    return runs.structure_scan(trains(spark, d), (2, 8), 0.03, 1.2, 1.5).select("train", "start", "end", "width", r("q90").alias("q90"), r("least", 6).alias("least"), r("geometric", 6).alias("geometric"))
+    x = runs.structure_scan(percentile_rank(trains(spark, d)), (2, 8), 0.03, 45.0, 1.2, 1.5)
+    return x.select("train", "start", "end", "width", r("q90").alias("q90"), r("max_pct", 6).alias("max_pct"), r("least", 6).alias("least"), r("geometric", 6).alias("geometric"))
 
 
 @query(f""", f AS ({ISLANDS} valid AND isi <= 0.03), a AS (SELECT train, min(idx) AS start, max(idx) AS e FROM f GROUP BY train, run),

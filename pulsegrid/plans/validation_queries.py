@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from pulsegrid.operators import runs
 from pulsegrid.operators import validation as va
 from pulsegrid.sources.events import labelled, trains
+from pulsegrid.sources.shared import stored
 
 from .join_queries import SPANS, spans
 from .registry import query, rounded
@@ -48,8 +49,8 @@ def iou_sensitivity(spark, d):
 @query()
 def bootstrap_f1(spark, d):
     m, p = spans(spark, d)
-    c = va.event_metrics(p, m, va.matched(p, m), ["train"]).select("train", "tp", "fp", "fn")
-    return rounded(va.cluster_bootstrap(c))
+    c = va.event_metrics(p, m, va.matched(p, m), ["train", "label"]).select("train", "label", "truth_n", "pred_n", "tp")
+    return rounded(va.cluster_bootstrap(stored(c, "per-train")))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -35,21 +36,46 @@ def is_result_table(columns: list[str], path: str = "") -> bool:
     return bool(re.search(r"(events|ledger|audit|summary|metrics|labels)(\.csv)?$", path.rsplit("/", 1)[-1], re.I)) or hits >= 3 or (len(columns) > 0 and hits / len(columns) >= 0.35)
 
 
+#: Seconds that times may be away from zero before a file's times are counted from its first one: 64 bits hold 106 days in steps of 1 / SCALE.
+FAR = 8e6
+ADDED = ("_order", "_file")
+
+
 def _wide(spark: SparkSession, path: str | list[str]) -> DataFrame:
     df = spark.read.option("header", True).csv(path)
     if is_result_table(df.columns, path if isinstance(path, str) else path[0]):
         raise ValueError("this file holds results, not spike times")
-    return df.withColumn("_order", F.monotonically_increasing_id())
+    return df.withColumns({"_order": F.monotonically_increasing_id(), "_file": F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1)})
+
 
+def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    x = df.select(F.explode(F.array(*[F.col(f"`{c}`").try_cast("double") for c in columns])).alias("t"))
+    return x.where(F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf")))
 
-def _long(df: DataFrame, columns: list[str], unit: str) -> DataFrame:
-    """Finite numbers of the columns, one a row, in microseconds of train time."""
+
+def origin(df: DataFrame, columns: list[str], unit: str) -> float:
+    """Seconds at which the times of the columns begin to count: 0, or the first of them if they are far from that (as seconds since 1970 are)."""
+    if not columns:
+        return 0.0
+    first, last = _numbers(df, columns).agg(F.min("t"), F.max("t")).first()
+    scale = 1000 if unit == "ms" else 1
+    if first is None or max(abs(first), abs(last)) / scale < FAR:
+        return 0.0
+    if (last - first) / scale >= FAR:
+        raise ValueError("times span more than 90 days")
+    return float(math.floor(first / scale))
+
+
+def _long(df: DataFrame, columns: list[str], unit: str, start: float = 0.0, by_file: bool = False) -> DataFrame:
+    """Finite numbers of the columns, one a row, as whole steps of 1 / SCALE seconds since start."""
     if not columns:
         return df.sparkSession.createDataFrame([], TIMES)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("train"), F.col(f"`{c}`").try_cast("double").alias("t")) for c in columns]))
-    factor = SCALE / (1000 if unit == "ms" else 1)
-    x = df.select("_order", pairs.alias("p")).select("p.train", F.col("_order").alias("input_order"), F.col("p.t").alias("t"))
-    return x.where(F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf"))).select("train", "input_order", F.round(F.col("t") * factor).cast("long").alias("us"))
+    scale = 1000 if unit == "ms" else 1
+    name = F.concat_ws("/", "_file", "p.train") if by_file else F.col("p.train")
+    x = df.select("_order", "_file", pairs.alias("p")).select(name.alias("train"), F.col("_order").alias("input_order"), F.col("p.t").alias("t"))
+    x = x.where(F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf")))
+    return x.select("train", "input_order", F.round((F.col("t") - start * scale) * (SCALE / scale)).cast("long").alias("us"))
 
 
 def name_metadata(name: Column) -> dict[str, Column]:
@@ -84,45 +110,47 @@ def _trains(spikes: DataFrame) -> DataFrame:
     return spikes.select("train").distinct().withColumns(name_metadata(F.col("train")))
 
 
-def _events(df: DataFrame, columns: list[str], unit: str) -> DataFrame:
-    x = _long(df, columns, unit).select(F.col("train").alias("event_name"), F.col("us").alias("event_us"))
+def _events(df: DataFrame, columns: list[str], unit: str, start: float = 0.0) -> DataFrame:
+    x = _long(df, columns, unit, start).select(F.col("train").alias("event_name"), F.col("us").alias("event_us"))
     x = x.withColumn("event_name", F.coalesce(F.nullif(F.regexp_replace("event_name", EVENT_COLUMN, ""), F.lit("")), F.lit("Event")))
     k = F.row_number().over(Window.partitionBy("event_name").orderBy("event_us"))
     return x.withColumn("event_id", F.concat_ws("_", "event_name", k.cast("string")))
 
 
-def read_raw(spark: SparkSession, path: str | list[str], unit: str = "s", duplicates: str = "warn_keep", min_isi: float = MIN_ISI) -> Dataset:
+def read_raw(spark: SparkSession, path: str | list[str], unit: str = "s", duplicates: str = "warn_keep", min_isi: float = MIN_ISI, by_file: bool = False) -> Dataset:
     """Files with a column of times for each train; columns called event... hold task events. Empty cells, text and non-finite numbers are passed over, times are sorted.
-    duplicates: warn_keep, collapse_exact or error_keep (raises if a train repeats a time)."""
+    duplicates: warn_keep, collapse_exact or error_keep (raises if a train repeats a time). by_file: trains are named file/column. Times far from zero count from the first one (us), t is as in the file."""
     df = _wide(spark, path)
-    names = [c for c in df.columns if c != "_order"]
+    names = [c for c in df.columns if c not in ADDED]
     events = [c for c in names if re.search(EVENT_COLUMN, c)]
-    times = _long(df, [c for c in names if c not in events], unit)
+    start = origin(df, names, unit)
+    times = _long(df, [c for c in names if c not in events], unit, start, by_file)
     kept, counts = collapse_duplicates(times)
     if duplicates == "error_keep" and not counts.where("dropped > 0").isEmpty():
         raise ValueError("a train repeats a time")
     times = kept if duplicates == "collapse_exact" else times
-    x = times.withColumns({"event_id": F.col("input_order"), "t": F.col("us") / F.lit(SCALE)})
-    return Dataset(intervals(x, min_isi), _trains(x).join(counts, "train").join(input_anomalies(times), "train"), _events(df, events, unit))
+    x = times.withColumns({"event_id": F.col("input_order"), "t": F.col("us") / F.lit(SCALE) + start})
+    return Dataset(intervals(x, min_isi), _trains(x).join(counts, "train").join(input_anomalies(times), "train"), _events(df, events, unit, start))
 
 
 def read_labelled(spark: SparkSession, path: str | list[str], unit: str = "s", min_isi: float = MIN_ISI) -> Dataset:
     """Files with X_timestamp and X_ISI for each train X, and columns of labels; a file's own interval is kept as isi_file with its difference from the times (mismatch)."""
     df = _wide(spark, path)
-    names = [c for c in df.columns if c != "_order"]
+    names = [c for c in df.columns if c not in ADDED]
     trains = [c.removesuffix("_timestamp") for c in names if c.endswith("_timestamp") and f"{c.removesuffix('_timestamp')}_ISI" in names]
     if not trains:
         raise ValueError("no train has both X_timestamp and X_ISI")
-    factor = SCALE / (1000 if unit == "ms" else 1)
+    scale = 1000 if unit == "ms" else 1
+    start = origin(df, [f"{t}_timestamp" for t in trains], unit)
 
     def cell(train: str) -> Column:
         labels = {k: F.coalesce(*[F.nullif(F.trim(F.col(f"`{train}{s}`")), F.lit("")) for s in ends if f"{train}{s}" in names], F.lit("")) for k, ends in LABEL_SUFFIXES.items()}
         return F.struct(F.lit(train).alias("train"), F.col(f"`{train}_timestamp`").try_cast("double").alias("t"), F.col(f"`{train}_ISI`").try_cast("double").alias("isi_file"), *[c.alias(k) for k, c in labels.items()])
 
     x = df.select(F.col("_order").alias("event_id"), F.explode(F.array(*[cell(t) for t in trains])).alias("p")).select("event_id", "p.*").where(F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf")))
-    x = x.withColumn("us", F.round(F.col("t") * factor).cast("long")).withColumn("t", F.col("us") / F.lit(SCALE))
+    x = x.withColumn("us", F.round((F.col("t") - start * scale) * (SCALE / scale)).cast("long")).withColumn("t", F.col("us") / F.lit(SCALE) + start)
     x = intervals(x, min_isi).withColumn("mismatch", F.abs(F.col("isi") - F.col("isi_file") / (1000 if unit == "ms" else 1)))
-    return Dataset(x, _trains(x), _events(df, [c for c in names if re.search(EVENT_COLUMN, c)], unit))
+    return Dataset(x, _trains(x), _events(df, [c for c in names if re.search(EVENT_COLUMN, c)], unit, start))
 
 
 def read(spark: SparkSession, path: str, mode: str = "raw", **options) -> Dataset:

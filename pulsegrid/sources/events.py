@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-#: Microseconds at which trains begin to count, and microseconds in a second of train time (a scale of one to a million).
+#: Microseconds since 1970 at which trains begin to count, and steps of a train's whole-number times in a second of train time (of this table, where a second of train time is a million seconds, they are microseconds).
 EPOCH_US, SCALE = 1_704_067_200_000_000, 1e12
 #: Seconds: the shortest interval that can be real, and the upper bound of the refractory period.
 MIN_ISI, REFRACTORY = 0.0009, 0.002

@@ -59,9 +59,20 @@ def test_greedy_match_and_delta(spark):
 
 
 def test_bootstrap(spark):
-    c = spark.createDataFrame([(i, 8, 1, 1) for i in range(20)], "train long, tp long, fp long, fn long")
-    r = va.cluster_bootstrap(c).first()
-    assert r.low == r.median == r.high == pytest.approx(16 / 18)
+    c = spark.createDataFrame([(i, "burst", 9, 9, 8) for i in range(20)] + [(0, "pause", 1, 0, 0)], "train long, label string, truth_n long, pred_n long, tp long")
+    r = {(x.label, x.metric): x for x in va.cluster_bootstrap(c).collect()}
+    assert len(r) == 2 * len(va.METRICS)
+    f1 = r["burst", "f1"]
+    assert (f1.low, f1.mean, f1.high, f1.observed) == pytest.approx((16 / 18,) * 4) and f1.replicates == 200
+    # a train is in a replicate as often as it is drawn; where it isn't, its label has no recall
+    pause = r["pause", "truth_n"]
+    assert pause.low == 0 and 0.7 < pause.mean < 1.3 and pause.high >= 3 and pause.replicates == 200
+    assert r["pause", "recall"].replicates < 160 and r["pause", "precision"].replicates == 0 and r["pause", "precision"].low is None
+
+
+def test_quantile_of_kind_6(spark):
+    x = spark.createDataFrame([([1.0, 2.0, 4.0, 8.0],), ([],)], "v array<double>").select(*[va.quantile_6(F.col("v"), p) for p in (0.025, 0.5, 0.3, 0.975)]).collect()
+    assert tuple(x[0]) == (1.0, 3.0, 1.5, 8.0) and tuple(x[1]) == (None,) * 4
 
 
 def test_surrogates_keep_intervals(spark):
