@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pulsegrid.sources.shared import new_folder, ranked, shared_dir, stored
+
+__all__ = ["aside", "ascii_lower", "batches_of", "held_out", "new_folder", "ranked", "shared_dir", "small", "stored", "table", "without_clashes"]
 
 #: Rows that a broadcast side may have; such sides are narrow (under 100 bytes a row).
 BROADCAST_ROWS = 300_000
@@ -23,28 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Without one: a temporary folder on a single machine, an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/pulsegrid/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once, its lineage is cut, and lost executors take nothing with them."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; otherwise as it is, for a shuffled join that AQE can split where it is skewed. df should be stored() already, so that counting it is cheap."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -61,18 +39,8 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-
-
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Numbers all rows from 0 by order, without bringing them into one task: range partitions, a count of each, and the row's place in its own."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # at most n rows, one for each range
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+        del b
+        pa.default_memory_pool().release_unused()  # a worker lives on through later stages
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -85,3 +53,9 @@ def without_clashes(df: DataFrame, *names: str) -> DataFrame:
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
+
+def aside(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text", "lang", "source")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(docs with all columns but those needed under names that no operator uses, what gives a result its own columns back). So a column keeps its values even if an
+    operator adds one of its name."""
+    names = [c if c in needed else f"_aside{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*names).toDF(*docs.columns)

@@ -8,8 +8,6 @@ stream of ids; SeekableTokens reads the tables at its end and then only the fram
 from __future__ import annotations
 
 import struct
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -107,12 +105,14 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python worker, which later tasks of the worker find again."""
-    kept = sys.modules.setdefault("pulsegrid_worker", types.ModuleType("pulsegrid_worker")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class _File:
@@ -180,7 +180,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """Encodes every text, appends end_id, and writes the ids in ascending id order as files under folder (a URI that driver and executors
     share). Returns the stored manifest: (part, seq, uri, docs, tokens), a row for each file, in the order of (part, seq).
 
-    Null and empty texts have end_id alone. Null ids come first. Rows that repeat an id stand beside each other, in the order of their texts; each
+    Null and empty texts have end_id alone. Null ids come first. Rows that repeat an id stand beside each other, in the order of a hash of their texts; each
     has a frame of its own. Other columns aren't read. No documents: no files. A range of ids is one task; its file is closed and the next begun
     at 128 MB, and a task never holds more than a batch of texts.
     """
@@ -212,7 +212,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["part", "seq", "uri", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id").sortWithinPartitions("_id", "_text")
+    rows = rows.withColumn("_hash", F.xxhash64("_text"))  # so rows without an id, or with the same, fill several tasks
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id", "_hash").sortWithinPartitions("_id", "_hash").drop("_hash")
     return stored(rows.mapInArrow(write, "part long, seq long, uri string, docs long, tokens long"), "manifest")
 
 

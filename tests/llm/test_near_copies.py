@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from pulsegrid.llm import near_copies as nc
 
@@ -67,3 +69,44 @@ def test_pivots_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(nc, "PIVOTS", 2)
     assert sorted(x.doc_id for x in nc.deduplicated(docs).collect()) == sorted({*plain(texts)})
     assert nc.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_shuffled_joins_find_the_same(spark, monkeypatch):
+    """Large tables aren't broadcast; then the same joins are shuffled."""
+    from pulsegrid.llm import common, decontamination, mixing, simhash
+
+    texts = planted(5)[:160] + [None, "", texts_again := "a b c d e f g h i j k l"] + [texts_again]
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    items = spark.createDataFrame([(1, "c d e f g h i j k l"), (2, "zz")], "item_id long, text string")
+
+    def results():
+        return [
+            sorted(x.doc_id for x in nc.deduplicated(docs).collect()),
+            sorted((x.doc_id, x.reps) for x in mixing.mix(docs).collect()),
+            sorted((x.doc_id, x.n_hit) for x in decontamination.contamination(docs, items).collect()),
+            sorted(x.doc_id for x in decontamination.decontaminated(docs, items).collect()),
+            sorted((x.doc_id, x.component_id) for x in simhash.near_duplicates(docs).collect()),
+        ]
+
+    sent = results()
+    for module in (nc, mixing, decontamination, simhash):
+        monkeypatch.setattr(module, "small", lambda df, rows=0: common.small(df, -1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert results() == sent
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_blocks_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(nc, "FEW", 1)
+    texts = planted(6)[-90:]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[5]), (None, None), (None, None)], "doc_id long, text string")
+    kept = nc.deduplicated(docs).collect()
+    assert sorted(x.doc_id for x in kept) == sorted({*plain(texts)})
+
+
+def test_shared_counts():
+    sets = [{1, 2, 3}, {2, 3, 4}, {9}, {1, 2, 3}]
+    both = nc.shared(np.arange(4), np.array([len(s) for s in sets]), np.array([x for s in sets for x in sorted(s)]))
+    assert [[int(v) if i != j else len(sets[i]) for j, v in enumerate(row)] for i, row in enumerate(both)] == [[len(a & b) for b in sets] for a in sets]

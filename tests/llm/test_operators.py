@@ -123,7 +123,8 @@ def test_token_files(spark, tmp_path):
     plain = Tokenizer.from_file(path)
     manifest = token_files.write_token_files(docs, f"file://{tmp_path}/t")
     got = sorted(token_files.read_token_files(manifest, with_ids=True).collect(), key=lambda r: r.start)
-    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()  # rows that repeat an id stand in the order of a hash
+    rows = [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
     start = 0
     assert len(got) == len(rows)
     for r, (i, t) in zip(got, rows, strict=True):
@@ -285,6 +286,10 @@ def test_bit_slices_and_links(spark, radius):
     near = simhash.BitSlices(a, list(range(64))).within(a, radius)
     bits = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, : len(a)].astype(bool)
     assert (bits == np.array([[(x ^ y).bit_count() <= radius for y in fps] for x in fps])).all()
+    wanted = np.packbits(np.arange(-(-len(a) // 64) * 64) % 3 == 0, bitorder="little").view(np.uint64)
+    some = simhash.BitSlices(a, list(range(64)))
+    near = np.unpackbits(some.within(a, radius, wanted).view(np.uint8), axis=1, bitorder="little")[:, : len(a)].astype(bool)
+    assert (near == bits * (np.arange(len(a)) % 3 == 0)).all()
     reps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
     found = {x.node % (1 << 64): x.root for x in simhash.components(simhash.links(reps, radius)).collect()}
     want = groups(list(range(len(fps))), fps, radius)
@@ -420,6 +425,38 @@ def test_quality(spark):
     assert hashlib.sha256(model["w"].tobytes()).digest() == hashlib.sha256(quality.fit(docs.repartition(3), labels)["w"].tobytes()).digest()
 
 
+def test_blocks_of_fingerprints_are_abandoned():
+    """Of a large bucket, a search reads on only in the blocks that still hold a fingerprint within the radius."""
+    rng = np.random.default_rng(4)
+    bits = list(range(16))
+    fps = np.sort(rng.choice(1 << 16, 4000, replace=False)).astype(np.uint64)
+    s = simhash.BitSlices(fps, bits)
+    found = s.within(fps[:1], 2)
+    want = np.array([(int(x) ^ int(fps[0])).bit_count() <= 2 for x in fps])
+    assert (np.unpackbits(found.view(np.uint8), bitorder="little")[: len(fps)].astype(bool) == want).all()
+    assert s.scanned == 63 and s.abandoned > 20
+    before = s.abandoned
+    s.within(fps[:1], 2, np.zeros_like(s.valid))
+    assert s.abandoned == before + 63  # nothing is wanted
+
+
+def test_simhash_of_null_ids_and_repeated_rows(spark):
+    t = "some words that make a text of their own here"
+    rows = [(None, t, 1), (None, t, 1), (5, t, 2), (5, t, 2), (7, "another text of quite other words than that one", 3), (None, None, 4), (9, "", 5)]
+    got = sorted(((x.doc_id, x.component_id) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()), key=repr)
+    assert got == sorted([(None, 5), (None, 5), (5, 5), (5, 5), (7, 7), (None, 9), (9, 9)], key=repr)
+    assert sorted(x.doc_id for x in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _hash int")).collect()) == [5, 7, 9]
+
+
+def test_token_files_of_rows_without_an_id(spark, tmp_path):
+    rows = [(None, f"text {i % 50}") for i in range(400)] + [(i, "again") for i in (1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = token_files.write_token_files(docs, f"file://{tmp_path}/t")
+    assert manifest.where("docs > 0").count() > 2  # they don't all meet in one task
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [x.doc_id for x in got] == [None] * 400 + [1] * 3 and len({x.start for x in got}) == 403
+
+
 def test_components_of_links_that_change_when_computed_again(spark):
     """A link's direction is drawn anew each time its plan runs, as rows that come in another order may draw another tree."""
     flip = F.udf(lambda: random.SystemRandom().random() < 0.5, "boolean").asNondeterministic()
