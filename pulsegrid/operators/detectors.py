@@ -5,9 +5,12 @@ Candidates are made by windows and joins over all trains at once; only selection
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -174,10 +177,13 @@ def pauses(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
     """Runs of intervals over the train's pause floor that are long for their surroundings and for the train."""
     x = rows.join(ref.select("train", "_floor", F.col("_q50").alias("_median"), "_n"), "train")
     long = F.coalesce(F.col("valid") & (F.col("isi") >= F.col("_floor")), F.lit(False))
-    near = in_train().rowsBetween(-11, 11)
-    others = F.concat(*[F.collect_list(F.when(F.col("valid"), F.col("isi"))).over(in_train().rowsBetween(a, b)) for a, b in ((-11, -1), (1, 11))])
-    x = x.withColumns({"_long": long, "_near": array_median(F.collect_list(F.when(F.col("valid") & ~long, F.col("isi"))).over(near)), "_others": array_median(others)})
-    local = F.coalesce("_near", "_others")
+    around = F.collect_list(F.when(F.col("valid"), F.struct("isi", "idx", "_long"))).over(in_train().rowsBetween(-11, 11))
+    x = x.withColumn("_long", long).withColumn("_around", around)
+    some = lambda keep: array_median(F.transform(F.filter("_around", keep), lambda s: s["isi"]))
+    # only intervals over the floor need it
+    local = F.when(F.col("_long"), F.coalesce(some(lambda s: ~s["_long"]), some(lambda s: s["idx"] != F.col("idx"))))
+    x = x.withColumn("_local", local)
+    local = F.col("_local")
     stands = F.col("_long") & ((F.col("_n") < 6) | ((local.isNull() | (F.col("isi") >= local * g.pause_local)) & (F.col("isi") >= F.col("_median") * g.pause_global)))
     found = stored(runs(x, stands, F.max("isi").alias("_m"), F.first("_floor").alias("_f")), "pause-spans")
     m = span_metrics(rows, found.select("train", "start", "end"), g.seed_high, g.bridge).join(found.select("train", "start", "end", (F.col("_m") / F.col("_f")).alias("score")), ["train", "start", "end"])
@@ -230,6 +236,52 @@ def value(c: DataFrame) -> Column:
     return F.when(F.col("layer") == "hard_threshold", hard).when(label == "high_frequency_spiking", 1040 * 10000 + 180 * score + 45_000 * F.least(n, F.lit(300))).when(label.isin("burst", "long_burst") & (F.col("layer") == "episode"), episode).otherwise(other).cast("double")
 
 
+def best_apart(starts: np.ndarray, ends: np.ndarray, worth: np.ndarray) -> list[int]:
+    """Places of the ranges without overlap that are worth most in all, of ranges in the order of their ends."""
+    before = ends.searchsorted(starts, side="left").tolist()  # how many end before it starts
+    best, take = [0.0], []
+    for value, b in zip(worth.tolist(), before, strict=True):
+        with_it = value + best[b]
+        take.append(with_it > best[-1])
+        best.append(max(with_it, best[-1]))
+    chosen, j = [], len(take)
+    while j > 0:
+        if take[j - 1]:
+            chosen.append(j - 1)
+            j = before[j - 1]
+        else:
+            j -= 1
+    return chosen
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of candidates sorted by train and end, those that best_apart() takes of each train; a train may go on in the next batch."""
+
+    def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        starts, ends, worth = (t.column(c).to_numpy() for c in ("start", "end", "value"))
+        named = t.column("train").combine_chunks().dictionary_encode() if t.num_rows else None
+        code = named.indices.to_numpy(zero_copy_only=False) if named is not None else np.zeros(0, int)
+        edges = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True]) if len(code) else []
+        keep = [int(a) + i for a, b in zip(edges, edges[1:], strict=False) for i in best_apart(starts[a:b], ends[a:b], worth[a:b])]
+        if keep:
+            yield from t.select(["train", "candidate"]).take(keep).combine_chunks().to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        train, last = b.column(0), b.column(0)[b.num_rows - 1]
+        differs = pc.not_equal(train, last).to_numpy(zero_copy_only=False)
+        n = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if n or (held and held[0].column(0)[0] != last):
+            yield from close([*held, b.slice(0, n)])
+            held = []
+        held.append(b.slice(n))
+    if held:
+        yield from close(held)
+
+
 def select(found: DataFrame, locked: DataFrame | None = None) -> DataFrame:
     """found plus selected: of each train's candidates, those without overlap that are worth most in all. With locked (train, idx), candidates that hold such a row are left out.
 
@@ -241,25 +293,8 @@ def select(found: DataFrame, locked: DataFrame | None = None) -> DataFrame:
         hit = range_join(pool.select("train", "candidate", "start", "end"), at, ["train"]).select("train", F.col("l_candidate").alias("candidate")).distinct()
         pool = pool.join(hit, ["train", "candidate"], "left_anti")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["end", "start", "candidate"], kind="stable").reset_index(drop=True)
-        ends, starts, worth = pdf["end"].to_numpy(), pdf["start"].to_numpy(), pdf["value"].to_numpy()
-        before = ends.searchsorted(starts, side="left")  # how many end before it starts
-        best, take = [0.0], []
-        for j in range(len(pdf)):
-            with_it = worth[j] + best[before[j]]
-            take.append(with_it > best[-1])
-            best.append(max(with_it, best[-1]))
-        chosen, j = [], len(pdf)
-        while j > 0:
-            if take[j - 1]:
-                chosen.append(j - 1)
-                j = before[j - 1]
-            else:
-                j -= 1
-        return pdf.loc[chosen, ["train", "candidate"]]
-
-    chosen = pool.select("train", "candidate", "start", "end", "value").groupBy("train").applyInPandas(choose, f"train {found.schema['train'].dataType.simpleString()}, candidate int").withColumn("selected", F.lit(True))
+    rows = pool.select("train", "candidate", "start", "end", "value").repartition("train").sortWithinPartitions("train", "end", "start", "candidate")
+    chosen = rows.mapInArrow(_chosen, f"train {found.schema['train'].dataType.simpleString()}, candidate int").withColumn("selected", F.lit(True))
     return found.join(chosen, ["train", "candidate"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 

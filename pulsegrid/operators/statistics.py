@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from pulsegrid.functions.stats import array_pair_mean, clamp, cv, lv_pair, mm, q, wilson
+from pulsegrid.functions.stats import array_pair_mean, clamp, cv, lv_pair, mm, q, sorted_quantile, wilson
 from pulsegrid.sources.shared import ranked, stored
 
 from .joins import range_join
@@ -57,11 +57,12 @@ def span_metrics(rows: DataFrame, spans: DataFrame, low: float, bridge: float) -
     at = rows.select("train", F.col("idx").alias("start"), F.col("idx").alias("end"), "isi", "valid", "suspect")
     inside = range_join(spans, at, ["train"]).where("r_valid")
     x = F.col("r_isi")
-    values = F.transform(F.array_sort(F.collect_list(F.struct("r_start", "r_isi"))), lambda s: s["r_isi"])
     out = inside.groupBy("train", F.col("l_start").alias("start"), F.col("l_end").alias("end")).agg(
-        F.count(x).alias("n_isi"), *[q(x, p).alias(f"q{int(p * 100)}") for p in (0.1, 0.5, 0.9, 0.95)], F.avg(x).alias("mean_isi"), F.max(x).alias("max_isi"), F.sum(x).alias("duration"), cv(x).alias("cv"), mm(x).alias("mm"),
-        F.count_if(x <= low).alias("core"), F.count_if((x > low) & (x <= bridge)).alias("bridges"), F.count_if("r_suspect").alias("suspects"), values.alias("isi_values"),
+        F.count(x).alias("n_isi"), F.avg(x).alias("mean_isi"), F.max(x).alias("max_isi"), F.sum(x).alias("duration"), cv(x).alias("cv"), mm(x).alias("mm"),
+        F.count_if(x <= low).alias("core"), F.count_if((x > low) & (x <= bridge)).alias("bridges"), F.count_if("r_suspect").alias("suspects"), F.sort_array(F.collect_list(F.struct("r_start", "r_isi"))).alias("_at"),
     )
+    out = out.withColumn("isi_values", F.col("_at.r_isi")).withColumn("_s", F.sort_array("isi_values"))  # one list of the span's intervals serves all quantiles
+    out = out.withColumns({f"q{int(p * 100)}": sorted_quantile(F.col("_s"), p) for p in (0.1, 0.5, 0.9, 0.95)}).drop("_at", "_s")
     out = out.withColumn("lv", array_pair_mean(F.col("isi_values"), lv_pair))
     flank = rows.select("train", "idx", "isi")
     out = out.join(flank.select("train", (F.col("idx") + 1).alias("start"), F.col("isi").alias("pre")), ["train", "start"], "left").join(flank.select("train", (F.col("idx") - 1).alias("end"), F.col("isi").alias("post")), ["train", "end"], "left")
