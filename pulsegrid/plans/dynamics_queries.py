@@ -121,6 +121,23 @@ def pair_correlation(spark, d):
     return rounded(x, 6)
 
 
+@query(""", n AS (SELECT train, count(*) AS k FROM s GROUP BY train), c AS (SELECT train FROM n ORDER BY k DESC, train LIMIT 20), b AS (SELECT train, us // 200000000000 AS bin, count(*) AS n FROM s JOIN c USING (train) GROUP BY ALL)
+SELECT x.train AS a, y.train AS b, lag, count(*) AS bins, round(corr(x.n, y.n), 6) AS r FROM (SELECT unnest(range(-2, 3)) AS lag) JOIN b x ON true JOIN b y ON x.train < y.train AND y.bin = x.bin + lag GROUP BY ALL HAVING count(*) >= 5 AND stddev_pop(x.n) > 0 AND stddev_pop(y.n) > 0""")
+def chosen_pair_correlation(spark, d):
+    """All pairs of the twenty trains with the most spikes, at lags of up to two bins either way."""
+    from pulsegrid.operators.joins import lag_join
+
+    rows = trains(spark, d)
+    chosen = rows.groupBy("train").count().orderBy(F.desc("count"), "train").limit(20).select("train")
+    counts = rows.join(chosen, "train", "left_semi").groupBy("train", F.floor(F.col("us") / (SEC // 5)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = chosen.select(F.col("train").alias("a")).join(chosen.select(F.col("train").alias("b")), F.col("a") < F.col("b"))  # 190 of them
+    x = None
+    for lag in range(-2, 3):
+        part = lag_join(counts, pairs, lag).groupBy("a", "b").agg(F.count(F.lit(1)).alias("bins"), F.corr("n_a", "n_b").alias("r")).withColumn("lag", F.lit(lag).cast("long"))
+        x = part if x is None else x.unionByName(part)
+    return rounded(x.where("bins >= 5 and r is not null and not isnan(r)"), 6)
+
+
 @query("SELECT train, idx, round(sum(isi) OVER (PARTITION BY train ORDER BY idx), 9) AS elapsed, count(valid OR NULL) OVER (PARTITION BY train ORDER BY idx) AS n_valid FROM s")
 def cumulative_sums(spark, d):
     w = in_train().rowsBetween(Window.unboundedPreceding, 0)
