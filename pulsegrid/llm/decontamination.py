@@ -123,7 +123,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     rows = index.where(F.col("term_id") == END).select("row", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(hit.join(owned, "row"), "row", "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")).withColumn("n_items", F.size("items").cast("long"))
+    items_of, hits = F.coalesce("items", none), F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select("doc_id", "text_hash", "n_words", hits.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"), (hits > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

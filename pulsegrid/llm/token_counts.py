@@ -49,12 +49,18 @@ def histogram(docs: DataFrame, path: str | None = None, text_col: str = "text")
 
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, docs_over, truncated_tokens) for any limits, from the histogram alone: between two lengths that occur nothing but the limit itself changes."""
-    want = hist.sparkSession.createDataFrame([(x,) for x in limits], "context_limit long")
-    over = F.col("length") > F.col("context_limit")
-    # limits are given by hand; the histogram has a row for each length
-    sums = F.broadcast(want).join(hist.select("length", "docs", "tokens"), F.col("length") >= 0, "left").groupBy("context_limit")
-    return sums.agg(F.coalesce(F.sum(F.when(over, F.col("docs"))), F.lit(0)).alias("docs_over"), F.coalesce(F.sum(F.when(over, F.col("context_limit") * F.col("docs")).otherwise(F.col("tokens"))), F.lit(0)).alias("truncated_tokens"))
+    """(context_limit, docs_over, truncated_tokens) for any limits, from the suffix sums alone: those of the least length over a limit say all about longer documents. One pass over the histogram,
+    whatever the limits; without documents all numbers are 0."""
+    sums = F.struct("length", "docs_at_least", "tokens_at_least")
+    found = hist.agg(F.max("total_tokens").alias("total"), *[F.min(F.when(F.col("length") > x, sums)).alias(f"over{i}") for i, x in enumerate(limits)])
+    zero = F.lit(0).cast("long")
+
+    def at(i: int, x: int):
+        over, total = F.col(f"over{i}"), F.coalesce("total", zero)
+        cut = F.when(over.isNull(), total).otherwise(total - over["tokens_at_least"] + F.lit(x).cast("long") * over["docs_at_least"])
+        return F.struct(F.lit(x).cast("long").alias("context_limit"), F.coalesce(over["docs_at_least"], zero).alias("docs_over"), cut.alias("truncated_tokens"))
+
+    return found.select(F.inline(F.array(*[at(i, x) for i, x in enumerate(limits)])))
 
 
 def quantile(hist: DataFrame, q: float) -> int | None:
