@@ -101,15 +101,18 @@ def interval_table(rows: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def greedy_suppression(found: DataFrame, share: float = 0.75) -> DataFrame:
-    """Candidates (train, candidate, start, end, priority, score) kept in the order of priority and score, unless one kept before covers `share` of the shorter of the two. A scan of each train's candidates."""
+    """Candidates (train, candidate, start, end, priority, score) kept in the order of priority and score, unless one kept before covers `share` of the shorter of the two. A scan of each train's
+    candidates, in which each looks only at those kept that stand in the same stretches of 64 intervals."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["priority", "score", "start", "candidate"], ascending=[False, False, True, True], kind="stable")
-        kept: list[tuple[int, int]] = []
+        kept: dict[int, list[tuple[int, int]]] = {}
         rows = []
-        for i, s, e in zip(pdf.index, pdf["start"], pdf["end"], strict=True):
-            if all(max(0, min(e, b) - max(s, a) + 1) / min(e - s + 1, b - a + 1) < share for a, b in kept):
-                kept.append((s, e))
+        for i, s, e in zip(pdf.index, pdf["start"].tolist(), pdf["end"].tolist(), strict=True):
+            stretches = range(s // 64, e // 64 + 1)
+            if all((min(e, b) - max(s, a) + 1) / min(e - s + 1, b - a + 1) < share for k in stretches for a, b in kept.get(k, ())):
+                for k in stretches:
+                    kept.setdefault(k, []).append((s, e))
                 rows.append(i)
         return pdf.loc[rows]
 
@@ -152,25 +155,24 @@ def high_frequency_modes(rows: DataFrame, bound: float = 0.02, least: int = 4, s
 
 
 def tonic_growth(rows: DataFrame, ratio: float = 1.4, lv_max: float = 0.35, least: int = 4) -> DataFrame:
-    """Runs that begin with two intervals of like length and grow to both sides, forward first, while their LV stays under lv_max. Growth depends on what has grown, so this is a scan of a train."""
-
-    def lv(v: np.ndarray) -> float:
-        a, b = v[:-1], v[1:]
-        return float((3 * (a - b) ** 2 / (a + b) ** 2).mean()) if len(v) > 1 else 0.0
+    """Runs that begin with two intervals of like length and grow to both sides, forward first, while their LV stays under lv_max. Growth depends on what has grown, so this is a scan of a train;
+    running sums give the LV of any stretch at once."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         v, ok, idx = pdf["isi"].to_numpy(), pdf["valid"].to_numpy(), pdf["idx"].to_numpy()
+        sums = np.concatenate([[0.0], np.cumsum(3 * (v[:-1] - v[1:]) ** 2 / (v[:-1] + v[1:]) ** 2)]) if len(v) else np.zeros(1)
+        lv = lambda a, b: float(sums[b] - sums[a]) / (b - a)
         out, i, floor = [], 0, 0
         while i < len(v) - 1:
             if ok[i] and ok[i + 1] and max(v[i], v[i + 1]) / min(v[i], v[i + 1]) <= ratio:
                 a, b = i, i + 1
-                while b + 1 < len(v) and ok[b + 1] and lv(v[a : b + 2]) <= lv_max:
+                while b + 1 < len(v) and ok[b + 1] and lv(a, b + 1) <= lv_max:
                     b += 1
-                while a - 1 >= floor and ok[a - 1] and lv(v[a - 1 : b + 1]) <= lv_max:
+                while a - 1 >= floor and ok[a - 1] and lv(a - 1, b) <= lv_max:
                     a -= 1
                 if b - a + 1 >= least:
-                    out.append((pdf["train"].iloc[0], int(idx[a]), int(idx[b]), lv(v[a : b + 1])))
+                    out.append((pdf["train"].iloc[0], int(idx[a]), int(idx[b]), lv(a, b)))
                     floor = b + 1
                 i = b + 1
             else:
