@@ -124,6 +124,9 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal block
+        top = stack[-1]
+        if top.tag in INLINE and top.found < 0 and not top.soft:
+            return  # words within a line that nobody sees
         if block is None:
             if not text or text.isspace():
                 return
@@ -134,6 +137,8 @@ def blocks(page: str) -> list[Block]:
                 k -= 1
             block = Block(stack[-1], stack[k])
             out.append(block)
+        elif top is not block.element:
+            block.element = block.parent  # no inline element holds all of it
         block.parts.append(text)
         if links:
             block.linked += len(text)
