@@ -7,6 +7,7 @@ stream of ids; SeekableTokens reads the tables at its end and then only the fram
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -51,13 +52,13 @@ class Encoder:
     """Ids of whole texts, as little-endian 32-bit integers.
 
     This vocabulary's tokenizer lower-cases, and splits at white space and between letters and marks before it merges; so a batch's words are encoded one by one, each different one once while it is remembered:
-    words seen lately, at most twice `keep`. Arrow splits the texts and numbers the different words; numpy puts their ids together.
+    the last batch's new words, and those that came again, about twice `keep` at most. Arrow splits the texts and numbers the different words; numpy puts their ids together.
     """
 
     def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.recent, self.older = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.keep, self.recent, self.older, self.lately = Tokenizer.from_file(path), keep, {}, {}, {}
         self.between = self.tokenizer.token_to_id(BETWEEN)
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
@@ -79,22 +80,34 @@ class Encoder:
         return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of different words."""
+        """Ids of different words. A word is remembered for one batch; if it comes again, longer: most words never do."""
         found = list(map(self.recent.get, words))
         lacking = [w for w, x in zip(words, found, strict=True) if x is None]
         if lacking:
-            add = {w: x for w in lacking if (x := self.older.get(w)) is not None}
-            new = [w for w in lacking if w not in add]
-            for i in range(0, len(new), 1000):
-                add.update(self._encode(new[i : i + 1000]))
-            found = [add[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            self.recent.update((w, x) for w, x in add.items() if len(w) <= LONG_WORD)
+            again = {w: x for w in lacking if (x := self.older.get(w, self.lately.get(w))) is not None}
+            new = [w for w in lacking if w not in again]
+            made: dict[str, bytes] = {}
+            for i in range(0, len(new), 5000):
+                made.update(self._encode(new[i : i + 5000]))
+            found = [again[w] if w in again else made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            self.lately = made if max(map(len, made), default=0) <= LONG_WORD else {w: x for w, x in made.items() if len(w) <= LONG_WORD}
+            self.recent |= again
             if len(self.recent) > self.keep:
                 self.older, self.recent = self.recent, {}
         return found
 
     def _encode(self, words: list[str]) -> list[tuple[str, bytes]]:
-        """All words as one text, with a special token between any two; words that could hold one themselves go alone."""
+        """All words as one text. Words of letters alone are parted by spaces, the tokenizer says which word each id is of; others by a special token, and words that could hold one
+        themselves go alone."""
+        letters = [w for w in words if w.isalpha()]
+        if len(letters) > 1:
+            coded = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
+            of, raw = np.array(coded.word_ids), np.array(coded.ids, "<u4").tobytes()
+            edges = np.flatnonzero(of[1:] != of[:-1]) + 1
+            if len(edges) + 1 == len(letters):
+                cut = [0, *(4 * edges).tolist(), len(raw)]
+                made = list(zip(letters, [raw[a:b] for a, b in itertools.pairwise(cut)], strict=True))
+                return made + (self._encode(others) if (others := [w for w in words if not w.isalpha()]) else [])
         alone = [w for w in words if "<|" in w]
         out = [(w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in alone]
         if len(alone) < len(words):
