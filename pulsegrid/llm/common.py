@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.sources.shared import new_folder, ranked, shared_dir, stored
 
-__all__ = ["aside", "ascii_lower", "batches_of", "held_out", "new_folder", "ranked", "shared_dir", "small", "stored", "table", "without_clashes"]
+__all__ = ["aside", "ascii_lower", "batches_of", "held_out", "kept_by_worker", "new_folder", "ranked", "shared_dir", "small", "stored", "table", "without_clashes"]
 
 #: Rows that a broadcast side may have; such sides are narrow (under 100 bytes a row).
 BROADCAST_ROWS = 300_000
@@ -43,6 +46,15 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
         pa.default_memory_pool().release_unused()  # a worker lives on through later stages
 
 
+def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once for each Python worker: later tasks of the worker find it again. A global of this package doesn't last (measured on PySpark 4.1: every task
+    finds it as it was when the package was imported), a module of its own does."""
+    kept = sys.modules.setdefault("pulsegrid_worker", types.ModuleType("pulsegrid_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text leaves 0 when divided by 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

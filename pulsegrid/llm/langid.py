@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, held_out, small, stored, table, without_clashes
+from .common import batches_of, held_out, kept_by_worker, small, stored, table, without_clashes
 
 #: Features: hashed letter bigrams and trigrams. CHUNK: code points that are looked at at once.
 DIMS, CHUNK = 1 << 13, 1 << 18
@@ -23,19 +23,19 @@ UNDETERMINED = "und"
 MARGIN = 0.05
 
 
-_KNOWN: dict[str, np.ndarray] = {}
-
-
 def _letters() -> np.ndarray:
-    """For each code point its lower-case form, or 0 if it's no letter; made once a task."""
-    if "letters" not in _KNOWN:
-        out = _KNOWN["letters"] = np.zeros(0x110000, np.uint32)
+    """For each code point its lower-case form, or 0 if it's no letter."""
+
+    def make() -> np.ndarray:
+        out = np.zeros(0x110000, np.uint32)
         for c in itertools.chain(range(0xD800), range(0xE000, 0x110000)):
             x = chr(c)
             if x.isalpha():
                 low = x.lower()
                 out[c] = ord(low) if len(low) == 1 else c
-    return _KNOWN["letters"]
+        return out
+
+    return kept_by_worker("letters", make)
 
 
 def counts(text: str | None) -> np.ndarray | None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches_of, new_folder, stored, table
+from .common import batches_of, kept_by_worker, new_folder, stored, table
 
 #: Fixed values of the zstandard seekable format: magic numbers of the skippable frame and the footer; the flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -118,14 +118,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python worker, which later tasks of the worker find again."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept_by_worker(f"encoder of {path}", lambda: Encoder(path))
 
 
 class _File:
