@@ -82,6 +82,22 @@ class Grammar:
         found += ["seed_high isn't over seed_low"] * (self.seed_high <= self.seed_low) + ["bridge is under seed_high"] * (self.bridge < self.seed_high)
         return found
 
+    def text(self) -> str:
+        """The settings as JSON, which from_text() reads back to equal ones."""
+        return json.dumps(dataclasses.asdict(self), indent=1, sort_keys=True)
+
+    @classmethod
+    def from_text(cls, text: str, strict: bool = True) -> Grammar:
+        """Settings from JSON: what it leaves out keeps its default, unknown names raise unless strict is off, and so do values of another kind than the default's."""
+        given = json.loads(text)
+        for f in dataclasses.fields(cls):
+            value, default = given.get(f.name), f.default
+            number = isinstance(value, (int, float)) and not isinstance(value, bool)
+            fits = isinstance(value, bool) if isinstance(default, bool) else number if isinstance(default, (int, float)) else isinstance(value, list) if isinstance(default, tuple) else True
+            if f.name in given and not fits:
+                raise ValueError(f"{f.name}: {value!r} is no value for it")
+        return cls.from_dict(given, strict)
+
     @classmethod
     def from_dict(cls, values: dict, strict: bool = True) -> Grammar:
         known = {f.name: f for f in dataclasses.fields(cls)}

@@ -136,7 +136,7 @@ def event_geometry(points: DataFrame, axes: list[str]) -> DataFrame:
     """Per state: the centre of its points, their mean distance from it and the radius that holds 95% of them."""
     c = points.groupBy("state").agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"centre_{a}") for a in axes])
     d = F.sqrt(sum(((F.col(a) - F.col(f"centre_{a}")) * (F.col(a) - F.col(f"centre_{a}")) for a in axes), F.lit(0.0)))
-    x = points.join(F.broadcast(c), "state").groupBy("state").agg(F.avg(d).alias("dispersion"), F.percentile(d, F.lit(0.95)).alias("radius95"))
+    x = points.join(c, "state").groupBy("state").agg(F.avg(d).alias("dispersion"), F.percentile(d, F.lit(0.95)).alias("radius95"))
     return c.join(x, "state")
 
 

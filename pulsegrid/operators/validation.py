@@ -117,7 +117,7 @@ def rater_agreement(events: DataFrame, least: float = 0.25) -> DataFrame:
     where an event without a match has the label none on the other side."""
     names = events.select("rater").distinct()  # a row for each rater
     pairs = stored(names.select(F.col("rater").alias("rater_a")).join(names.select(F.col("rater").alias("rater_b")), F.col("rater_a") < F.col("rater_b")), "rater-pairs")
-    side = lambda c: events.join(F.broadcast(pairs), events["rater"] == pairs[c]).select("rater_a", "rater_b", "train", "label", "start", "end")
+    side = lambda c: events.join(pairs, events["rater"] == pairs[c]).select("rater_a", "rater_b", "train", "label", "start", "end")
     a, b = side("rater_a"), side("rater_b")
     by, keys = ["rater_a", "rater_b"], ["rater_a", "rater_b", "train"]
     m = stored(matched(a, b, least, tuple(keys)), "rater-matches")
@@ -148,6 +148,20 @@ def overfit(pred: DataFrame, truth: DataFrame, parts: DataFrame, least: float =
     return x.withColumn("possible_overfit", F.coalesce(F.col("recall_gap") > gap, F.lit(False)))
 
 
+def report(pred: DataFrame, truth: DataFrame, parts: DataFrame | None = None, least: float = 0.25, grid: tuple[float, ...] = (0.1, 0.25, 0.5), replicates: int = 200) -> dict[str, DataFrame]:
+    """The tables of a validation of predicted against true events (train, label, start, end) by name, as sources.csv.write() takes them: what became of each event, metrics by label,
+    their intervals over resampled trains, how they depend on the IoU asked for; with parts (train, part), how they differ between calibration and validation trains."""
+    m = stored(matched(pred, truth, least), "matches")
+    per_train = stored(event_metrics(pred, truth, m, ["train", "label"]).select("train", "label", "truth_n", "pred_n", "tp"), "per-train")
+    out = {
+        "matches": match_table(pred, truth, least),
+        "metrics": event_metrics(pred, truth, m, ["label"]),
+        "metric_intervals": cluster_bootstrap(per_train, replicates),
+        "iou_sensitivity": iou_sensitivity(pred, truth, grid),
+    }
+    return out if parts is None else out | {"overfit": overfit(pred, truth, parts, least)}
+
+
 def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
     """Per equal-width bin of scores (0 to 1) with outcomes (0 or 1): count, mean score, rate and gap."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))

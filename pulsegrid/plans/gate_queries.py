@@ -170,6 +170,13 @@ def rater_agreement(spark, d):
     return rounded(va.rater_agreement(stored(seg(F.col("manual"), "a").unionByName(seg(F.col("auto"), "b")).unionByName(seg(wide, "c")), "rated")))
 
 
+@query(f"""{EVENTS} SELECT train, start, e AS "end", label AS strict, CASE WHEN label IN ('burst', 'long_burst', 'possible_burst') THEN 'burst_family' ELSE label END AS family FROM ev""")
+def metric_modes(spark, d):
+    """Events with the label that each mode of scoring gives them."""
+    x = auto_spans(labelled(trains(spark, d)))
+    return x.select("train", "start", "end", *[va.strict_or_family(F.col("label"), m).alias(n) for n, m in (("strict", "strict"), ("family", "family"))])
+
+
 @query()
 def overfit_gaps(spark, d):
     """How much better the bands match labels by hand on the calibration half of the trains than on the other."""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pulsegrid.functions.grammar import Grammar
+
 from .events import MIN_ISI, SCALE, intervals
 
 # Column names that mean something.
@@ -157,6 +159,27 @@ def read(spark: SparkSession, path: str, mode: str = "raw", **options) -> Datase
     return {"raw": read_raw, "labelled": read_labelled}[mode](spark, path, **options)
 
 
+def clean_names(names: list[str]) -> list[str]:
+    """Names that any table can have: letters, digits and underscores, not empty, each once."""
+    out: list[str] = []
+    for name in names:
+        base = re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_") or "train"
+        k, new = 1, base
+        while new.lower() in {x.lower() for x in out}:
+            k, new = k + 1, f"{base}_{k + 1}"
+        out.append(new)
+    return out
+
+
+def read_settings(spark: SparkSession, path: str, strict: bool = True) -> Grammar:
+    """Detector settings from a JSON file."""
+    return Grammar.from_text(spark.read.text(path, wholetext=True).first()[0], strict)
+
+
+def write_settings(spark: SparkSession, settings: Grammar, path: str) -> None:
+    spark.createDataFrame([(settings.text(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """df with columns that CSV can hold: lists joined by semicolons, and text that a spreadsheet would take for a formula behind a quote."""
     def column(f: T.StructField) -> Column:

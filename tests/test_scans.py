@@ -133,3 +133,36 @@ def test_cores_grow_over_the_run_around_them(spark):
     th = spark.createDataFrame([("a", 0.01)], "train string, threshold double")
     got = su.core_bursts(rows, th).collect()
     assert [(x.start, x.end, x.core_start, x.core_end, x.cores) for x in got] == [(3, 8, 4, 7, 1)]  # the second run has three spikes
+
+
+def test_validation_report(spark, tmp_path):
+    from pulsegrid.sources import csv
+
+    schema = "train long, label string, start long, end long"
+    truth = spark.createDataFrame([(t, "x", 0, 9) for t in range(6)] + [(0, "y", 20, 25)], schema)
+    pred = spark.createDataFrame([(t, "x", 1, 9) for t in range(5)] + [(1, "y", 40, 45)], schema)
+    parts = spark.createDataFrame([(t, "calibration" if t < 3 else "validation") for t in range(6)], "train long, part string")
+    csv.write(va.report(pred, truth, parts, replicates=20), f"file://{tmp_path}/out", "csv")
+    read = lambda n: spark.read.option("header", True).csv(f"file://{tmp_path}/out/{n}")
+    m = {r.label: (r.truth_n, r.pred_n, r.tp) for r in read("metrics").collect()}
+    assert m == {"x": ("6", "5", "5"), "y": ("1", "1", "0")}
+    assert read("metric_intervals").count() == 16 and read("overfit").count() == 2 and read("iou_sensitivity").count() == 6 and read("matches").count() == 8
+
+
+def test_settings_as_text(spark, tmp_path):
+    from pulsegrid.functions.grammar import Grammar
+    from pulsegrid.sources import csv
+
+    g = Grammar(seed_high=0.012, strict_q95=True, long_spikes=(11, 20))
+    csv.write_settings(spark, g, f"file://{tmp_path}/g")
+    assert csv.read_settings(spark, f"file://{tmp_path}/g") == g and csv.read_settings(spark, f"file://{tmp_path}/g").digest() == g.digest()
+    assert Grammar.from_text('{"bridge": 0.02}') == Grammar(bridge=0.02) and Grammar.from_text('{"odd": 1}', strict=False) == Grammar()
+    for bad in ('{"odd": 1}', '{"bridge": "wide"}', '{"strict_q95": 1}', '{"long_spikes": 3}'):
+        with pytest.raises(ValueError):
+            Grammar.from_text(bad)
+
+
+def test_clean_names():
+    from pulsegrid.sources.csv import clean_names
+
+    assert clean_names(["a b", "a-b", "A_b", "", "%", "é"]) == ["a_b", "a_b_2", "A_b_3", "train", "train_2", "train_3"]
