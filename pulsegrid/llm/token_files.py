@@ -42,6 +42,8 @@ def tokenizer_path() -> str:
 
 #: Where a text may be cut besides white space: between a letter or digit and the marks that end its word, which are tokens of their own.
 MARKS = r"([A-Za-z0-9])([.,;:!?*#$%&|]+)(\s)"
+#: Words that a worker remembers beyond a batch (twice as many at most), and texts in a batch: less of both takes less memory and more time.
+KEEP, ROWS = 150_000, 2048
 #: Longer words aren't remembered.
 LONG_WORD = 64
 #: A special token of the vocabulary.
@@ -55,7 +57,7 @@ class Encoder:
     the last batch's new words, and those that came again, about twice `keep` at most. Arrow splits the texts and numbers the different words; numpy puts their ids together.
     """
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.recent, self.older, self.lately = Tokenizer.from_file(path), keep, {}, {}, {}
@@ -118,9 +120,9 @@ class Encoder:
         return out
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, keep: int = KEEP) -> Encoder:
     """The encoder of this Python worker, which later tasks of the worker find again."""
-    return kept_by_worker(f"encoder of {path}", lambda: Encoder(path))
+    return kept_by_worker(f"encoder of {path}, {keep}", lambda: Encoder(path, keep))
 
 
 class _File:
@@ -184,7 +186,7 @@ class SeekableTokens:
         return list(struct.unpack(f"<{len(raw) // 4}I", raw))
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP, rows_at_once: int = ROWS) -> DataFrame:
     """Encodes every text, appends end_id, and writes the ids in ascending id order as files under folder (a URI that driver and executors
     share). Returns the stored manifest: (part, seq, uri, docs, tokens), a row for each file, in the order of (part, seq).
 
@@ -197,14 +199,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         from pyspark import TaskContext
 
         fs, root = pafs.FileSystem.from_uri(folder)
-        part, encode, zip_, out, done = TaskContext.get().partitionId(), worker_encoder(path), zstandard.ZstdCompressor(level=1), None, []
+        part, encode, zip_, out, done = TaskContext.get().partitionId(), worker_encoder(path, keep), zstandard.ZstdCompressor(level=1), None, []
         end = struct.pack("<I", end_id)
 
         def close() -> None:
             out.close()
             done.append((part, len(done), f"{folder}/{part:06d}-{len(done):04d}.zst", len(out.ids), out.tokens))
 
-        for batch in batches_of(batches, 2048):
+        for batch in batches_of(batches, rows_at_once):
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if out is None:
                     fs.create_dir(root)
@@ -249,9 +251,9 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame, keep: int = KEEP, rows_at_once: int = ROWS) -> DataFrame:
     """Writes docs as token files in the shared folder and reads them back."""
-    return read_token_files(write_token_files(docs, new_folder(docs.sparkSession, "tokens")))
+    return read_token_files(write_token_files(docs, new_folder(docs.sparkSession, "tokens"), keep=keep, rows_at_once=rows_at_once))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
