@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token files and returns what stands in them: a row for each document, repeated ones and those without an id too; null and empty texts are an end id alone."""
-    return token_files.encoded(docs)
+    return token_files.encoded(docs, keep=40_000, rows_at_once=1024)  # workers and their JVM come from four stages before: less memory, more time
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
