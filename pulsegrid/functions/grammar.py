@@ -49,6 +49,9 @@ class Grammar:
     hfs_tolerated: float = 0.075
     hfs_large_share: float = 0.3
     hfs_gap: int = 3
+    #: Intervals as long as this, or as the pause or the greatest interval of the state (null: none), part a state whatever stands around them.
+    hfs_break: float = 0.0375
+    hfs_max: float | None = None
     hfs_spikes: int = 30
     hft_floor: float = 0.01
     hft_max: float = 0.03

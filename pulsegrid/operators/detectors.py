@@ -20,67 +20,87 @@ from pulsegrid.functions.stats import array_median, clamp, q
 
 from pulsegrid.sources.shared import stored
 
+from .bounds import Bounds
 from .gates import BURSTS, Limits, negative_overlap, validated
 from .isi import in_train
 from .joins import range_join
-from .runs import extensions, runs, support_runs
+from .runs import extensions, run_length, runs, support_runs
 from .statistics import span_metrics
 
-COLUMNS = ["train", "start", "end", "layer", "label", "gate", "action", "score", "priority", "n_isi", "n_spikes", "duration", "q90", "cv", "lv", "mm"]
+#: What a table of candidates holds. The last columns are of spiking states alone: shares of short, bridged and larger intervals, and the bounds that they were found with; pre and post are the
+#: intervals beside a candidate.
+COLUMNS = ["train", "start", "end", "layer", "label", "gate", "action", "score", "priority", "n_isi", "n_spikes", "duration", "q90", "cv", "lv", "mm", "pre", "post"]
+STATE = ["short", "bridged", "large", "tolerated_gap", "q90_most"]
 
 
-def usable(rows: DataFrame, g: Grammar) -> DataFrame:
+def usable(rows: DataFrame, g: Grammar | None = None) -> DataFrame:
     """rows with valid redefined for detection: there is an interval, and it's no artifact."""
     return rows.withColumn("valid", F.col("isi").isNotNull() & ~F.col("artifact"))
 
 
-def references(rows: DataFrame, g: Grammar) -> DataFrame:
-    """Per train: quantiles of its usable intervals, the bounds of tonic firing and the floor of pauses that follow from them."""
-    x = rows.where("valid").groupBy("train").agg(F.count("isi").alias("_n"), *[q("isi", p).alias(f"_q{int(p * 100)}") for p in (0.1, 0.5, 0.75, 0.9)])
+def references(rows: DataFrame, g: Grammar | Bounds) -> DataFrame:
+    """Per train: quantiles of its usable intervals, the bounds of tonic firing and the floor of pauses that follow from them. Tonic firing keeps off the end of the burst band and its bridge, whichever is
+    longer."""
+    g = bounds(g)
+    x = rows.where("valid").groupBy("train").agg(F.count("isi").alias("_n"), F.percentile("isi", F.array(*[F.lit(p) for p in (0.1, 0.5, 0.75, 0.9)])).alias("_q"))
+    x = g.on(x.withColumns({f"_q{p}": F.get("_q", i) for i, p in enumerate((10, 50, 75, 90))}).drop("_q"))
     few = F.col("_n") < 6
-    base = F.greatest(F.lit(g.pause_min), F.col("_q90"))
-    lower = F.when(few, F.lit(g.tonic_min)).otherwise(F.greatest(F.lit(g.min_isi), F.least(F.lit(g.tonic_min), F.col("_q10")), F.lit(g.seed_high * g.tonic_guard)))
+    base = F.greatest(g.pause_min, F.col("_q90"))
+    lower = F.when(few, g.tonic_min).otherwise(F.greatest(g.min_isi, F.least(g.tonic_min, F.col("_q10")), burst_reference(g) * g.tonic_guard))
     x = x.withColumns({"_base": base, "_lower": lower})
-    high = F.greatest(F.lit(g.tonic_max), F.col("_q75") * 1.25, F.when(F.col("_q90") <= 1.5 * F.col("_q75"), F.col("_q90") * 1.02), F.col("_lower") * 1.5)
+    high = F.greatest(g.tonic_max, F.col("_q75") * 1.25, F.when(F.col("_q90") <= 1.5 * F.col("_q75"), F.col("_q90") * 1.02), F.col("_lower") * 1.5)
     capped = F.when((F.col("_base") > 1.15 * F.col("_q90")) & (F.col("_base") > F.col("_lower")), F.least(high, F.col("_base") * 0.98)).otherwise(high)
-    upper = F.when(capped <= F.col("_lower"), F.greatest(F.lit(g.tonic_max), F.col("_q75"), F.col("_lower") + g.min_isi)).otherwise(capped)
-    x = x.withColumn("_upper", F.when(few, F.lit(g.tonic_max)).otherwise(upper))
-    return stored(x.withColumn("_floor", F.when(F.col("_n") >= 10, F.greatest("_base", F.col("_upper") * 1.15)).otherwise(F.col("_base"))), "references")
+    upper = F.when(capped <= F.col("_lower"), F.greatest(g.tonic_max, F.col("_q75"), F.col("_lower") + g.min_isi)).otherwise(capped)
+    x = x.withColumn("_upper", F.when(few, g.tonic_max).otherwise(upper))
+    x = x.withColumn("_floor", F.when(F.col("_n") >= 10, F.greatest("_base", F.col("_upper") * 1.15)).otherwise(F.col("_base")))
+    return stored(g.off(x), "references")
+
+
+def bounds(g: Grammar | Bounds | DataFrame | None) -> Bounds:
+    return g if isinstance(g, Bounds) else Bounds(g)
+
+
+def burst_reference(g: Bounds) -> Column:
+    """The longest interval that bursts may hold: tonic firing has to stand clear of it."""
+    return F.greatest(g.seed_high, g.bridge)
 
 
 def _table(df: DataFrame, layer: str, **more: Column) -> DataFrame:
-    return df.withColumns({"layer": F.lit(layer), **more}).withColumns({"n_spikes": F.col("end") - F.col("start") + 2, "score": F.col("score").cast("double"), "priority": F.col("priority").cast("double")}).select(*COLUMNS)
+    x = df.withColumns({"layer": F.lit(layer), **more}).withColumns({"n_spikes": F.col("end") - F.col("start") + 2, "score": F.col("score").cast("double"), "priority": F.col("priority").cast("double")})
+    return x.select(*COLUMNS, *[F.col(c) if layer == "hf_spiking" else F.lit(None).cast("double").alias(c) for c in STATE])
 
 
-def possible_priority(m_contrast: Column, core: Column, bridge_share: Column, purity: Column, g: Grammar, two: bool = False, one: bool = False, excess: Column | None = None) -> Column:
+def possible_priority(m_contrast: Column, core: Column, bridge_share: Column, purity: Column, g: Bounds, two: bool = False, one: bool = False, excess: Column | None = None) -> Column:
     p = 260 + 180 * F.least(F.lit(1.5), F.coalesce(m_contrast, F.lit(0.0)) / g.contrast) + 120 * F.least(F.lit(1.0), purity) + 20 * F.least(F.lit(5), core) + (80 if two else 0) + (50 if one else 0)
     if excess is not None:
         p = p - F.when(excess > 1, 60 * F.least(F.lit(2.0), excess - 1)).otherwise(0)
     return clamp(p - 120 * F.greatest(F.lit(0.0), bridge_share - 0.35), 180.0, 760.0)
 
 
-def bursts(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
+def bursts(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     """Burst candidates: runs of seed intervals with up to four bridges added on each side, judged by how they stand out from their flanks, and dense episodes."""
-    seeds = runs(rows, F.col("valid") & F.col("isi").between(g.seed_low, g.seed_high), least=g.min_seeds).select("train", "start", "end")
-    some = extensions(rows, seeds, g.bridge, g.max_extension)
+    g = bounds(g)
+    own = g.on(rows)
+    seeds = g.on(runs(own, F.col("valid") & F.col("isi").between(g.seed_low, g.seed_high))).where(F.col("n") >= g.min_seeds).select("train", "start", "end")
+    some = g.on(extensions(own, seeds, g.bridge, int(g.most("max_extension")))).where((F.col("start") - F.col("s") <= g.max_extension) & (F.col("e") - F.col("end") <= g.max_extension))
     order = Window.partitionBy("train").orderBy("start", F.desc("s"), "e")  # the order in which they are made
     once = F.row_number().over(Window.partitionBy("train", "s", "e").orderBy("start"))
     some = some.withColumn("_k", once).where("_k = 1").where(F.col("e") - F.col("s") + 2 >= g.min_spikes)
-    if g.max_candidates is not None:
-        some = some.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= g.max_candidates)
+    if g.given("max_candidates"):
+        some = some.withColumn("_i", F.row_number().over(order)).where(F.coalesce(F.col("_i") <= g.max_candidates, F.lit(True)))
     spans = stored(some.select("train", F.col("s").alias("start"), F.col("e").alias("end")), "burst-spans")
     flags = rows.withColumn("suspect", F.lit(False))
-    m = stored(span_metrics(flags, spans, g.seed_high, g.bridge), "burst-measures").join(ref, "train")
+    m = g.on(stored(span_metrics(flags, g.on(spans), g.seed_high, g.bridge), "burst-measures").join(ref, "train"))
     core, n = F.col("core"), F.col("n_isi")
     m = m.withColumns({"purity": core / n, "bridge_share": F.col("bridges") / n, "excess": F.col("q95") / g.bridge, "contrast": F.least("pre_ratio", "post_ratio"), "spikes": F.col("end") - F.col("start") + 2})
     a, b = F.col("pre_ratio"), F.col("post_ratio")
     ok = lambda c: F.coalesce(c, F.lit(False))
-    q95 = (F.col("excess") <= 1) | (F.lit(not g.strict_q95) & (F.col("excess") <= g.q95_limit))
+    q95 = (F.col("excess") <= 1) | (~g.strict_q95 & (F.col("excess") <= g.q95_limit))
     passed = ok((F.col("bridges") <= g.max_bridges) & (F.col("bridge_share") <= g.max_bridge_share) & (F.col("q90") <= g.bridge) & q95)
     two = ok((a >= g.contrast) & (b >= g.contrast))
     maybe = ok((a >= g.possible_contrast) & (b >= g.possible_contrast))
     one = ok(a >= g.contrast + g.one_sided_extra) | ok(b >= g.contrast + g.one_sided_extra)
-    clean = one & (F.col("purity") >= g.one_sided_purity) & (F.col("bridge_share") <= min(g.one_sided_bridge_share, g.max_bridge_share))
+    clean = one & (F.col("purity") >= g.one_sided_purity) & (F.col("bridge_share") <= F.least(g.one_sided_bridge_share, g.max_bridge_share))
     scale = F.greatest("_q75", "pre", "post") / F.col("q90")
     rescue = passed & (F.col("purity") >= g.rescue_purity) & (F.col("cv").isNull() | (F.col("cv") <= g.rescue_cv)) & ok(scale >= g.rescue_ratio)
     strong = rescue & ok(scale >= g.strong_rescue_ratio)
@@ -98,25 +118,27 @@ def bursts(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
     return _table(m, "burst").unionByName(episodes(rows, spans, ref, g))
 
 
-def episodes(rows: DataFrame, taken: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
+def episodes(rows: DataFrame, taken: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     """Dense episodes: runs below a bound that the train's own scale sets, without long intervals at their ends."""
-    top = F.greatest(F.lit(g.bridge), F.least(F.lit(g.bridge * g.episode_bridge_factor), F.col("_q75") * g.episode_background))
-    x = rows.join(ref.select("train", "_q75", top.alias("_top")), "train")
+    g = bounds(g)
+    top = F.greatest(g.bridge, F.least(g.bridge * g.episode_bridge_factor, F.col("_q75") * g.episode_background))
+    tops = stored(g.on(ref).select("train", "_q75", top.alias("_top")), "episode-bounds")
+    x = rows.join(tops, "train")
     flag = F.col("valid") & (F.col("isi") <= F.col("_top"))
-    found = runs(x, flag, q("isi", 0.9).alias("_e90"), F.first("_top").alias("_top"), least=g.episode_min_isi)
-    edge = F.least(F.greatest(F.lit(g.bridge), 1.1 * F.col("_e90")), F.col("_top"))
+    found = g.on(runs(x, flag, q("isi", 0.9).alias("_e90"), F.first("_top").alias("_top"))).where(F.col("n") >= g.episode_min_isi)
+    edge = F.least(F.greatest(g.bridge, 1.1 * F.col("_e90")), F.col("_top"))
     at = rows.select("train", F.col("idx").alias("start"), F.col("idx").alias("end"), "isi")
     inside = range_join(found.select("train", "start", "end", edge.alias("edge")), at, ["train"]).where(F.col("r_isi") <= F.col("l_edge"))
-    trimmed = inside.groupBy("train", "l_start").agg(F.min("r_start").alias("start"), F.max("r_start").alias("end")).drop("l_start").where(F.col("end") - F.col("start") + 1 >= g.episode_min_isi)
-    new = stored(trimmed.join(taken, ["train", "start", "end"], "left_anti"), "episode-spans")
+    trimmed = g.on(inside.groupBy("train", "l_start").agg(F.min("r_start").alias("start"), F.max("r_start").alias("end")).drop("l_start")).where(F.col("end") - F.col("start") + 1 >= g.episode_min_isi)
+    new = stored(trimmed.select("train", "start", "end").join(taken, ["train", "start", "end"], "left_anti"), "episode-spans")
     seed = F.when(F.col("isi").between(g.seed_low, g.seed_high), F.col("isi"))
-    m = span_metrics(rows.withColumn("suspect", seed.isNotNull()), new, g.seed_high, g.bridge).join(ref.select("train", "_q75", top.alias("_top")), "train")
+    m = g.on(span_metrics(g.off(g.on(rows).withColumn("suspect", seed.isNotNull())), g.on(new), g.seed_high, g.bridge).join(tops, "train"))
     n = F.col("n_isi")
     shares = {"seed_share": F.col("suspects") / n, "bridge_share": (F.col("core") + F.col("bridges")) / n, "compression": F.col("_q75") / F.col("q90"), "spikes": F.col("end") - F.col("start") + 2}
     m = m.withColumns(shares)
     entry = ((F.col("suspects") >= 1) & (F.col("seed_share") >= g.episode_seed_share)) | (F.col("compression") >= g.rescue_ratio)
     m = m.where(entry & (n >= g.episode_min_isi) & (F.col("q90") <= F.col("_top")) & (F.col("cv").isNull() | (F.col("cv") <= g.episode_cv)) & (F.col("compression") >= g.rescue_ratio) & (F.col("spikes") >= g.min_spikes))
-    label = F.when(F.col("spikes") <= max(g.classic_spikes, g.episode_spikes), "burst").when(F.col("spikes").between(*g.long_spikes), "long_burst").otherwise("possible_burst")
+    label = F.when(F.col("spikes") <= F.greatest(g.classic_spikes, g.episode_spikes), "burst").when(F.col("spikes").between(*g.long_spikes), "long_burst").otherwise("possible_burst")
     # the variation of the intervals takes nothing off: the compression is always finite here
     score = 4 + 0.12 * n + 0.6 * F.col("seed_share") + 0.5 * F.col("bridge_share") + F.least(F.lit(4.0), 0.2 * F.col("compression"))
     m = m.withColumn("label", label)
@@ -124,58 +146,81 @@ def episodes(rows: DataFrame, taken: DataFrame, ref: DataFrame, g: Grammar) -> D
     return _table(m, "episode", gate=F.lit("dense_episode"), action=F.when(F.col("label") == "possible_burst", "demote_to_possible").otherwise("accept"), score=score, priority=F.when(F.col("label") == "burst", 1035.0).when(F.col("label") == "long_burst", 985.0).otherwise(possible))
 
 
-def high_frequency_spiking(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
-    """Long states of mostly short intervals, across a few longer ones."""
-    locked = F.col("manual").isin("burst", "long_burst", "possible_burst") if "manual" in rows.columns else F.lit(False)
-    support = (F.col("isi") <= g.hfs_bridge) & (F.col("isi") < g.pause_min) & ~F.coalesce(locked, F.lit(False))
-    found = support_runs(rows, support, g.hfs_tolerated, g.pause_min, most=g.hfs_gap).where(F.col("end") - F.col("start") + 2 >= g.hfs_spikes)
-    m = span_metrics(rows.withColumn("suspect", F.col("isi") <= g.hfs_q90), found.select("train", "start", "end"), g.hfs_short, g.hfs_bridge)
-    v = F.col("isi_values")
-    longest = F.aggregate(v, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, x: F.struct(F.when(x > g.hfs_bridge, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(x > g.hfs_bridge, s["now"] + 1).otherwise(0)).alias("most")), lambda s: s["most"])
+def high_frequency_spiking(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
+    """Long states of mostly short intervals, across a few longer ones.
+
+    Intervals labelled by hand as a burst belong to no state and no gap. A gap holds no interval as long as the least of the hard break, the pause and the state's greatest interval. Artifacts may stand in a
+    gap; across such a gap a state goes on only while it is still too short by itself."""
+    g = bounds(g)
+    own = g.on(rows)
+    locked = F.coalesce(F.col("manual").isin("burst", "long_burst", "possible_burst"), F.lit(False)) if "manual" in rows.columns else F.lit(False)
+    own = own.withColumns({"_locked": locked}).withColumn("valid", F.col("valid") & ~F.col("_locked"))
+    most = lambda c: F.coalesce(F.col("isi") <= c, F.lit(True))  # noqa: E731  null: no limit
+    support = (F.col("isi") <= g.hfs_bridge) & (F.col("isi") < g.pause_min) & most(g.hfs_max)
+    own = own.withColumns({"_side": (F.greatest(F.lit(3), g.hfs_spikes) - 1).cast("int"), "_s": support})
+    found = support_runs(own, F.col("_s"), F.least(g.hfs_tolerated, g.hfs_max), F.least(g.hfs_break, g.pause_min, g.hfs_max), F.greatest(F.lit(1), g.hfs_gap), transparent=F.col("artifact"), short_side="_side")
+    found = stored(g.on(found).where(F.col("end") - F.col("start") + 2 >= F.greatest(F.lit(3), g.hfs_spikes)).select("train", "start", "end"), "spiking-spans")
+    if "manual" in rows.columns:  # only an artifact can be labelled and inside
+        held = own.where(F.col("_locked")).select("train", F.col("idx").alias("start"), F.col("idx").alias("end"))
+        held = range_join(found, held, ["train"]).select("train", F.col("l_start").alias("start"), F.col("l_end").alias("end")).distinct()
+        found = found.join(held, ["train", "start", "end"], "left_anti")
+    above = F.col("valid") & (F.col("isi") > g.hfs_bridge)
+    n_valid = F.count_if("valid").over(in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = own.withColumns({"suspect": F.col("isi") <= g.hfs_q90, "_above": F.coalesce(above, F.lit(False)), "_nth": n_valid})
+    # an invalid interval doesn't part the ones beside it: it has the number of the valid one before it
+    up = in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = F.when(F.col("_above"), F.col("_nth") - F.coalesce(F.max(F.when(F.col("valid") & ~F.col("_above"), F.col("_nth"))).over(up), F.lit(0))).otherwise(0)
+    own = own.withColumns({"_row": row, "_over": F.col("isi") > g.hfs_tolerated})
+    m = g.on(span_metrics(g.off(own), g.on(found), g.hfs_short, g.hfs_bridge, F.max("r__row").alias("longest"), F.count_if("r__over").alias("over"), quantiles=(0.8, 0.9), keep=("_row", "_over")))
     n = F.col("n_isi")
-    sorted_v = F.array_sort(v)
-    h = (n - 1) * 0.8
-    q80 = F.get(sorted_v, F.floor(h).cast("int")) + (h - F.floor(h)) * (F.get(sorted_v, F.ceil(h).cast("int")) - F.get(sorted_v, F.floor(h).cast("int")))
-    m = m.withColumns({"short": F.col("core") / n, "mid": F.col("suspects") / n, "below": (F.col("core") + F.col("bridges")) / n, "tolerated": F.size(F.filter(v, lambda x: x <= g.hfs_tolerated)) / n, "q80": q80, "longest": longest})
-    large = 1 - F.col("below")
-    majority = (F.col("short") >= 0.55) | (F.col("mid") >= 0.6) | (F.col("below") >= 0.75)
+    m = m.withColumns({"short": F.col("core") / n, "mid": F.col("suspects") / n, "bridged": (F.col("core") + F.col("bridges")) / n, "tolerated": 1 - F.col("over") / n})
+    m = m.withColumns({"large": 1 - F.col("bridged"), "tolerated_gap": g.hfs_tolerated.cast("double"), "q90_most": g.hfs_q90.cast("double")})
+    majority = (F.col("short") >= 0.55) | (F.col("mid") >= 0.6) | (F.col("bridged") >= 0.75)
     strict = F.col("q90") <= g.hfs_q90
-    m = m.where((strict | ((F.col("q80") <= g.hfs_q80) & majority)) & (F.col("tolerated") >= 0.95) & (large <= g.hfs_large_share) & (F.col("longest") <= max(2, g.hfs_gap)))
-    score = 24 + 0.08 * (F.col("end") - F.col("start") + 2) + 2.5 * F.col("short") + 2.0 * F.col("mid") + 1.5 * F.col("below") - 2.0 * large + F.when(strict, 1.0).otherwise(0.4)
+    m = m.where((strict | ((F.col("q80") <= g.hfs_q80) & majority)) & (F.col("tolerated") >= 0.95) & (F.col("large") <= g.hfs_large_share) & (F.col("longest") <= F.greatest(F.lit(2), g.hfs_gap)))
+    score = 24 + 0.08 * (F.col("end") - F.col("start") + 2) + 2.5 * F.col("short") + 2.0 * F.col("mid") + 1.5 * F.col("bridged") - 2.0 * F.col("large") + F.when(strict, 1.0).otherwise(0.4)
     return _table(m, "hf_spiking", label=F.lit("high_frequency_spiking"), gate=F.lit("hf_spiking_state"), action=F.lit("accept"), score=score, priority=F.lit(1040.0))
 
 
-def high_frequency_tonic(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
-    found = runs(rows, F.col("valid") & (F.col("isi") <= g.hft_max)).where(F.col("end") - F.col("start") + 2 >= g.hft_spikes).select("train", "start", "end")
-    m = span_metrics(rows.withColumn("suspect", F.col("isi") < g.hft_floor), found, g.seed_high, g.hft_max)
-    seed = F.transform("isi_values", lambda x: x.between(g.seed_low, g.seed_high))
-    longest = F.aggregate(seed, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, x: F.struct(F.when(x, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(x, s["now"] + 1).otherwise(0)).alias("most")), lambda s: s["most"])
+def high_frequency_tonic(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
+    g = bounds(g)
+    own = g.on(rows)
+    member = F.coalesce(F.col("valid") & (F.col("isi") <= g.hft_max), F.lit(False))
+    found = g.on(runs(own, member)).where(F.col("end") - F.col("start") + 2 >= g.hft_spikes).select("train", "start", "end")
+    own = own.withColumn("_seed", member & F.col("isi").between(g.seed_low, g.seed_high))
+    own = own.withColumns({"suspect": F.col("isi") < g.hft_floor, "_row": run_length(F.col("_seed"))})
+    m = g.on(span_metrics(g.off(own), g.on(found), g.seed_high, g.hft_max, F.max("r__row").alias("longest"), keep=("_row",)))
     low = F.col("suspects") / F.col("n_isi")
-    m = m.where((F.col("q90") <= g.hft_max) & ((F.col("q10") >= g.hft_floor) | (low <= g.hft_low_share)) & (longest < g.min_seeds) & (F.coalesce("cv", F.lit(0.0)) <= g.hft_cv) & (F.coalesce("lv", F.lit(0.0)) <= g.hft_lv) & (F.col("mm") <= g.hft_mm))
+    m = m.where((F.col("q90") <= g.hft_max) & ((F.col("q10") >= g.hft_floor) | (low <= g.hft_low_share)) & (F.col("longest") < g.min_seeds) & (F.coalesce("cv", F.lit(0.0)) <= g.hft_cv) & (F.coalesce("lv", F.lit(0.0)) <= g.hft_lv) & (F.col("mm") <= g.hft_mm))
     return _table(m, "hf_tonic", label=F.lit("high_frequency_tonic"), gate=F.lit("hf_tonic_state"), action=F.lit("accept"), score=5 + (1 - low) + F.coalesce(1 / (1 + F.col("cv")), F.lit(0.0)), priority=F.lit(500.0))
 
 
-def tonic(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
+def tonic(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     """Stable runs within the train's tonic band, and the cores of such runs without slower beginnings and ends."""
+    g = bounds(g)
     x = rows.join(ref.select("train", "_lower", "_upper", "_q75", "_n"), "train")
     band = F.col("valid") & F.col("isi").between(F.col("_lower"), F.col("_upper"))
     core_low = F.when(F.greatest("_lower", F.when(F.col("_n") >= 6, F.col("_q75") * 0.65)) > F.col("_upper"), F.col("_lower")).otherwise(F.greatest("_lower", F.when(F.col("_n") >= 6, F.col("_q75") * 0.65)))
     full = runs(x, band).select("train", "start", "end", F.lit("tonic").alias("gate"))
     core = runs(x, band & (F.col("isi") >= core_low)).select("train", "start", "end", F.lit("tonic_core").alias("gate")).join(full, ["train", "start", "end"], "left_anti")
-    found = stored(full.unionByName(core).where(F.col("end") - F.col("start") + 2 >= g.tonic_spikes), "tonic-spans")
+    found = stored(g.off(g.on(full.unionByName(core)).where(F.col("end") - F.col("start") + 2 >= g.tonic_spikes)), "tonic-spans")
     seeds = F.col("isi").between(g.seed_low, g.seed_high)
-    m = span_metrics(rows.withColumn("suspect", seeds), found.select("train", "start", "end"), g.seed_high, g.bridge).join(found, ["train", "start", "end"])
-    ref = g.seed_high * g.tonic_guard
-    apart = (F.col("mean_isi") > ref) & (F.col("q50") > ref) & (F.col("q10") > g.seed_high) & (F.col("core") / F.col("n_isi") <= g.tonic_low_share)
+    # core counts what lies within the longest interval of bursts
+    m = span_metrics(g.off(g.on(rows).withColumn("suspect", seeds)), g.on(found), burst_reference(g), burst_reference(g)).join(found, ["train", "start", "end"])
+    m = g.on(m)
+    ref_ = burst_reference(g)
+    apart = (F.col("mean_isi") > ref_ * g.tonic_guard) & (F.col("q50") > ref_ * g.tonic_guard) & (F.col("q10") > ref_) & (F.col("core") / F.col("n_isi") <= g.tonic_low_share)
     lv, cv = F.col("lv"), F.col("cv")
-    most = F.when((lv <= min(g.tonic_lv, 0.15)) & (cv <= 0.3), max(g.tonic_calm_mm, g.tonic_mm[1])).otherwise(g.tonic_mm[1])
-    m = m.where(apart & (lv.isNull() | (lv <= g.tonic_lv)) & (F.col("mm") <= most) & (F.col("mm") >= g.tonic_mm[0]) & (F.col("suspects") / F.col("n_isi") <= 0.2))
+    mm_low, mm_high = g.tonic_mm
+    most = F.when((lv <= F.least(g.tonic_lv, F.lit(0.15))) & (cv <= 0.3), F.greatest(g.tonic_calm_mm, mm_high)).otherwise(mm_high)
+    m = m.where(apart & (lv.isNull() | (lv <= g.tonic_lv)) & (F.col("mm") <= most) & (F.col("mm") >= mm_low) & (F.col("suspects") / F.col("n_isi") <= 0.2))
     return _table(m, "tonic", label=F.lit("tonic"), action=F.lit("accept"), score=3 + F.coalesce(1 / (1 + lv), F.lit(0.0)), priority=F.when(F.col("gate") == "tonic", 350.0).otherwise(340.0))
 
 
-def pauses(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
+def pauses(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     """Runs of intervals over the train's pause floor that are long for their surroundings and for the train."""
-    x = rows.join(ref.select("train", "_floor", F.col("_q50").alias("_median"), "_n"), "train")
+    g = bounds(g)
+    x = g.on(rows.join(ref.select("train", "_floor", F.col("_q50").alias("_median"), "_n"), "train"))
     long = F.coalesce(F.col("valid") & (F.col("isi") >= F.col("_floor")), F.lit(False))
     around = F.collect_list(F.when(F.col("valid"), F.struct("isi", "idx", "_long"))).over(in_train().rowsBetween(-11, 11))
     x = x.withColumn("_long", long).withColumn("_around", around)
@@ -186,14 +231,16 @@ def pauses(rows: DataFrame, ref: DataFrame, g: Grammar) -> DataFrame:
     local = F.col("_local")
     stands = F.col("_long") & ((F.col("_n") < 6) | ((local.isNull() | (F.col("isi") >= local * g.pause_local)) & (F.col("isi") >= F.col("_median") * g.pause_global)))
     found = stored(runs(x, stands, F.max("isi").alias("_m"), F.first("_floor").alias("_f")), "pause-spans")
-    m = span_metrics(rows, found.select("train", "start", "end"), g.seed_high, g.bridge).join(found.select("train", "start", "end", (F.col("_m") / F.col("_f")).alias("score")), ["train", "start", "end"])
+    m = span_metrics(rows, g.on(found), g.seed_high, g.bridge).join(found.select("train", "start", "end", (F.col("_m") / F.col("_f")).alias("score")), ["train", "start", "end"])
     return _table(m, "pause", label=F.lit("pause"), gate=F.lit("pause_gap"), action=F.lit("accept"), priority=F.lit(300.0))
 
 
-def hard_threshold(rows: DataFrame, bound: float, g: Grammar, core: int = 2) -> DataFrame:
+def hard_threshold(rows: DataFrame, bound: float, g: Grammar | Bounds, core: int = 2) -> DataFrame:
     """Runs at or below a bound set by hand, with enough seed intervals; nothing else is asked of them."""
-    found = runs(rows, F.col("valid") & (F.col("isi") <= bound), F.count_if(F.col("isi") <= g.seed_high).alias("_core")).where((F.col("_core") >= core) & (F.col("end") - F.col("start") + 2 >= g.min_spikes))
-    m = span_metrics(rows, found.select("train", "start", "end"), g.seed_high, bound)
+    g = bounds(g)
+    found = runs(g.on(rows), F.col("valid") & (F.col("isi") <= bound), F.count_if(F.col("isi") <= g.seed_high).alias("_core"))
+    found = g.on(found).where((F.col("_core") >= core) & (F.col("end") - F.col("start") + 2 >= g.min_spikes))
+    m = g.on(span_metrics(rows, g.on(found.select("train", "start", "end")), g.seed_high, bound))
     label = F.when(F.col("n_isi") + 1 <= g.classic_spikes, "burst").otherwise("long_burst")
     return _table(m, "hard_threshold", label=label, gate=F.lit("hard_threshold"), action=F.lit("accept"), score=F.col("core") / F.col("n_isi"), priority=F.lit(1800.0))
 
@@ -202,29 +249,76 @@ def hard_threshold(rows: DataFrame, bound: float, g: Grammar, core: int = 2) ->
 DETECTORS = {"bursts": bursts, "high_frequency_spiking": high_frequency_spiking, "high_frequency_tonic": high_frequency_tonic, "tonic": tonic, "pauses": pauses}
 
 
-def candidates(rows: DataFrame, g: Grammar, names: list[str] | None = None) -> DataFrame:
+def candidates(rows: DataFrame, g: Grammar | Bounds, names: list[str] | None = None) -> DataFrame:
     """All candidates of the detectors named (all of them if none are), with an id in the order of layer, start and end."""
+    g = bounds(g)
     ref = references(rows, g)
     made = reduce(DataFrame.unionByName, [stored(DETECTORS[n](rows, ref, g), f"candidates-{n}") for n in names or DETECTORS])
     return made.withColumn("candidate", F.row_number().over(Window.partitionBy("train").orderBy("layer", "start", "end", "gate")))
 
 
+# What becomes of a candidate because of a spiking state.
+DOMINATED, PACKETS, NEIGHBOUR = "reject_burst_dominated_hf_spiking_state", "reject_burst_packet_like_hf_spiking_state", "reject_burst_packet_neighbor_hf_spiking_state"
+COVERED, EMBEDDED = "suppress_for_hf_spiking_state", "suppress_embedded_burst_for_hf_spiking_state"
+#: The greatest gap between neighbouring states, in intervals, and in seconds where none is known.
+STATE_GAP, STATE_SECONDS = 3, 0.075
+
+
+def burst_cover(states: DataFrame, events: DataFrame) -> DataFrame:
+    """(train, candidate, bursts, groups, covered) of states that hold bursts whole: how many, how many groups of overlapping ones, and how many intervals those groups cover together."""
+    inside = range_join(states.select("train", "start", "end", "candidate"), events.select("train", "start", "end"), ["train"], 64).where((F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")))
+    before = F.max("r_end").over(Window.partitionBy("train", "l_candidate").orderBy("r_start", "r_end").rowsBetween(Window.unboundedPreceding, -1))
+    x = inside.withColumn("_before", before)
+    new = F.greatest(F.lit(0), F.col("r_end") - F.greatest(F.coalesce("_before", F.col("r_start") - 1), F.col("r_start") - 1))
+    apart = F.col("_before").isNull() | (F.col("r_start") > F.col("_before"))
+    return x.groupBy("train", F.col("l_candidate").alias("candidate")).agg(F.count(F.lit(1)).alias("bursts"), F.count_if(apart).alias("groups"), F.sum(new).alias("covered"))
+
+
+def state_verdicts(found: DataFrame) -> DataFrame:
+    """(train, candidate, bursts, groups, coverage, packet_like, action) of every spiking state; action is null if it stands.
+
+    A state is struck out if groups of bursts dominate it, or if it varies and holds groups like packets. What then varies and lies within three intervals, and a gap short enough, of a packet-like state goes as
+    well; that isn't passed on any further."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    states = found.where("label = 'high_frequency_spiking'")
+    cover = burst_cover(states, found.where(F.col("label").isin("burst", "long_burst")))
+    x = states.join(cover, ["train", "candidate"], "left").fillna(0, ["bursts", "groups", "covered"]).withColumn("_n", F.col("end") - F.col("start") + 1)
+    x = x.withColumn("coverage", F.col("covered") / F.col("_n"))
+    groups, coverage = F.col("groups"), F.col("coverage")
+    dominated = (groups >= F.greatest(F.lit(6), F.ceil(F.lit(0.055) * F.col("_n")))) & (coverage >= 0.25)
+    x = x.withColumn("_varies", no(F.col("cv") >= 0.65) | no(F.col("lv") >= 0.45) | no(F.col("mm") >= 3.0))
+    packet = (F.col("_varies") | no(F.col("large") >= 0.08)) & (((groups >= 2) & (coverage >= 0.08)) | ((groups >= 1) & (coverage >= 0.18)))
+    x = stored(x.withColumns({"packet_like": packet, "action": F.when(dominated, DOMINATED).when(packet, PACKETS)}), "states")
+    rest = x.where("action is null and _varies").select("train", "candidate", (F.col("start") - STATE_GAP - 1).alias("start"), (F.col("end") + STATE_GAP + 1).alias("end"), "pre", "post", "tolerated_gap")
+    near = range_join(rest, x.where("packet_like").select("train", "start", "end", "pre", "post", "tolerated_gap"), ["train"], 64)
+    a, b = F.col("l_start") + STATE_GAP + 1, F.col("l_end") - STATE_GAP - 1
+    gap = F.when(F.col("r_end") < a, F.coalesce("l_pre", "r_post")).when(b < F.col("r_start"), F.coalesce("l_post", "r_pre")).otherwise(0.0)
+    tolerated = F.coalesce(F.greatest("l_tolerated_gap", "r_tolerated_gap"), F.lit(STATE_SECONDS))
+    beside = near.where(gap <= tolerated).select("train", F.col("l_candidate").alias("candidate")).distinct().withColumn("_beside", F.lit(True))
+    x = x.join(beside, ["train", "candidate"], "left").withColumn("action", F.when(F.col("_beside"), NEIGHBOUR).otherwise(F.col("action")))
+    return x.select("train", "candidate", "bursts", "groups", "coverage", "packet_like", "action")
+
+
 def protected(found: DataFrame) -> DataFrame:
-    """Candidates with those struck out (label reject) that a high-frequency spiking state covers: possible bursts, tonic states and pauses that overlap it, and compact
-    bursts inside a strong one. A state full of burst groups is struck out before that."""
-    hfs = found.where("label = 'high_frequency_spiking'").select("train", "start", "end", "n_isi", "candidate", "cv", "lv", "mm")
-    inner = found.where(F.col("label").isin("burst", "long_burst")).select("train", "start", "end", "candidate")
-    pairs = range_join(hfs, inner, ["train"], 64)
-    cover = pairs.groupBy("train", F.col("l_candidate").alias("candidate"), F.col("l_n_isi").alias("n")).agg(F.count_distinct("r_candidate").alias("groups"), F.sum(F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1).alias("covered"))
-    out = cover.where((F.col("groups") >= F.greatest(F.lit(6), F.ceil(0.055 * F.col("n")))) & (F.col("covered") / F.col("n") >= 0.25)).select("train", "candidate")
-    strong = hfs.join(out, ["train", "candidate"], "left_anti")
+    """Candidates with those struck out (label reject, and the action that says why) that high-frequency spiking states decide over: states that are made of bursts (state_verdicts); then, for
+    those that stand, possible bursts, tonic states and pauses that overlap one, and short bursts inside a strong one."""
+    gone = stored(state_verdicts(found).where("action is not null").select("train", "candidate", "action"), "states-struck-out")
+    states = found.where("label = 'high_frequency_spiking'").join(gone, ["train", "candidate"], "left_anti").withColumn("_n", F.col("end") - F.col("start") + 1)
     weak = found.where(F.col("label").isin("possible_burst", "high_frequency_tonic", "tonic", "pause")).select("train", "start", "end", "candidate")
-    struck = range_join(strong, weak, ["train"], 64).select("train", F.col("r_candidate").alias("candidate"))
-    small = range_join(strong.where(F.col("n_isi") >= 30), inner, ["train"], 64)
-    size = F.col("r_end") - F.col("r_start") + 1
-    small = small.where((F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")) & (size <= F.greatest(F.lit(8), F.ceil(0.06 * F.col("l_n_isi"))))).select("train", F.col("r_candidate").alias("candidate"))
-    gone = out.unionByName(struck).unionByName(small).distinct().withColumn("_gone", F.lit(True))
-    return found.join(gone, ["train", "candidate"], "left").withColumn("label", F.when(F.col("_gone"), "reject").otherwise(F.col("label"))).drop("_gone")
+    covered = range_join(states.select("train", "start", "end"), weak, ["train"], 64).select("train", F.col("r_candidate").alias("candidate"), F.lit(COVERED).alias("action"))
+    most = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(True))  # noqa: E731  null: not known, not asked for
+    calm = F.coalesce(F.col("q90") <= F.col("q90_most"), F.lit(True))
+    sustained = (F.col("_n") >= 80) & most("short", 0.70) & most("bridged", 0.90) & calm
+    pure = (F.col("_n") >= 30) & F.coalesce((F.col("short") >= 0.85) & (F.col("bridged") >= 0.95), F.lit(False)) & calm
+    bursts_ = found.where(F.col("label").isin("burst", "long_burst")).select("train", "start", "end", "candidate", "duration")
+    inside = range_join(states.where(sustained | pure).select("train", "start", "end"), bursts_, ["train"], 64)
+    size, n = F.col("r_end") - F.col("r_start") + 1, F.col("l_end") - F.col("l_start") + 1
+    short = (size <= F.greatest(F.lit(8), F.ceil(F.lit(0.06) * n))) & F.coalesce(F.col("r_duration") <= 0.25, F.lit(True))
+    inside = inside.where((F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")) & short).select("train", F.col("r_candidate").alias("candidate"), F.lit(EMBEDDED).alias("action"))
+    struck = gone.unionByName(covered).unionByName(inside).distinct().withColumnRenamed("action", "_action")
+    x = found.join(struck, ["train", "candidate"], "left")
+    out = F.col("_action").isNotNull()
+    return x.withColumns({"label": F.when(out, "reject").otherwise(F.col("label")), "action": F.coalesce("_action", "action")}).drop("_action")
 
 
 def value(c: DataFrame) -> Column:
@@ -319,10 +413,12 @@ def without_negatives(rows: DataFrame, found: DataFrame) -> DataFrame:
     return x.withColumns({"gate": F.when(veto, "manual_negative_veto").otherwise(F.col("gate")), "label": F.when(veto, "reject").otherwise(F.col("label"))}).drop("negative_share")
 
 
-def detect(rows: DataFrame, g: Grammar | None = None, lock_manual: bool = True, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with auto labels, all candidates with what became of them). Labels by hand that deny a burst (column negative) strike out burst candidates; limits are those of gates.validated."""
-    g = g or Grammar()
-    rows = stored(usable(rows, g), "trains")
+def detect(rows: DataFrame, g: Grammar | DataFrame | Bounds | None = None, lock_manual: bool = True, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with auto labels, all candidates with what became of them). Labels by hand that deny a burst (column negative) strike out burst candidates; limits are those of gates.validated.
+
+    Settings are one Grammar for all trains, or a table with a train and any settings a row: each train is judged by its own, in the same plan."""
+    g = bounds(g)
+    rows = stored(usable(rows), "trains")
     found = stored(without_negatives(rows, stored(candidates(rows, g), "candidates")), "judged")
     ledger = stored(select(stored(protected(found), "protected")), "ledger")
     return written(rows, ledger, lock_manual, limits), ledger
@@ -341,7 +437,7 @@ def extracted(rows: DataFrame, label: str = "final") -> DataFrame:
     from .runs import segments
 
     seg = segments(rows, F.col(label)).where("label <> ''").select("train", "label", "start", "end")
-    m = span_metrics(rows, seg.select("train", "start", "end"), 0.01, 0.015)
+    m = span_metrics(rows, seg.select("train", "start", "end"), 0.01, 0.015, intervals=True)
     return seg.join(m, ["train", "start", "end"]).withColumns({"n_spikes": F.col("end") - F.col("start") + 2, "family": F.when(F.col("label").isin("burst", "long_burst", "possible_burst"), "burst_family").otherwise(F.col("label")), "review": (F.col("label") == "possible_burst") | (F.col("suspects") > 0)})
 
 

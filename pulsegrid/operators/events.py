@@ -22,7 +22,7 @@ def in_train() -> WindowSpec:
 def eventness(rows: DataFrame, events: DataFrame, gap: int = 2, width: int = 12, short: float = 0.02, outlier: float = 3.5) -> DataFrame:
     """events (train, label, start, end) with measures, the contrast to both flanks (edge) and to the median of up to `width` rows beyond a gap on each side (context), how
     far the flanks return to that level, and scores from 0 to 1: boundary, eventness and regularity."""
-    m = span_metrics(rows, events.select("train", "start", "end"), 0.01, short).join(events.select("train", "start", "end", "label"), ["train", "start", "end"])
+    m = span_metrics(rows, events.select("train", "start", "end"), 0.01, short, intervals=True).join(events.select("train", "start", "end", "label"), ["train", "start", "end"])
     reach = gap + width
     wide = m.select("train", (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"), F.col("start").alias("a"), F.col("end").alias("b"))
     at = rows.where("valid").select("train", F.col("idx").alias("start"), F.col("idx").alias("end"), "isi")

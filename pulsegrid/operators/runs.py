@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from pulsegrid.functions.stats import array_quantile
+from pulsegrid.sources.shared import stored
 
 
 def in_train() -> WindowSpec:
@@ -23,6 +27,13 @@ def runs(rows: DataFrame, flag: Column, *aggs: Column, least: int = 1) -> DataFr
     return out.where(F.col("n") >= least) if least > 1 else out
 
 
+def run_length(flag: Column, at: Column | None = None) -> Column:
+    """How many rows in a row, up to this one, have the flag; at numbers the rows that count (all of them if it isn't given)."""
+    at = F.col("idx") if at is None else at
+    up = in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.when(flag, at - F.coalesce(F.max(F.when(~flag, at)).over(up), F.lit(0))).otherwise(0)
+
+
 def segments(rows: DataFrame, label: Column, *aggs: Column) -> DataFrame:
     """Runs of equal labels: train, label, start, end, n and aggs."""
     some = rows.withColumn("label", label)
@@ -125,20 +136,72 @@ def merged_blocks(blocks: DataFrame, may_join: Callable[[int, int, int, int], bo
     return blocks.groupBy("train").applyInPandas(fold, f"train {blocks.schema['train'].dataType.simpleString()}, start long, end long, parts long")
 
 
-def support_runs(rows: DataFrame, support: Column, tolerated: float, hard_break: float, most: int = 3, least: int = 1) -> DataFrame:
+def folded(blocks: DataFrame, columns: list[str], begin: Callable[[tuple], list], take: Callable[[list, tuple], list | None], schema: str) -> DataFrame:
+    """One pass over each train's blocks in order of the columns (the first are train and start): begin(row) starts a block, take(block, row) gives it grown by the next row, or None if it ends before that
+    row. What has grown so far decides, so this is a scan; it goes on over Arrow batches and holds one block, however long a train is."""
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        table = lambda done: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), kind, strict=True)], schema=kind)
+        for b in batches:
+            done = []
+            for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                grown = take(now, row) if now is not None and now[0] == row[0] else None
+                if grown is None:
+                    if now is not None:
+                        done.append(now)
+                    grown = begin(row)
+                now = grown
+            if done:
+                yield table(done)
+        if now is not None:
+            yield table([now])
+
+    return blocks.select(*columns).repartition("train").sortWithinPartitions(*columns).mapInArrow(run, schema)
+
+
+def support_runs(
+    rows: DataFrame, support: Column, tolerated: float | Column, hard_break: float | Column, most: int | Column = 3, least: int = 1, transparent: Column | None = None, short_side: str | None = None
+) -> DataFrame:
     """Runs of supporting intervals, merged across at most `most` others in a row, all of them at most tolerated and shorter than hard_break. One scan: an interval
-    belongs if it supports or stands in such a gap between two that do."""
+    belongs if it supports or stands in such a gap between two that do.
+
+    transparent intervals (no valid ones) may stand in a gap too; across such a gap a run goes on only as long as it has at most short_side (a column of rows) intervals so far."""
     back = in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = in_train().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    some = rows.withColumn("_s", F.coalesce(support & F.col("valid"), F.lit(False)))
-    blocks = (~F.col("_s")) & ~F.coalesce(F.col("valid") & (F.col("isi") <= tolerated) & (F.col("isi") < hard_break), F.lit(False))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    some = rows.withColumn("_s", no(support & F.col("valid")))
+    clear = ~F.col("_s") & (no(transparent) if transparent is not None else F.lit(False))
+    blocks = (~F.col("_s")) & ~clear & ~no(F.col("valid") & (F.col("isi") <= tolerated) & (F.col("isi") < hard_break))
     at = F.col("idx")
-    some = some.withColumns({
-        "_prev": F.max(F.when(F.col("_s"), at)).over(back), "_next": F.min(F.when(F.col("_s"), at)).over(ahead),
-        "_prev_block": F.max(F.when(blocks, at)).over(back), "_next_block": F.min(F.when(blocks, at)).over(ahead),
-    })
+    places = {"": F.col("_s"), "_block": blocks, **({"_clear": clear} if transparent is not None else {})}
+    some = some.withColumns({f"_prev{k}": F.max(F.when(v, at)).over(back) for k, v in places.items()} | {f"_next{k}": F.min(F.when(v, at)).over(ahead) for k, v in places.items()})
     gap = (F.col("_next") - F.col("_prev") - 1 <= most) & (F.coalesce("_prev_block", F.lit(0)) < F.col("_prev")) & (F.coalesce("_next_block", F.lit(1 << 40)) > F.col("_next"))
-    return runs(some, F.col("_s") | F.coalesce(gap, F.lit(False)), F.count_if("_s").alias("support"), F.max("isi").alias("max_isi"), F.sum("isi").alias("duration"), least=least)
+    gap = no(gap & ~F.col("_s"))
+    aggs = [F.count_if("_s").alias("support"), F.max("isi").alias("max_isi"), F.sum("isi").alias("duration")]
+    if transparent is None:
+        return runs(some, F.col("_s") | gap, *aggs, least=least)
+    doubtful = gap & (no(F.col("_prev_clear") > F.col("_prev")) | no(F.col("_next_clear") < F.col("_next")))
+    some = some.withColumns({"_gap": gap, "_doubt": doubtful})
+    found = stored(runs(some, F.col("_s") | (F.col("_gap") & ~F.col("_doubt")), *aggs), "support-runs")
+    links = some.where("_doubt").groupBy("train", F.col("_next").alias("start")).agg(F.max(short_side).alias("side"), F.max("isi").alias("gap_max"), F.sum("isi").alias("gap_sum"))
+    links = stored(links, "doubtful-gaps")
+    linked = found.join(links.select("train").distinct(), "train", "left_semi").join(links, ["train", "start"], "left")
+    names = ["train", "start", "end", "n", "support", "max_isi", "duration", "side", "gap_max", "gap_sum"]
+
+    def take(now: list, row: tuple) -> list | None:
+        _, start, end, n, support_, longest, duration, side, gap_max, gap_sum = row
+        if side is None or now[2] - now[1] + 1 > side:
+            return None
+        return [now[0], now[1], end, end - now[1] + 1, now[4] + support_, max(now[5], longest, gap_max), now[6] + duration + gap_sum]
+
+    train = f"train {rows.schema['train'].dataType.simpleString()}"
+    grown = folded(linked, names, lambda row: list(row[:7]), take, f"{train}, start long, end long, n long, support long, max_isi double, duration double")
+    rest = found.join(links.select("train").distinct(), "train", "left_anti")
+    out = rest.select(*names[:7]).unionByName(grown)
+    return out.where(F.col("n") >= least) if least > 1 else out
 
 
 def tiles(blocks: DataFrame, most: int = 8) -> DataFrame:

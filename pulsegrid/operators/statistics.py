@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from pulsegrid.functions.stats import array_pair_mean, clamp, cv, lv_pair, mm, q, sorted_quantile, wilson
+from pulsegrid.functions.stats import clamp, cv, lv_pair, mm, q, wilson
 from pulsegrid.sources.shared import ranked, stored
 
 from .joins import range_join
@@ -51,19 +51,28 @@ def wasserstein(rows: DataFrame, value: str, side: Column, points: int = 101) ->
     return two.groupBy("train").agg(F.avg(F.abs(quantile8("_x", F.col("_p")) - quantile8("_y", F.col("_p")))).alias("w1"))
 
 
-def span_metrics(rows: DataFrame, spans: DataFrame, low: float, bridge: float) -> DataFrame:
-    """Per span (train, start, end): quantiles, variability, flanks, contrast, and how many of its intervals are core (<= low) or bridge. The intervals of a
-    train's span come by a bucketed range join."""
-    at = rows.select("train", F.col("idx").alias("start"), F.col("idx").alias("end"), "isi", "valid", "suspect")
-    inside = range_join(spans, at, ["train"]).where("r_valid")
-    x = F.col("r_isi")
+QUANTILES = (0.1, 0.5, 0.9, 0.95)
+
+
+def span_metrics(
+    rows: DataFrame, spans: DataFrame, low: float | Column, bridge: float | Column, *more: Column, quantiles: tuple[float, ...] = QUANTILES, keep: tuple[str, ...] = (), intervals: bool = False
+) -> DataFrame:
+    """Per span (train, start, end): quantiles, variability, flanks, contrast, and how many of its intervals are core (<= low) or bridge (columns of spans, or the same for all). The valid intervals
+    of a train's span come by a bucketed range join, and their variation against the one before is known by then, so no list of a span is made.
+
+    more: further aggregates of the span's intervals, whose columns (keep, besides isi and suspect) begin with r_. With intervals, they are given as a list (isi_values), in order."""
+    order = Window.partitionBy("train").orderBy("idx")
+    at = rows.where("valid").select("train", F.col("idx").alias("start"), F.col("idx").alias("end"), "isi", "suspect", *keep, F.lag("isi").over(order).alias("_a"), F.lag("idx").over(order).alias("_at"))
+    ends = {"_low": low if isinstance(low, Column) else F.lit(low), "_bridge": bridge if isinstance(bridge, Column) else F.lit(bridge)}
+    inside = range_join(spans.select("train", "start", "end", *[v.alias(k) for k, v in ends.items()]), at, ["train"])
+    x, low_, bridge_ = F.col("r_isi"), F.col("l__low"), F.col("l__bridge")
+    listed = [F.sort_array(F.collect_list(F.struct("r_start", "r_isi"))).alias("_list")] if intervals else []
     out = inside.groupBy("train", F.col("l_start").alias("start"), F.col("l_end").alias("end")).agg(
         F.count(x).alias("n_isi"), F.avg(x).alias("mean_isi"), F.max(x).alias("max_isi"), F.sum(x).alias("duration"), cv(x).alias("cv"), mm(x).alias("mm"),
-        F.count_if(x <= low).alias("core"), F.count_if((x > low) & (x <= bridge)).alias("bridges"), F.count_if("r_suspect").alias("suspects"), F.sort_array(F.collect_list(F.struct("r_start", "r_isi"))).alias("_at"),
+        F.count_if(x <= low_).alias("core"), F.count_if((x > low_) & (x <= bridge_)).alias("bridges"), F.count_if("r_suspect").alias("suspects"),
+        F.percentile(x, F.array(*[F.lit(p) for p in quantiles])).alias("_q"), F.avg(F.when(F.col("r__at") >= F.col("l_start"), lv_pair(F.col("r__a"), x))).alias("lv"), *more, *listed,
     )
-    out = out.withColumn("isi_values", F.col("_at.r_isi")).withColumn("_s", F.sort_array("isi_values"))  # one list of the span's intervals serves all quantiles
-    out = out.withColumns({f"q{int(p * 100)}": sorted_quantile(F.col("_s"), p) for p in (0.1, 0.5, 0.9, 0.95)}).drop("_at", "_s")
-    out = out.withColumn("lv", array_pair_mean(F.col("isi_values"), lv_pair))
+    out = out.withColumns({f"q{round(p * 100)}": F.get("_q", i) for i, p in enumerate(quantiles)} | ({"isi_values": F.col("_list.r_isi")} if intervals else {})).drop("_q", "_list")
     flank = rows.select("train", "idx", "isi")
     out = out.join(flank.select("train", (F.col("idx") + 1).alias("start"), F.col("isi").alias("pre")), ["train", "start"], "left").join(flank.select("train", (F.col("idx") - 1).alias("end"), F.col("isi").alias("post")), ["train", "end"], "left")
     a, b = F.col("pre") / F.col("q90"), F.col("post") / F.col("q90")

@@ -55,7 +55,7 @@ def event_metrics(pred: DataFrame, truth: DataFrame, tp: DataFrame, by: list[str
     """Truth, predicted, TP, FP, FN, precision, recall and F1 by class; classes that only one side has get zeros."""
     c = lambda df, n: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
     x = c(truth, "truth_n").join(c(pred, "pred_n"), by, "full").join(c(tp, "tp"), by, "left").select(*by, *[F.coalesce(k, F.lit(0)).alias(k) for k in ("truth_n", "pred_n", "tp")])
-    return _scores(x)
+    return scored(x)
 
 
 def split(trains: DataFrame, share: float = 0.5, seed: int = 1) -> DataFrame:
@@ -69,7 +69,7 @@ def split(trains: DataFrame, share: float = 0.5, seed: int = 1) -> DataFrame:
 METRICS = ["precision", "recall", "f1", "tp", "fp", "fn", "pred_n", "truth_n"]
 
 
-def _scores(x: DataFrame) -> DataFrame:
+def scored(x: DataFrame) -> DataFrame:
     """x (truth_n, pred_n, tp) plus the other metrics."""
     x = x.withColumns({"fp": F.greatest(F.col("pred_n") - F.col("tp"), F.lit(0)), "fn": F.col("truth_n") - F.col("tp"), "precision": F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")), "recall": F.when(F.col("truth_n") > 0, F.col("tp") / F.col("truth_n"))})
     return x.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
@@ -96,9 +96,9 @@ def cluster_bootstrap(per_train: DataFrame, replicates: int = 200, seed: int = 1
     counted = per_train.join(names, "train").join(draws, "_k").groupBy("replicate", "label").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("truth_n", "pred_n", "tp")])
     each = labels.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).join(counted, ["replicate", "label"], "left").fillna(0, ["truth_n", "pred_n", "tp"])
     long = lambda df, *keep: df.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])).alias("m")).select(*keep, "m.*")
-    values = long(_scores(each), "label").groupBy("label", "metric").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("mean"))
+    values = long(scored(each), "label").groupBy("label", "metric").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("mean"))
     whole = per_train.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("truth_n", "pred_n", "tp")])
-    seen = long(_scores(whole), "label").withColumnRenamed("value", "observed")
+    seen = long(scored(whole), "label").withColumnRenamed("value", "observed")
     tail = (1 - level) / 2
     return seen.join(values, ["label", "metric"]).select("label", "metric", "observed", F.size("v").cast("long").alias("replicates"), "mean", quantile_6(F.col("v"), tail).alias("low"), quantile_6(F.col("v"), 1 - tail).alias("high"))
 

@@ -1,6 +1,7 @@
 """Queries over thresholds, detectors and the labels that come of them."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.functions.grammar import Grammar
 from pulsegrid.operators import detectors as de
@@ -97,6 +98,53 @@ def detected(spark, d):
     return de.detect(labelled(trains(spark, d)), settings(spark, d))
 
 
+#: Candidates by fixed bands, so that SQL can make them as well: runs of intervals as states, bursts inside and beside them, and tonic states.
+BAND_CANDIDATES = """, fl AS (SELECT *, CASE k WHEN 1 THEN isi <= 0.15 WHEN 2 THEN isi <= 0.03 ELSE isi > 0.03 AND isi <= 0.06 END AS f FROM s, (SELECT unnest([1, 2, 3]) AS k) WHERE valid),
+ru AS (SELECT *, idx - row_number() OVER (PARTITION BY train, k ORDER BY idx) AS run FROM fl WHERE f),
+pr AS (SELECT *, lag(isi) OVER (PARTITION BY train, k, run ORDER BY idx) AS a FROM ru),
+sp AS (SELECT train, k, min(idx) AS start, max(idx) AS e, count(*) AS n, sum(isi) AS duration, quantile_cont(isi, 0.9) AS q90, stddev_samp(isi) / avg(isi) AS cv, max(isi) / avg(isi) AS mm, avg(3 * (a - isi) ** 2 / (a + isi) ** 2) AS lv,
+ count(*) FILTER (isi <= 0.06) / count(*) AS short, count(*) FILTER (isi <= 0.12) / count(*) AS bridged FROM pr GROUP BY train, k, run HAVING count(*) >= CASE k WHEN 1 THEN 8 ELSE 2 END),
+ca AS (SELECT sp.*, p.isi AS pre, q.isi AS post, row_number() OVER (PARTITION BY sp.train ORDER BY k, sp.start) AS c FROM sp LEFT JOIN s p ON p.train = sp.train AND p.idx = sp.start - 1 LEFT JOIN s q ON q.train = sp.train AND q.idx = sp.e + 1)"""
+#: What the rules about spiking states say of them: ve holds the states.
+STATE_VERDICTS = f"""{BAND_CANDIDATES}, ct AS (SELECT h.train, h.c, b.start AS bs, b.e AS be, max(b.e) OVER (PARTITION BY h.train, h.c ORDER BY b.start, b.e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+ FROM ca h JOIN ca b ON b.train = h.train AND h.k = 1 AND b.k = 2 AND b.start >= h.start AND b.e <= h.e),
+cv_ AS (SELECT train, c, count(*) AS bursts, count(*) FILTER (before IS NULL OR bs > before) AS groups, sum(greatest(0, be - greatest(coalesce(before, bs - 1), bs - 1))) AS covered FROM ct GROUP BY ALL),
+st AS (SELECT ca.*, coalesce(bursts, 0) AS bursts, coalesce(groups, 0) AS groups, coalesce(covered, 0) / (e - start + 1) AS coverage, coalesce(cv >= 0.65, false) OR coalesce(lv >= 0.45, false) OR coalesce(mm >= 3, false) AS varies FROM ca LEFT JOIN cv_ USING (train, c) WHERE k = 1),
+pk AS (SELECT *, (varies OR 1 - bridged >= 0.08) AND ((groups >= 2 AND coverage >= 0.08) OR (groups >= 1 AND coverage >= 0.18)) AS packet, groups >= greatest(6, ceil(0.055 * (e - start + 1))) AND coverage >= 0.25 AS dominated FROM st),
+nb AS (SELECT DISTINCT h.train, h.c FROM pk h JOIN pk p ON p.train = h.train AND p.c <> h.c AND p.packet WHERE NOT h.packet AND NOT h.dominated AND h.varies
+ AND CASE WHEN p.e < h.start THEN h.start - p.e - 1 WHEN h.e < p.start THEN p.start - h.e - 1 ELSE 0 END <= 3 AND CASE WHEN p.e < h.start THEN coalesce(h.pre, p.post) WHEN h.e < p.start THEN coalesce(h.post, p.pre) ELSE 0 END <= 0.3),
+ve AS (SELECT pk.*, CASE WHEN dominated THEN 'reject_burst_dominated_hf_spiking_state' WHEN packet THEN 'reject_burst_packet_like_hf_spiking_state' WHEN nb.c IS NOT NULL THEN 'reject_burst_packet_neighbor_hf_spiking_state' END AS action FROM pk LEFT JOIN nb ON nb.train = pk.train AND nb.c = pk.c)"""
+
+
+def band_candidates(spark, d):
+    from pulsegrid.operators.runs import runs
+    from functools import reduce
+
+    rows = trains(spark, d)
+    kinds = [("high_frequency_spiking", F.col("isi") <= 0.15, 8), ("burst", F.col("isi") <= 0.03, 2), ("tonic", (F.col("isi") > 0.03) & (F.col("isi") <= 0.06), 2)]
+    found = [runs(rows, F.col("valid") & flag, least=least).select("train", "start", "end", F.lit(k).alias("k"), F.lit(label).alias("label")) for k, (label, flag, least) in enumerate(kinds, 1)]
+    spans = reduce(lambda a, b: a.unionByName(b), found)
+    m = span_metrics(rows, spans, 0.06, 0.12).join(spans, ["train", "start", "end"])
+    m = m.withColumns({"short": F.col("core") / F.col("n_isi"), "bridged": (F.col("core") + F.col("bridges")) / F.col("n_isi"), "tolerated_gap": F.lit(0.3), "q90_most": F.lit(0.1), "action": F.lit("accept")})
+    return stored(m.withColumns({"large": 1 - F.col("bridged"), "candidate": F.row_number().over(Window.partitionBy("train").orderBy("k", "start"))}), "band-candidates")
+
+
+@query(f"{STATE_VERDICTS} SELECT train, start, e AS \"end\", bursts, groups, round(coverage, 9) AS coverage, packet AS packet_like, action FROM ve")
+def spiking_state_verdicts(spark, d):
+    found = band_candidates(spark, d)
+    return rounded(de.state_verdicts(found).join(found.select("train", "candidate", "start", "end"), ["train", "candidate"]).drop("candidate"))
+
+
+@query(f"""{STATE_VERDICTS}, ok AS (SELECT *, (coalesce(q90 <= 0.1, true)) AND ((e - start + 1 >= 80 AND short >= 0.7 AND bridged >= 0.9) OR (e - start + 1 >= 30 AND short >= 0.85 AND bridged >= 0.95)) AS strong FROM ve WHERE action IS NULL),
+wk AS (SELECT DISTINCT b.train, b.c FROM ok h JOIN ca b ON b.train = h.train AND b.k = 3 AND b.start <= h.e AND b.e >= h.start),
+em AS (SELECT DISTINCT b.train, b.c FROM ok h JOIN ca b ON b.train = h.train AND h.strong AND b.k = 2 AND b.start >= h.start AND b.e <= h.e WHERE b.e - b.start + 1 <= greatest(8, ceil(0.06 * (h.e - h.start + 1))) AND b.duration <= 0.25)
+SELECT ca.train, ca.start, ca.e AS "end", ca.k, CASE WHEN ve.action IS NOT NULL OR wk.c IS NOT NULL OR em.c IS NOT NULL THEN 'reject' ELSE ['high_frequency_spiking', 'burst', 'tonic'][ca.k] END AS label,
+ coalesce(ve.action, CASE WHEN wk.c IS NOT NULL THEN 'suppress_for_hf_spiking_state' WHEN em.c IS NOT NULL THEN 'suppress_embedded_burst_for_hf_spiking_state' END, 'accept') AS action
+ FROM ca LEFT JOIN ve ON ve.train = ca.train AND ve.c = ca.c LEFT JOIN wk ON wk.train = ca.train AND wk.c = ca.c LEFT JOIN em ON em.train = ca.train AND em.c = ca.c""")
+def protected_candidates(spark, d):
+    return de.protected(band_candidates(spark, d)).select("train", "start", "end", "k", "label", "action")
+
+
 @query()
 def detector_candidates(spark, d):
     g = settings(spark, d)
@@ -143,7 +191,7 @@ def hard_threshold_bursts(spark, d):
 
 
 @query(""", u AS (SELECT * FROM s WHERE isi IS NOT NULL AND NOT artifact), q AS (SELECT train, count(*) AS n, quantile_cont(isi, 0.1) AS q10, quantile_cont(isi, 0.5) AS q50, quantile_cont(isi, 0.75) AS q75, quantile_cont(isi, 0.9) AS q90 FROM u GROUP BY train),
-a AS (SELECT *, greatest(0.1, q90) AS base, CASE WHEN n < 6 THEN 0.02 ELSE greatest(0.0009, least(0.02, q10), 0.01 * 1.15) END AS lower FROM q),
+a AS (SELECT *, greatest(0.1, q90) AS base, CASE WHEN n < 6 THEN 0.02 ELSE greatest(0.0009, least(0.02, q10), greatest(0.01, 0.015) * 1.15) END AS lower FROM q),
 b AS (SELECT *, greatest(0.06, q75 * 1.25, CASE WHEN q90 <= 1.5 * q75 THEN q90 * 1.02 END, lower * 1.5) AS high FROM a),
 c AS (SELECT *, CASE WHEN base > 1.15 * q90 AND base > lower THEN least(high, base * 0.98) ELSE high END AS capped FROM b),
 e AS (SELECT *, CASE WHEN n < 6 THEN 0.06 WHEN capped <= lower THEN greatest(0.06, q75, lower + 0.0009) ELSE capped END AS upper FROM c)

@@ -58,7 +58,7 @@ SELECT g.train, g.start, g.e AS "end", n_isi, round(q10, 9) AS q10, round(q50, 9
 FROM g LEFT JOIN s p ON p.train = g.train AND p.idx = g.start - 1 LEFT JOIN s q ON q.train = g.train AND q.idx = g.e + 1""")
 def span_metrics(spark, d):
     rows = trains(spark, d)
-    out = st.span_metrics(rows, short_spans(spark, d), 0.01, 0.025).drop("isi_values")
+    out = st.span_metrics(rows, short_spans(spark, d), 0.01, 0.025)
     return rounded(out.withColumns({c: r(c, 6) for c in ("pre_ratio", "post_ratio", "contrast", "geometric")} | {"percent": r("percent", 4)}))
 
 

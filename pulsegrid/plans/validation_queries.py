@@ -111,3 +111,58 @@ def family_confusion(spark, d):
 
     x = labelled(trains(spark, d))
     return confusion(x.select(family(F.col("manual")).alias("manual"), family(F.col("auto")).alias("auto")), "manual", "auto")
+
+
+TUNED = ["seed_high", "bridge", "tonic_max", "pause_min"]
+
+
+def variant_counts(spark, d):
+    """(names of the variants, counts of what each of them finds against the labels by hand, trains with their durations, events by hand)."""
+    from pulsegrid.operators import tuning as tu
+
+    from .detector_queries import settings
+
+    rows = labelled(trains(spark, d))
+    names = stored(tu.variants(spark, TUNED, settings(spark, d)), "variants")
+    each = stored(rows.groupBy("train").agg((F.max("t") - F.min("t")).alias("duration")), "durations")
+    truth = stored(runs.segments(rows, F.col("manual")).where("label <> ''").select("train", "label", "start", "end"), "true-events")
+    every = each.select("train").withColumn("variant", F.explode(F.array(*[F.lit(r.variant) for r in names.select("variant").collect()])))  # nine names
+    pred = stored(tu.detected_variants(rows, every.join(F.broadcast(names), "variant")), "variant-events")
+    return names, stored(tu.counts(pred, truth, names), "variant-counts"), each, truth
+
+
+@query()
+def setting_scan(spark, d):
+    """How the detectors' agreement with the labels by hand depends on four settings, with paired tests over trains."""
+    from pulsegrid.operators import tuning as tu
+
+    names, c, _, _ = variant_counts(spark, d)
+    return rounded(tu.sensitivity(c, names))
+
+
+def holdout(spark, d):
+    from pulsegrid.operators import tuning as tu
+
+    names, c, each, truth = variant_counts(spark, d)
+    return tu.repeated_holdout(c, names, each, truth, repeats=20)
+
+
+@query()
+def nested_tuning(spark, d):
+    return rounded(holdout(spark, d)["repeats"])
+
+
+@query()
+def holdout_summary(spark, d):
+    return rounded(holdout(spark, d)["summary"])
+
+
+@query()
+def holdout_splits(spark, d):
+    from pulsegrid.operators import tuning as tu
+
+    rows = labelled(trains(spark, d))
+    each = rows.groupBy("train").agg((F.max("t") - F.min("t")).alias("duration"))
+    own = stored(tu.strata(each, runs.segments(rows, F.col("manual")).where("label <> ''")), "strata")
+    splits = tu.stratified_splits(own.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(20)))), ["repeat"])
+    return splits.join(own.select("train", "stratum"), "train")

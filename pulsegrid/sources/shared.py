@@ -33,6 +33,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a broadcast side may have; such sides are narrow.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; otherwise as it is, for a shuffled join. df should be cheap to count."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def clean_up(spark: SparkSession) -> None:
     """Removes all stored tables under the shared folder; no frame that was built on them can be read afterwards."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
