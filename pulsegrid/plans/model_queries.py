@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import dynamics as dy
 from pulsegrid.operators import isi
 from pulsegrid.operators import models as mo
+from pulsegrid.operators import surrogates as su
 from pulsegrid.sources.events import labelled, trains
 from pulsegrid.sources.shared import stored
 
@@ -130,3 +131,15 @@ def isotonic_calibration(spark, d):
     from .validation_queries import scores
 
     return rounded(mo.isotonic(scores(spark, d)), 6)
+
+
+@query(f"""{STATES} SELECT kind, g::INT AS surrogate, train, state, count(*) AS n FROM st, (SELECT unnest(range(1, 4)) AS g), (SELECT unnest(['label_permutation', 'block_shuffle', 'run_shuffle']) AS kind) GROUP BY ALL""")
+def shuffled_label_counts(spark, d):
+    """Labels shuffled one by one, in blocks and in runs: how often each stands in a surrogate."""
+    return su.shuffled(states(spark, d).select("train", "idx", "state"), 3).groupBy("kind", "surrogate", "train", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def surrogate_controls(spark, d):
+    """Each train's labels against 20 surrogates of every kind."""
+    return rounded(su.controls(states(spark, d).select("train", "idx", "state"), 20))
