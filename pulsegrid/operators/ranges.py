@@ -60,3 +60,9 @@ def frozen_bands(rows: DataFrame, calibration: DataFrame) -> dict:
     from .thresholds import histogram_bands
 
     return histogram_bands(rows.join(calibration.select("train").distinct(), "train", "left_semi"))
+
+
+def quantile_settings(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(train, and a column for each setting): settings that are quantiles of each train's own valid intervals, as detectors.detect() takes them."""
+    found = rows.where("valid").groupBy("train").agg(F.percentile("isi", F.array(*[F.lit(p) for p in shares.values()])).alias("_q"))
+    return found.select("train", *[F.get("_q", i).alias(c) for i, c in enumerate(shares)])

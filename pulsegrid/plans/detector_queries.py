@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from pulsegrid.functions.grammar import Grammar
 from pulsegrid.operators import detectors as de
+from pulsegrid.operators import proposals as pp
 from pulsegrid.operators import support as su
 from pulsegrid.operators import thresholds as th
 from pulsegrid.operators.statistics import span_metrics
@@ -257,3 +258,48 @@ def eventness_context(spark, d):
     c = near.groupBy("train", F.col("l_a").alias("start"), F.col("l_b").alias("end")).agg(F.percentile("r_isi", F.lit(0.5)).alias("context"))
     x = m.join(c, ["train", "start", "end"], "left")
     return x.select("train", "start", "end", "label", r("context").alias("context"), r(F.col("context") / F.col("q90"), 6).alias("context_contrast"))
+
+
+#: All windows of up to ten intervals with their scores: w.
+WINDOWS = """, b AS (SELECT *, list(CASE WHEN valid THEN isi END) OVER (PARTITION BY train ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS nx,
+ list(isi) FILTER (valid) OVER (PARTITION BY train ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv, list(isi) FILTER (valid) OVER (PARTITION BY train ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fv,
+ list(isi) FILTER (valid) OVER (PARTITION BY train ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE CURRENT ROW) AS lo FROM s),
+c AS (SELECT *, list_aggregate(pv[-5:], 'median') AS before, list_aggregate(fv[1:5], 'median') AS after, coalesce(valid AND isi <= list_aggregate(lo, 'median') / 1.1, false) AS short FROM b),
+g AS (SELECT c.train, c.idx AS start, c.idx + k - 1 AS e, k, c.before, z.after, list_filter(c.nx[1:k], lambda x: x IS NOT NULL) AS vs FROM c, (SELECT unnest(range(1, 11)) AS k) JOIN c z ON z.train = c.train AND z.idx = c.idx + k - 1 WHERE c.idx >= 2),
+m AS (SELECT *, len(vs) AS n, list_aggregate(vs, 'quantile_cont', 0.9) AS q90, list_max(vs) / list_avg(vs) AS mm, list_avg(list_transform(list_zip(vs[:-2], vs[2:]), lambda p: 3 * (p[1] - p[2]) ** 2 / (p[1] + p[2]) ** 2)) AS lv FROM g WHERE len(vs) >= 1),
+r AS (SELECT *, least(before, after) / q90 AS least, CASE WHEN before IS NOT NULL AND after IS NOT NULL THEN sqrt(before * after) ELSE coalesce(before, after) END / q90 AS geo, CASE WHEN before IS NOT NULL AND after IS NOT NULL THEN (before + after) / 2 ELSE coalesce(before, after) END / q90 AS comp FROM m),
+w AS (SELECT *, ln(geo) + 0.1 * ln(k + 1) + 0.1 * ln(comp) - 0.1 * greatest(0, mm - 2.5) - 0.05 * greatest(0, coalesce(lv, 0) - 1.5) AS score FROM r WHERE geo IS NOT NULL),
+pr AS (SELECT w.train, w.start, w.e, w.k FROM w WHERE k BETWEEN 2 AND 8 AND n = k AND before IS NOT NULL AND after IS NOT NULL AND least >= 1.2 AND geo >= 1.3 AND EXISTS (SELECT 1 FROM c WHERE c.train = w.train AND c.idx BETWEEN w.start AND w.e AND short))"""
+
+
+@query(f"""{WINDOWS} SELECT train, start, e AS "end" FROM pr""")
+def context_windows(spark, d):
+    return pp.context_windows(trains(spark, d))
+
+
+@query(f"""{WINDOWS}, v AS (SELECT pr.train, pr.start, pr.e, w.start AS bs, w.e AS be, w.score, CASE WHEN before IS NULL OR after IS NULL THEN 'reject' WHEN least >= 1.8 AND geo >= 1.8 AND score >= 0.65 THEN 'burst' WHEN least >= 1.25 AND geo >= 1.35 AND score >= 0.35 THEN 'possible_burst' ELSE 'reject' END AS class,
+ row_number() OVER (PARTITION BY pr.train, pr.start, pr.e ORDER BY score DESC, w.start, w.e) AS i FROM pr JOIN w ON w.train = pr.train AND abs(w.start - pr.start) <= 1 AND abs(w.e - pr.e) <= 1 AND w.k >= 2 AND w.n >= 2)
+SELECT train, start, e AS "end", bs AS best_start, be AS best_end, round(score, 6) AS score, class FROM v WHERE i = 1""")
+def optimised_boundaries(spark, d):
+    rows = stored(trains(spark, d), "trains")
+    return rounded(pp.optimised(rows, stored(pp.context_windows(rows), "context-windows")), 6)
+
+
+@query()
+def sliding_context_bursts(spark, d):
+    return rounded(pp.sliding_context(stored(trains(spark, d), "trains")))
+
+
+@query(""", bu AS (SELECT *, idx - row_number() OVER (PARTITION BY train ORDER BY idx) AS run FROM s WHERE auto = 'burst'), pa AS (SELECT train, min(idx) AS bs, max(idx) AS be, quantile_cont(isi, 0.5) FILTER (valid) AS bm, quantile_cont(isi, 0.9) FILTER (valid) AS bq FROM bu GROUP BY train, run),
+la AS (SELECT train, max(idx) AS last FROM s GROUP BY train),
+ch AS (SELECT pa.*, side, k AS width, CASE WHEN side = 'regular_before_burst' THEN bs - k ELSE be + 1 END AS a, last FROM pa JOIN la USING (train), (SELECT unnest(range(4, 17)) AS k), (SELECT unnest(['regular_before_burst', 'regular_after_burst']) AS side)),
+i AS (SELECT ch.*, s.isi, s.valid, s.auto, lag(s.isi) OVER (PARTITION BY ch.train, bs, side, width ORDER BY s.idx) AS p FROM ch JOIN s ON s.train = ch.train AND s.idx BETWEEN a AND a + width - 1 WHERE a >= 3 AND a + width - 1 <= last - 1),
+m AS (SELECT train, bs, be, bm, bq, side, width, a, quantile_cont(isi, 0.1) AS q10, quantile_cont(isi, 0.5) AS q50, quantile_cont(isi, 0.9) AS q90, stddev_samp(isi) / avg(isi) AS cv, avg(3 * (p - isi) ** 2 / (p + isi) ** 2) AS lv, max(isi) / avg(isi) AS mm
+ FROM i GROUP BY ALL HAVING count(*) FILTER (valid) = width AND count(*) FILTER (auto IN ('burst', 'long_burst', 'possible_burst')) = 0),
+f AS (SELECT *, 2.2 - cv - 0.7 * lv - 0.25 * greatest(0, mm - 1) + 0.08 * ln(width + 1) + 0.35 * ln(greatest(1.01, q90 / bq)) + 0.2 AS score FROM m WHERE q10 >= 0.012 AND q90 <= 0.06 AND cv <= 0.45 AND lv <= 0.6 AND mm <= 1.65 AND q90 / q10 <= 2.4 AND q90 / bq >= 1.35)
+SELECT train, bs AS burst_start, be AS burst_end, 'burst' AS burst_label, side, a AS start, a + width - 1 AS "end", round(q90, 6) AS q90, round(cv, 6) AS cv, round(lv, 6) AS lv, round(q50 / bm, 6) AS ratio_median, round(q90 / bq, 6) AS ratio_q90, round(score, 6) AS score
+ FROM f QUALIFY row_number() OVER (PARTITION BY train, bs, side ORDER BY score DESC, a, width) = 1""")
+def regular_packets(spark, d):
+    """Packets right beside bursts, each with its burst. Without a gap all packets of a burst and side overlap, so one is left of each."""
+    x = pp.regular_packets(labelled(trains(spark, d)))
+    return rounded(x.select("train", "burst_start", "burst_end", "burst_label", "side", "start", "end", "q90", "cv", "lv", "ratio_median", "ratio_q90", "score"), 6)
