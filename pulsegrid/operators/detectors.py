@@ -6,6 +6,7 @@ Candidates are made by windows and joins over all trains at once; only selection
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -70,6 +71,71 @@ def _table(df: DataFrame, layer: str, **more: Column) -> DataFrame:
     return x.select(*COLUMNS, *[F.col(c) if layer == "hf_spiking" else F.lit(None).cast("double").alias(c) for c in STATE])
 
 
+#: What a gate that fails by nothing (a value at a limit that it has to be over) counts as.
+LEAST_SHARE = 1e-12
+
+
+@dataclass(frozen=True)
+class Gate:
+    """value must stand to limit as sense says (<=, <, >=, >); what isn't known passes. by is how far the limit would have to move for that, as a share of it; 0 if the gate holds."""
+
+    name: str
+    value: Column
+    limit: Column
+    sense: str = "<="
+
+    @property
+    def holds(self) -> Column:
+        v, x = self.value, self.limit
+        return F.coalesce({"<=": v <= x, "<": v < x, ">=": v >= x, ">": v > x}[self.sense], F.lit(True))
+
+    @property
+    def by(self) -> Column:
+        return F.when(self.holds, 0.0).otherwise(F.greatest(F.abs(self.value - self.limit) / self.limit, F.lit(LEAST_SHARE)))
+
+
+@dataclass(frozen=True)
+class Known(Gate):
+    """A gate that what isn't known fails, by any amount."""
+
+    @property
+    def holds(self) -> Column:
+        v, x = self.value, self.limit
+        return F.coalesce({"<=": v <= x, "<": v < x, ">=": v >= x, ">": v > x}[self.sense], F.lit(False))
+
+    @property
+    def by(self) -> Column:
+        return F.when(self.holds, 0.0).otherwise(F.when((F.abs(self.value - self.limit) / self.limit).isNull(), float("inf")).otherwise(F.greatest(F.abs(self.value - self.limit) / self.limit, F.lit(LEAST_SHARE))))
+
+
+@dataclass(frozen=True)
+class Either:
+    """Routes of gates, any of which is enough: the one that asks for the least counts."""
+
+    name: str
+    routes: tuple[tuple[Gate, ...], ...]
+
+    @property
+    def holds(self) -> Column:
+        return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [g.holds for g in r]) for r in self.routes])
+
+    @property
+    def by(self) -> Column:
+        every = [F.greatest(*[g.by for g in r]) if len(r) > 1 else r[0].by for r in self.routes]
+        return F.least(*every) if len(every) > 1 else every[0]
+
+
+def all_hold(gates: list[Gate | Either]) -> Column:
+    return reduce(lambda a, b: a & b, [g.holds for g in gates])
+
+
+def missed(m: DataFrame, gates: list[Gate | Either], layer: str, slack: float) -> DataFrame:
+    """(train, start, end, layer, gate, by, failed) of spans that fail, but would pass if every gate were relaxed by a share of slack at most: the gate that asks for most, by how much, and how many fail."""
+    x = m.withColumn("_m", F.filter(F.array(*[F.struct(g.by.alias("by"), F.lit(g.name).alias("gate")) for g in gates]), lambda s: s["by"] > 0))
+    x = x.where(F.size("_m") > 0).withColumn("_w", F.array_max("_m")).where(F.col("_w.by") <= slack)
+    return x.select("train", "start", "end", F.lit(layer).alias("layer"), "_w.gate", "_w.by", F.size("_m").alias("failed"))
+
+
 def possible_priority(m_contrast: Column, core: Column, bridge_share: Column, purity: Column, g: Bounds, two: bool = False, one: bool = False, excess: Column | None = None) -> Column:
     p = 260 + 180 * F.least(F.lit(1.5), F.coalesce(m_contrast, F.lit(0.0)) / g.contrast) + 120 * F.least(F.lit(1.0), purity) + 20 * F.least(F.lit(5), core) + (80 if two else 0) + (50 if one else 0)
     if excess is not None:
@@ -77,9 +143,8 @@ def possible_priority(m_contrast: Column, core: Column, bridge_share: Column, pu
     return clamp(p - 120 * F.greatest(F.lit(0.0), bridge_share - 0.35), 180.0, 760.0)
 
 
-def bursts(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
-    """Burst candidates: runs of seed intervals with up to four bridges added on each side, judged by how they stand out from their flanks, and dense episodes."""
-    g = bounds(g)
+def burst_measures(rows: DataFrame, ref: DataFrame, g: Bounds) -> tuple[DataFrame, DataFrame]:
+    """(spans of runs of seeds with their extensions, the same with their measures)."""
     own = g.on(rows)
     seeds = g.on(runs(own, F.col("valid") & F.col("isi").between(g.seed_low, g.seed_high))).where(F.col("n") >= g.min_seeds).select("train", "start", "end")
     some = g.on(extensions(own, seeds, g.bridge, int(g.most("max_extension")))).where((F.col("start") - F.col("s") <= g.max_extension) & (F.col("e") - F.col("end") <= g.max_extension))
@@ -91,8 +156,15 @@ def bursts(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     spans = stored(some.select("train", F.col("s").alias("start"), F.col("e").alias("end")), "burst-spans")
     flags = rows.withColumn("suspect", F.lit(False))
     m = g.on(stored(span_metrics(flags, g.on(spans), g.seed_high, g.bridge), "burst-measures").join(ref, "train"))
+    m = m.withColumns({"purity": F.col("core") / F.col("n_isi"), "bridge_share": F.col("bridges") / F.col("n_isi"), "excess": F.col("q95") / g.bridge, "contrast": F.least("pre_ratio", "post_ratio"), "spikes": F.col("end") - F.col("start") + 2})
+    return spans, m
+
+
+def bursts(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
+    """Burst candidates: runs of seed intervals with up to four bridges added on each side, judged by how they stand out from their flanks, and dense episodes."""
+    g = bounds(g)
+    spans, m = burst_measures(rows, ref, g)
     core, n = F.col("core"), F.col("n_isi")
-    m = m.withColumns({"purity": core / n, "bridge_share": F.col("bridges") / n, "excess": F.col("q95") / g.bridge, "contrast": F.least("pre_ratio", "post_ratio"), "spikes": F.col("end") - F.col("start") + 2})
     a, b = F.col("pre_ratio"), F.col("post_ratio")
     ok = lambda c: F.coalesce(c, F.lit(False))
     q95 = (F.col("excess") <= 1) | (~g.strict_q95 & (F.col("excess") <= g.q95_limit))
@@ -151,7 +223,14 @@ def high_frequency_spiking(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds)
 
     Intervals labelled by hand as a burst belong to no state and no gap. A gap holds no interval as long as the least of the hard break, the pause and the state's greatest interval. Artifacts may stand in a
     gap; across such a gap a state goes on only while it is still too short by itself."""
-    g = bounds(g)
+    m, gates, strict = spiking_measures(rows, bounds(g))
+    m = m.where(all_hold(gates))
+    score = 24 + 0.08 * (F.col("end") - F.col("start") + 2) + 2.5 * F.col("short") + 2.0 * F.col("mid") + 1.5 * F.col("bridged") - 2.0 * F.col("large") + F.when(strict, 1.0).otherwise(0.4)
+    return _table(m, "hf_spiking", label=F.lit("high_frequency_spiking"), gate=F.lit("hf_spiking_state"), action=F.lit("accept"), score=score, priority=F.lit(1040.0))
+
+
+def spiking_measures(rows: DataFrame, g: Bounds) -> tuple[DataFrame, list[Gate | Either], Column]:
+    """(long runs of support with their measures, the gates that they have to pass, whether the strict one does)."""
     own = g.on(rows)
     locked = F.coalesce(F.col("manual").isin("burst", "long_burst", "possible_burst"), F.lit(False)) if "manual" in rows.columns else F.lit(False)
     own = own.withColumns({"_locked": locked}).withColumn("valid", F.col("valid") & ~F.col("_locked"))
@@ -175,29 +254,48 @@ def high_frequency_spiking(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds)
     n = F.col("n_isi")
     m = m.withColumns({"short": F.col("core") / n, "mid": F.col("suspects") / n, "bridged": (F.col("core") + F.col("bridges")) / n, "tolerated": 1 - F.col("over") / n})
     m = m.withColumns({"large": 1 - F.col("bridged"), "tolerated_gap": g.hfs_tolerated.cast("double"), "q90_most": g.hfs_q90.cast("double")})
-    majority = (F.col("short") >= 0.55) | (F.col("mid") >= 0.6) | (F.col("bridged") >= 0.75)
-    strict = F.col("q90") <= g.hfs_q90
-    m = m.where((strict | ((F.col("q80") <= g.hfs_q80) & majority)) & (F.col("tolerated") >= 0.95) & (F.col("large") <= g.hfs_large_share) & (F.col("longest") <= F.greatest(F.lit(2), g.hfs_gap)))
-    score = 24 + 0.08 * (F.col("end") - F.col("start") + 2) + 2.5 * F.col("short") + 2.0 * F.col("mid") + 1.5 * F.col("bridged") - 2.0 * F.col("large") + F.when(strict, 1.0).otherwise(0.4)
-    return _table(m, "hf_spiking", label=F.lit("high_frequency_spiking"), gate=F.lit("hf_spiking_state"), action=F.lit("accept"), score=score, priority=F.lit(1040.0))
+    strict = Gate("q90", F.col("q90"), g.hfs_q90)
+    robust = Gate("q80", F.col("q80"), g.hfs_q80)
+    majority = [Gate("short", F.col("short"), F.lit(0.55), ">="), Gate("mid", F.col("mid"), F.lit(0.6), ">="), Gate("bridged", F.col("bridged"), F.lit(0.75), ">=")]
+    gates: list[Gate | Either] = [
+        Either("compact", ((strict,), *((robust, x) for x in majority))), Gate("tolerated", F.col("tolerated"), F.lit(0.95), ">="), Gate("large", F.col("large"), g.hfs_large_share),
+        Gate("large_run", F.col("longest"), F.greatest(F.lit(2), g.hfs_gap)),
+    ]
+    return m, gates, strict.holds
 
 
 def high_frequency_tonic(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
-    g = bounds(g)
+    """Fast regular runs without bursts."""
+    m, gates = fast_tonic_measures(rows, bounds(g))
+    m = m.where(all_hold(gates))
+    return _table(m, "hf_tonic", label=F.lit("high_frequency_tonic"), gate=F.lit("hf_tonic_state"), action=F.lit("accept"), score=5 + (1 - F.col("low")) + F.coalesce(1 / (1 + F.col("cv")), F.lit(0.0)), priority=F.lit(500.0))
+
+
+def fast_tonic_measures(rows: DataFrame, g: Bounds) -> tuple[DataFrame, list[Gate | Either]]:
     own = g.on(rows)
     member = F.coalesce(F.col("valid") & (F.col("isi") <= g.hft_max), F.lit(False))
     found = g.on(runs(own, member)).where(F.col("end") - F.col("start") + 2 >= g.hft_spikes).select("train", "start", "end")
     own = own.withColumn("_seed", member & F.col("isi").between(g.seed_low, g.seed_high))
     own = own.withColumns({"suspect": F.col("isi") < g.hft_floor, "_row": run_length(F.col("_seed"))})
     m = g.on(span_metrics(g.off(own), g.on(found), g.seed_high, g.hft_max, F.max("r__row").alias("longest"), keep=("_row",)))
-    low = F.col("suspects") / F.col("n_isi")
-    m = m.where((F.col("q90") <= g.hft_max) & ((F.col("q10") >= g.hft_floor) | (low <= g.hft_low_share)) & (F.col("longest") < g.min_seeds) & (F.coalesce("cv", F.lit(0.0)) <= g.hft_cv) & (F.coalesce("lv", F.lit(0.0)) <= g.hft_lv) & (F.col("mm") <= g.hft_mm))
-    return _table(m, "hf_tonic", label=F.lit("high_frequency_tonic"), gate=F.lit("hf_tonic_state"), action=F.lit("accept"), score=5 + (1 - low) + F.coalesce(1 / (1 + F.col("cv")), F.lit(0.0)), priority=F.lit(500.0))
+    m = m.withColumn("low", F.col("suspects") / F.col("n_isi"))
+    gates: list[Gate | Either] = [
+        Gate("q90", F.col("q90"), g.hft_max), Either("low_tail", ((Gate("q10", F.col("q10"), g.hft_floor, ">="),), (Gate("low_share", F.col("low"), g.hft_low_share),))), Gate("seed_run", F.col("longest"), g.min_seeds - 1),
+        Gate("cv", F.col("cv"), g.hft_cv), Gate("lv", F.col("lv"), g.hft_lv), Gate("mm", F.col("mm"), g.hft_mm),
+    ]
+    return m, gates
 
 
 def tonic(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     """Stable runs within the train's tonic band, and the cores of such runs without slower beginnings and ends."""
-    g = bounds(g)
+    m, gates = tonic_measures(rows, ref, bounds(g))
+    m = m.where(all_hold(gates))
+    lv = F.col("lv")
+    return _table(m, "tonic", label=F.lit("tonic"), action=F.lit("accept"), score=3 + F.coalesce(1 / (1 + lv), F.lit(0.0)), priority=F.when(F.col("gate") == "tonic", 350.0).otherwise(340.0))
+
+
+def tonic_measures(rows: DataFrame, ref: DataFrame, g: Bounds) -> tuple[DataFrame, list[Gate | Either]]:
+    """(runs within the tonic band with their measures, the gates that they have to pass)."""
     x = rows.join(ref.select("train", "_lower", "_upper", "_q75", "_n"), "train")
     band = F.col("valid") & F.col("isi").between(F.col("_lower"), F.col("_upper"))
     core_low = F.when(F.greatest("_lower", F.when(F.col("_n") >= 6, F.col("_q75") * 0.65)) > F.col("_upper"), F.col("_lower")).otherwise(F.greatest("_lower", F.when(F.col("_n") >= 6, F.col("_q75") * 0.65)))
@@ -209,25 +307,20 @@ def tonic(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     m = span_metrics(g.off(g.on(rows).withColumn("suspect", seeds)), g.on(found), burst_reference(g), burst_reference(g)).join(found, ["train", "start", "end"])
     m = g.on(m)
     ref_ = burst_reference(g)
-    apart = (F.col("mean_isi") > ref_ * g.tonic_guard) & (F.col("q50") > ref_ * g.tonic_guard) & (F.col("q10") > ref_) & (F.col("core") / F.col("n_isi") <= g.tonic_low_share)
-    lv, cv = F.col("lv"), F.col("cv")
+    lv, n = F.col("lv"), F.col("n_isi")
     mm_low, mm_high = g.tonic_mm
-    most = F.when((lv <= F.least(g.tonic_lv, F.lit(0.15))) & (cv <= 0.3), F.greatest(g.tonic_calm_mm, mm_high)).otherwise(mm_high)
-    m = m.where(apart & (lv.isNull() | (lv <= g.tonic_lv)) & (F.col("mm") <= most) & (F.col("mm") >= mm_low) & (F.col("suspects") / F.col("n_isi") <= 0.2))
-    return _table(m, "tonic", label=F.lit("tonic"), action=F.lit("accept"), score=3 + F.coalesce(1 / (1 + lv), F.lit(0.0)), priority=F.when(F.col("gate") == "tonic", 350.0).otherwise(340.0))
+    most = F.when((lv <= F.least(g.tonic_lv, F.lit(0.15))) & (F.col("cv") <= 0.3), F.greatest(g.tonic_calm_mm, mm_high)).otherwise(mm_high)
+    gates: list[Gate | Either] = [
+        Gate("mean", F.col("mean_isi"), ref_ * g.tonic_guard, ">"), Gate("median", F.col("q50"), ref_ * g.tonic_guard, ">"), Gate("low_quantile", F.col("q10"), ref_, ">"), Gate("low_share", F.col("core") / n, g.tonic_low_share),
+        Gate("lv", lv, g.tonic_lv), Gate("mm_high", F.col("mm"), most), Gate("mm_low", F.col("mm"), mm_low, ">="), Gate("seed_share", F.col("suspects") / n, F.lit(0.2)),
+    ]
+    return m, gates
 
 
 def pauses(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     """Runs of intervals over the train's pause floor that are long for their surroundings and for the train."""
     g = bounds(g)
-    x = g.on(rows.join(ref.select("train", "_floor", F.col("_q50").alias("_median"), "_n"), "train"))
-    long = F.coalesce(F.col("valid") & (F.col("isi") >= F.col("_floor")), F.lit(False))
-    around = F.collect_list(F.when(F.col("valid"), F.struct("isi", "idx", "_long"))).over(in_train().rowsBetween(-11, 11))
-    x = x.withColumn("_long", long).withColumn("_around", around)
-    some = lambda keep: array_median(F.transform(F.filter("_around", keep), lambda s: s["isi"]))
-    # only intervals over the floor need it
-    local = F.when(F.col("_long"), F.coalesce(some(lambda s: ~s["_long"]), some(lambda s: s["idx"] != F.col("idx"))))
-    x = x.withColumn("_local", local)
+    x = pause_measures(rows, ref, g)
     local = F.col("_local")
     stands = F.col("_long") & ((F.col("_n") < 6) | ((local.isNull() | (F.col("isi") >= local * g.pause_local)) & (F.col("isi") >= F.col("_median") * g.pause_global)))
     found = stored(runs(x, stands, F.max("isi").alias("_m"), F.first("_floor").alias("_f")), "pause-spans")
@@ -235,6 +328,18 @@ def pauses(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
     return _table(m, "pause", label=F.lit("pause"), gate=F.lit("pause_gap"), action=F.lit("accept"), priority=F.lit(300.0))
 
 
+def pause_measures(rows: DataFrame, ref: DataFrame, g: Bounds, slack: float = 0.0) -> DataFrame:
+    """rows with the train's floor and median, and, for intervals that come within a share of slack of the floor, the median of those around that aren't over it (of all others, if there are none)."""
+    x = g.on(rows.join(ref.select("train", "_floor", F.col("_q50").alias("_median"), "_n"), "train"))
+    long = F.coalesce(F.col("valid") & (F.col("isi") >= F.col("_floor")), F.lit(False))
+    around = F.collect_list(F.when(F.col("valid"), F.struct("isi", "idx", "_long"))).over(in_train().rowsBetween(-11, 11))
+    x = x.withColumn("_long", long).withColumn("_around", around)
+    some = lambda keep: array_median(F.transform(F.filter("_around", keep), lambda s: s["isi"]))
+    wanted = F.col("valid") & (F.col("isi") >= F.col("_floor") * (1 - slack))
+    both = F.coalesce(some(lambda s: ~s["_long"] & (s["idx"] != F.col("idx"))), some(lambda s: s["idx"] != F.col("idx")))
+    return x.withColumn("_local", F.when(F.coalesce(wanted, F.lit(False)), both))
+
+
 def hard_threshold(rows: DataFrame, bound: float, g: Grammar | Bounds, core: int = 2) -> DataFrame:
     """Runs at or below a bound set by hand, with enough seed intervals; nothing else is asked of them."""
     g = bounds(g)
@@ -448,3 +553,37 @@ def near_misses(found: DataFrame, g: Grammar, slack: float = 0.25) -> DataFrame:
     misses = F.filter(F.array(*[F.struct(F.lit(n).alias("gate"), F.col(f"_{n}").alias("by")) for n in ("q90", "cv")]), lambda s: s["by"] > 0)
     return x.withColumn("_m", misses).where((F.size("_m") == 1) & (F.col("_m")[0]["by"] <= slack)).select("train", "start", "end", F.col("_m")[0]["gate"].alias("failed"), F.col("_m")[0]["by"].alias("by"))
 
+
+def gate_near_misses(rows: DataFrame, g: Grammar | DataFrame | Bounds | None = None, slack: float = 0.25, layers: tuple[str, ...] = ("burst", "hf_spiking", "hf_tonic", "tonic", "pause")) -> DataFrame:
+    """(train, start, end, layer, gate, by, failed): what each layer's detector turned down but would have found with every gate relaxed by a share of slack at most, the gate that asks for most and by how much.
+
+    A burst has to keep within its bridges and to stand out from both flanks, or to be pure, even and short for its train or its flanks; a pause has to reach the train's floor, its surroundings and the
+    median, interval by interval. A condition that can't be met by relaxing, as a missing flank, is no near miss."""
+    g = bounds(g)
+    rows = stored(usable(rows), "trains")
+    ref = references(rows, g)
+    out = []
+    if "burst" in layers:
+        _, m = burst_measures(rows, ref, g)
+        scale = F.greatest("_q75", "pre", "post") / F.col("q90")
+        least = F.when(F.col("pre_ratio").isNotNull() & F.col("post_ratio").isNotNull(), F.least("pre_ratio", "post_ratio"))
+        two = Known("flanks", least, g.possible_contrast, ">=")
+        rescue = (Gate("purity", F.col("purity"), g.rescue_purity, ">="), Gate("cv", F.col("cv"), g.rescue_cv), Known("scale", scale, g.rescue_ratio, ">="))
+        one = F.greatest("pre_ratio", "post_ratio")
+        clean = (Known("flank", one, g.contrast + g.one_sided_extra, ">="), Gate("one_sided_purity", F.col("purity"), g.one_sided_purity, ">="), Gate("one_sided_bridges", F.col("bridge_share"), F.least(g.one_sided_bridge_share, g.max_bridge_share)))
+        limit = F.when(g.strict_q95, 1.0).otherwise(g.q95_limit)
+        gates = [Gate("bridges", F.col("bridges"), g.max_bridges), Gate("bridge_share", F.col("bridge_share"), g.max_bridge_share), Gate("q90", F.col("q90"), g.bridge), Gate("q95", F.col("excess"), limit), Either("contrast", ((two,), clean, rescue))]
+        out.append(missed(m, gates, "burst", slack))
+    if "hf_spiking" in layers:
+        m, gates, _ = spiking_measures(rows, g)
+        out.append(missed(m, gates, "hf_spiking", slack))
+    if "hf_tonic" in layers:
+        out.append(missed(*fast_tonic_measures(rows, g), "hf_tonic", slack))
+    if "tonic" in layers:
+        m, gates = tonic_measures(rows, ref, g)
+        out.append(missed(m.where("gate = 'tonic'"), gates, "tonic", slack))
+    if "pause" in layers:
+        x = pause_measures(rows, ref, g, slack).where(F.col("valid") & (F.col("isi") >= F.col("_floor") * (1 - slack)))
+        gates = [Gate("floor", F.col("isi"), F.col("_floor"), ">="), Gate("surroundings", F.when(F.col("_n") >= 6, F.col("isi")), F.col("_local") * g.pause_local, ">="), Gate("median", F.when(F.col("_n") >= 6, F.col("isi")), F.col("_median") * g.pause_global, ">=")]
+        out.append(missed(x.withColumns({"start": F.col("idx"), "end": F.col("idx")}), gates, "pause", slack))
+    return reduce(DataFrame.unionByName, out)

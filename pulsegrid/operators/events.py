@@ -57,11 +57,20 @@ def recommended(x: DataFrame) -> DataFrame:
     return x.withColumns({"family": fam, "agrees": (F.col("subtype") == F.col("label")) | ((fam == "burst_family") & F.col("label").isin("burst", "long_burst", "possible_burst")) | ((fam == "pause") & (F.col("label") == "pause"))})
 
 
+# Why a burst counts as a possible one, and the labels that are certain unless they need review.
+SUSPECT, ONE_SIDED, COMPRESSED = "contains_refractory_suspect_ISI", "boundary_one_sided_evidence", "local_compression_review_candidate"
+CERTAIN = ["burst", "long_burst", "tonic", "high_frequency_tonic", "high_frequency_spiking", "pause"]
+
+
 def decided(x: DataFrame) -> DataFrame:
-    """A tier for each event: bursts with suspect intervals and possible bursts need review, states count as context, the others are of high confidence."""
-    label = F.when(F.col("label").isin("burst", "long_burst") & (F.col("suspects") > 0), "possible_burst").otherwise(F.col("label"))
-    x = x.withColumn("final_class", label)
-    tier = F.when(F.col("final_class") == "possible_burst", "review_required").when(F.col("final_class").isin("tonic", "high_frequency_tonic"), "contextual").otherwise("high_confidence")
+    """final_class, reason, tier and warnings of each event. Bursts with suspect intervals, with an interval on one side only (at a record's edge), and short ones that only stand out locally (a column local_compression,
+    if there is one) are possible bursts. Possible events need review; the other labels of detectors are of high confidence, and whatever else there is counts as context."""
+    burst, one = F.col("label").isin("burst", "long_burst"), F.col("pre").isNull() != F.col("post").isNull()
+    local = F.coalesce("local_compression", F.lit(False)) if "local_compression" in x.columns else F.lit(False)
+    reason = F.when(burst & (F.col("suspects") > 0), SUSPECT).when((burst | (F.col("label") == "unclassified")) & one, ONE_SIDED).when((F.col("label") == "burst") & local, COMPRESSED).otherwise("")
+    x = x.withColumn("reason", reason).withColumn("final_class", F.when(F.col("reason") != "", "possible_burst").otherwise(F.col("label")))
+    review = F.col("final_class").isin("possible_burst", "possible_pause", "unclassified", "rejected")
+    tier = F.when(review, "review_required").when(F.col("final_class").isin(CERTAIN), "high_confidence").otherwise("contextual")
     return x.withColumns({"tier": tier, "warnings": F.concat_ws(";", F.when(F.col("suspects") > 0, "refractory_suspect"), F.when(F.col("pre").isNull() | F.col("post").isNull(), "record_edge"))})
 
 

@@ -288,8 +288,8 @@ def transition_model(counts: DataFrame) -> DataFrame:
     return out.select("source", F.posexplode("_p").alias("_i", "p")).withColumn("target", F.element_at(F.array(*[F.lit(v) for v in t.labels]), F.col("_i") + 1)).select("source", "target", "p")
 
 
-def label_classifier(train: DataFrame, rows: DataFrame, columns: list[str], hidden: int = 12, cutoff: float = 0.7, seed: int = 1) -> DataFrame:
-    """rows plus predicted (blank under the cutoff) and confidence, of a network with one hidden layer learnt from train's label."""
+def label_classifier(train: DataFrame, rows: DataFrame, columns: list[str], hidden: int = 12, cutoff: float = 0.7, seed: int = 1, probabilities: bool = False) -> DataFrame:
+    """rows plus predicted (blank under the cutoff) and confidence, of a network with one hidden layer learnt from train's label; with probabilities, a map of all labels' too."""
     index = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
     assemble = VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip")
     scale = StandardScaler(inputCol="_raw", outputCol="_f", withMean=True).fit(assemble.transform(train))
@@ -297,6 +297,7 @@ def label_classifier(train: DataFrame, rows: DataFrame, columns: list[str], hidd
     out = model.transform(scale.transform(assemble.transform(rows))).withColumn("_p", vector_to_array("probability"))
     names = F.array(*[F.lit(v) for v in index.labels])
     out = out.withColumn("confidence", F.array_max("_p")).withColumn("predicted", F.when(F.col("confidence") >= cutoff, F.element_at(names, F.col("prediction").cast("int") + 1)).otherwise(""))
+    out = out.withColumn("probabilities", F.map_from_arrays(names, "_p")) if probabilities else out
     return out.drop("_raw", "_f", "_p", "rawPrediction", "probability", "prediction")
 
 

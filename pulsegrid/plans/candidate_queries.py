@@ -89,3 +89,47 @@ def labels_by_train_settings(spark, d):
 
     rows = labelled(trains(spark, d))
     return de.detect(rows, stored(ra.quantile_settings(rows, SHARES), "settings"))[0].select("train", "idx", "auto")
+
+
+def near(spark, d, layer):
+    rows, _, g = prepared(spark, d)
+    return rounded(de.gate_near_misses(rows, g, layers=(layer,)), 6)
+
+
+#: SQL: of misses (by, gate) the largest, by share and then by name.
+MISSED = "list_max(list_filter(ms, lambda s: s.by > 0))"
+
+
+@query(f"""{REFERENCES}, sp AS (SELECT train, min(idx) AS start, max(idx) AS e FROM (SELECT u.*, idx - row_number() OVER (PARTITION BY train ORDER BY idx) AS run FROM u JOIN rf USING (train) WHERE ok AND isi BETWEEN lower AND upper) GROUP BY train, run HAVING max(idx) - min(idx) + 2 >= 5){MEASURES},
+w AS (SELECT *, [{{'by': CASE WHEN mean > burst * 1.15 THEN 0 ELSE abs(mean - burst * 1.15) / (burst * 1.15) END, 'gate': 'mean'}}, {{'by': CASE WHEN s50 > burst * 1.15 THEN 0 ELSE abs(s50 - burst * 1.15) / (burst * 1.15) END, 'gate': 'median'}},
+ {{'by': CASE WHEN s10 > burst THEN 0 ELSE abs(s10 - burst) / burst END, 'gate': 'low_quantile'}}, {{'by': CASE WHEN within / n_isi <= 0.05 THEN 0 ELSE (within / n_isi - 0.05) / 0.05 END, 'gate': 'low_share'}}, {{'by': CASE WHEN lv > 0.5 THEN (lv - 0.5) / 0.5 ELSE 0 END, 'gate': 'lv'}},
+ {{'by': CASE WHEN mm > CASE WHEN lv <= 0.15 AND cv <= 0.3 THEN 1.4 ELSE 1.25 END THEN mm / CASE WHEN lv <= 0.15 AND cv <= 0.3 THEN 1.4 ELSE 1.25 END - 1 ELSE 0 END, 'gate': 'mm_high'}}, {{'by': CASE WHEN mm < 0.85 THEN 1 - mm / 0.85 ELSE 0 END, 'gate': 'mm_low'}},
+ {{'by': CASE WHEN seeds / n_isi > 0.2 THEN (seeds / n_isi - 0.2) / 0.2 ELSE 0 END, 'gate': 'seed_share'}}] AS ms FROM m)
+SELECT train, start, e AS "end", 'tonic' AS layer, {MISSED}.gate AS gate, round({MISSED}.by, 6) AS "by", len(list_filter(ms, lambda s: s.by > 0))::INT AS failed FROM w WHERE {MISSED}.by <= 0.25""")
+def tonic_near_misses(spark, d):
+    return near(spark, d, "tonic")
+
+
+@query(f"""{REFERENCES}, l AS (SELECT u.*, ok AND isi >= floor AS long, floor, q50, n FROM u JOIN rf USING (train)),
+o AS (SELECT a.train, a.idx, coalesce(quantile_cont(b.isi, 0.5) FILTER (NOT b.long AND b.idx <> a.idx), quantile_cont(b.isi, 0.5) FILTER (b.idx <> a.idx)) AS med FROM l a JOIN l b ON b.train = a.train AND b.ok AND b.idx BETWEEN a.idx - 11 AND a.idx + 11 WHERE a.ok AND a.isi >= a.floor * 0.75 GROUP BY ALL),
+w AS (SELECT l.*, [{{'by': CASE WHEN isi >= floor THEN 0 ELSE (floor - isi) / floor END, 'gate': 'floor'}}, {{'by': CASE WHEN n >= 6 AND isi < med * 1.55 THEN 1 - isi / (med * 1.55) ELSE 0 END, 'gate': 'surroundings'}},
+ {{'by': CASE WHEN n >= 6 AND isi < q50 * 1.25 THEN 1 - isi / (q50 * 1.25) ELSE 0 END, 'gate': 'median'}}] AS ms FROM l JOIN o USING (train, idx))
+SELECT train, idx AS start, idx AS "end", 'pause' AS layer, {MISSED}.gate AS gate, round({MISSED}.by, 6) AS "by", len(list_filter(ms, lambda s: s.by > 0))::INT AS failed FROM w WHERE {MISSED}.by <= 0.25""")
+def pause_near_misses(spark, d):
+    return near(spark, d, "pause")
+
+
+@query(f"""{REFERENCES}, sp AS (SELECT train, min(idx) AS start, max(idx) AS e FROM (SELECT u.*, idx - row_number() OVER (PARTITION BY train ORDER BY idx) AS run FROM u JOIN rf USING (train) WHERE ok AND isi <= hft_max) GROUP BY train, run HAVING max(idx) - min(idx) + 2 >= 6){MEASURES},
+w AS (SELECT *, [{{'by': CASE WHEN s90 <= hft_max THEN 0 ELSE s90 / hft_max - 1 END, 'gate': 'q90'}}, {{'by': least(CASE WHEN s10 >= hft_floor THEN 0 ELSE 1 - s10 / hft_floor END, CASE WHEN low / n_isi <= 0.05 THEN 0 ELSE (low / n_isi - 0.05) / 0.05 END), 'gate': 'low_tail'}}, {{'by': CASE WHEN pairs > 0 THEN 1.0 ELSE 0 END, 'gate': 'seed_run'}},
+ {{'by': CASE WHEN cv > 0.6 THEN (cv - 0.6) / 0.6 ELSE 0 END, 'gate': 'cv'}}, {{'by': CASE WHEN lv > 0.6 THEN (lv - 0.6) / 0.6 ELSE 0 END, 'gate': 'lv'}}, {{'by': CASE WHEN mm > 2 THEN (mm - 2) / 2 ELSE 0 END, 'gate': 'mm'}}] AS ms FROM m WHERE pairs = 0)
+SELECT train, start, e AS "end", 'hf_tonic' AS layer, {MISSED}.gate AS gate, round({MISSED}.by, 6) AS "by", len(list_filter(ms, lambda s: s.by > 0))::INT AS failed FROM w WHERE {MISSED}.by <= 0.25""")
+def high_frequency_tonic_near_misses(spark, d):
+    """Runs with two seeds in a row are none: that gate's limit of one would have to double."""
+    return near(spark, d, "hf_tonic")
+
+
+@query()
+def gate_near_misses(spark, d):
+    """Near misses of every layer, with bounds of each train's own."""
+    rows, _, g = prepared(spark, d)
+    return rounded(de.gate_near_misses(rows, g), 6)

@@ -41,11 +41,11 @@ def recommended_subtypes(spark, d):
     return ev.recommended(ev.eventness(*band_events(spark, d))).select("train", "start", "end", "label", "subtype", "family", "agrees")
 
 
-@query(f"""{EVENTNESS}, y AS (SELECT *, CASE WHEN label IN ('burst', 'long_burst') AND suspects > 0 THEN 'possible_burst' ELSE label END AS fc FROM z)
-SELECT train, start, label, fc AS final_class, CASE WHEN fc = 'possible_burst' THEN 'review_required' WHEN fc IN ('tonic', 'high_frequency_tonic') THEN 'contextual' ELSE 'high_confidence' END AS tier,
+@query(f"""{EVENTNESS}, y AS (SELECT *, CASE WHEN label IN ('burst', 'long_burst') AND suspects > 0 THEN 'contains_refractory_suspect_ISI' WHEN label IN ('burst', 'long_burst') AND (pre IS NULL) <> (post IS NULL) THEN 'boundary_one_sided_evidence' ELSE '' END AS reason FROM z)
+SELECT train, start, label, reason, CASE WHEN reason <> '' THEN 'possible_burst' ELSE label END AS final_class, CASE WHEN reason <> '' OR label = 'possible_burst' THEN 'review_required' ELSE 'high_confidence' END AS tier,
  concat_ws(';', CASE WHEN suspects > 0 THEN 'refractory_suspect' END, CASE WHEN pre IS NULL OR post IS NULL THEN 'record_edge' END) AS warnings FROM y""")
 def final_decisions(spark, d):
-    return ev.decided(ev.eventness(*band_events(spark, d))).select("train", "start", "label", "final_class", "tier", "warnings")
+    return ev.decided(ev.eventness(*band_events(spark, d))).select("train", "start", "label", "reason", "final_class", "tier", "warnings")
 
 
 @query(f"""{EVENTNESS} SELECT label AS before, CASE WHEN suspects > 0 AND label IN ('burst', 'long_burst') THEN 'possible_burst' ELSE label END AS label, CASE WHEN suspects > 0 THEN 'demoted' ELSE '' END AS flag, count(*) AS n FROM z GROUP BY ALL""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import dynamics as dy
+from pulsegrid.operators import guardrails as gr
 from pulsegrid.operators import isi
 from pulsegrid.operators import models as mo
 from pulsegrid.operators import surrogates as su
@@ -119,6 +120,33 @@ def neural_labels(spark, d):
     return mo.label_classifier(x.where("train % 2 = 0"), x, FEATURES).select("train", "idx", "label", "predicted", F.round("confidence", 6).alias("confidence"))
 
 
+@query(""", p AS (SELECT train, idx, CASE WHEN kind = 'click' AND isi < 0.02 THEN 'burst' WHEN isi < 0.05 THEN 'tonic' WHEN isi > 0.07 THEN 'pause' ELSE '' END AS l, least(value / 200, 1) AS c FROM s WHERE isi IS NOT NULL),
+n AS (SELECT *, lag(l) OVER w AS a, lead(l) OVER w AS b FROM p WINDOW w AS (PARTITION BY train ORDER BY idx)), k AS (SELECT *, CASE WHEN l = 'pause' OR l = a OR l = b THEN l ELSE '' END AS m FROM n),
+r AS (SELECT train, m AS label, min(idx) AS start, max(idx) AS e, avg(c) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY train ORDER BY idx) - row_number() OVER (PARTITION BY train, m ORDER BY idx) AS run FROM k) WHERE m <> '' GROUP BY train, m, run),
+u AS (SELECT *, isi IS NOT NULL AND NOT artifact AS ok FROM s), lm AS (SELECT a.train, a.idx, quantile_cont(b.isi, 0.5) AS med FROM u a JOIN u b ON b.train = a.train AND b.ok AND b.idx BETWEEN a.idx - 5 AND a.idx + 5 AND b.idx <> a.idx GROUP BY ALL),
+i AS (SELECT r.*, u.idx, u.isi, u.isi / med AS beside, lag(u.isi) OVER (PARTITION BY r.train, r.start ORDER BY u.idx) AS p FROM r JOIN u ON u.train = r.train AND u.ok AND u.idx BETWEEN r.start AND r.e LEFT JOIN lm ON lm.train = u.train AND lm.idx = u.idx),
+m AS (SELECT train, label, start, e, conf, avg(isi) AS mean, max(isi) AS mx, max(beside) AS bs, quantile_cont(isi, 0.9) AS q90, stddev_samp(isi) / avg(isi) AS cv, max(isi) / avg(isi) AS mm, avg(3 * (p - isi) ** 2 / (p + isi) ** 2) AS lv FROM i GROUP BY ALL),
+g AS (SELECT m.*, x.isi / q90 AS pre, y.isi / q90 AS post FROM m LEFT JOIN s x ON x.train = m.train AND x.idx = m.start - 1 LEFT JOIN s y ON y.train = m.train AND y.idx = m.e + 1)
+SELECT train, start, e AS "end", label, label AS predicted, round(conf, 9) AS confidence, e - start + 1 AS n_isi FROM g WHERE CASE label WHEN 'burst' THEN e - start + 2 >= 3 AND least(pre, post) >= 1.08 AND CASE WHEN pre IS NOT NULL AND post IS NOT NULL THEN sqrt(pre * post) ELSE coalesce(pre, post) END >= 1.17
+ WHEN 'tonic' THEN e - start + 2 >= 5 AND mean BETWEEN 0.02 AND 0.06 AND lv <= 0.625 AND cv <= 0.45 AND mm <= 1.4375 ELSE mx >= 0.09 OR bs >= 1.76 END""")
+def guarded_predictions(spark, d):
+    """Predictions by a rule, so that SQL can make them too: which runs of them are events."""
+    rows = trains(spark, d)
+    isi_ = F.col("isi")
+    label = F.when((F.col("kind") == "click") & (isi_ < 0.02), "burst").when(isi_ < 0.05, "tonic").when(isi_ > 0.07, "pause").otherwise("")
+    p = rows.where("isi is not null").select("train", "idx", label.alias("label"), F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"), F.lit(True).alias("accepted"))
+    return rounded(gr.guarded(rows, p))
+
+
+@query()
+def guarded_neural_labels(spark, d):
+    """Events of the network's predictions; runs that can't be what they are called take the next label that they can be."""
+    x = feature_rows(spark, d).withColumn("label", F.when(F.col("auto") == "", "none").otherwise(F.col("auto")))
+    p = mo.label_classifier(x.where("train % 2 = 0"), x, FEATURES, probabilities=True)
+    p = p.select("train", "idx", F.col("predicted").alias("label"), "confidence", (F.col("predicted") != "").alias("accepted"), "probabilities")
+    return rounded(gr.guarded(trains(spark, d), p, fallback=True), 6)
+
+
 @query()
 def platt_calibration(spark, d):
     from .validation_queries import scores
