@@ -263,6 +263,42 @@ def landmark_diffusion(x: np.ndarray, k: int = 2, t: int = 1) -> Callable[[np.nd
     return place
 
 
+def _local_kernel(d2: np.ndarray, own: np.ndarray | None, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kernel of points against landmarks, the points' scales): each point's scale is its distance to a near landmark; own are the landmarks' scales (None: the points are the landmarks)."""
+    d = np.sort(d2, 1)
+    k = min(neighbours, d.shape[1] - 1)
+    scale = np.maximum(np.sqrt(d[:, k]), 1e-12)  # a landmark's nearest is itself
+    return np.exp(-d2 / (scale[:, None] * (scale if own is None else own)[None])), scale
+
+
+def landmark_potential(x: np.ndarray, k: int = 2, t: int = 3, neighbours: int = 15) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives any points their coordinates by diffusion potential: a random walk of t steps among the landmarks x (kernel of local scales, density taken out), minus the logarithm of where it may be, and
+    scaling of the distances between those. A point's first step goes to the landmarks; a landmark comes to where scaling all landmarks' potentials puts it."""
+    kernel, scale = _local_kernel(((x[:, None] - x[None]) ** 2).sum(2), None, neighbours)
+    q = kernel.sum(1)
+    p = kernel / q
+    p = p / p.sum(1, keepdims=True)
+    later = np.linalg.matrix_power(p, t - 1)
+    least = np.finfo(float).eps
+    mine = -np.log(np.maximum(p @ later, least))
+    full = ((mine[:, None] - mine[None]) ** 2).sum(2)
+    j = np.eye(len(x)) - 1 / len(x)
+    w, v = np.linalg.eigh(-0.5 * j @ full @ j)
+    w, v = w[::-1][:k], v[:, ::-1][:, :k]
+    axes = np.where(w > 1e-12, v / np.sqrt(np.maximum(w, 1e-12)), 0.0)
+
+    def place(points: np.ndarray) -> np.ndarray:
+        step, _ = _local_kernel(((points[:, None] - x[None]) ** 2).sum(2), scale, neighbours)
+        step = step / q
+        total = step.sum(1, keepdims=True)
+        step = np.where(total > 0, step / np.where(total > 0, total, 1.0), 1 / len(x))
+        theirs = -np.log(np.maximum(step @ later, least))
+        d2 = (theirs * theirs).sum(1)[:, None] - 2 * theirs @ mine.T + (mine * mine).sum(1)[None]
+        return -0.5 * (d2 - full.mean(0)) @ axes
+
+    return place
+
+
 def placed(points: DataFrame, columns: list[str], place: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(train, x, y) of every row of points (train and columns); place is a model of bounded size."""
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import dynamics as dy
 from pulsegrid.operators import guardrails as gr
 from pulsegrid.operators import isi
+from pulsegrid.operators import manifold as mf
 from pulsegrid.operators import models as mo
 from pulsegrid.operators import surrogates as su
 from pulsegrid.sources.events import labelled, trains
@@ -90,10 +91,15 @@ def factor_loadings(spark, d):
     return spark.createDataFrame([(c, float(abs(a[0])), float(u)) for c, a, u in zip(FEATURES, load, psi, strict=True)], "feature string, loading double, uniqueness double")
 
 
+def shares(spark, d):
+    """Shares of each train's intervals by length."""
+    bands = [(0, 0.01), (0.01, 0.02), (0.02, 0.04), (0.04, 0.08)]
+    return stored(trains(spark, d).where("valid").groupBy("train").agg(*[F.avg((F.col("isi").between(a, b)).cast("double")).alias(f"f{i}") for i, (a, b) in enumerate(bands)]), "population")
+
+
 def embedded(spark, d, model):
     """A row for each train: shares of its intervals by length, placed by a model of at most 900 trains."""
-    x = trains(spark, d).where("valid").groupBy("train").agg(*[F.avg((F.col("isi").between(a, b)).cast("double")).alias(f"f{i}") for i, (a, b) in enumerate([(0, 0.01), (0.01, 0.02), (0.02, 0.04), (0.04, 0.08)])])
-    x = stored(x, "population")
+    x = shares(spark, d)
     p = mo.subsample(x, LANDMARKS, key="train").filter(like="f").to_numpy()
     return mo.placed(x, [f"f{i}" for i in range(4)], model(p) if len(p) else lambda y: y)
 
@@ -108,6 +114,37 @@ def diffusion_embedding(spark, d):
     return embedded(spark, d, mo.landmark_diffusion)
 
 
+@query()
+def potential_embedding(spark, d):
+    return embedded(spark, d, mo.landmark_potential)
+
+
+@query()
+def embedding_quality(spark, d):
+    """How well the diffusion potential keeps each train's neighbours."""
+    x = shares(spark, d)
+    y = embedded(spark, d, mo.landmark_potential)
+    names = [f"f{i}" for i in range(4)]
+    return rounded(mf.neighbour_ranks(x.withColumn("train", F.col("train").cast("long")).join(y, "train"), names, ["x", "y"]), 6)
+
+
+@query()
+def state_distance_tests(spark, d):
+    """Are the labels' intervals apart, in their length and in that of the one before?"""
+    rows = labelled(trains(spark, d))
+    p = rows.withColumn("_b", F.lag("isi").over(isi.in_train())).where("valid and _b > 0")
+    p = p.select(F.struct("train", "idx").alias("at"), F.col("auto").alias("state"), F.log10("isi").alias("x"), F.log10("_b").alias("y"))
+    return rounded(mf.state_distances(p, ["x", "y"], 49))
+
+
+@query()
+def held_out_columns(spark, d):
+    """What bins of the other kinds of spikes say about one kind."""
+    from .event_queries import KINDS, population_matrix
+
+    return rounded(mf.held_out_prediction(population_matrix(spark, d).withColumnRenamed("bin", "at"), KINDS), 6)
+
+
 @query()
 def transition_model(spark, d):
     c = dy.transitions(states(spark, d)).groupBy("source", "target").agg(F.sum("n").alias("n"))
