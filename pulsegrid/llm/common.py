@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -37,8 +39,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).when(~others, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most so many rows, which share the memory of those that Spark sends; without the session's options, which hold for others too."""
+def batches_of(batches: Iterator[pa.RecordBatch], rows: int, keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many rows, which share the memory of those that Spark sends; without the session's options, which hold for others too. Unless the task keeps something by its
+    worker, what earlier stages left there is given back first."""
+    if not keeps:
+        forget()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -46,11 +51,28 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
         pa.default_memory_pool().release_unused()  # a worker lives on through later stages
 
 
+def _kept() -> dict[str, Any]:
+    return sys.modules.setdefault("pulsegrid_worker", types.ModuleType("pulsegrid_worker")).__dict__
+
+
+def forget() -> None:
+    """Drops what the worker keeps, and gives free memory back to the system, as far as its allocator can."""
+    names = [n for n in _kept() if not n.startswith("__")]
+    if names:
+        for n in names:
+            del _kept()[n]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
-    """What make() gives, made once for each Python worker: later tasks of the worker find it again. A global of this package doesn't last (measured on PySpark 4.1: every task
-    finds it as it was when the package was imported), a module of its own does."""
-    kept = sys.modules.setdefault("pulsegrid_worker", types.ModuleType("pulsegrid_worker")).__dict__
+    """What make() gives, made once for each Python worker: later tasks of the worker find it again, until a task keeps something else or nothing. A global of this package doesn't last (measured on PySpark 4.1:
+    every task finds it as it was when the package was imported), a module of its own does."""
+    kept = _kept()
     if name not in kept:
+        forget()
         kept[name] = make()
     return kept[name]
 

@@ -112,7 +112,7 @@ def fit(train: DataFrame, per_lang: int = TRAIN_DOCS) -> tuple[list[str], np.nda
     chance = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < 1_000_000.0 * per_lang / F.col("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 256):
+        for b in batches_of(batches, 256, keeps=True):
             got = [(lang, features(t)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             got = [(lang, x) for lang, x in got if x is not None]
             at = [np.flatnonzero(x) for _, x in got]
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for b in batches_of(batches, 256):
+        for b in batches_of(batches, 256, keeps=True):
             found = [features(t) if model else None for t in b.column(b.num_columns - 1).to_pylist()]
             some = [i for i, x in enumerate(found) if x is not None]
             lang, score, unsure = [UNDETERMINED] * len(found), [0.0] * len(found), [True] * len(found)

@@ -21,7 +21,7 @@ def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
     path = path or tokenizer_path()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_encoder(path)
-        for b in batches_of(batches, 2048):
+        for b in batches_of(batches, 2048, keeps=True):
             yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode(b.column(0))], pa.int64())], ["length"])
 
     return docs.select(text_col).mapInArrow(run, "length long")

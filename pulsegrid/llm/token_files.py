@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             out.close()
             done.append((part, len(done), f"{folder}/{part:06d}-{len(done):04d}.zst", len(out.ids), out.tokens))
 
-        for batch in batches_of(batches, rows_at_once):
+        for batch in batches_of(batches, rows_at_once, keeps=True):
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if out is None:
                     fs.create_dir(root)
