@@ -174,3 +174,64 @@ def regular_packets(rows: DataFrame, label: str = "auto", p: Packet | None = Non
     none = F.slice("_all", 1, 0)
     kept = F.aggregate("_all", none, lambda done, c: F.when(F.exists(done, lambda d: share(c, d) >= p.overlap), done).otherwise(F.concat(done, F.array(c))))
     return each.select(*key, F.inline(kept)).drop("_o")
+
+
+@dataclass(frozen=True)
+class Bridge:
+    """What may lie between two seeds of one burst, against the seeds' own scale."""
+
+    most: int = 1
+    inflate: float = 1.25
+    inflate_most: float = 1.75
+    lv: tuple[float, float] = (0.15, 0.35)
+    mm: tuple[float, float] = (0.10, 1.20)
+    ratio: float = 3.50
+    possible: float = 5.00
+    raw: float | None = None
+    percent: float = 35.0
+    margin: float = 10.0
+
+
+def _percents(rows: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """values plus pct: the share, in percent, of the train's valid intervals that are at most the value. Both go through one sorted scan of the train."""
+    both = values.select("*", F.lit(0).alias("_one")).unionByName(rows.where("valid").select("train", F.col("isi").alias(value), F.lit(1).alias("_one")), allowMissingColumns=True)
+    train = Window.partitionBy("train")
+    share = 100 * F.sum("_one").over(train.orderBy(value)) / F.sum("_one").over(train)
+    return both.withColumn("pct", share).where("_one = 0").drop("_one")
+
+
+def seed_bridges(rows: DataFrame, seeds: DataFrame, b: Bridge | None = None) -> DataFrame:
+    """(train, left, right, gap_n, gap_max, inflate, ratio, pct, score, class) of every two neighbouring seeds (train, start, end) with few valid intervals between them: accepted, possible or reject.
+
+    The longest interval between them is measured against the longer of the seeds' 90% quantiles, inflated the more the seeds vary; and it must not stand too high among the train's intervals. Neighbours are found
+    by a window over the seeds."""
+    b = b or Bridge()
+    m = span_metrics(rows, seeds, 0.0, 0.0).select("train", "start", "end", F.col("q90").alias("q"), "lv", "mm")
+    m = _percents(rows, m, "q")
+    order = Window.partitionBy("train").orderBy("start")
+    x = m.select("*", *[F.lead(c).over(order).alias(f"_{c}") for c in ("start", "end", "q", "lv", "mm", "pct")]).withColumn("gap_n", F.col("_start") - F.col("end") - 1).where(F.col("gap_n").between(0, b.most))
+    x = stored(x.withColumns({"ga": F.col("end") + 1, "gb": F.col("_start") - 1}), "seed-pairs")
+    pct = F.when(F.col("valid"), 100 * F.cume_dist().over(Window.partitionBy("train", "valid").orderBy("isi")))
+    ranked_rows = rows.withColumn("_pct", pct)
+    gaps = span_metrics(ranked_rows, x.where("gap_n > 0").select("train", F.col("ga").alias("start"), F.col("gb").alias("end")), 0.0, 0.0, F.max("r__pct").alias("pct"), keep=("_pct",))
+    gaps = gaps.select("train", F.col("start").alias("ga"), F.col("n_isi").alias("_gn"), F.col("max_isi").alias("gap_max"), F.col("pct").alias("gap_pct"))
+    whole = span_metrics(rows, x.select("train", "start", F.col("_end").alias("end")), 0.0, 0.0).select("train", "start", F.col("end").alias("_end"), "geometric")
+    x = x.join(gaps, ["train", "ga"], "left").where((F.col("gap_n") == 0) | (F.col("_gn") == F.col("gap_n"))).join(whole, ["train", "start", "_end"])
+    middle = lambda c: F.coalesce((F.col(c) + F.col(f"_{c}")) / 2, F.col(c), F.col(f"_{c}"))
+    grown = 1 + b.lv[0] * F.greatest(F.lit(0.0), F.coalesce(middle("lv"), F.lit(0.0)) - b.lv[1]) + b.mm[0] * F.greatest(F.lit(0.0), F.coalesce(middle("mm"), F.lit(1.0)) - b.mm[1])
+    x = x.withColumn("inflate", F.greatest(F.lit(1.0), F.least(b.inflate * grown, F.lit(b.inflate * b.inflate_most))))
+    x = x.withColumn("ref", F.greatest("q", "_q") * F.col("inflate")).withColumn("ratio", F.coalesce("gap_max", F.lit(0.0)) / F.col("ref"))
+    allowed = F.least(F.lit(100.0), F.greatest(F.greatest("pct", "_pct") + b.margin, F.lit(b.percent)))
+    low, raw = F.col("gap_pct") <= allowed, F.lit(True) if b.raw is None else F.col("gap_max") <= b.raw
+    kind = F.when(F.col("gap_n") == 0, "accepted").when(raw & low & (F.col("ratio") <= b.ratio), "accepted").when(raw & low & (F.col("ratio") <= b.possible), "possible").otherwise("reject")
+    part = lambda c: F.coalesce(F.when(c > 0, F.ln(c)), F.lit(0.0))
+    score = -part(F.col("ratio")) + part(F.col("geometric")) + 0.05 * part(F.col("ref") / F.col("gap_max")) - 0.005 * F.greatest(F.lit(0.0), F.coalesce("gap_pct", F.lit(0.0)) - b.percent)
+    return x.select("train", F.col("start").alias("left"), F.col("_start").alias("right"), F.col("gap_n").cast("int").alias("gap_n"), "gap_max", "inflate", "ratio", F.col("gap_pct").alias("pct"), score.alias("score"), kind.alias("class"))
+
+
+def bridged_seeds(seeds: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(train, start, end, seeds): chains of seeds whose bridges are accepted."""
+    order = Window.partitionBy("train").orderBy("start")
+    joined = bridges.where("class = 'accepted'").select("train", F.col("right").alias("start"), F.lit(0).alias("_new"))
+    x = seeds.join(joined, ["train", "start"], "left").withColumn("_chain", F.sum(F.coalesce("_new", F.lit(1))).over(order))
+    return x.groupBy("train", "_chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("seeds")).drop("_chain")

@@ -303,3 +303,36 @@ def regular_packets(spark, d):
     """Packets right beside bursts, each with its burst. Without a gap all packets of a burst and side overlap, so one is left of each."""
     x = pp.regular_packets(labelled(trains(spark, d)))
     return rounded(x.select("train", "burst_start", "burst_end", "burst_label", "side", "start", "end", "q90", "cv", "lv", "ratio_median", "ratio_q90", "score"), 6)
+
+
+#: SQL: seeds (sd) with their scale, what lies between neighbours (br) and what becomes of it (bc).
+SEED_BRIDGES = """, sr AS (SELECT *, idx - row_number() OVER (PARTITION BY train ORDER BY idx) AS run FROM s WHERE valid AND isi <= 0.02), sl AS (SELECT *, lag(isi) OVER (PARTITION BY train, run ORDER BY idx) AS p FROM sr),
+s0 AS (SELECT train, min(idx) AS start, max(idx) AS e, quantile_cont(isi, 0.9) AS q, max(isi) / avg(isi) AS mm, avg(3 * (p - isi) ** 2 / (p + isi) ** 2) AS lv FROM sl GROUP BY train, run),
+sd AS (SELECT s0.train, start, e, q, mm, lv, 100.0 * count(*) FILTER (s.isi <= q) / count(*) AS pct FROM s0 JOIN s ON s.train = s0.train AND s.valid GROUP BY ALL),
+nb AS (SELECT *, lead(start) OVER w AS s2, lead(e) OVER w AS e2, lead(q) OVER w AS q2, lead(mm) OVER w AS mm2, lead(lv) OVER w AS lv2, lead(pct) OVER w AS pct2 FROM sd WINDOW w AS (PARTITION BY train ORDER BY start)),
+pc AS (SELECT train, idx, isi, 100 * cume_dist() OVER (PARTITION BY train ORDER BY isi) AS p FROM s WHERE valid),
+mg AS (SELECT nb.train, nb.start, quantile_cont(s.isi, 0.9) AS mq FROM nb JOIN s ON s.train = nb.train AND s.valid AND s.idx BETWEEN nb.start AND nb.e2 WHERE s2 - e - 1 = 1 GROUP BY ALL),
+br AS (SELECT nb.*, pc.isi AS gap_max, pc.p AS gap_pct, sqrt(x.isi * y.isi) / mq AS geo, greatest(1, least(1.25 * (1 + 0.15 * greatest(0, coalesce((lv + lv2) / 2, lv, lv2, 0) - 0.35) + 0.1 * greatest(0, coalesce((mm + mm2) / 2, 1) - 1.2)), 1.25 * 1.75)) AS inflate
+ FROM nb JOIN pc ON pc.train = nb.train AND pc.idx = nb.e + 1 JOIN mg ON mg.train = nb.train AND mg.start = nb.start LEFT JOIN s x ON x.train = nb.train AND x.idx = nb.start - 1 LEFT JOIN s y ON y.train = nb.train AND y.idx = nb.e2 + 1 WHERE s2 - e - 1 = 1),
+bc AS (SELECT *, greatest(q, q2) * inflate AS ref, gap_max / (greatest(q, q2) * inflate) AS ratio, gap_pct <= least(100, greatest(greatest(pct, pct2) + 10, 35)) AS low FROM br),
+bk AS (SELECT *, CASE WHEN low AND ratio <= 3.5 THEN 'accepted' WHEN low AND ratio <= 5 THEN 'possible' ELSE 'reject' END AS class, -ln(ratio) + coalesce(ln(geo), 0) + 0.05 * ln(ref / gap_max) - 0.005 * greatest(0, gap_pct - 35) AS score FROM bc)"""
+
+
+def short_seeds(spark, d):
+    from pulsegrid.operators.runs import runs
+
+    rows = stored(trains(spark, d), "trains")
+    return rows, stored(runs(rows, F.col("valid") & (F.col("isi") <= 0.02)).select("train", "start", "end"), "seeds")
+
+
+@query(f"""{SEED_BRIDGES} SELECT train, start AS "left", s2 AS "right", 1 AS gap_n, round(gap_max, 9) AS gap_max, round(inflate, 9) AS inflate, round(ratio, 6) AS ratio, round(gap_pct, 6) AS pct, round(score, 6) AS score, class FROM bk""")
+def seed_bridges(spark, d):
+    x = pp.seed_bridges(*short_seeds(spark, d))
+    return rounded(x.withColumns({c: r(c, 6) for c in ("ratio", "pct", "score")}))
+
+
+@query(f"""{SEED_BRIDGES}, ch AS (SELECT sd.train, sd.start, sd.e, sum(CASE WHEN bk.class = 'accepted' THEN 0 ELSE 1 END) OVER (PARTITION BY sd.train ORDER BY sd.start) AS c FROM sd LEFT JOIN bk ON bk.train = sd.train AND bk.s2 = sd.start)
+SELECT train, min(start) AS start, max(e) AS "end", count(*) AS seeds FROM ch GROUP BY train, c""")
+def bridged_seeds(spark, d):
+    rows, seeds = short_seeds(spark, d)
+    return pp.bridged_seeds(seeds, pp.seed_bridges(rows, seeds))

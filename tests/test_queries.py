@@ -11,7 +11,7 @@ import pulsegrid.plans  # noqa: F401
 from pulsegrid.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"detector_candidates", "candidate_ledger", "final_label_table", "near_misses", "mixture_states"}
+SLOW = {"detector_candidates", "candidate_ledger", "final_label_table", "near_misses", "mixture_states", "nested_tuning", "holdout_summary", "labels_by_train_settings"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
