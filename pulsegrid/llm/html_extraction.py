@@ -1,7 +1,7 @@
 """HTML extraction: a page's blocks are labelled content or boilerplate by a minimum cut.
 
-Two kinds of nodes stand in a page's graph. Text blocks: a fitted classifier of their text and of their neighbours gives the capacities to source and
-sink. Elements that say something by their tag, names or role: their evidence, for each block in them, is their capacity. Edges join blocks that are neighbours in
+Two kinds of nodes stand in a page's graph. Text blocks: a fitted classifier of their text, of their neighbours, and of what the names around them say gives the capacities to source and
+sink. Elements that say something by their tag or role: their evidence, for each block in them, is their capacity. Edges join blocks that are neighbours in
 page order, blocks of one parent, and each block with the element nearest around it; max-flow finds the labels of least cost.
 """
 
@@ -50,24 +50,27 @@ BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "se
 #: Words that turn a name on a wrapper into a remark about it (has-sidebar).
 REMARKS = {"has", "with", "no", "without"}
 # Evidence of elements for each block in them, and capacities of edges, all in log-odds.
-BOILERPLATE, ARTICLE, MAIN, NAMED = -5.0, 2.6, 1.3, 1.0
+BOILERPLATE, ARTICLE, MAIN = -5.0, 2.6, 1.3
 TIE_BOILERPLATE, TIE_CONTENT, ADJACENT, SAME_PARENT, SAME_SECTION, SIBLING = 5.5, 2.0, 0.2, 0.5, 0.2, 0.3
-#: A block's own log-odds go so far.
-CERTAIN = 2.5
+#: A block's text says so much at most, in log-odds, and the names around it so much.
+CERTAIN, NAMED = 2.5, 5.0
 #: What the classifier expects before it has seen a page: weights of bias, length, share of link text, end of a sentence, copyright sign, heading, item
-#: of a list, paragraph, and the lengths and link shares of the neighbours.
-PRIOR = np.array([-0.6, 2.5, -3.5, 0.8, -2.5, 0.3, -0.5, 0.5, 1.0, -1.0])
+#: of a list, paragraph, the lengths and link shares of the neighbours, and names of boilerplate and of content around the block.
+PRIOR = np.array([-0.6, 2.5, -3.5, 0.8, -2.5, 0.3, -0.5, 0.5, 1.0, -1.0, -5.0, 1.0])
+#: How many of these are of the text.
+OF_TEXT = 10
 #: Strength of that expectation; pages that the weights are fitted on (all if there are fewer, else about so many, chosen by a hash of the page), and blocks of each.
 PRIOR_STRENGTH, TRAIN_PAGES, TRAIN_BLOCKS = 0.02, 1_000, 40
 
 
 class Element:
-    """An element on the way to blocks. found: what it says itself; soft: that this is worth nothing if it turns out to be a wrapper of the page."""
+    """An element on the way to blocks. found: what its tag or role says; named: what its names say (-1, 0 or 1), and at last those around it too; soft: that what it says against its blocks is worth nothing if
+    it turns out to be a wrapper of the page."""
 
-    __slots__ = ("chars", "clear", "content", "evidence", "found", "heading", "inner", "marked", "number", "parent", "section", "soft", "tag")
+    __slots__ = ("chars", "clear", "content", "evidence", "found", "heading", "inner", "marked", "named", "number", "parent", "section", "soft", "tag")
 
-    def __init__(self, tag: str, number: int, parent: Element | None, found: float, soft: bool, section: int):
-        self.tag, self.number, self.parent, self.found, self.soft, self.section = tag, number, parent, found, soft, section
+    def __init__(self, tag: str, number: int, parent: Element | None, found: float, named: int, soft: bool, section: int):
+        self.tag, self.number, self.parent, self.found, self.named, self.soft, self.section = tag, number, parent, found, named, soft, section
         self.chars = self.content = self.marked = self.inner = 0
         self.heading, self.evidence, self.clear = False, 0.0, 0
 
@@ -79,8 +82,8 @@ class Block:
         self.element, self.parent, self.tag, self.parts, self.linked, self.text = element, parent, parent.tag, [], 0, ""
 
 
-def _says(tag: str, attributes: str, in_article: bool) -> tuple[float, bool, bool]:
-    """What an element says about the blocks in it: evidence, whether it is soft, and whether the tag alone is clear (for the classifier's labels)."""
+def _says(tag: str, attributes: str, in_article: bool) -> tuple[float, int, bool, bool]:
+    """What an element says about the blocks in it: evidence of its tag or role, what its names say, whether what it says against them is soft, and whether the tag alone is clear (for the classifier's labels)."""
     names: set[str] = set()
     role, unseen = "", False
     if len(attributes) > 4 and tag not in ("html", "body"):
@@ -95,23 +98,23 @@ def _says(tag: str, attributes: str, in_article: bool) -> tuple[float, bool, boo
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and UNSEEN.search(value)):
                 unseen = True
     by_tag = tag in BOILERPLATE_TAGS and not (tag == "header" and in_article)
+    bad = bool(names & BOILERPLATE_NAMES) and not (tag in ("article", "main") and not names & {"comment", "comments", "reply"})
+    named = -1 if bad else 1 if names & CONTENT_NAMES else 0
     if unseen or role in BOILERPLATE_ROLES or (by_tag and tag not in ("form", "header")):
-        return BOILERPLATE, False, by_tag
+        return BOILERPLATE, named, False, by_tag
     if by_tag:
-        return BOILERPLATE, True, True
-    if names & BOILERPLATE_NAMES and not (tag in ("article", "main") and not names & {"comment", "comments", "reply"}):
-        return BOILERPLATE, True, False
+        return BOILERPLATE, named, True, True
     if tag == "article" or role == "article":
-        return ARTICLE, False, True
+        return ARTICLE, named, True, True
     if tag == "main" or role == "main":
-        return MAIN, False, True
-    return (NAMED if names & CONTENT_NAMES else 0.0), False, False
+        return MAIN, named, True, True
+    return 0.0, named, True, False
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: runs of text between block-level tags. An open element is looked at when it closes, so nesting costs no more than its tags."""
     out: list[Block] = []
-    root = Element("", 0, None, 0.0, False, 0)
+    root = Element("", 0, None, 0.0, 0, False, 0)
     made, stack, opened = [root], [root], Counter()
     at, block, links = 0, None, 0
 
@@ -193,11 +196,11 @@ def blocks(page: str) -> list[Block]:
                 close(depth)
         if name in VOID or m[3].endswith("/>"):
             continue
-        found, soft, clear = _says(name, m[3], opened["article"] + opened["main"] > 0)
-        if name in INLINE and name != "a" and not found:
+        found, named, soft, clear = _says(name, m[3], opened["article"] + opened["main"] > 0)
+        if name in INLINE and name != "a" and not found and not named:
             continue
         top = stack[-1]
-        e = Element(name, len(made), top, found, soft, len(made) if name in SECTIONS else top.section)
+        e = Element(name, len(made), top, found, named, soft, len(made) if name in SECTIONS else top.section)
         e.clear = (1 if found > 0 else -1) if clear and found else 0
         made.append(e)
         stack.append(e)
@@ -217,7 +220,8 @@ def blocks(page: str) -> list[Block]:
 
 
 def _weigh(made: list[Element], found: list[Block]) -> None:
-    """Sets every element's evidence, its own and what it inherits, and whether tags alone make it clear. Boilerplate stays so, whatever is inside it.
+    """Sets every element's evidence and names, its own and what it inherits, and whether tags alone make it clear. What a tag says against its blocks stays so, whatever is inside; names of boilerplate take away
+    what tags of content say.
 
     An element that is boilerplate by its names alone (or a form or header) says nothing if it wraps the page's content: if at least half of the page's text outside links is in it
     and so is every element that says content; or nearly all of that text, a main heading and other such elements.
@@ -225,8 +229,9 @@ def _weigh(made: list[Element], found: list[Block]) -> None:
     for b in found:
         b.element.chars += max(0, sum(map(len, b.parts)) - b.linked)
     for e in reversed(made[1:]):  # children before parents
-        e.content += e.found > 0
-        e.marked += e.found < 0
+        bad = e.found < 0 or e.named < 0
+        e.content += (e.found > 0 or e.named > 0) and not bad
+        e.marked += bad
         up = e.parent
         up.chars += e.chars
         up.content += e.content
@@ -234,29 +239,33 @@ def _weigh(made: list[Element], found: list[Block]) -> None:
         up.heading |= e.heading
     page = made[0]
     for e in made[1:]:
-        own = e.found
-        if own < 0 and e.soft and page.chars:
+        own, named = e.found, e.named
+        if (own < 0 or named < 0) and e.soft and page.chars:
             share = e.chars / page.chars
             if page.content:
                 wraps = share >= 0.5 and e.content == page.content
             else:
                 wraps = share >= 0.8 and e.heading and e.marked > 1
-            own = 0.0 if wraps else own
-        above = e.parent.evidence
-        e.evidence = own if own < 0 else above if above < 0 else max(above, own)
+            own, named = (0.0 if wraps and own < 0 else own), (0 if wraps and named < 0 else named)
+        above = e.parent
+        e.named = -1 if named < 0 or above.named < 0 else max(named, above.named)
+        if own < 0 or above.evidence < 0:
+            e.evidence = min(own, above.evidence)
+        else:
+            e.evidence = 0.0 if e.named < 0 else max(own, above.evidence)
         if not own:
-            e.number = e.parent.number  # the nearest element around that says something
+            e.number = above.number  # the nearest element around that says something
         tag_says = e.clear if own == e.found else 0
-        if e.parent.clear < 0 or tag_says < 0:
+        if above.clear < 0 or tag_says < 0:
             e.clear = -1
-        elif e.evidence > 0 and (e.parent.clear > 0 or tag_says > 0):
+        elif e.evidence > 0 and (above.clear > 0 or tag_says > 0):
             e.clear = 1
         else:
             e.clear = 0
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row of numbers for each block, from its text, its tag and its neighbours' text, not from the names and elements around it."""
+    """A row of numbers for each block, from its text, its tag and its neighbours' text, and from the names, but not the tags, of the elements around it."""
     n = len(found)
     x = np.zeros((n, len(PRIOR)))
     x[:, 0] = 1
@@ -267,6 +276,7 @@ def features(found: list[Block]) -> np.ndarray:
         x[i, 3] = b.text[-1] in ".!?…\"'”"
         x[i, 4] = "©" in b.text[:40]
         x[i, 5], x[i, 6], x[i, 7] = b.tag in HEADINGS, b.tag in ITEMS, b.tag in PARAGRAPHS
+        x[i, 10], x[i, 11] = b.element.named < 0, b.element.named > 0
     for k, column in ((8, 1), (9, 2)):
         around = np.concatenate([x[:1, column], x[:, column], x[-1:, column]])  # a page's ends are their own neighbours
         x[:, k] = (around[:-2] + around[2:]) / 2
@@ -274,8 +284,10 @@ def features(found: list[Block]) -> np.ndarray:
 
 
 def log_odds(found: list[Block], weights: np.ndarray = PRIOR) -> list[float]:
-    """The classifier: log-odds that a block is content, by its own text alone."""
-    return np.clip(features(found) @ weights, -CERTAIN, CERTAIN).tolist()
+    """The classifier: log-odds that a block is content, by its own text and by the names around it, each within its bound."""
+    x = features(found)
+    text, names = x[:, :OF_TEXT] @ weights[:OF_TEXT], x[:, OF_TEXT:] @ weights[OF_TEXT:]
+    return (np.clip(text, -CERTAIN, CERTAIN) + np.clip(names, -NAMED, NAMED)).tolist()
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -297,7 +309,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> np.ndarray:
     """The classifier's weights, from pages themselves: blocks that a tag alone makes clear (article or main against nav, footer, aside, form or header) are its labels, and
-    their text, never those tags, is what it learns from. The sample holds about train_pages pages, and TRAIN_BLOCKS blocks of each, evenly spaced; only their features reach the driver.
+    their text and names, never those tags, are what it learns from. The sample holds about train_pages pages, and TRAIN_BLOCKS blocks of each, evenly spaced; only their features reach the driver.
 
     Pages without such tags, an empty table and null pages leave the weights at PRIOR. Repeated pages are sampled together."""
     n = pages.count()
