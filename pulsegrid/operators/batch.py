@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,26 +12,11 @@ from pulsegrid.sources.shared import stored
 from . import detectors, events, gates, isi, thresholds
 
 
-def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Files by their first line: a row for each file reaches the driver."""
-    lines = spark.read.text(paths).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("k"))
-    out: dict[str, list[str]] = {}
-    for r in lines.groupBy("file").agg(F.min_by("value", "k").alias("header")).collect():
-        out.setdefault(r["header"], []).append(r["file"])
-    return out
-
-
-def read_many(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Spikes of many files with their intervals, trains named file/column; files with the same header are read at once."""
-    parts = [csv.read_raw(spark, files, by_file=True, **options).spikes for files in headers(spark, paths).values()]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def run(spark: SparkSession, paths: list[str], out: str | None = None, form: str = "parquet", grammar: Grammar | None = None, run_id: str = "run", **options) -> dict[str, DataFrame]:
     """All result tables of the files' trains by name, written under out if it is given: labels, candidates, events and their layers, thresholds, settings, summaries and quality of the trains.
 
     The trains of all files are one table from the first step on; without a grammar its bands come from all of them together."""
-    rows = stored(read_many(spark, paths, **options).withColumn("manual", F.lit("")), "files")
+    rows = stored(csv.read_files(spark, paths, **options).withColumn("manual", F.lit("")), "files")
     bands = stored(thresholds.resolved(spark, thresholds.histogram_bands(rows)), "bands")
     g = grammar or thresholds.settings(bands)
     labelled, ledger = detectors.detect(rows, g)

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from pulsegrid.functions.grammar import Grammar
 
 from .events import MIN_ISI, SCALE, intervals
+from .shared import small, stored
 
 # Column names that mean something.
 EVENT_COLUMN = r"(?i)^event($|[_ .:-])"
@@ -135,6 +136,43 @@ def read_raw(spark: SparkSession, path: str | list[str], unit: str = "s", duplic
     return Dataset(intervals(x, min_isi), _trains(x).join(counts, "train").join(input_anomalies(times), "train"), _events(df, events, unit, start))
 
 
+#: Commas that aren't within quotes.
+COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def read_files(spark: SparkSession, paths: list[str], unit: str = "s", duplicates: str = "warn_keep", min_isi: float = MIN_ISI) -> DataFrame:
+    """Spikes of many files of columns of times, with their intervals; trains are named file/column. One scan of all files as text, whatever their headers: a file's first line names its columns, and each cell finds its
+    train by file and position. Event columns, empty cells, text and non-finite numbers are passed over; a file of results raises an error. Times far from zero count from the first one of their file, t is as
+    in the file. duplicates as for read_raw()."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), at.alias("at"))
+    heads = stored(lines.groupBy("path").agg(F.min("at").alias("first"), F.min_by("value", "at").alias("header")), "headers")  # a row a file
+    cell = lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))
+    names = heads.select("path", "first", F.posexplode(F.split("header", COMMA, -1)).alias("pos", "name")).withColumn("name", cell(F.col("name")))
+    result = F.lower("name").isin(sorted(RESULT_COLUMNS))
+    bad = names.groupBy("path").agg(F.count_if(result).alias("hits"), F.count(F.lit(1)).alias("n"))
+    file = F.regexp_extract("path", r"([^/]+?)(?:\.csv)?$", 1)
+    named = F.lower(file).rlike(r"(events|ledger|audit|summary|metrics|labels)$")
+    if not bad.where(named | (F.col("hits") >= 3) | (F.col("hits") / F.col("n") >= 0.35)).isEmpty():
+        raise ValueError("a file holds results, not spike times")
+    columns = stored(names.where(~F.col("name").rlike(EVENT_COLUMN) & (F.col("name") != "")).select("path", "first", "pos", F.concat_ws("/", file, "name").alias("train")), "columns")
+    cells = lines.select("path", "at", F.posexplode(F.split("value", COMMA, -1)).alias("pos", "v")).withColumn("t", cell(F.col("v")).try_cast("double"))
+    cells = cells.where(F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf")))
+    x = stored(cells.join(small(columns), ["path", "pos"]).where(F.col("at") > F.col("first")).select("path", "train", F.col("at.row").alias("input_order"), "t"), "cells")
+    scale = 1000 if unit == "ms" else 1
+    ends = x.groupBy("path").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    near = F.greatest(F.abs("a"), F.abs("b")) / scale < FAR
+    starts = stored(ends.select("path", F.when(near, 0.0).otherwise(F.floor(F.col("a") / scale).cast("double")).alias("start"), (~near & ((F.col("b") - F.col("a")) / scale >= FAR)).alias("wide")), "origins")
+    if not starts.where("wide").isEmpty():
+        raise ValueError("times span more than 90 days")
+    x = x.join(small(starts.select("path", "start")), "path").withColumn("us", F.round((F.col("t") - F.col("start") * scale) * (SCALE / scale)).cast("long"))
+    x = x.select("train", F.col("input_order").alias("event_id"), "input_order", "us", (F.col("us") / F.lit(SCALE) + F.col("start")).alias("t"))
+    kept, counts = collapse_duplicates(x)
+    if duplicates == "error_keep" and not counts.where("dropped > 0").isEmpty():
+        raise ValueError("a train repeats a time")
+    return intervals(kept if duplicates == "collapse_exact" else x, min_isi)
+
+
 def read_labelled(spark: SparkSession, path: str | list[str], unit: str = "s", min_isi: float = MIN_ISI) -> Dataset:
     """Files with X_timestamp and X_ISI for each train X, and columns of labels; a file's own interval is kept as isi_file with its difference from the times (mismatch)."""
     df = _wide(spark, path)

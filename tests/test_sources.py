@@ -54,3 +54,24 @@ def test_write(spark, tmp_path):
     assert got["1"] == ("0.5;1.5", "'=A1") and got["2"][1] == "ok"
     csv.write({"t2": df}, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "t2")).count() == 2
+
+
+def test_many_files_in_one_scan(spark, tmp_path):
+    """Each file has its own columns; what comes out is what each file gives when it is read alone."""
+    files = {"a": 'x,"y, left",event_go\n0.1,0.2,0.15\n0.3,,\nbad,0.5,\n', "b": "z\n1.0\n1.5\n1.25\n", "c": "x,z\n,3\n2,inf\n2.5,4\n", "d": 'far\n1700000000.5\n"1700000001.0"\n', "empty": "q\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    paths = [f"file://{tmp_path}/{n}.csv" for n in files]
+    got = csv.read_files(spark, paths)
+    columns = ["train", "idx", "us", "t", "isi", "valid"]
+    want = []
+    for p in paths[:-1]:
+        want += csv.read_raw(spark, p, by_file=True).spikes.select(columns).collect()
+    assert sorted(got.select(columns).collect()) == sorted(want) and {r.train for r in want} == {"a/x", "a/y, left", "b/z", "c/x", "c/z", "d/far"}
+    (tmp_path / "results.csv").write_text("train,start_isi,end_isi\nt,1,2\n")
+    with pytest.raises(ValueError):
+        csv.read_files(spark, [*paths, f"file://{tmp_path}/results.csv"])
+    (tmp_path / "twice.csv").write_text("w\n1\n1\n2\n")
+    assert csv.read_files(spark, [f"file://{tmp_path}/twice.csv"], duplicates="collapse_exact").count() == 2
+    with pytest.raises(ValueError):
+        csv.read_files(spark, [f"file://{tmp_path}/twice.csv"], duplicates="error_keep")
