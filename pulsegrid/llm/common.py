@@ -49,22 +49,28 @@ def batches_of(batches: Iterator[pa.RecordBatch], rows: int, keeps: bool = False
             yield b.slice(at, rows)
         del b
         pa.default_memory_pool().release_unused()  # a worker lives on through later stages
+    trim()
 
 
 def _kept() -> dict[str, Any]:
     return sys.modules.setdefault("pulsegrid_worker", types.ModuleType("pulsegrid_worker")).__dict__
 
 
+def trim() -> None:
+    """Gives free memory back to the system, where the allocator can: idle workers stay beside those of later stages."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def forget() -> None:
-    """Drops what the worker keeps, and gives free memory back to the system, as far as its allocator can."""
+    """Drops what the worker keeps."""
     names = [n for n in _kept() if not n.startswith("__")]
     if names:
         for n in names:
             del _kept()[n]
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
 
 def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
