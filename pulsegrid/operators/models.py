@@ -124,6 +124,15 @@ def recurrence_measures(points: DataFrame, value: str, radius: float) -> DataFra
     return x.select("train", "n", (F.col("points") / (F.col("n") * (F.col("n") - 1))).alias("recurrence"), (F.coalesce("_d", F.lit(0)) / F.col("points")).alias("determinism"), (F.coalesce("_v", F.lit(0)) / F.col("points")).alias("laminarity"), "trapping")
 
 
+def line_entropy(points: DataFrame, value: str, radius: float, least: int = 2) -> DataFrame:
+    """(train, lines, entropy): how many diagonal lines a train's recurrence plot has, and the entropy of their lengths, in bits; null without lines."""
+    p = stored(recurrence_points(points, value, radius).where("i <> j"), "recurrence")
+    n = recurrence_lines(p, least=least).groupBy("train", "length").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("train"))
+    x = n.withColumn("_p", share).groupBy("train").agg(F.sum("n").alias("lines"), F.sum(-F.col("_p") * F.log2("_p")).alias("entropy"))
+    return points.select("train").distinct().join(x, "train", "left").select("train", F.coalesce("lines", F.lit(0)).alias("lines"), "entropy")
+
+
 def label_surrogates(states: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n permutations of each train's states: places stay, states go in the order of a seeded hash."""
     place = states.select("train", "idx", F.row_number().over(in_train()).alias("_k")).withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n))))

@@ -50,6 +50,15 @@ def recurrence_measures(spark, d):
     return rounded(mo.recurrence_measures(x, "x", 0.1))
 
 
+@query(""", p AS (SELECT train, row_number() OVER (PARTITION BY train ORDER BY idx) AS i, log10(isi) AS x FROM s WHERE valid), r AS (SELECT a.train, a.i, b.i AS j FROM p a JOIN p b ON a.train = b.train AND a.i <> b.i AND abs(a.x - b.x) <= 0.1),
+d AS (SELECT train, k, i - row_number() OVER (PARTITION BY train, k ORDER BY i) AS run FROM (SELECT *, j - i AS k FROM r)), l AS (SELECT train, count(*) AS length FROM d GROUP BY train, k, run HAVING count(*) >= 2),
+c AS (SELECT train, length, count(*) AS n FROM l GROUP BY ALL), e AS (SELECT train, sum(n) AS lines, -sum(q * log2(q)) AS h FROM (SELECT *, n / sum(n) OVER (PARTITION BY train) AS q FROM c) GROUP BY train)
+SELECT t.train, coalesce(lines, 0)::BIGINT AS lines, round(h, 9) + 0 AS entropy FROM (SELECT DISTINCT train FROM p) t LEFT JOIN e USING (train)""")
+def recurrence_line_entropy(spark, d):
+    x = trains(spark, d).where("valid").select("train", F.row_number().over(isi.in_train()).alias("i"), F.log10("isi").alias("x"))
+    return rounded(mo.line_entropy(x, "x", 0.1)).withColumn("entropy", F.col("entropy") + 0.0)
+
+
 @query(f"{STATES} SELECT g::INT AS surrogate, train, state, count(*) AS n FROM st, (SELECT unnest(range(1, 4)) AS g) GROUP BY ALL")
 def label_surrogates(spark, d):
     return mo.label_surrogates(states(spark, d), 3).groupBy("surrogate", "train", "state").agg(F.count(F.lit(1)).alias("n"))
