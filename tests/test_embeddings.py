@@ -25,3 +25,15 @@ def test_a_row_for_each_train(spark, monkeypatch, name):
     rows = getattr(mq, name)(spark, d).collect()
     assert len(want) > 6 and sorted(r.train for r in rows) == sorted(want)
     assert all(np.isfinite([r.x, r.y]).all() for r in rows)
+
+
+def test_potential_of_many_landmarks_takes_memory_of_their_pairs_only():
+    import tracemalloc
+
+    x = np.random.default_rng(3).random((400, 4))
+    tracemalloc.start()
+    place = mo.landmark_potential(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * 400**2 * 8  # 51 MB; all differences of the potentials are 512 MB
+    assert np.isfinite(place(x[:5])).all()
