@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from pulsegrid.sources.shared import ranked, stored
@@ -14,6 +16,10 @@ from pulsegrid.sources.shared import ranked, stored
 from .joins import iou, range_join
 
 
+#: The ends of a pair of events.
+ENDS = ("pred_start", "pred_end", "truth_start", "truth_end")
+
+
 def overlaps(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of predicted and true events (columns train, label, start, end) that overlap, with their IoU; only equal keys meet."""
     p = range_join(pred, truth, keys).withColumn("iou", iou(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end")))
@@ -22,25 +28,32 @@ def overlaps(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
 
 def matched(pred: DataFrame, truth: DataFrame, least: float = 0.25, keys: tuple[str, ...] = ("train", "label")) -> DataFrame:
     """Greedy one-to-one matches within keys: pairs of the largest IoU first (then by predicted and true start), each event once. The pairs that can match at all come from a join;
-    the scan of a key's pairs is what makes them one to one."""
+    the scan of a partition's pairs, key by key, is what makes them one to one; it holds the events of one key."""
     pairs = overlaps(pred, truth, list(keys)).where(F.col("iou") >= least)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "pred_start", "truth_start"], ascending=[False, True, True], kind="stable")
-        seen_p, seen_t, keep = set(), set(), []
-        for i, a, b in zip(pdf.index, zip(pdf["pred_start"], pdf["pred_end"], strict=True), zip(pdf["truth_start"], pdf["truth_end"], strict=True), strict=True):
-            if a not in seen_p and b not in seen_t:
-                seen_p.add(a)
-                seen_t.add(b)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(greedy, pairs.schema)
+    kind = to_arrow_schema(pairs.schema)
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen_p, seen_t = None, set(), set()
+        for batch in batches:
+            c = {name: batch.column(name).to_pylist() for name in (*keys, *ENDS)}
+            keep = []
+            for i, (key, a, b, d, e) in enumerate(zip(zip(*(c[k] for k in keys), strict=True), *(c[k] for k in ENDS), strict=True)):
+                if key != now:  # it may have begun in the batch before
+                    now, seen_p, seen_t = key, set(), set()
+                if (a, b) not in seen_p and (d, e) not in seen_t:
+                    seen_p.add((a, b))
+                    seen_t.add((d, e))
+                    keep.append(i)
+            if keep:
+                yield from pa.Table.from_batches([batch]).take(keep).cast(kind).combine_chunks().to_batches()
+
+    ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, F.desc("iou"), "pred_start", "truth_start", "pred_end", "truth_end")
+    return ordered.mapInArrow(greedy, pairs.schema)
 
 
 def match_table(pred: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
     """Each event once: TP with its boundary errors, label_confusion (matches an event of another label), extra_detector_event or missed_manual_event."""
-    m = matched(pred, truth, least)
+    m = stored(matched(pred, truth, least), "matches")
     tp = m.select("train", "label", F.lit("TP").alias("kind"), "pred_start", "pred_end", "truth_start", "truth_end", "iou", (F.col("pred_start") - F.col("truth_start")).alias("start_error"), (F.col("pred_end") - F.col("truth_end")).alias("end_error"))
     left = pred.join(m.select("train", "label", F.col("pred_start").alias("start"), F.col("pred_end").alias("end")), ["train", "label", "start", "end"], "left_anti")
     missed = truth.join(m.select("train", "label", F.col("truth_start").alias("start"), F.col("truth_end").alias("end")), ["train", "label", "start", "end"], "left_anti")
@@ -174,7 +187,8 @@ def calibration_errors(table: DataFrame) -> DataFrame:
 
 def delta(before: DataFrame, after: DataFrame, least: float = 0.25) -> DataFrame:
     """What became of events between two runs: unchanged, boundary_changed, label_changed, added or removed."""
-    m = matched(after, before, least, ("train",))
+    before, after = stored(before, "events-before"), stored(after, "events-after")
+    m = stored(matched(after, before, least, ("train",)), "matches")
     kind = F.when(F.col("pred_label") != F.col("truth_label"), "label_changed").when((F.col("pred_start") != F.col("truth_start")) | (F.col("pred_end") != F.col("truth_end")), "boundary_changed").otherwise("unchanged")
     same = m.select("train", kind.alias("kind"), F.col("truth_start").alias("start"), F.col("truth_end").alias("end"))
     gone = before.join(m.select("train", F.col("truth_start").alias("start"), F.col("truth_end").alias("end")), ["train", "start", "end"], "left_anti").select("train", F.lit("removed").alias("kind"), "start", "end")

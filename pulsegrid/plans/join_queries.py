@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import joins, runs
 from pulsegrid.sources.events import labelled, task_events, trains
+from pulsegrid.sources.shared import stored
 
 from .registry import query, rounded
 
@@ -17,7 +18,7 @@ p AS (SELECT train, auto AS label, min(idx) AS start, max(idx) AS e FROM pc GROU
 
 def spans(spark, d):
     rows = labelled(trains(spark, d))
-    made = [runs.segments(rows, F.col(c)).where("label <> ''").select("train", "label", "start", "end") for c in ("manual", "auto")]
+    made = [stored(runs.segments(rows, F.col(c)).where("label <> ''").select("train", "label", "start", "end"), f"{c}-spans") for c in ("manual", "auto")]
     return made
 
 
