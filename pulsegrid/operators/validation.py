@@ -105,7 +105,9 @@ def cluster_bootstrap(per_train: DataFrame, replicates: int = 200, seed: int = 1
     n = names.count()
     labels = stored(per_train.select("label").distinct(), "labels")
     draws = names.select("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draws = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_k"), F.lit(max(1, n))).alias("_k")).groupBy("replicate", "_k").agg(F.count(F.lit(1)).alias("_w"))
+    draws = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_k"), F.lit(max(1, n))).alias("_k"))
+    # as many draws as trains times replicates; Spark takes them for as few as the trains, so it is told not to broadcast them
+    draws = draws.repartition("_k").groupBy("_k", "replicate").agg(F.count(F.lit(1)).alias("_w")).hint("merge")
     counted = per_train.join(names, "train").join(draws, "_k").groupBy("replicate", "label").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("truth_n", "pred_n", "tp")])
     each = labels.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).join(counted, ["replicate", "label"], "left").fillna(0, ["truth_n", "pred_n", "tp"])
     long = lambda df, *keep: df.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])).alias("m")).select(*keep, "m.*")
