@@ -21,7 +21,8 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], size: int = 3
         return df.withColumn("_bucket", F.explode(F.sequence(a, b)))
 
     a, b = bucketed(left, "l", l), bucketed(right, "r", r)
-    both = a.join(b, [*keys, "_bucket"])
+    # stored ranges pack to far less than what they are in memory, and Spark goes by the former: it is told not to broadcast them
+    both = a.join(b.hint("merge"), [*keys, "_bucket"])
     s, e = F.greatest(f"l_{l[0]}", f"r_{r[0]}"), F.least(f"l_{l[1]}", f"r_{r[1]}")
     return both.where((s <= e) & (F.floor(s / size) == F.col("_bucket"))).drop("_bucket")
 

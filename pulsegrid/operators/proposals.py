@@ -152,7 +152,7 @@ def regular_packets(rows: DataFrame, label: str = "auto", p: Packet | None = Non
     c = c.withColumn("side", F.explode(F.array(F.lit("regular_before_burst"), F.lit("regular_after_burst")))).withColumn("gap", F.explode(F.sequence(F.lit(0), F.lit(p.gap)))).withColumn("width", F.explode(F.sequence(*[F.lit(w) for w in p.widths])))
     c = c.withColumn("start", F.when(F.col("side") == "regular_before_burst", F.col("burst_start") - F.col("gap") - F.col("width")).otherwise(F.col("burst_end") + 1 + F.col("gap")))
     c = c.withColumn("end", F.col("start") + F.col("width") - 1).where("start >= 3 and end <= _last - 1")
-    c = stored(c.drop("_last"), "packet-spans")
+    c = stored(c.drop("_last"), "packet-spans").hint("merge")  # tens of spans for each burst in a small file: not to be broadcast
     inside = rows.withColumn("suspect", F.coalesce(F.col(label).isin(*BURSTS), F.lit(False)))
     m = span_metrics(inside, c.select("train", "start", "end").distinct(), 0.0, 0.0)
     labelled = inside.where("suspect").select("train", F.col("idx").alias("start"), F.col("idx").alias("end"))  # invalid intervals can be labelled as well
