@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from pulsegrid.functions.stats import lv_pair
 from pulsegrid.sources.shared import ranked, stored
 
 from .joins import iou, range_join
@@ -198,12 +199,30 @@ def delta(before: DataFrame, after: DataFrame, least: float = 0.25) -> DataFrame
     return same.unionByName(gone).unionByName(new)
 
 
+def shuffled_lists(rows: DataFrame, n: int, seed: int = 1, block: int = 1) -> DataFrame:
+    """(surrogate, train, intervals): n surrogates of each train, a row for each: its intervals (isi, valid) in an order that a seeded hash of their blocks sets. A train's list is ordered in its own row, so
+    nothing is sorted or sent beside the trains themselves."""
+    own = rows.where("isi is not null").groupBy("train").agg(F.sort_array(F.collect_list(F.struct("idx", "isi", "valid"))).alias("_s"))
+    own = own.withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    unit = lambda s: F.floor((s["idx"] - 2) / block)
+    mixed = F.sort_array(F.transform("_s", lambda s: F.struct(F.xxhash64(F.lit(seed), "surrogate", "train", unit(s)).alias("h"), unit(s).alias("b"), s["idx"].alias("idx"), s["isi"].alias("isi"), s["valid"].alias("valid"))))
+    return own.select("surrogate", "train", F.transform(mixed, lambda m: F.struct(m["isi"].alias("isi"), m["valid"].alias("valid"))).alias("intervals"))
+
+
+def mean_lv(intervals: Column) -> Column:
+    """Local variation of a list of intervals (isi, valid), of the valid ones; null under two."""
+    x = F.transform(F.filter(intervals, lambda s: s["valid"]), lambda s: s["isi"])
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    total = F.aggregate(F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(2), n), lv_pair), F.lit(0.0), lambda a, v: a + v)
+    return F.when(n > 0, total / n)
+
+
 def shuffled_intervals(rows: DataFrame, n: int, seed: int = 1, block: int = 1) -> DataFrame:
-    """n surrogates of each train: the same intervals, in an order that a seeded hash of their blocks sets, with times summed up anew (surrogate, train, idx, us, isi)."""
-    x = rows.where("isi is not null").withColumn("surrogate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_b", F.floor((F.col("idx") - 2) / block))
-    order = Window.partitionBy("surrogate", "train").orderBy(F.xxhash64(F.lit(seed), "surrogate", "train", "_b"), "_b", "idx")
-    x = x.withColumns({"new_idx": F.row_number().over(order) + 1, "step": F.round(F.col("isi") * 1e12).cast("long")})
-    return x.select("surrogate", "train", F.col("new_idx").alias("idx"), "isi", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("us"), "valid")
+    """The rows of shuffled_lists(), with times summed up anew (surrogate, train, idx, us, isi)."""
+    x = shuffled_lists(rows, n, seed, block).select("surrogate", "train", F.posexplode("intervals").alias("_k", "x"))
+    x = x.select("surrogate", "train", (F.col("_k") + 2).alias("idx"), "x.*").withColumn("step", F.round(F.col("isi") * 1e12).cast("long"))
+    order = Window.partitionBy("surrogate", "train").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return x.select("surrogate", "train", "idx", "isi", F.sum("step").over(order).alias("us"), "valid")
 
 
 def empirical_p(observed: DataFrame, surrogates: DataFrame, value: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Queries that compare detected events with events by hand."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pulsegrid.operators import runs
 from pulsegrid.operators import validation as va
@@ -92,16 +91,13 @@ def interval_surrogates(spark, d):
 @query()
 def surrogate_significance(spark, d):
     """Is the local variation of each train larger than that of its shuffled intervals?"""
-    from pulsegrid.functions.stats import lv_pair
     from pulsegrid.operators.isi import valid_pairs
     from pulsegrid.operators.statistics import benjamini_hochberg
 
     rows = trains(spark, d)
     seen = valid_pairs(rows).groupBy("train").agg(F.avg("lv").alias("lv"))
-    s = va.shuffled_intervals(rows, 50, block=1)
-    a = F.lag("isi").over(Window.partitionBy("surrogate", "train").orderBy("idx"))
-    lv = s.where("valid").withColumn("a", a).groupBy("surrogate", "train").agg(F.avg(lv_pair(F.col("a"), F.col("isi"))).alias("lv"))
-    return rounded(benjamini_hochberg(va.empirical_p(seen, lv, "lv"), [], "p"))
+    lv = va.shuffled_lists(rows, 50).select("surrogate", "train", va.mean_lv(F.col("intervals")).alias("lv"))
+    return rounded(benjamini_hochberg(stored(va.empirical_p(seen, lv, "lv"), "train-p"), [], "p"))
 
 
 @query("SELECT CASE WHEN manual IN ('burst', 'long_burst', 'possible_burst') THEN 'burst_family' WHEN manual = '' THEN 'none' ELSE manual END AS truth, CASE WHEN auto IN ('burst', 'long_burst', 'possible_burst') THEN 'burst_family' WHEN auto = '' THEN 'none' ELSE auto END AS pred, count(*) AS n FROM s GROUP BY ALL")

@@ -50,3 +50,15 @@ def test_label_surrogates_are_made_without_a_join(spark):
     for s in range(1, 5):
         mine = sorted((r.idx, r.state) for r in rows if r.surrogate == s)
         assert [i for i, _ in mine] == [i * 2 for i in range(9)] and sorted(v for _, v in mine) == sorted("ababababa")
+
+
+def test_surrogates_of_intervals_stand_in_a_row_each(spark):
+    x = spark.createDataFrame([(1, i + 2, float(i % 3 + 1), i != 3) for i in range(7)], "train long, idx int, isi double, valid boolean")
+    lists = va.shuffled_lists(x, 5)
+    assert "Window" not in plan(lists) and "Join" not in plan(lists)
+    rows = lists.withColumn("lv", va.mean_lv(F.col("intervals"))).collect()
+    assert len(rows) == 5
+    for r in rows:
+        assert sorted(s.isi for s in r.intervals) == [1, 1, 1, 2, 2, 3, 3]
+        v = [s.isi for s in r.intervals if s.valid]
+        assert abs(r.lv - sum(3 * (a - b) ** 2 / (a + b) ** 2 for a, b in zip(v, v[1:], strict=False)) / (len(v) - 1)) < 1e-12
