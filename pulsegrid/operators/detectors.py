@@ -250,7 +250,7 @@ def spiking_measures(rows: DataFrame, g: Bounds) -> tuple[DataFrame, list[Gate |
     up = in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     row = F.when(F.col("_above"), F.col("_nth") - F.coalesce(F.max(F.when(F.col("valid") & ~F.col("_above"), F.col("_nth"))).over(up), F.lit(0))).otherwise(0)
     own = own.withColumns({"_row": row, "_over": F.col("isi") > g.hfs_tolerated})
-    m = g.on(span_metrics(g.off(own), g.on(found), g.hfs_short, g.hfs_bridge, F.max("r__row").alias("longest"), F.count_if("r__over").alias("over"), quantiles=(0.8, 0.9), keep=("_row", "_over")))
+    m = g.on(span_metrics(g.off(own), g.on(found), g.hfs_short, g.hfs_bridge, quantiles=(0.8, 0.9), longest=("max", "_row"), over=("count", "_over")))
     n = F.col("n_isi")
     m = m.withColumns({"short": F.col("core") / n, "mid": F.col("suspects") / n, "bridged": (F.col("core") + F.col("bridges")) / n, "tolerated": 1 - F.col("over") / n})
     m = m.withColumns({"large": 1 - F.col("bridged"), "tolerated_gap": g.hfs_tolerated.cast("double"), "q90_most": g.hfs_q90.cast("double")})
@@ -277,7 +277,7 @@ def fast_tonic_measures(rows: DataFrame, g: Bounds) -> tuple[DataFrame, list[Gat
     found = g.on(runs(own, member)).where(F.col("end") - F.col("start") + 2 >= g.hft_spikes).select("train", "start", "end")
     own = own.withColumn("_seed", member & F.col("isi").between(g.seed_low, g.seed_high))
     own = own.withColumns({"suspect": F.col("isi") < g.hft_floor, "_row": run_length(F.col("_seed"))})
-    m = g.on(span_metrics(g.off(own), g.on(found), g.seed_high, g.hft_max, F.max("r__row").alias("longest"), keep=("_row",)))
+    m = g.on(span_metrics(g.off(own), g.on(found), g.seed_high, g.hft_max, longest=("max", "_row")))
     m = m.withColumn("low", F.col("suspects") / F.col("n_isi"))
     gates: list[Gate | Either] = [
         Gate("q90", F.col("q90"), g.hft_max), Either("low_tail", ((Gate("q10", F.col("q10"), g.hft_floor, ">="),), (Gate("low_share", F.col("low"), g.hft_low_share),))), Gate("seed_run", F.col("longest"), g.min_seeds - 1),

@@ -62,7 +62,7 @@ def spiking_epochs(rows: DataFrame, predictions: DataFrame, r: Rails | None = No
     above = F.coalesce(F.col("valid") & (F.col("isi") > r.bridge), F.lit(False))
     x = x.withColumns({"_nth": nth, "_above": above}).withColumn("_row", F.when(F.col("_above"), F.col("_nth") - F.coalesce(F.max(F.when(F.col("valid") & ~F.col("_above"), F.col("_nth"))).over(in_train()), F.lit(0))).otherwise(0))
     x = x.withColumns({"suspect": F.col("isi") <= r.q90, "_c": F.when(F.col("_said"), F.col("confidence")), "_far": F.col("isi") > r.gap})
-    m = span_metrics(x, found, r.short, r.bridge, F.max("r__row").alias("longest"), F.avg("r__c").alias("confidence"), F.count_if("r__far").alias("far"), quantiles=(0.8, 0.9), keep=("_row", "_c", "_far"))
+    m = span_metrics(x, found, r.short, r.bridge, quantiles=(0.8, 0.9), longest=("max", "_row"), confidence=("avg", "_c"), far=("count", "_far"))
     n = F.col("n_isi")
     bridged = (F.col("core") + F.col("bridges")) / n
     majority = (F.col("core") / n >= 0.55) | (F.col("suspects") / n >= 0.60) | (bridged >= 0.75)
@@ -108,7 +108,7 @@ def guarded(rows: DataFrame, predictions: DataFrame, r: Rails | None = None, fal
         mean = range_join(runs_.select("train", "start", "end"), each, ["train"]).groupBy("train", F.col("l_start").alias("start"), F.col("r__k").alias("_k")).agg(F.avg("r__p").alias("_p"))
         runs_ = runs_.join(mean.groupBy("train", "start").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_p"))).alias("_probs")), ["train", "start"], "left")
     measured = x.withColumns({"suspect": F.col("isi") < r.fast_low, "_beside": F.col("isi") / F.col("local_median")})
-    m = span_metrics(measured, runs_.select("train", "start", "end"), 0.0, 0.0, F.max("r__beside").alias("beside"), keep=("_beside",)).join(runs_, ["train", "start", "end"])
+    m = span_metrics(measured, runs_.select("train", "start", "end"), 0.0, 0.0, beside=("max", "_beside")).join(runs_, ["train", "start", "end"])
     can = F.array(*[F.when(v, F.lit(k)) for k, v in _possible(r).items()])
     m = m.withColumn("_can", F.filter(can, lambda v: v.isNotNull()))
     own = F.array_contains("_can", F.col("predicted"))

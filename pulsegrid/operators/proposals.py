@@ -213,7 +213,7 @@ def seed_bridges(rows: DataFrame, seeds: DataFrame, b: Bridge | None = None) ->
     x = stored(x.withColumns({"ga": F.col("end") + 1, "gb": F.col("_start") - 1}), "seed-pairs")
     pct = F.when(F.col("valid"), 100 * F.cume_dist().over(Window.partitionBy("train", "valid").orderBy("isi")))
     ranked_rows = rows.withColumn("_pct", pct)
-    gaps = span_metrics(ranked_rows, x.where("gap_n > 0").select("train", F.col("ga").alias("start"), F.col("gb").alias("end")), 0.0, 0.0, F.max("r__pct").alias("pct"), keep=("_pct",))
+    gaps = span_metrics(ranked_rows, x.where("gap_n > 0").select("train", F.col("ga").alias("start"), F.col("gb").alias("end")), 0.0, 0.0, pct=("max", "_pct"))
     gaps = gaps.select("train", F.col("start").alias("ga"), F.col("n_isi").alias("_gn"), F.col("max_isi").alias("gap_max"), F.col("pct").alias("gap_pct"))
     whole = span_metrics(rows, x.select("train", "start", F.col("_end").alias("end")), 0.0, 0.0).select("train", "start", F.col("end").alias("_end"), "geometric")
     x = x.join(gaps, ["train", "ga"], "left").where((F.col("gap_n") == 0) | (F.col("_gn") == F.col("gap_n"))).join(whole, ["train", "start", "_end"])
