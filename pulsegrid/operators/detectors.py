@@ -499,8 +499,8 @@ def select(found: DataFrame, locked: DataFrame | None = None) -> DataFrame:
 
 def written(rows: DataFrame, chosen: DataFrame, lock_manual: bool = True, limits: Limits | None = None) -> DataFrame:
     """rows with auto: the label of the selected candidate that covers the row. What is left of events is checked (gates.validated), and rows with a label by hand are blanked."""
-    at = rows.select("train", F.col("idx").alias("start"), F.col("idx").alias("end"))
-    cover = range_join(chosen.where("selected").select("train", "start", "end", "label"), at, ["train"]).select("train", F.col("r_start").alias("idx"), F.col("l_label").alias("auto"))
+    # selected candidates don't overlap: laid out, they have a row for each interval at most
+    cover = chosen.where("selected").select("train", F.explode(F.sequence(*[F.col(c).cast(dict(rows.dtypes)["idx"]) for c in ("start", "end")])).alias("idx"), F.col("label").alias("auto"))
     out = rows.drop("auto").join(cover, ["train", "idx"], "left").withColumn("auto", F.coalesce("auto", F.lit("")))
     out = validated(out if lock_manual or "manual" not in rows.columns else out.withColumnRenamed("manual", "_manual"), limits=limits).drop("removed")
     out = out.withColumnRenamed("_manual", "manual") if "_manual" in out.columns else out

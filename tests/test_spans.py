@@ -77,3 +77,15 @@ def test_a_state_with_the_ends_of_a_burst(spark, tmp_path, name):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     want = con.execute(f"SELECT {', '.join(f'''"{c}"''' for c in columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
     assert want and sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def test_labels_are_written_without_a_range_join(spark):
+    from pyspark.sql import functions as F
+
+    from pulsegrid.operators.detectors import written
+
+    rows = rows_of(spark, {"a": [0.01] * 12}).withColumns({"t": F.col("idx") * 0.01, "artifact": F.lit(False), "manual": F.lit("")})
+    chosen = spark.createDataFrame([("a", 3, 6, "burst", True), ("a", 7, 9, "pause", True), ("a", 5, 11, "tonic", False)], "train string, start int, end int, label string, selected boolean")
+    out = written(rows, chosen)
+    assert {r.idx: r.auto for r in out.collect() if r.auto} == {i: "burst" if i < 7 else "pause" for i in range(3, 10)}
+    assert "_bucket" not in out._jdf.queryExecution().optimizedPlan().toString()
