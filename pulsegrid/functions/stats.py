@@ -11,6 +11,26 @@ def q(c: Column | str, p: float) -> Column:
     return F.percentile(c, F.lit(p))
 
 
+def between(low, high, share):
+    """low * (1 - share) + high * share of columns or of numpy arrays, with the first product exact and one rounding of the sum. Interpolated values that should be equal, as a quantile of a train and one of
+    its spans between the same two intervals, then compare as they do in SQL (DuckDB fuses that product and sum)."""
+    rest, last = 1 - share, high * share
+    halves = lambda v: (a := 134217729.0 * v - (134217729.0 * v - v), v - a)
+    (a, b), (c, d) = halves(low), halves(rest)
+    first = low * rest
+    lost = ((a * c - first) + a * d + b * c) + b * d
+    total = first + last
+    seen = total - first
+    return total + (((first - (total - seen)) + (last - seen)) + lost)
+
+
+def array_quantiles(s: Column, shares: list[float]) -> Column:
+    """Quantiles, by between(), of an array that is sorted and has no nulls; nulls if it is empty."""
+    h = lambda p: (F.size(s) - 1) * p
+    low, high = (lambda p: F.get(s, F.floor(h(p)).cast("int"))), (lambda p: F.get(s, F.ceil(h(p)).cast("int")))
+    return F.transform(F.array(*[F.lit(p) for p in shares]), lambda p: F.when(low(p) == high(p), low(p)).otherwise(between(low(p), high(p), h(p) - F.floor(h(p)))))
+
+
 def cv(c: Column | str) -> Column:
     """Coefficient of variation; null under two values."""
     return F.stddev_samp(c) / F.avg(c)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.functions.grammar import Grammar
-from pulsegrid.functions.stats import array_median, clamp, q
+from pulsegrid.functions.stats import array_median, array_quantiles, clamp, q
 
 from pulsegrid.sources.shared import stored
 
@@ -43,7 +43,8 @@ def references(rows: DataFrame, g: Grammar | Bounds) -> DataFrame:
     """Per train: quantiles of its usable intervals, the bounds of tonic firing and the floor of pauses that follow from them. Tonic firing keeps off the end of the burst band and its bridge, whichever is
     longer."""
     g = bounds(g)
-    x = rows.where("valid").groupBy("train").agg(F.count("isi").alias("_n"), F.percentile("isi", F.array(*[F.lit(p) for p in (0.1, 0.5, 0.75, 0.9)])).alias("_q"))
+    x = rows.where("valid").groupBy("train").agg(F.count("isi").alias("_n"), F.sort_array(F.collect_list("isi")).alias("_s"))
+    x = x.withColumn("_q", array_quantiles(F.col("_s"), [0.1, 0.5, 0.75, 0.9])).drop("_s")
     x = g.on(x.withColumns({f"_q{p}": F.get("_q", i) for i, p in enumerate((10, 50, 75, 90))}).drop("_q"))
     few = F.col("_n") < 6
     base = F.greatest(g.pause_min, F.col("_q90"))

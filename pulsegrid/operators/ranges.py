@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.stats import q
+from pulsegrid.functions.stats import array_quantiles, q
 
 from .isi import percentile_rank
 
@@ -64,5 +64,5 @@ def frozen_bands(rows: DataFrame, calibration: DataFrame) -> dict:
 
 def quantile_settings(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
     """(train, and a column for each setting): settings that are quantiles of each train's own valid intervals, as detectors.detect() takes them."""
-    found = rows.where("valid").groupBy("train").agg(F.percentile("isi", F.array(*[F.lit(p) for p in shares.values()])).alias("_q"))
+    found = rows.where("valid").groupBy("train").agg(F.sort_array(F.collect_list("isi")).alias("_s")).withColumn("_q", array_quantiles(F.col("_s"), list(shares.values())))
     return found.select("train", *[F.get("_q", i).alias(c) for i, c in enumerate(shares)])

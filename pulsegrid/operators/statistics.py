@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
-from pulsegrid.functions.stats import clamp, q, wilson
+from pulsegrid.functions.stats import between, clamp, q, wilson
 from pulsegrid.sources.shared import ranked, stored
 
 from .joins import range_join
@@ -145,7 +145,7 @@ class _Scan:
             h = (n - 1) * p
             i, j = np.floor(h).astype(np.int64), np.ceil(h).astype(np.int64)
             lo, hi = sorted_[first + i], sorted_[first + j]
-            out.append(np.where((i == j) | (lo == hi), lo, (j - h) * lo + (h - i) * hi))
+            out.append(np.where((i == j) | (lo == hi), lo, between(lo, hi, h - i)))
         out += [pre, post]
         for (how, _), c in zip(self.more, others, strict=True):
             c = c[place]

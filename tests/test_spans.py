@@ -57,6 +57,24 @@ def test_spans_of_many_trains(spark, batch):
     assert not got
 
 
+def test_equal_quantiles_of_a_train_and_a_span_are_equal(spark):
+    """The tenth of 55 intervals and that of five lie at the same place between the same two: as SQL has it, and not an ulp apart."""
+    from pulsegrid.functions.stats import between
+    from pulsegrid.operators.ranges import quantile_settings
+
+    low, high = 0.004301745728, 0.005028163174
+    x = [low, high, 0.012101285735, 0.013776513005, 0.018843552324, *(0.001 + i / 10_000 for i in range(5)), *(0.02 + i / 1000 for i in range(45))]
+    rows = spark.createDataFrame([("a", 1, None, False, False), *(("a", i, v, True, False) for i, v in enumerate(x, 2))], "train string, idx int, isi double, valid boolean, suspect boolean")
+    [r] = span_metrics(rows, spark.createDataFrame([("a", 2, 6)], "train string, start int, end int"), 0.01, 0.02).collect()
+    [s] = quantile_settings(rows, {"floor": 0.1, "half": 0.45}).collect()
+    assert r.q10 == s.floor == math.fma(low, 1 - 0.4, high * 0.4)
+    assert s.half == math.fma(sorted(x)[24], 1 - (54 * 0.45 - 24), sorted(x)[25] * (54 * 0.45 - 24))
+    rng = np.random.default_rng(2)
+    a, d = rng.random(3000), rng.random(3000)
+    b = a + rng.random(3000)
+    assert between(a, b, d).tolist() == [math.fma(float(p), 1 - float(w), float(q * w)) for p, q, w in zip(a, b, d, strict=True)]
+
+
 @pytest.mark.parametrize("name", ["spiking_state_verdicts", "protected_candidates"])
 def test_a_state_with_the_ends_of_a_burst(spark, tmp_path, name):
     """Eight intervals are a spiking state and a burst at once. Their variation, just over the limit, must be that of eight and not of sixteen."""
