@@ -6,6 +6,7 @@ import statistics
 from collections import Counter, defaultdict
 from itertools import groupby
 
+import numpy as np
 import pytest
 
 from pulsegrid.operators import surrogates as su
@@ -122,6 +123,32 @@ def test_controls(spark, made):
     assert table["sticky", "label_permutation", "mean_dwell_isi"].p_high == pytest.approx(1 / 13)
 
 
+def test_controls_store_no_surrogates(spark, made, monkeypatch):
+    """What is stored doesn't grow with the number of surrogates."""
+    sizes, keep = [], su.stored
+
+    def counted(df, what):
+        out = keep(df, what)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(su, "stored", counted)
+    states, _ = made
+    su.controls(states, 9).collect()
+    assert max(sizes) <= states.count()
+
+
+def test_sequences_side_by_side():
+    r = random.Random(8)
+    xs = [[r.randrange(r.choice([1, 2, 5])) for _ in range(n)] for n in (1, 2, 3, 40, 1, 7)]
+    for shift in (0, 1 << 15):  # large numbers of states: three of them in a row don't fit 62 bits with the sequence
+        codes = [[v + (shift << 8) * (v > 0) for v in x] for x in xs]
+        got = np.array(su.measured(np.concatenate(codes), np.array([len(x) for x in xs]))).T
+        for x, values in zip(codes, got, strict=True):
+            want = measures(x)
+            assert [None if np.isnan(v) else v for v in values] == [pytest.approx(want[n]) if n in want else None for n in su.METRICS]
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "train string, idx int, state string")
     assert su.surrogates(empty, 3).count() == 0 and su.controls(empty, 3).count() == 0
