@@ -40,6 +40,30 @@ def test_quality_scores_one_by_one(spark):
     assert len({x.score for x in got if x.doc_id == 5}) == 1 and len({x.score for x in got if x.doc_id in (501, 502, 503)}) == 1
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """All labelled documents are in the scaling and in pairs, also where there are more than a group holds and one label is rare."""
+    monkeypatch.setattr(quality, "GROUP", 10)
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choices(WORDS, k=r.randint(1, 30))) + ("." if i % 40 else " ### $$"), int(i % 40 > 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(7)
+    seen, plain = [], quality.pairs
+    monkeypatch.setattr(quality, "pairs", lambda rows, *more: seen.append((rows, more)) or plain(rows, *more))
+    model = quality.fit(docs, docs.select("doc_id", "label"))
+    x = np.array([quality.features(t.encode()) for _, t, _ in rows])
+    y = np.array([k for *_, k in rows])
+    groups, n = quality.grouped(docs, {0: 5, 1: 195}, "label")
+    dealt = groups.collect()
+    assert n == 20 and {g.doc_id for g in dealt} == set(range(200)) and all({g.label for g in dealt if g.group == k} == {0, 1} for k in range(n))
+    assert sum(not g.again for g in dealt) == 200 and np.allclose(model["mean"], x.mean(0))
+    (kept, (mean, std, _)), z = seen[0], np.clip((x - model["mean"]) / model["std"], -5, 5)
+    d = np.array([p.x for p in plain(kept, mean, std, 1).collect()])
+    rare = {g.group: g.doc_id for g in dealt if g.label == 0}
+    want = np.array([z[g.doc_id] - z[rare[g.group]] for g in dealt if g.label == 1])
+    assert np.allclose(np.sort(d @ model["w"]), np.sort(want @ model["w"])) and len(d) == 195
+    again = quality.fit(docs.repartition(3), docs.select("doc_id", "label"))
+    assert np.allclose(again["w"], model["w"], atol=1e-6) and again["cut"] == pytest.approx(model["cut"], abs=1e-6)
+
+
 def test_bit_classifiers_are_those_of_plain_descent():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 3, 90)
