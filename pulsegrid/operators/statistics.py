@@ -72,6 +72,12 @@ class _Scan:
     more: tuple[tuple[str, str], ...]
     intervals: bool
     schema: pa.Schema
+    context: tuple[int, int] | None = None
+
+    @property
+    def reach(self) -> int:
+        """How many places beside a span belong to its context."""
+        return sum(self.context) if self.context else 0
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, spans, last, nth = None, None, None, 0
@@ -90,11 +96,11 @@ class _Scan:
                 spans = _kept(spans, np.r_[True, (np.diff(spans[0]) != 0) | (np.diff(spans[1]) != 0)])  # a span that is given twice is one
             if not span.all():
                 rows = _joined(rows, (key[~span], batch.filter(pa.array(~span))))
-                yield from self._closed(rows, spans, spans is not None and spans[1] < rows[0][-1])
+                yield from self._closed(rows, spans, spans is not None and spans[1] + self.reach < rows[0][-1])
                 if spans is not None:
-                    spans = _kept(spans, spans[1] >= rows[0][-1])
+                    spans = _kept(spans, spans[1] + self.reach >= rows[0][-1])
                 first = rows[0][-1] if spans is None or not len(spans[0]) else min(int(spans[0].min()) - 1, rows[0][-1])
-                rows = _kept(rows, rows[0] >= first)
+                rows = _kept(rows, rows[0] >= first - self.reach)
         if rows is not None and spans is not None:
             yield from self._closed(rows, spans, np.ones(len(spans[0]), bool))
 
@@ -119,9 +125,22 @@ class _Scan:
             total = np.cumsum((b - a)[some[at:]])
             part = some[at : at + max(1, int(total.searchsorted(PAIRS, side="right")))]
             at += len(part)
-            yield self._measured(table.take(pa.array(part)), x, a[part], b[part], low[part], bridge[part], pre[part], post[part], suspect, others)
-
-    def _measured(self, table: pa.RecordBatch, x: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, bridge: np.ndarray, pre: np.ndarray, post: np.ndarray, suspect: np.ndarray, others: list[np.ndarray]) -> pa.RecordBatch:
+            around = self._around(key, x, start[part], end[part]) if self.context else None
+            yield self._measured(table.take(pa.array(part)), x, a[part], b[part], low[part], bridge[part], pre[part], post[part], suspect, others, around)
+
+    def _around(self, key: np.ndarray, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Medians of the valid intervals at most width places beyond a gap on each side of spans; NaN where there are none."""
+        gap, width = self.context
+        sides = []
+        for first, last in ((start - gap - width, start - gap), (end + gap + 1, end + gap + width + 1)):
+            place = key.searchsorted(first)[:, None] + np.arange(width)
+            sides.append(np.where(place < key.searchsorted(last)[:, None], x[np.minimum(place, len(x) - 1)], np.nan))
+        v = np.sort(np.concatenate(sides, axis=1), axis=1)  # NaN comes last
+        n, row = (~np.isnan(v)).sum(1), np.arange(len(v))
+        lo, hi = v[row, np.maximum(n - 1, 0) // 2], v[row, np.minimum(n // 2, v.shape[1] - 1)]
+        return np.where(n > 0, np.where(lo == hi, lo, between(lo, hi, 0.5)), np.nan)
+
+    def _measured(self, table: pa.RecordBatch, x: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, bridge: np.ndarray, pre: np.ndarray, post: np.ndarray, suspect: np.ndarray, others: list[np.ndarray], around: np.ndarray | None) -> pa.RecordBatch:
         n = b - a
         first = np.r_[0, np.cumsum(n)[:-1]]
         which = np.repeat(np.arange(len(n)), n)
@@ -156,6 +175,8 @@ class _Scan:
                 out.append(np.where(add(known.astype(np.int64)) > 0, np.maximum.reduceat(np.where(known, c, -np.inf), first), np.nan))
             else:
                 out.append(_mean(add(np.where(known, c, 0.0)), add(known.astype(np.int64))))
+        if around is not None:
+            out.append(around)
         if self.intervals:
             out.append(pa.ListArray.from_arrays(pa.array(np.r_[first, len(v)], pa.int32()), pa.array(v)))
         return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type, mask=np.isnan(c)) if c.dtype.kind == "f" else pa.array(c, f.type) for c, f in zip(out, self.schema, strict=True)], schema=self.schema)
@@ -184,12 +205,13 @@ def _kept(held: tuple, keep: np.ndarray) -> tuple:
 
 
 def span_metrics(
-    rows: DataFrame, spans: DataFrame, low: float | Column, bridge: float | Column, quantiles: tuple[float, ...] = QUANTILES, intervals: bool = False, **more: tuple[str, str]
+    rows: DataFrame, spans: DataFrame, low: float | Column, bridge: float | Column, quantiles: tuple[float, ...] = QUANTILES, intervals: bool = False, context: tuple[int, int] | None = None, **more: tuple[str, str]
 ) -> DataFrame:
     """Per span (train, start, end) that holds valid intervals: quantiles, variability, flanks, contrast, and how many of its intervals are core (<= low) or bridge (columns of spans, or the same for all).
     Rows and spans are one timeline of each train, shuffled and sorted once, and scanned; pairs of spans and intervals are never rows.
 
-    more: further measures by name, each max, avg or count (of true ones) and the column of rows that it is taken of. With intervals, they are given as a list (isi_values), in order."""
+    more: further measures by name, each max, avg or count (of true ones) and the column of rows that it is taken of. With intervals, they are given as a list (isi_values), in order.
+    With context (gap, width), context is the median of the valid intervals at up to width places beyond a gap on each side."""
     types, listed = dict(rows.dtypes), list(more.items())
     ends = {"_low": low if isinstance(low, Column) else F.lit(low), "_bridge": bridge if isinstance(bridge, Column) else F.lit(bridge)}
     none = F.lit(None)
@@ -199,8 +221,8 @@ def span_metrics(
                           *[v.cast("double").alias(k) for k, v in ends.items()], *[none.cast("double").alias(f"more{i}") for i in range(len(listed))])
     train = types["train"]
     schema = ", ".join([f"train {train}, start long, end long, n_isi long, mean_isi double, max_isi double, duration double, cv double, mm double, core long, bridges long, suspects long, lv double", *[f"q{round(p * 100)} double" for p in quantiles], "pre double, post double",
-                        *[f"{k} {'long' if how == 'count' else 'double'}" for k, (how, _) in listed], *(["isi_values array<double>"] if intervals else [])])
-    scan = _Scan(tuple(quantiles), tuple(v for _, v in listed), intervals, to_arrow_schema(StructType.fromDDL(schema)))
+                        *[f"{k} {'long' if how == 'count' else 'double'}" for k, (how, _) in listed], *(["context double"] if context else []), *(["isi_values array<double>"] if intervals else [])])
+    scan = _Scan(tuple(quantiles), tuple(v for _, v in listed), intervals, to_arrow_schema(StructType.fromDDL(schema)), context)
     # by a hash of its own: Spark 4.1 takes a union of two sides that are each shuffled by train for shuffled, though they can be coalesced differently, and would leave a train's rows and spans apart
     timeline = at.where("train is not null").unionByName(wanted.where("train is not null")).repartition(F.xxhash64("train")).sortWithinPartitions("train", "at", "side", "end")
     out = timeline.mapInArrow(lambda batches: scan(batches), schema)

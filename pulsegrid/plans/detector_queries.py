@@ -246,17 +246,12 @@ def detector_settings(spark, d):
 x AS (SELECT e.train, e.start, e.e, any_value(label) AS label, any_value(q90) AS q90, quantile_cont(s.isi, 0.5) AS context FROM e LEFT JOIN s ON s.train = e.train AND valid AND (s.idx BETWEEN e.start - 14 AND e.start - 3 OR s.idx BETWEEN e.e + 3 AND e.e + 14) WHERE n > 0 GROUP BY e.train, e.start, e.e)
 SELECT train, start, e AS "end", label, round(context, 9) AS context, round(context / q90, 6) AS context_contrast FROM x""")
 def eventness_context(spark, d):
-    from pulsegrid.operators.joins import range_join
     from pulsegrid.operators.runs import segments
 
     rows = labelled(trains(spark, d))
     ev = segments(rows, F.col("auto")).where("label <> ''")
-    m = span_metrics(rows, ev.select("train", "start", "end"), 0.01, 0.015).select("train", "start", "end", "q90").join(ev.select("train", "start", "end", "label"), ["train", "start", "end"])
-    wide = m.select("train", (F.col("start") - 14).alias("start"), (F.col("end") + 14).alias("end"), F.col("start").alias("a"), F.col("end").alias("b"))
-    at = rows.where("valid").select("train", F.col("idx").alias("start"), F.col("idx").alias("end"), "isi")
-    near = range_join(wide, at, ["train"]).where((F.col("r_start") <= F.col("l_a") - 3) | (F.col("r_start") >= F.col("l_b") + 3))
-    c = near.groupBy("train", F.col("l_a").alias("start"), F.col("l_b").alias("end")).agg(F.percentile("r_isi", F.lit(0.5)).alias("context"))
-    x = m.join(c, ["train", "start", "end"], "left")
+    m = span_metrics(rows, ev.select("train", "start", "end"), 0.01, 0.015, context=(2, 12)).select("train", "start", "end", "q90", "context")
+    x = m.join(ev.select("train", "start", "end", "label"), ["train", "start", "end"])
     return x.select("train", "start", "end", "label", r("context").alias("context"), r(F.col("context") / F.col("q90"), 6).alias("context_contrast"))
 
 

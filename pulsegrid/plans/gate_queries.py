@@ -122,7 +122,7 @@ def event_ledger(spark, d):
 UNION ALL SELECT 'burst_family', * FROM ev WHERE label IN ('burst', 'long_burst', 'possible_burst') UNION ALL SELECT 'all_event_family_map', * FROM ev) SELECT layer, train, count(*) AS n FROM l GROUP BY ALL""")
 def result_layers(spark, d):
     out = None
-    for name, df in ga.result_layers(auto_spans(labelled(trains(spark, d)))).items():
+    for name, df in ga.result_layers(stored(auto_spans(labelled(trains(spark, d))), "event-spans")).items():
         part = df.groupBy("train").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "train", "n")
         out = part if out is None else out.unionByName(part)
     return out

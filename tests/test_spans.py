@@ -57,6 +57,27 @@ def test_spans_of_many_trains(spark, batch):
     assert not got
 
 
+@pytest.mark.parametrize("batch", ["10000", "4"])
+def test_context_beside_spans(spark, batch):
+    """Medians of what lies beyond a gap on both sides, in the one pass that measures the spans."""
+    rng = np.random.default_rng(5)
+    trains = {t: rng.exponential(0.03, n) for t, n in (("a", 80), ("b", 4), ("c", 33))}
+    spans = sorted({(t, int(a), int(min(len(x), a + rng.integers(0, 9)))) for t, x in trains.items() for a in rng.integers(2, len(x) + 1, 15)})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        m = span_metrics(rows_of(spark, trains), spark.createDataFrame(spans, "train string, start int, end int"), 0.01, 0.03, context=(2, 5))
+        assert "SortMergeJoin" not in m._jdf.queryExecution().toString()
+        got = {(r.train, r.start, r.end): r.context for r in m.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for t, a, b in spans:
+        x = {i: float(v) for i, v in enumerate(trains[t], 1) if i > 1 and i % 7 != 0}
+        if any(a <= i <= b for i in x):
+            beside = [v for i, v in x.items() if a - 7 <= i <= a - 3 or b + 3 <= i <= b + 7]
+            assert got[t, a, b] == (pytest.approx(statistics.median(beside)) if beside else None)
+
+
 def test_equal_quantiles_of_a_train_and_a_span_are_equal(spark):
     """The tenth of 55 intervals and that of five lie at the same place between the same two: as SQL has it, and not an ulp apart."""
     from pulsegrid.functions.stats import between
