@@ -22,8 +22,7 @@ def in_train() -> WindowSpec:
 def eventness(rows: DataFrame, events: DataFrame, gap: int = 2, width: int = 12, short: float = 0.02, outlier: float = 3.5) -> DataFrame:
     """events (train, label, start, end) with measures, the contrast to both flanks (edge) and to the median of up to `width` rows beyond a gap on each side (context), how
     far the flanks return to that level, and scores from 0 to 1: boundary, eventness and regularity."""
-    m = span_metrics(rows, events.select("train", "start", "end"), 0.01, short, intervals=True, context=(gap, width))
-    x = m.join(events.select("train", "start", "end", "label"), ["train", "start", "end"])
+    x = span_metrics(rows, events, 0.01, short, intervals=True, context=(gap, width), keep=("label",))
     flank = F.when(F.col("pre").isNotNull() & F.col("post").isNotNull(), (F.col("pre") + F.col("post")) / 2).otherwise(F.coalesce("pre", "post"))
     x = x.withColumns({"edge": F.least("pre_ratio", "post_ratio"), "context_contrast": F.col("context") / F.col("q90"), "flank_return": clamp(F.exp(-F.abs(F.ln(flank / F.col("context"))) / float(np.log(1.5))))})
     x = x.withColumns({"boundary": F.least(clamp(F.col("edge") / 3), clamp(F.col("context_contrast") / 3)), "outliers": F.size(F.filter("isi_values", lambda v: v / F.col("q50") > outlier)).cast("long"), "short_share": (F.col("core") + F.col("bridges")) / F.col("n_isi"), "regularity": regularity(F.coalesce("cv", F.lit(0.0)), F.coalesce("lv", F.lit(0.0)), F.col("q90"), F.col("q10"))})

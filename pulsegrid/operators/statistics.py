@@ -73,6 +73,7 @@ class _Scan:
     intervals: bool
     schema: pa.Schema
     context: tuple[int, int] | None = None
+    keep: tuple[str, ...] = ()
 
     @property
     def reach(self) -> int:
@@ -93,7 +94,8 @@ class _Scan:
             if span.any():
                 some = batch.filter(pa.array(span))
                 spans = _joined(spans, (key[span] + 1, (code[span] << SHIFT) + some.column("end").to_numpy(), some))
-                spans = _kept(spans, np.r_[True, (np.diff(spans[0]) != 0) | (np.diff(spans[1]) != 0)])  # a span that is given twice is one
+                if not self.keep:
+                    spans = _kept(spans, np.r_[True, (np.diff(spans[0]) != 0) | (np.diff(spans[1]) != 0)])  # a span that is given twice is one
             if not span.all():
                 rows = _joined(rows, (key[~span], batch.filter(pa.array(~span))))
                 yield from self._closed(rows, spans, spans is not None and spans[1] + self.reach < rows[0][-1])
@@ -175,6 +177,7 @@ class _Scan:
                 out.append(np.where(add(known.astype(np.int64)) > 0, np.maximum.reduceat(np.where(known, c, -np.inf), first), np.nan))
             else:
                 out.append(_mean(add(np.where(known, c, 0.0)), add(known.astype(np.int64))))
+        out += [table.column(f"keep{i}") for i in range(len(self.keep))]
         if around is not None:
             out.append(around)
         if self.intervals:
@@ -205,24 +208,25 @@ def _kept(held: tuple, keep: np.ndarray) -> tuple:
 
 
 def span_metrics(
-    rows: DataFrame, spans: DataFrame, low: float | Column, bridge: float | Column, quantiles: tuple[float, ...] = QUANTILES, intervals: bool = False, context: tuple[int, int] | None = None, **more: tuple[str, str]
+    rows: DataFrame, spans: DataFrame, low: float | Column, bridge: float | Column, quantiles: tuple[float, ...] = QUANTILES, intervals: bool = False, context: tuple[int, int] | None = None, keep: tuple[str, ...] = (), **more: tuple[str, str]
 ) -> DataFrame:
     """Per span (train, start, end) that holds valid intervals: quantiles, variability, flanks, contrast, and how many of its intervals are core (<= low) or bridge (columns of spans, or the same for all).
     Rows and spans are one timeline of each train, shuffled and sorted once, and scanned; pairs of spans and intervals are never rows.
 
     more: further measures by name, each max, avg or count (of true ones) and the column of rows that it is taken of. With intervals, they are given as a list (isi_values), in order.
-    With context (gap, width), context is the median of the valid intervals at up to width places beyond a gap on each side."""
+    With context (gap, width), context is the median of the valid intervals at up to width places beyond a gap on each side.
+    keep: columns of spans that go through; a span that is given twice is then two."""
     types, listed = dict(rows.dtypes), list(more.items())
     ends = {"_low": low if isinstance(low, Column) else F.lit(low), "_bridge": bridge if isinstance(bridge, Column) else F.lit(bridge)}
     none = F.lit(None)
     at = rows.select("train", F.col("idx").cast("long").alias("at"), F.lit(1).alias("side"), none.cast("long").alias("end"), F.col("valid").alias("valid"), F.col("isi").cast("double").alias("isi"), F.col("suspect").cast("boolean").alias("suspect"),
-                     *[none.cast("double").alias(k) for k in ends], *[F.col(c).cast("double").alias(f"more{i}") for i, (_, (_, c)) in enumerate(listed)])
+                     *[none.cast("double").alias(k) for k in ends], *[F.col(c).cast("double").alias(f"more{i}") for i, (_, (_, c)) in enumerate(listed)], *[none.cast(spans.schema[c].dataType).alias(f"keep{i}") for i, c in enumerate(keep)])
     wanted = spans.select("train", (F.col("start").cast("long") - 1).alias("at"), F.lit(0).alias("side"), F.col("end").cast("long").alias("end"), F.lit(False).alias("valid"), none.cast("double").alias("isi"), F.lit(False).alias("suspect"),
-                          *[v.cast("double").alias(k) for k, v in ends.items()], *[none.cast("double").alias(f"more{i}") for i in range(len(listed))])
+                          *[v.cast("double").alias(k) for k, v in ends.items()], *[none.cast("double").alias(f"more{i}") for i in range(len(listed))], *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
     train = types["train"]
     schema = ", ".join([f"train {train}, start long, end long, n_isi long, mean_isi double, max_isi double, duration double, cv double, mm double, core long, bridges long, suspects long, lv double", *[f"q{round(p * 100)} double" for p in quantiles], "pre double, post double",
-                        *[f"{k} {'long' if how == 'count' else 'double'}" for k, (how, _) in listed], *(["context double"] if context else []), *(["isi_values array<double>"] if intervals else [])])
-    scan = _Scan(tuple(quantiles), tuple(v for _, v in listed), intervals, to_arrow_schema(StructType.fromDDL(schema)), context)
+                        *[f"{k} {'long' if how == 'count' else 'double'}" for k, (how, _) in listed], *[f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in keep], *(["context double"] if context else []), *(["isi_values array<double>"] if intervals else [])])
+    scan = _Scan(tuple(quantiles), tuple(v for _, v in listed), intervals, to_arrow_schema(StructType.fromDDL(schema)), context, keep)
     # by a hash of its own: Spark 4.1 takes a union of two sides that are each shuffled by train for shuffled, though they can be coalesced differently, and would leave a train's rows and spans apart
     timeline = at.where("train is not null").unionByName(wanted.where("train is not null")).repartition(F.xxhash64("train")).sortWithinPartitions("train", "at", "side", "end")
     out = timeline.mapInArrow(lambda batches: scan(batches), schema)

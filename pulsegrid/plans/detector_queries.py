@@ -250,8 +250,7 @@ def eventness_context(spark, d):
 
     rows = labelled(trains(spark, d))
     ev = segments(rows, F.col("auto")).where("label <> ''")
-    m = span_metrics(rows, ev.select("train", "start", "end"), 0.01, 0.015, context=(2, 12)).select("train", "start", "end", "q90", "context")
-    x = m.join(ev.select("train", "start", "end", "label"), ["train", "start", "end"])
+    x = span_metrics(rows, ev, 0.01, 0.015, context=(2, 12), keep=("label",))
     return x.select("train", "start", "end", "label", r("context").alias("context"), r(F.col("context") / F.col("q90"), 6).alias("context_contrast"))
 
 

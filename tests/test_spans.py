@@ -57,6 +57,13 @@ def test_spans_of_many_trains(spark, batch):
     assert not got
 
 
+def test_columns_of_spans_go_through(spark):
+    rows = rows_of(spark, {"a": [0.01, 0.02, 0.05, 0.01, 0.03]})
+    spans = spark.createDataFrame([("a", 2, 4, "x"), ("a", 2, 4, "y"), ("a", 3, 5, None)], "train string, start int, end int, label string")
+    got = {(r.start, r.end, r.label): (r.n_isi, r.duration) for r in span_metrics(rows, spans, 0.015, 0.03, keep=("label",)).collect()}
+    assert got == {(2, 4, "x"): (3, pytest.approx(0.08)), (2, 4, "y"): (3, pytest.approx(0.08)), (3, 5, None): (3, pytest.approx(0.09))}
+
+
 @pytest.mark.parametrize("batch", ["10000", "4"])
 def test_context_beside_spans(spark, batch):
     """Medians of what lies beyond a gap on both sides, in the one pass that measures the spans."""
