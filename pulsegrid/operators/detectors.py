@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.functions.grammar import Grammar
-from pulsegrid.functions.stats import array_median, array_quantiles, clamp, q
+from pulsegrid.functions.stats import array_quantiles, clamp, q
 
 from pulsegrid.sources.shared import stored
 
@@ -25,7 +25,8 @@ from .bounds import Bounds
 from .gates import BURSTS, Limits, negative_overlap, validated
 from .isi import in_train
 from .joins import range_join
-from .runs import extensions, run_length, runs, support_runs
+from .medians import with_medians
+from .runs import extended, run_length, runs, runs_beside, support_runs
 from .statistics import span_metrics
 
 #: What a table of candidates holds. The last columns are of spiking states alone: shares of short, bridged and larger intervals, and the bounds that they were found with; pre and post are the
@@ -147,8 +148,9 @@ def possible_priority(m_contrast: Column, core: Column, bridge_share: Column, pu
 def burst_measures(rows: DataFrame, ref: DataFrame, g: Bounds) -> tuple[DataFrame, DataFrame]:
     """(spans of runs of seeds with their extensions, the same with their measures)."""
     own = g.on(rows)
-    seeds = g.on(runs(own, F.col("valid") & F.col("isi").between(g.seed_low, g.seed_high))).where(F.col("n") >= g.min_seeds).select("train", "start", "end")
-    some = g.on(extensions(own, seeds, g.bridge, int(g.most("max_extension")))).where((F.col("start") - F.col("s") <= g.max_extension) & (F.col("e") - F.col("end") <= g.max_extension))
+    seeds = runs_beside(own, F.col("valid") & F.col("isi").between(g.seed_low, g.seed_high), g.bridge, int(g.most("max_extension")))
+    seeds = g.on(seeds).where(F.col("n") >= g.min_seeds).select("train", "start", "end", "_l", "_r")
+    some = g.on(extended(seeds)).where((F.col("start") - F.col("s") <= g.max_extension) & (F.col("e") - F.col("end") <= g.max_extension))
     order = Window.partitionBy("train").orderBy("start", F.desc("s"), "e")  # the order in which they are made
     once = F.row_number().over(Window.partitionBy("train", "s", "e").orderBy("start"))
     some = some.withColumn("_k", once).where("_k = 1").where(F.col("e") - F.col("s") + 2 >= g.min_spikes)
@@ -156,7 +158,7 @@ def burst_measures(rows: DataFrame, ref: DataFrame, g: Bounds) -> tuple[DataFram
         some = some.withColumn("_i", F.row_number().over(order)).where(F.coalesce(F.col("_i") <= g.max_candidates, F.lit(True)))
     spans = stored(some.select("train", F.col("s").alias("start"), F.col("e").alias("end")), "burst-spans")
     flags = rows.withColumn("suspect", F.lit(False))
-    m = g.on(stored(span_metrics(flags, g.on(spans), g.seed_high, g.bridge), "burst-measures").join(ref, "train"))
+    m = g.on(span_metrics(flags, g.on(spans), g.seed_high, g.bridge).join(ref, "train"))
     m = m.withColumns({"purity": F.col("core") / F.col("n_isi"), "bridge_share": F.col("bridges") / F.col("n_isi"), "excess": F.col("q95") / g.bridge, "contrast": F.least("pre_ratio", "post_ratio"), "spikes": F.col("end") - F.col("start") + 2})
     return spans, m
 
@@ -330,15 +332,14 @@ def pauses(rows: DataFrame, ref: DataFrame, g: Grammar | Bounds) -> DataFrame:
 
 
 def pause_measures(rows: DataFrame, ref: DataFrame, g: Bounds, slack: float = 0.0) -> DataFrame:
-    """rows with the train's floor and median, and, for intervals that come within a share of slack of the floor, the median of those around that aren't over it (of all others, if there are none)."""
+    """(train, idx, isi, valid, the train's floor and median, _long, _local) of the intervals that come within a share of slack of the floor: _local is the median of those around that aren't over it (of all
+    others, if there are none)."""
     x = g.on(rows.join(ref.select("train", "_floor", F.col("_q50").alias("_median"), "_n"), "train"))
     long = F.coalesce(F.col("valid") & (F.col("isi") >= F.col("_floor")), F.lit(False))
-    around = F.collect_list(F.when(F.col("valid"), F.struct("isi", "idx", "_long"))).over(in_train().rowsBetween(-11, 11))
-    x = x.withColumn("_long", long).withColumn("_around", around)
-    some = lambda keep: array_median(F.transform(F.filter("_around", keep), lambda s: s["isi"]))
     wanted = F.col("valid") & (F.col("isi") >= F.col("_floor") * (1 - slack))
-    both = F.coalesce(some(lambda s: ~s["_long"] & (s["idx"] != F.col("idx"))), some(lambda s: s["idx"] != F.col("idx")))
-    return x.withColumn("_local", F.when(F.coalesce(wanted, F.lit(False)), both))
+    x = x.withColumns({"_long": long, "_wanted": F.coalesce(wanted, F.lit(False)), "_other": F.when(F.col("valid"), F.col("isi"))}).withColumn("_calm", F.when(~F.col("_long"), F.col("_other")))
+    x = with_medians(x.select("train", "idx", "isi", "valid", "_floor", "_median", "_n", "_long", "_wanted", "_calm", "_other"), {"_a": ("_calm", 11), "_b": ("_other", 11)}, only="_wanted")
+    return g.on(x.withColumn("_local", F.coalesce("_a", "_b")).drop("_wanted", "_calm", "_other", "_a", "_b"))
 
 
 def hard_threshold(rows: DataFrame, bound: float, g: Grammar | Bounds, core: int = 2) -> DataFrame:
@@ -421,7 +422,7 @@ def protected(found: DataFrame) -> DataFrame:
     size, n = F.col("r_end") - F.col("r_start") + 1, F.col("l_end") - F.col("l_start") + 1
     short = (size <= F.greatest(F.lit(8), F.ceil(F.lit(0.06) * n))) & F.coalesce(F.col("r_duration") <= 0.25, F.lit(True))
     inside = inside.where((F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")) & short).select("train", F.col("r_candidate").alias("candidate"), F.lit(EMBEDDED).alias("action"))
-    struck = gone.unionByName(covered).unionByName(inside).distinct().withColumnRenamed("action", "_action")
+    struck = stored(gone.unionByName(covered).unionByName(inside).distinct().withColumnRenamed("action", "_action"), "struck-out")
     x = found.join(struck, ["train", "candidate"], "left")
     out = F.col("_action").isNotNull()
     return x.withColumns({"label": F.when(out, "reject").otherwise(F.col("label")), "action": F.coalesce("_action", "action")}).drop("_action")
@@ -519,14 +520,16 @@ def without_negatives(rows: DataFrame, found: DataFrame) -> DataFrame:
     return x.withColumns({"gate": F.when(veto, "manual_negative_veto").otherwise(F.col("gate")), "label": F.when(veto, "reject").otherwise(F.col("label"))}).drop("negative_share")
 
 
-def detect(rows: DataFrame, g: Grammar | DataFrame | Bounds | None = None, lock_manual: bool = True, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
+def detect(rows: DataFrame, g: Grammar | DataFrame | Bounds | None = None, lock_manual: bool = True, limits: Limits | None = None, kept: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with auto labels, all candidates with what became of them). Labels by hand that deny a burst (column negative) strike out burst candidates; limits are those of gates.validated.
 
-    Settings are one Grammar for all trains, or a table with a train and any settings a row: each train is judged by its own, in the same plan."""
+    Settings are one Grammar for all trains, or a table with a train and any settings a row: each train is judged by its own, in the same plan. Rows that are kept are a stored table already."""
     g = bounds(g)
-    rows = stored(usable(rows), "trains")
-    found = stored(without_negatives(rows, stored(candidates(rows, g), "candidates")), "judged")
-    ledger = stored(select(stored(protected(found), "protected")), "ledger")
+    rows = usable(rows) if kept else stored(usable(rows), "trains")
+    found = stored(candidates(rows, g), "candidates")
+    if "negative" in rows.columns:
+        found = stored(without_negatives(rows, found), "judged")
+    ledger = stored(select(protected(found)), "ledger")
     return written(rows, ledger, lock_manual, limits), ledger
 
 

@@ -110,12 +110,28 @@ def unions(ranges: DataFrame, adjacent: bool = True) -> DataFrame:
 
 def extensions(rows: DataFrame, seeds: DataFrame, bridge: float, most: int = 4) -> DataFrame:
     """Every extension of seeds (train, start, end) by up to `most` valid intervals <= bridge in a row on each side: train, start, end, s, e."""
-    ok = (F.col("valid") & (F.col("isi") <= bridge)).cast("int")
-    near = rows.withColumn("_left", F.collect_list(ok).over(in_train().rowsBetween(-most, -1))).withColumn("_right", F.collect_list(ok).over(in_train().rowsBetween(1, most)))
-    lead = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("n"), F.lit(1).alias("on")), lambda s, x: F.struct((s["n"] + s["on"] * x).alias("n"), (s["on"] * x).alias("on")), lambda s: s["n"])
-    left = near.select("train", F.col("idx").alias("start"), lead(F.reverse("_left")).alias("_l"))
-    right = near.select("train", F.col("idx").alias("end"), lead(F.col("_right")).alias("_r"))
-    out = seeds.join(left, ["train", "start"]).join(right, ["train", "end"])
+    near = beside(rows, bridge, most)
+    left = near.select("train", F.col("idx").alias("start"), "_l")
+    right = near.select("train", F.col("idx").alias("end"), "_r")
+    return extended(seeds.join(left, ["train", "start"]).join(right, ["train", "end"]))
+
+
+def runs_beside(rows: DataFrame, flag: Column, bridge: float | Column, most: int = 4) -> DataFrame:
+    """Runs of rows with the flag, as runs() gives them, and what extended() needs of their sides (_l, _r). What lies beside a run is known in its first and last row, so nothing is joined."""
+    return runs(beside(rows, bridge, most), flag, F.min_by("_l", "idx").alias("_l"), F.max_by("_r", "idx").alias("_r"))
+
+
+def beside(rows: DataFrame, bridge: float | Column, most: int) -> DataFrame:
+    """rows plus _l and _r: how many valid intervals <= bridge stand in a row right before and right after each, most at most."""
+    x = rows.withColumn("_ok", F.coalesce(F.col("valid") & (F.col("isi") <= bridge), F.lit(False)))
+    left = right = F.lit(0)
+    for k in range(most, 0, -1):
+        left, right = (F.when(F.coalesce(f("_ok", k).over(in_train()), F.lit(False)), 1 + n).otherwise(0) for f, n in ((F.lag, left), (F.lead, right)))
+    return x.withColumns({"_l": left, "_r": right}).drop("_ok")
+
+
+def extended(out: DataFrame) -> DataFrame:
+    """Every extension (s, e) of runs by up to _l and _r intervals on their sides."""
     out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), "_l"))).withColumn("_j", F.explode(F.sequence(F.lit(0), "_r")))
     return out.withColumns({"s": F.col("start") - F.col("_i"), "e": F.col("end") + F.col("_j")}).drop("_i", "_j", "_l", "_r")
 
@@ -170,7 +186,7 @@ def support_runs(
 
     transparent intervals (no valid ones) may stand in a gap too; across such a gap a run goes on only as long as it has at most short_side (a column of rows) intervals so far."""
     back = in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = in_train().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy("train").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # frames up to a train's end cost its length for each row
     no = lambda c: F.coalesce(c, F.lit(False))
     some = rows.withColumn("_s", no(support & F.col("valid")))
     clear = ~F.col("_s") & (no(transparent) if transparent is not None else F.lit(False))

@@ -122,13 +122,16 @@ class _Scan:
         suspect = used.column("suspect").fill_null(False).to_numpy(zero_copy_only=False)
         others = [_floats(used.column(f"more{i}")) for i in range(len(self.more))]
         low, bridge = _floats(table.column("_low")), _floats(table.column("_bridge"))
+        order = x.argsort(kind="stable")
+        rank = np.empty(len(x), np.int64)
+        rank[order] = np.arange(len(x))
         at = 0
         while at < len(some):
             total = np.cumsum((b - a)[some[at:]])
             part = some[at : at + max(1, int(total.searchsorted(PAIRS, side="right")))]
             at += len(part)
             around = self._around(key, x, start[part], end[part]) if self.context else None
-            yield self._measured(table.take(pa.array(part)), x, a[part], b[part], low[part], bridge[part], pre[part], post[part], suspect, others, around)
+            yield self._measured(table.take(pa.array(part)), x, x[order], rank, a[part], b[part], low[part], bridge[part], pre[part], post[part], suspect, others, around)
 
     def _around(self, key: np.ndarray, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Medians of the valid intervals at most width places beyond a gap on each side of spans; NaN where there are none."""
@@ -142,7 +145,7 @@ class _Scan:
         lo, hi = v[row, np.maximum(n - 1, 0) // 2], v[row, np.minimum(n // 2, v.shape[1] - 1)]
         return np.where(n > 0, np.where(lo == hi, lo, between(lo, hi, 0.5)), np.nan)
 
-    def _measured(self, table: pa.RecordBatch, x: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, bridge: np.ndarray, pre: np.ndarray, post: np.ndarray, suspect: np.ndarray, others: list[np.ndarray], around: np.ndarray | None) -> pa.RecordBatch:
+    def _measured(self, table: pa.RecordBatch, x: np.ndarray, in_order: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, bridge: np.ndarray, pre: np.ndarray, post: np.ndarray, suspect: np.ndarray, others: list[np.ndarray], around: np.ndarray | None) -> pa.RecordBatch:
         n = b - a
         first = np.r_[0, np.cumsum(n)[:-1]]
         which = np.repeat(np.arange(len(n)), n)
@@ -159,7 +162,10 @@ class _Scan:
         pair[first] = np.nan  # the first of a span has none before it
         known = ~np.isnan(pair)
         lv = _mean(add(np.where(known, pair, 0.0)), add(known.astype(np.int64)))
-        sorted_ = v[np.lexsort((v, which))]
+        # one sort of whole numbers, span and rank of the interval: several times as fast as one by two keys
+        ranks = (which << SHIFT) | rank[place]
+        ranks.sort()
+        sorted_ = in_order[ranks & ((1 << SHIFT) - 1)]
         out = [table.column("train"), table.column("at"), table.column("end"), n, mean, most, total, np.where(n > 1, cv_, np.nan), mm_, add((v <= low[which]).astype(np.int64)), add(((v > low[which]) & (v <= bridge[which])).astype(np.int64)), add(suspect[place].astype(np.int64)), lv]
         out[1] = table.column("at").to_numpy() + 1
         for p in self.quantiles:

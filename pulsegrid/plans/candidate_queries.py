@@ -87,8 +87,8 @@ def labels_by_train_settings(spark, d):
     """The whole chain with bounds of each train's own."""
     from pulsegrid.sources.events import labelled
 
-    rows = labelled(trains(spark, d))
-    return de.detect(rows, stored(ra.quantile_settings(rows, SHARES), "settings"))[0].select("train", "idx", "auto")
+    rows = stored(labelled(trains(spark, d)), "labelled")
+    return de.detect(rows, stored(ra.quantile_settings(rows, SHARES), "settings"), kept=True)[0].select("train", "idx", "auto")
 
 
 def near(spark, d, layer):

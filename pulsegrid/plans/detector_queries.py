@@ -91,12 +91,19 @@ def resolved_thresholds(spark, d):
     return rounded(th.resolved(spark, th.histogram_bands(rows), manual=th.as_bands(th.manual_bands(manual_events(rows)))))
 
 
-def settings(spark, d) -> Grammar:
-    return th.settings(th.resolved(spark, th.histogram_bands(trains(spark, d))))
+def settings(spark, d, rows=None) -> Grammar:
+    return th.settings(th.resolved(spark, th.histogram_bands(trains(spark, d) if rows is None else rows)))
+
+
+def judged(spark, d):
+    """(labelled rows, all candidates, the settings that they were found with). Trains are put in order once, for the settings and for the detectors."""
+    rows = stored(labelled(trains(spark, d)), "labelled")
+    g = settings(spark, d, rows)
+    return (*de.detect(rows, g, kept=True), g)
 
 
 def detected(spark, d):
-    return de.detect(labelled(trains(spark, d)), settings(spark, d))
+    return judged(spark, d)[:2]
 
 
 #: Candidates by fixed bands, so that SQL can make them as well: runs of intervals as states, bursts inside and beside them, and tonic states.
@@ -174,7 +181,8 @@ def event_table(spark, d):
 
 @query()
 def near_misses(spark, d):
-    return rounded(de.near_misses(detected(spark, d)[1], settings(spark, d)))
+    _, found, g = judged(spark, d)
+    return rounded(de.near_misses(found, g))
 
 
 @query(""", b AS (SELECT *, CASE WHEN manual <> '' THEN manual ELSE auto END AS l FROM s), x AS (SELECT *, lag(l) OVER w AS p, lead(l) OVER w AS n FROM b WINDOW w AS (PARTITION BY train ORDER BY idx))
