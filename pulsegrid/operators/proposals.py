@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from pulsegrid.functions.stats import sorted_quantile
 from pulsegrid.sources.shared import stored
 
-from .gates import BURSTS, context_medians
-from .isi import local_median
+from .gates import BURSTS
 from .joins import range_join
+from .medians import whole_trains, with_medians
 from .runs import in_train, runs
 from .statistics import span_metrics
 
@@ -40,13 +45,21 @@ def _ratios(pre: Column, post: Column, core: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.exp(F.when(a.isNotNull() & b.isNotNull(), (F.ln(a) + F.ln(b)) / 2).otherwise(F.ln(F.coalesce(a, b))))
 
 
+def surrounded(rows: DataFrame, g: Context | None = None) -> DataFrame:
+    """(train, idx, isi, valid, artifact, suspect) with before and after, the medians of the nearest valid intervals on each side, and local_median, that of the valid ones in up to five rows on each side: what
+    proposals and their scores ask of each row, found once. rows that have these columns are left as they are."""
+    if {"before", "after", "local_median"} <= set(rows.columns):
+        return rows
+    x = rows.select("train", "idx", "isi", "valid", "artifact", "suspect", F.when(F.col("valid"), F.col("isi")).alias("_x"))
+    return stored(with_medians(x, {"local_median": ("_x", 5)}, (g or Context()).near, "_x").drop("_x"), "surroundings")
+
+
 def scored(rows: DataFrame, spans: DataFrame, g: Context | None = None) -> DataFrame:
     """Spans (train, start, end) with their contrast to the medians of the nearest valid intervals on both sides (least, geometric), a score, and a class: burst, possible_burst or reject. Spans with too few
     spikes, or without any side, aren't scored."""
     g = g or Context()
-    c = context_medians(rows, g.near)
-    m = span_metrics(rows, spans.select("train", "start", "end").distinct(), 0.0, 0.0)
-    m = m.join(c.select("train", F.col("idx").alias("start"), "before"), ["train", "start"]).join(c.select("train", F.col("idx").alias("end"), "after"), ["train", "end"])
+    # a span that is given twice is measured once
+    m = span_metrics(surrounded(rows, g), spans.select("train", "start", "end"), 0.0, 0.0, before=("start", "before"), after=("end", "after"))
     n = F.col("end") - F.col("start") + 2
     least, geometric = _ratios(F.col("before"), F.col("after"), F.col("q90"))
     m = m.where((n >= g.spikes) & (F.col("n_isi") >= max(1, g.spikes - 1)) & (F.col("start") >= 2)).withColumns({"least": least, "geometric": geometric, "sides": F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")})
@@ -59,20 +72,39 @@ def scored(rows: DataFrame, spans: DataFrame, g: Context | None = None) -> DataF
     return m.select("train", "start", "end", "least", "geometric", "score", kind.alias("class"))
 
 
+def _windows(t: pa.RecordBatch, code: np.ndarray, width: int, kind: pa.Schema) -> pa.RecordBatch:
+    """Windows of a width, of rows of whole trains, that have valid intervals only, one short one, and something on both sides: with the medians of the sides and their 90% quantile."""
+    x, before, after = (t.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("isi", "before", "after"))
+    sums = {c: np.r_[0, np.cumsum(t.column(c).to_numpy(zero_copy_only=False).astype(np.int64))] for c in ("valid", "_c")}
+    idx = t.column("idx").to_numpy()
+    at = np.arange(max(0, len(x) - width + 1))
+    inside = {c: v[at + width] - v[at] for c, v in sums.items()}
+    last = at + width - 1
+    at = at[(code[at] == code[last]) & (inside["valid"] == width) & (inside["_c"] > 0) & (idx[at] >= 2) & ~np.isnan(before[at]) & ~np.isnan(after[last])]
+    v = np.sort(x[at[:, None] + np.arange(width)], axis=1)
+    h = (width - 1) * 0.9
+    q90 = v[:, math.floor(h)] + (h - math.floor(h)) * (v[:, math.ceil(h)] - v[:, math.floor(h)])
+    out = [t.column("train").take(pa.array(at)), idx[at], idx[at] + width - 1, before[at], after[at + width - 1], q90]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+
+
 def context_windows(rows: DataFrame, g: Context | None = None) -> DataFrame:
     """Windows (train, start, end) of the given widths, of valid intervals only, that stand out from the nearest valid intervals on both sides and hold one that is short for its surroundings. Each row looks
     at the few that follow it, so this is one scan of a train."""
     g = g or Context()
     low, high = g.widths
     ratio = max(1.10, g.compression * 0.75)
-    c = context_medians(rows, g.near)
-    x = local_median(rows).withColumn("_c", F.coalesce(F.col("valid") & (F.col("local_median") > 0) & (F.col("isi") <= F.col("local_median") / ratio), F.lit(False)))
-    ahead = F.collect_list(F.struct(F.col("isi").alias("x"), F.col("valid").alias("v"), F.col("_c").alias("c"))).over(in_train().rowsBetween(0, high - 1))
-    x = x.withColumn("_next", ahead).join(c.select("train", "idx", "before"), ["train", "idx"])
-    x = x.withColumn("width", F.explode(F.sequence(F.lit(low), F.lit(high)))).where((F.col("idx") >= 2) & (F.size("_next") >= F.col("width")))
-    x = x.withColumn("_w", F.slice("_next", 1, "width")).where(F.forall("_w", lambda s: s["v"]) & F.exists("_w", lambda s: s["c"]))
-    x = x.select("train", F.col("idx").alias("start"), (F.col("idx") + F.col("width") - 1).alias("end"), "before", sorted_quantile(F.array_sort("_w.x"), 0.9).alias("q90"))
-    x = x.join(c.select("train", F.col("idx").alias("end"), "after"), ["train", "end"]).where("before is not null and after is not null")
+    x = surrounded(rows, g).withColumn("_c", F.coalesce(F.col("valid") & (F.col("local_median") > 0) & (F.col("isi") <= F.col("local_median") / ratio), F.lit(False)))
+    dtype = dict(x.dtypes)
+    schema = f"train {dtype['train']}, start {dtype['idx']}, end {dtype['idx']}, before double, after double, q90 double"
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, code in whole_trains(batches):
+            for width in range(low, high + 1):
+                yield _windows(t, code, width, kind)
+
+    x = x.select("train", "idx", "isi", "valid", "_c", "before", "after").repartition("train").sortWithinPartitions("train", "idx").mapInArrow(run, schema)
     least, geometric = _ratios(F.col("before"), F.col("after"), F.col("q90"))
     return x.where((least >= g.propose[0]) & (geometric >= g.propose[1])).select("train", "start", "end")
 
@@ -82,20 +114,19 @@ def seed_blocks(rows: DataFrame, seed: float = 0.02, bridge: float = 0.03, conne
     bridge or nearly short for their surroundings."""
     g = g or Context()
     up = in_train().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = in_train().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    down = Window.partitionBy("train").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     no = lambda c: F.coalesce(c, F.lit(False))
-    x = local_median(rows)
+    x = surrounded(rows, g)
     real = F.col("isi").isNotNull() & ~F.col("artifact")
     short = lambda r: no(F.col("local_median") > 0) & no(F.col("isi") <= F.col("local_median") / r)
     x = x.withColumns({"_s": real & (no(F.col("isi") <= seed) | short(g.compression)), "_a": no(F.col("artifact")) & (F.col("idx") > 1)})
     x = x.withColumn("_ok", real & (no(F.col("isi") <= bridge) | short(max(1.10, g.compression * 0.85))))
     stop = ~F.col("_s") & ~F.col("_a")
-    x = x.withColumns({"_prev": F.max(F.when(F.col("_s"), F.col("idx"))).over(up), "_next": F.min(F.when(F.col("_s"), F.col("idx"))).over(down), "_stop": F.max(F.when(stop, F.col("idx"))).over(up), "_n": F.sum(stop.cast("int")).over(up), "_bad": F.sum((stop & ~F.col("_ok")).cast("int")).over(up)})
-    at = x.select("train", F.col("idx").alias("_prev"), F.col("_n").alias("_n0"), F.col("_bad").alias("_bad0"))
-    to = x.select("train", F.col("idx").alias("_next"), F.col("_n").alias("_n1"), F.col("_bad").alias("_bad1"))
-    x = x.join(at, ["train", "_prev"], "left").join(to, ["train", "_next"], "left")
+    x = x.withColumns({"_prev": F.max(F.when(F.col("_s"), F.col("idx"))).over(up), "_stop": F.max(F.when(stop, F.col("idx"))).over(up), "_n": F.sum(stop.cast("int")).over(up), "_bad": F.sum((stop & ~F.col("_ok")).cast("int")).over(up)})
+    counts = F.when(F.col("_s"), F.struct(F.col("_n").alias("n"), F.col("_bad").alias("bad")))  # as they stand at the last and at the next short interval
+    x = x.withColumn("_at", F.last(counts, True).over(up)).withColumn("_to", F.last(counts, True).over(down))
     tail = F.col("_a") & no(F.col("_prev") > F.coalesce("_stop", F.lit(0)))
-    gap = no((F.col("_n1") - F.col("_n0") <= connectors) & (F.col("_bad1") == F.col("_bad0")))
+    gap = no((F.col("_to.n") - F.col("_at.n") <= connectors) & (F.col("_to.bad") == F.col("_at.bad")))
     return runs(x, F.col("_s") | tail | gap).select("train", "start", "end")
 
 
@@ -116,6 +147,7 @@ def optimised(rows: DataFrame, spans: DataFrame, g: Context | None = None) -> Da
 
 def sliding_context(rows: DataFrame, seed: float = 0.02, bridge: float = 0.03, g: Context | None = None) -> DataFrame:
     """Bursts (train, start, end, score, class) of seed blocks and context windows with their best boundaries, each span once."""
+    rows = surrounded(rows, g)
     props = stored(seed_blocks(rows, seed, bridge, g=g).unionByName(context_windows(rows, g)).distinct(), "proposals")
     x = optimised(rows, props, g).where("class <> 'reject'")
     return x.groupBy("train", F.col("best_start").alias("start"), F.col("best_end").alias("end")).agg(F.first("score").alias("score"), F.first("class").alias("class"))

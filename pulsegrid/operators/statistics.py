@@ -115,6 +115,12 @@ class _Scan:
         isi = _floats(frame.column("isi"))
         beside = lambda k: np.where(key[np.minimum(at := key.searchsorted(k), len(key) - 1)] == k, isi[np.minimum(at, len(key) - 1)], np.nan)
         pre, post = beside(start - 1), beside(end + 1)
+        ends = {}
+        for i, (how, _) in enumerate(self.more):
+            if how in ENDS:
+                at = key.searchsorted(k := start if how == "start" else end)
+                at = np.minimum(at, len(key) - 1)
+                ends[i] = np.where(key[at] == k, _floats(frame.column(f"more{i}"))[at], np.nan)
         used = frame.filter(pa.array(valid))
         key, x = key[valid], isi[valid]
         a, b = key.searchsorted(start), key.searchsorted(end, side="right")
@@ -131,7 +137,7 @@ class _Scan:
             part = some[at : at + max(1, int(total.searchsorted(PAIRS, side="right")))]
             at += len(part)
             around = self._around(key, x, start[part], end[part]) if self.context else None
-            yield self._measured(table.take(pa.array(part)), x, x[order], rank, a[part], b[part], low[part], bridge[part], pre[part], post[part], suspect, others, around)
+            yield self._measured(table.take(pa.array(part)), x, x[order], rank, a[part], b[part], low[part], bridge[part], pre[part], post[part], suspect, others, {i: c[part] for i, c in ends.items()}, around)
 
     def _around(self, key: np.ndarray, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Medians of the valid intervals at most width places beyond a gap on each side of spans; NaN where there are none."""
@@ -145,7 +151,7 @@ class _Scan:
         lo, hi = v[row, np.maximum(n - 1, 0) // 2], v[row, np.minimum(n // 2, v.shape[1] - 1)]
         return np.where(n > 0, np.where(lo == hi, lo, between(lo, hi, 0.5)), np.nan)
 
-    def _measured(self, table: pa.RecordBatch, x: np.ndarray, in_order: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, bridge: np.ndarray, pre: np.ndarray, post: np.ndarray, suspect: np.ndarray, others: list[np.ndarray], around: np.ndarray | None) -> pa.RecordBatch:
+    def _measured(self, table: pa.RecordBatch, x: np.ndarray, in_order: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, bridge: np.ndarray, pre: np.ndarray, post: np.ndarray, suspect: np.ndarray, others: list[np.ndarray], ends: dict[int, np.ndarray], around: np.ndarray | None) -> pa.RecordBatch:
         n = b - a
         first = np.r_[0, np.cumsum(n)[:-1]]
         which = np.repeat(np.arange(len(n)), n)
@@ -174,7 +180,10 @@ class _Scan:
             lo, hi = sorted_[first + i], sorted_[first + j]
             out.append(np.where((i == j) | (lo == hi), lo, between(lo, hi, h - i)))
         out += [pre, post]
-        for (how, _), c in zip(self.more, others, strict=True):
+        for i, ((how, _), c) in enumerate(zip(self.more, others, strict=True)):
+            if i in ends:
+                out.append(ends[i])
+                continue
             c = c[place]
             known = ~np.isnan(c)
             if how == "count":
@@ -191,6 +200,8 @@ class _Scan:
         return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type, mask=np.isnan(c)) if c.dtype.kind == "f" else pa.array(c, f.type) for c, f in zip(out, self.schema, strict=True)], schema=self.schema)
 
 
+#: Further measures that are the value of a column in the first or last row of a span, valid or not.
+ENDS = ("start", "end")
 #: Bits of a place within its train, and intervals of spans that are laid out at once.
 SHIFT, PAIRS = 32, 2_000_000
 
@@ -219,7 +230,7 @@ def span_metrics(
     """Per span (train, start, end) that holds valid intervals: quantiles, variability, flanks, contrast, and how many of its intervals are core (<= low) or bridge (columns of spans, or the same for all).
     Rows and spans are one timeline of each train, shuffled and sorted once, and scanned; pairs of spans and intervals are never rows.
 
-    more: further measures by name, each max, avg or count (of true ones) and the column of rows that it is taken of. With intervals, they are given as a list (isi_values), in order.
+    more: further measures by name, each max, avg or count (of true ones), start or end (the value in the first or last row), and the column of rows that it is taken of. With intervals, they are given as a list (isi_values), in order.
     With context (gap, width), context is the median of the valid intervals at up to width places beyond a gap on each side.
     keep: columns of spans that go through; a span that is given twice is then two."""
     types, listed = dict(rows.dtypes), list(more.items())

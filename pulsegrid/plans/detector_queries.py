@@ -283,13 +283,13 @@ def context_windows(spark, d):
  row_number() OVER (PARTITION BY pr.train, pr.start, pr.e ORDER BY score DESC, w.start, w.e) AS i FROM pr JOIN w ON w.train = pr.train AND abs(w.start - pr.start) <= 1 AND abs(w.e - pr.e) <= 1 AND w.k >= 2 AND w.n >= 2)
 SELECT train, start, e AS "end", bs AS best_start, be AS best_end, round(score, 6) AS score, class FROM v WHERE i = 1""")
 def optimised_boundaries(spark, d):
-    rows = stored(trains(spark, d), "trains")
+    rows = pp.surrounded(trains(spark, d))
     return rounded(pp.optimised(rows, stored(pp.context_windows(rows), "context-windows")), 6)
 
 
 @query()
 def sliding_context_bursts(spark, d):
-    return rounded(pp.sliding_context(stored(trains(spark, d), "trains")))
+    return rounded(pp.sliding_context(trains(spark, d)))
 
 
 @query(""", bu AS (SELECT *, idx - row_number() OVER (PARTITION BY train ORDER BY idx) AS run FROM s WHERE auto = 'burst'), pa AS (SELECT train, min(idx) AS bs, max(idx) AS be, quantile_cont(isi, 0.5) FILTER (valid) AS bm, quantile_cont(isi, 0.9) FILTER (valid) AS bq FROM bu GROUP BY train, run),

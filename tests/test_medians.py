@@ -65,3 +65,16 @@ def test_candidates_are_stored_once_where_no_label_denies_them(spark, monkeypatc
     monkeypatch.setattr(de, "stored", lambda df, what: (names.append(what), plain(df, what))[1])
     de.detect(labelled(trains(spark, "/root/testdata/sf0.001")))
     assert not {"judged", "protected", "burst-measures"} & set(names) and names.count("candidates") == 1
+
+
+def test_proposals_take_surroundings_in_one_scan(spark, monkeypatch):
+    """Of each row they are found once; windows and scores join nothing with all rows."""
+    from pulsegrid.operators import proposals as pp
+    from pulsegrid.sources.events import trains
+
+    names, plain = [], pp.stored
+    monkeypatch.setattr(pp, "stored", lambda df, what: (names.append(what), plain(df, what))[1])
+    rows = pp.surrounded(trains(spark, "/root/testdata/sf0.001"))
+    for df in (pp.context_windows(rows), pp.seed_blocks(rows), pp.scored(rows, rows.selectExpr("train", "idx as start", "idx as end"))):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert names == ["surroundings"]
