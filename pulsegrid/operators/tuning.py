@@ -5,6 +5,8 @@ A setting's variant and a train are the key of everything here: all variants are
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +40,12 @@ def variants(spark: SparkSession, names: list[str], base: Grammar | None = None,
     return spark.createDataFrame(rows, f"variant string, place int, setting string, value double, {kinds}").coalesce(1)
 
 
+def grammars(names: DataFrame) -> dict[str, Grammar]:
+    """The settings of each variant: its own, and the defaults for the others, as detected_variants() takes them. names: a row for each variant."""
+    own = [c for c in names.columns if c not in ("variant", "place", "setting", "value")]
+    return {r["variant"]: dataclasses.replace(Grammar(), **{c: r[c] for c in own}) for r in names.orderBy("place").collect()}
+
+
 def keyed(variant: Column, train: Column) -> Column:
     return F.concat_ws(SEP, variant, train.cast("string"))
 

@@ -115,16 +115,15 @@ TUNED = ["seed_high", "bridge", "tonic_max", "pause_min"]
 def variant_counts(spark, d):
     """(names of the variants, counts of what each of them finds against the labels by hand, trains with their durations, events by hand)."""
     from pulsegrid.operators import tuning as tu
+    from pulsegrid.operators import variant_scan as vs
 
     from .detector_queries import settings
 
-    rows = labelled(trains(spark, d))
-    names = stored(tu.variants(spark, TUNED, settings(spark, d)), "variants")
+    rows = stored(labelled(trains(spark, d)), "labelled")
+    names = stored(tu.variants(spark, TUNED, settings(spark, d, rows)), "variants")
     each = stored(rows.groupBy("train").agg((F.max("t") - F.min("t")).alias("duration")), "durations")
     truth = stored(runs.segments(rows, F.col("manual")).where("label <> ''").select("train", "label", "start", "end"), "true-events")
-    every = each.select("train").withColumn("variant", F.explode(F.array(*[F.lit(r.variant) for r in names.select("variant").collect()])))  # nine names
-    pred = stored(tu.detected_variants(rows, every.join(F.broadcast(names), "variant")), "variant-events")
-    return names, stored(tu.counts(pred, truth, names), "variant-counts"), each, truth
+    return names, stored(vs.counts(rows, tu.grammars(names)), "variant-counts"), each, truth
 
 
 @query()
