@@ -90,7 +90,7 @@ def sign_flips(differences: DataFrame, permutations: int = 999, seed: int = 1, e
     x = d.join(F.broadcast(seen.where("pairs >= 2 and most > 0").select("variant", "few", "n")), "variant")  # a row for each variant
     nth = F.row_number().over(Window.partitionBy("variant").orderBy("train")) - 1  # of a dozen trains at most
     x = x.where("not few").withColumn("_at", F.lit(0)).unionByName(x.where("few").withColumn("_at", nth))
-    x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    x = x.where("d <> 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))  # nothing is added by a zero of either sign
     bit = F.when(F.col("few"), F.getbit(F.col("k").cast("long"), F.col("_at"))).otherwise(F.pmod(F.xxhash64(F.lit(seed), "variant", "train", "k"), F.lit(2))).cast("int")
     flipped = x.groupBy("variant", "k").agg(F.sum(F.when(bit == 1, F.col("d")).otherwise(-F.col("d"))).alias("s"))
     hits = flipped.join(F.broadcast(seen.select("variant", "total")), "variant").groupBy("variant").agg(F.count_if(F.abs("s") >= F.abs("total")).alias("_k"), F.count(F.lit(1)).alias("_n"))
