@@ -92,3 +92,42 @@ def test_columns_predicted_from_the_others(spark):
         p = f[140:] @ w
         assert got[n].r == pytest.approx(np.corrcoef(p, x[140:, j])[0, 1], abs=1e-6) and got[n].rmse == pytest.approx(np.sqrt(((p - x[140:, j]) ** 2).mean()), abs=1e-6)
     assert mf.held_out_prediction(df.limit(5), names).count() == 0
+
+
+def by_hash(spark, n, permutations, seed):
+    """Of each permutation: the points in the order of their hashes, and by how much labels are shifted."""
+    b = spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("b"))
+    order = {r.b: [s["k"] for s in r.v] for r in b.join(spark.range(n).withColumnRenamed("id", "k")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "b", "k").alias("h"), "k"))).alias("v")).collect()}
+    shift = {r.b: r.s for r in b.select("b", (1 + F.pmod(F.xxhash64(F.lit(seed + 1), "b"), F.lit(n - 1))).alias("s")).collect()}
+    return order, shift
+
+
+@pytest.mark.parametrize(("n", "places"), [(2, 4096), (37, 5), (64, 16), (3000, 128), (3000, 4096)])
+def test_states_apart_as_laid_out(spark, monkeypatch, n, places):
+    """Every permutation, point by point; and only the points are put in order, not all their permutations."""
+    calls, once = [], mf.ranked
+    monkeypatch.setattr(mf, "ranked", lambda df, *a, **k: calls.append(df) or once(df, *a, **k))
+    r = random.Random(n)
+    label = ["a", "b"] if n == 2 else [r.choice("aaabbc") for _ in range(n - 1)] + ["one"]
+    pts = np.array([[r.gauss(s == "b", 1), r.gauss(0, 1)] for s in label])
+    df = spark.createDataFrame([(i, s, *map(float, p)) for i, (s, p) in enumerate(zip(label, pts, strict=True))], "at long, state string, x double, y double").repartition(5)
+    got = {(x.state_a, x.state_b): x for x in mf.state_distances(df, ["x", "y"], 9, seed=3, least=1, places=places).collect()}
+    assert len(calls) == 1
+    order, shift = by_hash(spark, n, 9, 3)
+    label = np.array(label)
+    dealt = {}
+    for b in order:
+        dealt["shuffle", b] = np.empty_like(label)
+        dealt["shuffle", b][order[b]] = np.sort(label)
+        dealt["shift", b] = np.roll(label, shift[b])
+    names = sorted(set(label.tolist()))
+    assert set(got) == {(a, b) for a in names for b in names if a < b}
+    for (a, b), x in got.items():
+        gap = lambda s, a=a, b=b: round(float(np.sqrt(((pts[s == a].mean(0) - pts[s == b].mean(0)) ** 2).sum())), 11)
+        assert x.distance == pytest.approx(gap(label), abs=1e-10)
+        for kind, p in (("shuffle", x.shuffle_p), ("shift", x.shift_p)):
+            assert p == pytest.approx((1 + sum(gap(s) >= gap(label) for (k, _), s in dealt.items() if k == kind)) / 10), (a, b, kind)
+
+
+def test_no_states(spark):
+    assert mf.state_distances(spark.createDataFrame([(1, None, 0.0)], "at long, state string, x double"), ["x"], 3).collect() == []
