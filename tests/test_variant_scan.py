@@ -85,3 +85,20 @@ def test_queries_make_no_row_for_each_variant_and_interval(spark, monkeypatch):
 
     monkeypatch.setattr(detectors, "detect", fail)
     assert registry.QUERIES["setting_scan"](spark, "/root/testdata/sf0.001").count() == 9
+
+
+def test_holdout_detects_in_the_scan(spark, monkeypatch):
+    """Both holdout queries: twenty repeats, and a summary that is that of their metrics."""
+    from pulsegrid.operators import detectors
+    from pulsegrid.plans import validation_queries as vq
+
+    def fail(*_args, **_kw):
+        raise AssertionError("detected as a plan")
+
+    monkeypatch.setattr(detectors, "detect", fail)
+    out = {k: v.collect() for k, v in vq.holdout(spark, "/root/testdata/sf0.001").items()}
+    assert [x.repeat for x in sorted(out["repeats"], key=lambda x: x.repeat)] == list(range(1, 21))
+    assert {x.label for x in out["summary"]} == {x.label for x in out["metrics"]}
+    for s in out["summary"]:
+        f1 = [x.f1 for x in out["metrics"] if x.label == s.label and x.f1 is not None]
+        assert s.f1 == (pytest.approx(sum(f1) / len(f1)) if f1 else None)
